@@ -6,20 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixkin.llm import line_dedup, mixing
+from pixkin.llm import line_dedup, mixing, sharding, simhash
 from pixkin.llm.common import table
 
 
+def op3_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_report(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_line_dedup, op7_mix_sources)}
+    return {f.__name__: f for f in (op3_shard_documents, op5_line_dedup, op6_simhash_vp_tree, op7_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
