@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixkin.llm import line_dedup, mixing, sharding, simhash
+from pixkin.llm import line_dedup, mixing, sentencepiece, sharding, simhash
 from pixkin.llm.common import table
 
 
+def piece_model() -> str:
+    """Where the tokenizer's model is: PIECE_MODEL, else the installed public file."""
+    import public_tokenizers
+
+    return os.environ.get("PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.piece_report(table(spark, sf_dir, "documents"), piece_model())
+
+
 def op3_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -27,7 +39,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_shard_documents, op5_line_dedup, op6_simhash_vp_tree, op7_mix_sources)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_shard_documents, op5_line_dedup, op6_simhash_vp_tree, op7_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
