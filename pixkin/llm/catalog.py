@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixkin.llm import line_dedup, mixing, sentencepiece, sharding, simhash
+from pixkin.llm import line_dedup, mixing, quality, sentencepiece, sharding, simhash
 from pixkin.llm.common import table
 
 
@@ -18,6 +18,10 @@ def piece_model() -> str:
     return os.environ.get("PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.piece_report(table(spark, sf_dir, "documents"), piece_model())
 
@@ -39,7 +43,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_shard_documents, op5_line_dedup, op6_simhash_vp_tree, op7_mix_sources)}
+    return {f.__name__: f for f in (op1_importance_resampling, op2_sentencepiece, op3_shard_documents, op5_line_dedup, op6_simhash_vp_tree, op7_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
