@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixkin.llm import line_dedup, mixing, quality, sentencepiece, sharding, simhash, toxicity
+from pixkin.llm import ann, line_dedup, mixing, quality, sentencepiece, sharding, simhash, toxicity
 from pixkin.llm.common import table
 
 
@@ -46,8 +46,12 @@ def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_importance_resampling, op2_sentencepiece, op3_shard_documents, op5_line_dedup, op6_simhash_vp_tree, op7_mix_sources, op8_toxicity_cnn)}
+    return {f.__name__: f for f in (op1_importance_resampling, op2_sentencepiece, op3_shard_documents, op5_line_dedup, op6_simhash_vp_tree, op7_mix_sources, op8_toxicity_cnn, op9_anisotropic_search)}
 
 
 def oracle_sql() -> dict[str, str]:
