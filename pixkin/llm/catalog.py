@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixkin.llm import ann, line_dedup, mixing, quality, sentencepiece, sharding, simhash, toxicity
+from pixkin.llm import ann, html_text, line_dedup, mixing, quality, sentencepiece, sharding, simhash, toxicity
 from pixkin.llm.common import table
 
 
@@ -50,8 +50,12 @@ def op9_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op10_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_report(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_importance_resampling, op2_sentencepiece, op3_shard_documents, op5_line_dedup, op6_simhash_vp_tree, op7_mix_sources, op8_toxicity_cnn, op9_anisotropic_search)}
+    return {f.__name__: f for f in (op1_importance_resampling, op2_sentencepiece, op3_shard_documents, op5_line_dedup, op6_simhash_vp_tree, op7_mix_sources, op8_toxicity_cnn, op9_anisotropic_search, op10_site_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
