@@ -225,19 +225,18 @@ def extract(pages: DataFrame, *, html: str = "html", url: str = "url", least: in
     that they are no template. A column ``text`` of ``pages`` is replaced. An empty table gives no rows.
     """
     pages = pages.drop("text") if html != "text" else pages
-    rows = pages.select(host(F.col(url)).alias("host"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
+    source = F.coalesce(F.col(html).cast("string"), F.lit("")).alias("_html")
+    rows = pages.select(F.xxhash64(host(F.col(url))).alias("site"), source).withColumn("key", F.xxhash64("_html"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple[str, int, int, int]] = []
-            for name, text in zip(b.column(0).to_pylist(), b.column(1)):
-                source = text.as_py()
-                article, found = candidates(source)
-                key = xxhash.xxh64_intdigest(source.encode("utf-8", "surrogatepass")) - 2**63
-                out.extend((name, key, article, h) for h in found)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), (), ()), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "key", "article", "subtree"])
-
-    seen = cut_lineage(rows.select("host", "html").mapInArrow(hashed, "host string, key long, article long, subtree long").select(F.xxhash64("host").alias("site"), "key", "article", "subtree").distinct())
+            out: list[tuple[int, int, int, int]] = []
+            for site, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                article, found = candidates(text.as_py())
+                out.extend((site, key, article, h) for h in found)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), (), ()))], ["site", "key", "article", "subtree"])
+
+    seen = cut_lineage(rows.select("site", "key", "_html").mapInArrow(hashed, "site long, key long, article long, subtree long").distinct())
     template = seen.groupBy("site", "subtree").agg(F.count_distinct("article").alias("articles"), F.count("*").alias("n")).where(F.col("articles") >= least)
     template = cut_lineage(template.select("site", "subtree", "n"))
     others = [F.col(c) for c in pages.columns if c != html]
@@ -253,7 +252,6 @@ def extract(pages: DataFrame, *, html: str = "html", url: str = "url", least: in
 
         return run
 
-    source = F.coalesce(F.col(html).cast("string"), F.lit("")).alias("_html")
     made = f"{kinds}, text string" if kinds else "text string"
     if template.count() <= broadcast:
         by_site: dict[int, set[int]] = {}
@@ -263,21 +261,10 @@ def extract(pages: DataFrame, *, html: str = "html", url: str = "url", least: in
         return pages.select(*others, F.xxhash64(host(F.col(url))).alias("_site"), source).mapInArrow(cleaned(None), made)
     per_page = attach(seen.select("site", "key", "subtree"), template, ["site", "subtree"], "n", max(1, seen.count())).groupBy("site", "key").agg(F.collect_set("subtree").alias("_subtrees"))
     sites = None
-    keyed = pages.select(*others, F.xxhash64(host(F.col(url))).alias("site"), source).withColumn("key", html_key(F.col("_html")))
+    keyed = pages.select(*others, F.xxhash64(host(F.col(url))).alias("site"), source).withColumn("key", F.xxhash64("_html"))
     return keyed.join(per_page, ["site", "key"], "left").select(*others, "_subtrees", "_html").mapInArrow(cleaned({}), made)
 
 
-def html_key(html: Column) -> Column:
-    """xxh64 of the page as ``extract`` has it, less 2^63, in an Arrow function."""
-    import pandas as pd
-
-    @F.pandas_udf("long")
-    def key(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63)
-
-    return key(html)
-
-
 def page_report(pages: DataFrame) -> DataFrame:
     """The digest: page_id, url, text, n_chars."""
     return extract(pages.select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
