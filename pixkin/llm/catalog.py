@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixkin.llm import ann, html_text, line_dedup, mixing, quality, sentencepiece, sharding, simhash, toxicity
+from pixkin.llm import ann, html_text, line_dedup, media, mixing, quality, sentencepiece, sharding, simhash, toxicity
 from pixkin.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op3_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_report(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_importance_resampling, op2_sentencepiece, op3_shard_documents, op5_line_dedup, op6_simhash_vp_tree, op7_mix_sources, op8_toxicity_cnn, op9_anisotropic_search, op10_site_templates)}
+    return {f.__name__: f for f in (op1_importance_resampling, op2_sentencepiece, op3_shard_documents, op4_progressive_jpeg, op5_line_dedup, op6_simhash_vp_tree, op7_mix_sources, op8_toxicity_cnn, op9_anisotropic_search, op10_site_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
