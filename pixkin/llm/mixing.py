@@ -46,7 +46,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most:
         .withColumn("total", F.sum("source_size").over(everything))
         .withColumn("level", level)
         .withColumn("level", F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level")))
-        .withColumn("level", F.min("level").over(everything))
+        .withColumn("level", F.max("level").over(everything))  # later rows take off caps that aren't reached, so the first fit is the largest
         .withColumn("target", F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("w")), F.col("cap")))
         .select("source", "source_size", "target")
     )
@@ -136,7 +136,7 @@ w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + ((row_number() OVER
              source_size * 2.0::DOUBLE AS cap, CAST((SELECT sum(source_size) FROM s) AS DOUBLE) AS total FROM s),
 l AS (SELECT *, (total * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT source, source_size, coalesce(least(cap, (SELECT min(level) FROM l WHERE level * w <= cap) * w), cap) AS target FROM l),
+t AS (SELECT source, source_size, coalesce(least(cap, (SELECT max(level) FROM l WHERE level * w <= cap) * w), cap) AS target FROM l),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
 p AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
              sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size / 2.0::DOUBLE AS middle

@@ -467,26 +467,36 @@ def model_of(data: bytes) -> Model:
     return _models[key]
 
 
-def encode_documents(docs: DataFrame, model_file: str, *, text: str = "text", doc_id: str = "doc_id", decode: bool = True) -> DataFrame:
-    """doc_id; ids, begins, ends: binary of little-endian 32-bit numbers, begin and end ids included; decoded: text of the ids.
+def encode_documents(docs: DataFrame, model_file: str, *, text: str = "text", doc_id: str = "doc_id", spans: bool = True, decode: bool = True, arrays: bool = False) -> DataFrame:
+    """doc_id; ids, and with ``spans`` begins and ends, begin and end ids included; with ``decode``, decoded: the text of the ids.
 
-    A null text is an empty one (two ids). The model's bytes (its size is that of a vocabulary) travel with the function.
-    Null or repeated doc_ids keep their rows.
+    Numbers come packed as little-endian 32-bit binaries, or with ``arrays`` as arrays of int. A null text is an empty one (two ids).
+    The model's bytes (its size is that of a vocabulary) travel with the function. Null or repeated doc_ids keep their rows.
     """
     with open(model_file, "rb") as f:
         data = f.read()
-    kinds = {"doc_id": pa.int64(), "ids": pa.binary(), "begins": pa.binary(), "ends": pa.binary(), **({"decoded": pa.string()} if decode else {})}
-    schema = pa.schema(list(kinds.items()))
+    numbers = ["ids", *(("begins", "ends") if spans else ())]
+    kind = pa.list_(pa.int32()) if arrays else pa.binary()
+    schema = pa.schema([("doc_id", pa.int64()), *((n, kind) for n in numbers), *((("decoded", pa.string()),) if decode else ())])
+
+    def packed(columns: list[np.ndarray]) -> pa.Array:
+        if not arrays:
+            return pa.array([c.tobytes() for c in columns], kind)
+        ends = np.cumsum([0, *map(len, columns)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns).astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(data)
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            keys, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
             for part in slices([len(t) for t in texts], 1_500_000):
-                rows = [(key, ids.tobytes(), begin.tobytes(), end.tobytes(), *((model.decode(ids),) if decode else ())) for key, (ids, begin, end) in zip(keys[part], model.encode_all(texts[part]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                found = list(model.encode_all(texts[part]))
+                columns = [keys[part], *(packed([f[i] for f in found]) for i in range(len(numbers)))]
+                if decode:
+                    columns.append(pa.array([model.decode(f[0]) for f in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    made = "doc_id long, ids binary, begins binary, ends binary" + (", decoded string" if decode else "")
+    made = "doc_id long" + "".join(f", {n} {'array<int>' if arrays else 'binary'}" for n in numbers) + (", decoded string" if decode else "")
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, made)
 
 
