@@ -1,8 +1,69 @@
-"""Placeholder until the stages exist."""
+"""A corpus pipeline of five stages: quality, repeated lines, near duplicates, mixture, token ids.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. Between stages the
+rows are written as Parquet in the shared folder and read again, so a lost executor costs one stage's tasks and no more.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixkin.llm import line_dedup, mixing, quality, sentencepiece, simhash
+from pixkin.llm.catalog import piece_model
+from pixkin.llm.common import table
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the quality classifier rejects."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that a smaller doc_id has; n_chars follows the text where it changed."""
+    clean = line_dedup.dedup_lines(docs)
+    chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", chars).select(*docs.columns)
+
+
+def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of near duplicates."""
+    return simhash.keep_first(docs).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them."""
+    return mixing.repeat_rows(mixing.mix_sources(docs)).select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every row."""
+    encoded = sentencepiece.encode_documents(docs, piece_model(), spans=False, decode=False, arrays=True)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality classifier", good_documents),
+    ("line dedup", new_lines),
+    ("SimHash near-dedup", one_of_a_kind),
+    ("mixing sources", mixture),
+    ("SentencePiece encoding", token_ids),
+]
+
+#: The quality model and the fingerprints can't be had in SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            path = f"{shared}/pipeline-{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
