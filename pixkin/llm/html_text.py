@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixkin.llm.common import attach, cut_lineage
+from pixkin.llm.common import attach, cut_lineage, small_batches
 
 #: A subtree that goes with at least so many different articles of a host belongs to the host's template.
 LEAST_ARTICLES = 5
@@ -224,6 +224,7 @@ def extract(pages: DataFrame, *, html: str = "html", url: str = "url", least: in
     A null html is an empty page; rows without a host (null or odd urls) form one of their own. Copies of an article count once, so
     that they are no template. A column ``text`` of ``pages`` is replaced. An empty table gives no rows.
     """
+    pages = small_batches(pages)
     pages = pages.drop("text") if html != "text" else pages
     source = F.coalesce(F.col(html).cast("string"), F.lit("")).alias("_html")
     rows = pages.select(F.xxhash64(host(F.col(url))).alias("site"), source).withColumn("key", F.xxhash64("_html"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixkin.llm import jpeg
+from pixkin.llm.common import small_batches
 
 UNIT = 64
 #: Bytes of rows that a task hands on at once.
@@ -42,7 +43,7 @@ def store_texts(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id")
         rows = ((key, len((t.as_py() or "").encode("utf-8", "surrogatepass")), jpeg.encode_payload(padded(t.as_py()))) for b in batches for key, t in zip(b.column(0).to_pylist(), b.column(1)))
         yield from batches_of(rows, schema, lambda r: len(r[2]))
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def read_pictures(media: DataFrame, *, column: str = "media") -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixkin.llm.common import cut_lineage
+from pixkin.llm.common import cut_lineage, small_batches
 
 BUCKETS = 1 << 14
 #: Labelled rows that the target model and the cut are fitted on at most: those with the smallest hashes of their ids.
@@ -170,7 +170,7 @@ def resample(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id:
     weigh nothing, 0. Rows of one id share their noise, null ids too. Without labels nothing is rejected; an empty table gives no rows.
     """
     sample = F.broadcast(label_sample(labels))  # LABELLED_ROWS at most
-    marked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(sample, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    marked = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(sample, F.col("doc_id") == F.col("_id"), "left").drop("_id")
     scored = cut_lineage(score(marked, model(marked, "text"), "text", ["doc_id", "good"]))
     known: dict[bool, list[float]] = {True: [], False: []}
     for good, weight in scored.where("good is not null").select("good", "log_weight").limit(2 * LABELLED_ROWS).collect():

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixkin.llm.common import small_batches
+
 SPACE = "▁"
 MARK = SPACE.encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model format
 #: Segmented words that a worker remembers; the memory starts anew beyond.
-MEMORY = 600_000
+MEMORY = 200_000
 
 
 def fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -489,7 +491,7 @@ def encode_documents(docs: DataFrame, model_file: str, *, text: str = "text", do
         model = model_of(data)
         for b in batches:
             keys, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
-            for part in slices([len(t) for t in texts], 1_500_000):
+            for part in slices([len(t) for t in texts], 1_000_000):
                 found = list(model.encode_all(texts[part]))
                 columns = [keys[part], *(packed([f[i] for f in found]) for i in range(len(numbers)))]
                 if decode:
@@ -497,7 +499,7 @@ def encode_documents(docs: DataFrame, model_file: str, *, text: str = "text", do
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     made = "doc_id long" + "".join(f", {n} {'array<int>' if arrays else 'binary'}" for n in numbers) + (", decoded string" if decode else "")
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, made)
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, made)
 
 
 def piece_report(docs: DataFrame, model_file: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixkin.llm.common import attach, cut_lineage
+from pixkin.llm.common import attach, cut_lineage, small_batches
 
 SEED = 42
 #: Fingerprints that the tree's upper levels are grown on; all fingerprints are then dealt by it.
@@ -77,7 +77,7 @@ def fingerprint(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
             fp = fingerprints_of(b.column(1).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 class Tree:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixkin.llm.common import small_batches
 from pixkin.llm.quality import _WORDCHAR, BASE, mixed
 
 #: Labelled rows that the network is fitted on at most: those with the smallest hashes of their ids.
@@ -227,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold(F.col("doc_id")) != 0)
     picked = known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(rows).select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic"), (fold(F.col("doc_id")) == 1).alias("calibrate"))
-    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), "_id").select("_id", "toxic", "calibrate", "text")
+    sample = small_batches(docs).select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), "_id").select("_id", "toxic", "calibrate", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -257,7 +258,7 @@ def score_documents(docs: DataFrame, net: Net, *, text: str = "text", doc_id: st
                 out.append(shared.value.score(part))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], ["doc_id", "score"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
