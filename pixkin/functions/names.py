@@ -15,23 +15,22 @@ ARCHIVES = r"(?i)\.(?:zip|zipx|jar|apk|epub)\z"
 CONTROL = r"[\x{00}-\x{1f}\x{7f}-\x{9f}]"
 
 
-@F.pandas_udf("string")
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFC")
+def normal_form(c: Column, form: str) -> Column:
+    """Spark has no normal forms: an Arrow function, made when it is used, since making one needs a session."""
 
+    def run(s: pd.Series) -> pd.Series:
+        return s.str.normalize(form)
 
-@F.pandas_udf("string")
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFKC")
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "string")(c)
 
 
 def nfc(c: Column) -> Column:
-    """Spark has no normal forms; ASCII, the common case, stays out of Python's results but not of its rows."""
-    return _nfc(c)
+    return normal_form(c, "NFC")
 
 
 def nfkc(c: Column) -> Column:
-    return _nfkc(c)
+    return normal_form(c, "NFKC")
 
 
 def segments(path: Column) -> Column:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixkin.operators.graph import components
+from pixkin.operators.graph import components, cut
 
 CATEGORY_RANK = {"almost-certain-duplicate": 4, "probable-duplicate": 3, "needs-review": 2, "probably-different": 1}
 
@@ -73,12 +73,14 @@ def duplicate_groups(edges: DataFrame, images: DataFrame) -> DataFrame:
     ``edges``: id, source_id, target_id, strong, score, category; ``images``: id, width, height, size.
     """
     relevant = best_edges(edges, images).where("category != 'probably-different'").select("id", "source_id", "target_id", "strong", "score", "category")
-    cores = complete_link(relevant.where("strong"))
+    relevant = cut(relevant)
+    cores = cut(complete_link(relevant.where("strong")))
     inside = (
         relevant.join(cores.select(F.col("image").alias("source_id"), F.col("core").alias("draft")), "source_id")
         .join(cores.select(F.col("image").alias("target_id"), F.col("core").alias("draft")), ["target_id", "draft"])
         .select("draft", "id", "source_id", "target_id", "score", "strong", "category")
     )
+    inside = cut(inside)
     review = relevant.join(inside.select("id"), "id", "left_anti").withColumn("draft", F.concat(F.lit("edge\0"), F.col("id")))
     of_core = with_reference(cores.select(F.col("core").alias("draft"), "image"), inside, images)
     of_pair = with_reference(review.select("draft", F.explode(F.array("source_id", "target_id")).alias("image")), review, images)

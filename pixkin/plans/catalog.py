@@ -1,17 +1,312 @@
-"""Registry of the image engine's queries and their SQL twins."""
+"""Registry of the image engine's queries and their SQL twins.
+
+The driver's tables hold no pictures, so operators run on stand-ins, over whole tables: a vector of 64 numbers is an 8 x 8 picture, events
+are captures, pages are archive entries, order lines are edges. Each query says which.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pixkin.config import MODES, TURNS
+from pixkin.functions import bits, context, names, similarity, tables
+from pixkin.operators import clusters, comparisons, pairs, results, validate
+from pixkin.operators.graph import cut
+from pixkin.plans.oracles import SQL
 
 FLAGSHIP = "topk_per_item"
+SETTINGS = MODES["sensitive"]
+#: Places of an 8 x 8 picture's pixels after clockwise turns.
+TURNED = {0: list(range(64)), 90: [(7 - i % 8) * 8 + i // 8 for i in range(64)], 180: [63 - i for i in range(64)], 270: [i % 8 * 8 + 7 - i // 8 for i in range(64)]}
+NEXT_IN_ROW = [i // 8 * 8 + (i + 1) % 8 for i in range(64)]
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def at(values, places: list[int]):
+    return F.transform(F.array(*[F.lit(i) for i in places]), lambda i: F.get(values, i))
+
+
+def vector_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as records: hashes of four turns, aspect and size from the id, brightness from the mean, grey values and a histogram."""
+    v = F.col("v")
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    rows = rows.withColumns({"mean": F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / 64, "middle": F.get(F.array_sort(v), F.lit(31))})
+    # One row per turn would repeat the vector; expressions over index arrays stay in the row.
+    hashes = {}
+    for t in TURNS:
+        g = at(v, TURNED[t])
+        hashes[f"a{t}"] = bits.pack(F.transform(g, lambda x: x >= F.col("mean")))
+        hashes[f"d{t}"] = bits.pack(F.zip_with(g, at(g, NEXT_IN_ROW), lambda x, y: x > y))
+        hashes[f"p{t}"] = bits.pack(F.transform(g, lambda x: x > F.col("middle")))
+    rows = rows.withColumns(hashes)
+    return rows.withColumns({
+        "id": F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 9, "0")),
+        "ord": F.col("vec_id"),
+        "aspect": F.col("vec_id") % 5 * F.lit(0.1) + 1.0,
+        "luminance": (F.col("mean") + 1) / 2,
+        "width": (F.col("vec_id") % 7 * 100 + 1000).cast("int"),
+        "height": F.lit(800),
+        "size": F.col("vec_id") % 11 * 1000,
+        "gray": F.transform(v, lambda x: F.floor(similarity.clamp((x + 1) * 127.5, 0.0, 255.0)).cast("double")),
+        "histogram": F.transform(v, lambda x: F.abs(x)),
+    })
+
+
+def ahash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average, difference and rank hashes as 16 hex digits."""
+    p = vector_pictures(spark, sf_dir)
+    return p.select("vec_id", *(bits.to_hex(F.col(f"{h}{t}")).alias(f"{h}_hash_{t}") for h in "adp" for t in (0, 90)))
+
+
+def found_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.candidate_pairs(vector_pictures(spark, sf_dir), SETTINGS)
+
+
+def shown(p: DataFrame) -> DataFrame:
+    six = lambda c: F.round(F.col(c), 6).alias(c)
+    return p.select(F.col("source.ord").alias("source"), F.col("target.ord").alias("target"), "turn", "a", "d", "p", six("aspect"), six("rank"))
+
+
+def candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of vectors under the gate, with their best turn."""
+    return shown(found_pairs(spark, sf_dir))
+
+
+def topk_per_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs among the best of either end."""
+    return shown(pairs.best_partners(found_pairs(spark, sf_dir), SETTINGS.top_k))
+
+
+def hamming_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hamming distances of each vector's hashes to those of the next id."""
+    after = Window.orderBy("vec_id")
+    p = vector_pictures(spark, sf_dir)
+    lead = lambda c: F.lead(c).over(after)
+    cols = [bits.hamming(F.col(f"{h}0"), lead(f"{h}0")).alias(f"{h}_distance") for h in "adp"]
+    return p.select("vec_id", "a0", "d0", "p0").select("vec_id", *cols).where("a_distance is not null")
+
+
+def scored(spark: SparkSession, sf_dir: str, mode: str = "sensitive") -> DataFrame:
+    """Best pairs with all metrics and their assessment; vectors stand in for pictures of 64 pixels."""
+    s = MODES[mode]
+    pictures = vector_pictures(spark, sf_dir).select("id", "ord", "gray", "histogram", "width", "height", "size", "aspect", "luminance", *(f"{h}{t}" for t in TURNS for h in "adp"))
+    best = pairs.best_partners(pairs.candidate_pairs(pictures, SETTINGS), SETTINGS.top_k)
+    side = lambda n: pictures.select(F.col("ord").alias(f"{n}_ord"), F.col("gray").alias(f"{n}_gray"), F.col("histogram").alias(f"{n}_histogram"), (F.col("width") * F.col("height")).cast("double").alias(f"{n}_pixels"))
+    rows = best.withColumns({"x_ord": F.col("source.ord"), "y_ord": F.col("target.ord")}).join(side("x"), "x_ord").join(side("y"), "y_ord")
+    turned = None
+    for t in TURNS[1:]:
+        turned = (F.when(F.col("turn") == t, at(F.col("y_gray"), TURNED[t])) if turned is None else turned.when(F.col("turn") == t, at(F.col("y_gray"), TURNED[t])))
+    rows = rows.withColumn("y_gray", turned.otherwise(F.col("y_gray")))
+    rows = rows.withColumns({
+        "ssim": similarity.ssim(F.col("x_gray"), F.col("y_gray"), 64),
+        "histogram": similarity.bhattacharyya(F.col("x_histogram"), F.col("y_histogram")),
+        "resolution": F.least("x_pixels", "y_pixels") / F.greatest(F.lit(1.0), "x_pixels", "y_pixels"),
+    })
+    m = {n: F.col(n) for n in ("p", "d", "a", "ssim", "histogram", "aspect", "resolution")}
+    u = similarity.supports(m, s)
+    rows = rows.withColumn("score", similarity.score(m, s)).withColumn("category", similarity.category(F.col("score"), u, s))
+    rows = rows.withColumns({"confidence": similarity.confidence(F.col("category"), u, m), "strong": similarity.is_strong(F.col("category"), F.col("score")), "reasons": similarity.reasons(m, u, s)})
+    return rows.withColumns({"source_id": F.col("source.id"), "target_id": F.col("target.id"), "id": F.concat("source.id", F.lit("::"), "target.id")})
+
+
+def assess_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = scored(spark, sf_dir)
+    return r.select(F.col("x_ord").alias("source"), F.col("y_ord").alias("target"), F.round("ssim", 6).alias("ssim"), F.round("histogram", 6).alias("histogram"), F.round("resolution", 6).alias("resolution"), "score", "category", "confidence", "strong")
+
+
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir).groupBy("category", "confidence").agg(F.count("*").alias("pairs"), F.max("score").alias("best"), F.min("score").alias("worst"))
+
+
+def vector_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges among vectors (strong from 45 points, so that stand-ins have cores) and the pictures."""
+    e = scored(spark, sf_dir).select("id", "source_id", "target_id", (F.col("score") >= 45).alias("strong"), "score", F.when(F.col("score") >= 45, "probable-duplicate").otherwise("needs-review").alias("category"), "turn")
+    return cut(e), vector_pictures(spark, sf_dir).select("id", "width", "height", "size")
+
+
+def complete_link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate groups of vectors; order-dependent merging has no SQL twin."""
+    e, p = vector_edges(spark, sf_dir)
+    g = clusters.duplicate_groups(e, p)
+    return g.select("id", "reference_id", F.array_join("member_ids", ",").alias("members"), F.array_join("uncertain_ids", ",").alias("uncertain"), F.array_join("edge_ids", ",").alias("edges"), "status")
+
+
+def resolved_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a review of those groups shows."""
+    e, p = vector_edges(spark, sf_dir)
+    e = e.withColumn("metadata", F.struct(F.when(F.col("score") % 7 == 0, "conflicts").otherwise("neutral").alias("status")))
+    r = comparisons.resolve(clusters.duplicate_groups(e, p), e)
+    return r.select("group_id", "candidate_id", "kind", "base_id", "direct", "tier", "turn", F.col("edge.score").alias("score"))
+
+
+def histogram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of the event-type histograms of each user and the next one."""
+    e = read(spark, sf_dir, "events")
+    per = e.groupBy("user_id").agg(F.array(*[F.count_if(F.substring(F.md5("event_type"), 1, 1).isin(*k)).cast("double") for k in ("0123", "456", "789", "abc", "def")]).alias("h"))
+    w = Window.orderBy("user_id")
+    rows = per.select("user_id", "h", F.lead("user_id").over(w).alias("next_id"), F.lead("h").over(w).alias("n")).where("next_id is not null")
+    return rows.select("user_id", "next_id", F.round(similarity.bhattacharyya(F.col("h"), F.col("n")), 6).alias("overlap"))
+
+
+def ssim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structural similarity of each vector and the next one, as 64 grey values."""
+    w = Window.orderBy("vec_id")
+    p = vector_pictures(spark, sf_dir).select("vec_id", "gray")
+    rows = p.select("vec_id", "gray", F.lead("gray").over(w).alias("n")).where("n is not null")
+    return rows.select("vec_id", F.round(similarity.ssim(F.col("gray"), F.col("n"), 64), 6).alias("ssim"))
+
+
+def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of suppliers of one nation to its first; places come from the keys."""
+    place = lambda k: ((F.col(k) * 37 % 180 - 90).cast("double"), (F.col(k) * 73 % 360 - 180).cast("double"))
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    first = s.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("first"))
+    d = context.haversine(*place("s_suppkey"), *place("first"))
+    return s.join(first, "s_nationkey").select("s_suppkey", "first", F.round(d, 3).alias("metres"))
+
+
+def metadata_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context of each event and the same user's next: time, place from the value, camera from the type."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    n = e.select("*", *(F.lead(c).over(w).alias(f"n_{c}") for c in ("event_id", "ts", "event_type", "value"))).where("n_event_id is not null")
+    of = lambda p: {
+        "latitude": F.when(F.col(f"{p}event_id") % 3 != 0, F.col(f"{p}event_id") % 2 * 0.0001), "longitude": F.when(F.col(f"{p}event_id") % 3 != 0, F.col(f"{p}event_id") % 5 * 0.02), "at": F.col(f"{p}ts"),
+        "zoned": F.col(f"{p}event_id") % 2 == 0, "make": F.lit("Make"), "model": F.col(f"{p}event_type"),
+    }
+    c = context.context(of(""), of("n_"))
+    return n.select("event_id", "n_event_id", F.explode(F.array(c)).alias("c")).select("event_id", "n_event_id", "c.status", "c.score", F.round("c.distance", 3).alias("distance"), "c.seconds", "c.same_camera")
+
+
+def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as archive entries: the host is the archive, the address the name, an ending and sizes come from the id."""
+    i = F.col("page_id")
+    endings = F.array(*[F.lit(x) for x in (".jpg", ".PNG", ".txt", ".webp", "", ".tif", "/.hidden.gif", "/thumbs.db", ".bmp", "/../x.png", ".zip")])
+    name = F.concat(F.regexp_replace("url", r"^[a-z]+://[^/]*/", ""), F.lit("-"), i.cast("string"), F.get(endings, F.when(i % 23 == 0, F.when(i % 46 == 0, 9).otherwise(10)).otherwise((i % 9).cast("int"))))
+    host = F.regexp_extract("url", "^[a-z]+://([^/]*)", 1)
+    size = F.when(i % 19 == 0, 0).otherwise(F.length("html")).cast("long")
+    p = read(spark, sf_dir, "pages").select("page_id", host.alias("archive"), name.alias("filename"), (i % 31 == 0).alias("directory"), size.alias("uncompressed_size"), F.floor(size / (i % 120 + 1)).cast("long").alias("compressed_size"), (i % 97 == 5).alias("encrypted"))
+    return p.withColumn("index", F.row_number().over(Window.partitionBy("archive").orderBy("page_id")) - 1)
+
+
+def entry_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.check_entries(page_entries(spark, sf_dir), unicode=False).select("page_id", "normal_path", "code", "skip", "format")
+
+
+def archive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = validate.inspect(validate.check_entries(page_entries(spark, sf_dir), unicode=False))
+    return s.select("archive", "code", F.coalesce("at_index", F.lit(-1)).cast("int").alias("at_index"), "total_entries", "supported_images", "skipped_entries", "total_bytes", F.array_join("formats", ",").alias("formats"))
+
+
+# Heads of files by kind, in hex.
+HEADS = ["FFD8FFE0", "89504E470D0A1A0A00", "52494646000000005745425056", "474946383761", "474946383961", "424D0000", "49492A00", "4D4D002A", "000000186674797061766966", "00000018667479706D696631", "504B0304", "504B0506", "0000", "FFD8"]
+
+
+def magic_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats and archive signatures of heads chosen by the part's size."""
+    head = F.unhex(F.get(F.array(*[F.lit(h) for h in HEADS]), F.col("p_size") % len(HEADS)))
+    p = read(spark, sf_dir, "part").select("p_partkey", head.alias("head"))
+    return p.select("p_partkey", names.format_of_bytes(F.col("head")).alias("format"), names.is_zip(F.col("head")).alias("is_zip"))
+
+
+def csv_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as cells, and formula-like starts made from ids."""
+    text = F.concat(F.get(F.array(*[F.lit(x) for x in ("", "=", " +", "\t", "-", "@")]), (F.col("doc_id") % 6).cast("int")), F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(tables.cell(text, True)).alias("cell_md5"), F.length(tables.cell(text, True)).cast("long").alias("cell_length"))
+
+
+def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as edges between parts and (as parts) suppliers."""
+    kind = F.when(F.col("l_returnflag") == "R", "almost-certain-duplicate").when(F.col("l_returnflag") == "A", "probable-duplicate").when(F.col("l_linestatus") == "O", "needs-review").otherwise("probably-different")
+    return read(spark, sf_dir, "lineitem").select(
+        F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("id"), F.col("l_partkey").cast("string").alias("source_id"), F.col("l_suppkey").cast("string").alias("target_id"),
+        (F.col("l_discount") >= 0.05).alias("strong"), F.col("l_quantity").cast("int").alias("score"), kind.alias("category"),
+    )
+
+
+def best_edge_per_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"))
+    return clusters.best_edges(line_edges(spark, sf_dir), known).select("id", "source_id", "target_id", "strong", "score", "category")
+
+
+def review_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best edges that matter and aren't held by a strong pair."""
+    best = best_edge_per_pair(spark, sf_dir).where("category != 'probably-different'")
+    held = best.where("strong").select("id")
+    return best.join(held, "id", "left_anti").select("id", "source_id", "target_id", "score")
+
+
+def reference_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of edge scores at both ends, and the best-placed image of each supplier's edges."""
+    best = best_edge_per_pair(spark, sf_dir).withColumn("draft", F.col("target_id"))
+    members = best.select("draft", F.explode(F.array("source_id", "target_id")).alias("image")).distinct()
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_size").alias("width"), F.lit(10).alias("height"), F.floor("p_retailprice").cast("long").alias("size"))
+    return clusters.with_reference(members, best, parts).groupBy("draft", "reference").agg(F.count("*").alias("members"))
+
+
+def decision_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as decisions: those of a source and language are the relations of its documents."""
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    own = F.when(F.col("n_chars") % 5 == 0, "different").when(F.col("n_chars") % 7 == 0, "later").when(F.col("n_chars") % 11 == 0, "duplicate").otherwise("unreviewed")
+    of = F.when(F.col("toxic") == 1, "later").when(F.col("quality") == 0, "different").when(F.col("quality") == 1, "unreviewed")
+    d = d.select("doc_id", "source", "lang", F.floor(F.col("n_chars") / 100).alias("page"), own.alias("own"), of.alias("relation"))
+    rel = d.groupBy("source", "lang", "page").agg(F.collect_list("relation").alias("relations"), F.min("doc_id").alias("ref"))
+    j = d.join(rel, ["source", "lang", "page"])
+    decision = results.file_decision(F.col("own"), F.col("relations"))
+    j = j.withColumn("decision", decision)
+    return j.select("doc_id", "decision", results.file_class(F.col("decision"), F.col("doc_id") != F.col("ref"), F.col("doc_id") == F.col("ref")).alias("category"))
+
+
+def result_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search, facet, order and page over groups of documents: one of each source and language, the smallest id its reference."""
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    d = d.withColumns({"id": F.col("doc_id").cast("string"), "name": F.concat("source", F.lit("-"), "lang"), "path": F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")), "size": F.col("n_chars"), "group_id": F.concat("source", F.lit("-"), "lang")})
+    ref = d.groupBy("group_id").agg(F.min("doc_id").alias("ref"))
+    c = d.join(ref, "group_id").where("doc_id != ref")
+    category = F.when(F.col("quality") == 0, "needs-review").otherwise("probable-duplicate")
+    resolved = c.select(
+        "group_id", F.col("ref").cast("string").alias("reference_id"), F.col("id").alias("candidate_id"), F.col("doc_id").alias("place"), F.when(F.col("toxic") == 1, "manual-review").otherwise("strong").alias("tier"),
+        F.struct((F.col("n_chars") % 101).alias("score"), category.alias("category")).alias("edge"), F.when(F.col("n_chars") % 3 == 0, "duplicate").otherwise("unreviewed").alias("decision"),
+    )
+    groups = resolved.select(F.col("group_id").alias("id")).distinct()
+    found = results.search(groups, d.select("id", "name", "path", "size"), resolved, text=" SRC1 ", facet="needs-review", sort="similarity-desc", tier="strong")
+    return found.select("group_id", "tier", "reference_id", F.size("candidate_ids").cast("long").alias("candidates"), "best_score")
+
+
+def name_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names, base names, formats and sizes as text, of page addresses."""
+    u = F.col("url")
+    return read(spark, sf_dir, "pages").select("page_id", tables.file_name(u).alias("safe_name"), names.base_name(u).alias("base"), names.format_of_name(F.concat(u, F.lit(".JPeG"))).alias("format"), tables.report_stem(F.concat(u, F.lit(".ZIP"))).alias("stem"))
+
+
+def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Public codes and how often they come, for the findings of page entries."""
+    e = entry_validation(spark, sf_dir).where("code is not null")
+    public = validate.public_code(F.col("code"))
+    return e.groupBy("code").agg(F.count("*").alias("entries")).select("code", public.alias("public"), validate.is_recoverable(public).alias("recoverable"), "entries")
+
+
+def error_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FNV-1a ids of errors; the hash of UTF-16 units has no SQL twin here."""
+    e = entry_validation(spark, sf_dir).where("code is not null")
+    return e.select("page_id", validate.error_id(F.col("code"), F.col("normal_path"), F.lit("message")).alias("error_id"))
+
+
+ALL = (
+    ahash_embeddings, hamming_neighbours, candidate_gate, topk_per_item, assess_pairs, category_counts, complete_link_groups, resolved_comparisons, histogram_similarity, ssim_pairs, haversine_pairs,
+    metadata_context, entry_validation, archive_summary, magic_sniff, csv_escape, best_edge_per_pair, review_pairs, reference_scores, decision_rollup, result_query, name_tools, error_codes, error_ids,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
