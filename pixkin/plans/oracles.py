@@ -109,7 +109,7 @@ def _place(p: str) -> tuple[str, str]:
 
 
 CONTEXT = f"""WITH n AS (SELECT *, lead(event_id) OVER w AS n_event_id, lead(ts) OVER w AS n_ts, lead(event_type) OVER w AS n_event_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-p AS (SELECT event_id, n_event_id, {haversine(*_place(""), *_place("n_"))} AS metres, abs(epoch_ms(ts) - epoch_ms(n_ts)) / 1000.0::DOUBLE AS seconds, event_type = n_event_type AS same, event_id % 2 = 0 AND n_event_id % 2 = 0 AS zoned FROM n WHERE n_event_id IS NOT NULL),
+p AS (SELECT event_id, n_event_id, {haversine(*_place(""), *_place("n_"))} AS metres, abs(epoch_us(ts) // 1000 - epoch_us(n_ts) // 1000) / 1000.0::DOUBLE AS seconds, event_type = n_event_type AS same, event_id % 2 = 0 AND n_event_id % 2 = 0 AS zoned FROM n WHERE n_event_id IS NOT NULL),
 q AS (SELECT *, coalesce(exp(metres * (-ln(2.0::DOUBLE) / 50)) * 0.45::DOUBLE, 0) + coalesce(exp(seconds * (-ln(2.0::DOUBLE) / 120)) * 0.35::DOUBLE, 0) + coalesce(same::INT * 0.2::DOUBLE, 0) AS value,
   (CASE WHEN metres IS NULL THEN 0 ELSE 0.45::DOUBLE END) + 0.35::DOUBLE + 0.2::DOUBLE AS weight FROM p)
 SELECT event_id, n_event_id, CASE WHEN coalesce(metres >= 5000, false) OR (seconds > 86400 AND zoned) THEN 'conflicts' WHEN coalesce(metres <= 25, false)::INT + (seconds <= 2)::INT >= 2 THEN 'corroborates' ELSE 'neutral' END AS status,
@@ -120,7 +120,7 @@ _heads = "['FFD8FFE0', '89504E470D0A1A0A00', '52494646000000005745425056', '4749
 SQL = {
     "ahash_embeddings": f"WITH {PICTURES} SELECT vec_id, "
     + ", ".join(
-        f"lower(lpad(to_hex(list_reduce(list_transform(range(1, 65), lambda i: CASE WHEN ({h}{t}::VARCHAR)[i] = '1' THEN (1::UHUGEINT << (64 - i)::INT) ELSE 0::UHUGEINT END), lambda s, x: s + x)), 16, '0')) AS {h}_hash_{t}" for h in "adp" for t in (0, 90)
+        f"lower(lpad(to_hex(list_reduce(list_transform(range(1, 65), lambda i: CASE WHEN ({h}{t}::VARCHAR)[i] = '1' THEN (1::UBIGINT << (64 - i)::UBIGINT) ELSE 0::UBIGINT END), lambda s, x: s + x)), 16, '0')) AS {h}_hash_{t}" for h in "adp" for t in (0, 90)
     )
     + " FROM pic",
     "hamming_neighbours": f"WITH {PICTURES}, w AS (SELECT vec_id, a0, d0, p0, lead(a0) OVER (ORDER BY vec_id) AS a, lead(d0) OVER (ORDER BY vec_id) AS d, lead(p0) OVER (ORDER BY vec_id) AS p FROM pic) "

@@ -151,6 +151,7 @@ def image_features(images: DataFrame) -> DataFrame:
     """``images`` (format, content, orientation if known) less content, plus FEATURES. A picture that can't be decoded keeps its row, with decode_error."""
     carry = [c for c in images.columns if c != "content"]
     kinds = dict(images.dtypes)
+    names = ["width", "height", "aspect", "variants", "histogram", "luminance", "gray", "decode_error"]
     oriented = "orientation" in images.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,10 +162,9 @@ def image_features(images: DataFrame) -> DataFrame:
                 try:
                     rows.append(features_of(name, data, None if turn is None or pd.isna(turn) else int(turn)))
                 except (ValueError, KeyError, IndexError, TypeError, zlib.error, struct.error) as e:
-                    rows.append({"decode_error": str(e) or type(e).__name__})
-            names = ["width", "height", "aspect", "variants", "histogram", "luminance", "gray", "decode_error"]
-            made = pd.DataFrame(rows, columns=names, index=pdf.index)
-            made[["width", "height"]] = made[["width", "height"]].astype("Int32")
+                    rows.append(dict.fromkeys(names) | {"decode_error": str(e) or type(e).__name__})
+            made = pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in names}).set_index(pdf.index)
+            made = made.astype({"width": "Int32", "height": "Int32", "aspect": "Float64", "luminance": "Float64"})
             yield pd.concat([pdf[carry], made], axis=1)
 
     return images.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", " + FEATURES)
