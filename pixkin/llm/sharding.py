@@ -61,10 +61,11 @@ def split_groups(groups: DataFrame, k: int) -> DataFrame:
     n, total = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     limit = total * LARGE / k
     large, items, level, links = groups.where(F.col("bytes") > limit), groups.where(F.col("bytes") <= limit), 0, []
-    if n <= FAN:
+    fan = max(FAN, 4 * k)  # each level must leave fewer items than it had
+    if n <= fan:
         large, items = groups, groups.where("false")
-    while n > FAN:
-        buckets = -(-n // FAN)
+    while n > fan:
+        buckets = -(-n // fan)
         parts = cut_lineage(bundle(items.withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(buckets))), k))
         owner = F.unhex(F.md5(F.concat(F.lit(f"{level}:"), F.col("bucket").cast("string"), F.lit(":"), F.col("part").cast("string"))))
         parts = parts.withColumn("owner", owner)
