@@ -1,0 +1,397 @@
+"""SentencePiece, JPEG, HTML and nearest neighbours against libraries, slow twins and brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import struct
+import zlib
+
+import numpy as np
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+from pixkin.llm import ann, catalog, html_text, jpeg, media
+from pixkin.llm import sentencepiece as sp
+
+TEXTS = ["", " ", "  a  b ", "Hello world", "▁x ▁ y", "日本語 😀😀 \x00\x07", "<s> </s> <0x41>", "a" * 500, "x " * 50 + "\n\n\t", "réeuxment Äh ﬁ ½ é", "don't 12345   end", "word" * 30 + " tail"]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=catalog.piece_model())
+
+
+@pytest.fixture(scope="module")
+def model():
+    with open(catalog.piece_model(), "rb") as f:
+        return sp.Model(f.read())
+
+
+def test_ids_spans_and_text_equal_the_library(model, library):
+    for text, (ids, begin, end) in zip(TEXTS, model.encode_all(TEXTS)):
+        want = library.encode(text)
+        assert ids.tolist() == [1, *want, 2]
+        spans = [(p.begin, p.end) for p in library.encode(text, return_type="proto").pieces]
+        assert list(zip(begin.tolist()[1:-1], end.tolist()[1:-1])) == spans
+        assert model.decode(ids) == library.decode(ids.tolist())
+        assert [a.tolist() for a in model.encode(text)] == [a.tolist() for a in (ids, begin, end)]
+
+
+def test_words_together_as_one_by_one(model):
+    words = ["▁" + w for t in TEXTS for w in t.split() if model.all_known.fullmatch("▁" + w) and len(w) < 30]
+    assert [model.segment(w) for w in words] == model.segment_all(words)
+    assert [model.merge_long(list(w)) for w in words] == [model.merge(w) for w in words]
+
+
+def test_odd_ids_decode_like_the_library(model, library):
+    byte = {b: i for b, i in model.bytes_.items()}
+    for ids in ([byte[0xE6], byte[0x97], 400, byte[0xFF]], [1, 400, 2, 500], [0, 400], [byte[65]], []):
+        assert model.decode(np.array(ids, np.uint32)) == library.decode(ids)
+
+
+def trie(keys: dict[bytes, int]) -> list[int]:
+    """A double array by brute force: units as the format has them."""
+    units = [0] * 4096
+    taken = {0}
+
+    def place(node: int, prefix: bytes) -> None:
+        below = sorted({k[len(prefix)] for k in keys if len(k) > len(prefix) and k.startswith(prefix)})
+        leaf = prefix in keys
+        base = next(b for b in range(1, 4000) if not any((node ^ b ^ c) in taken for c in below) and (not leaf or (node ^ b) not in taken))
+        units[node] |= base << 10 | (256 if leaf else 0)
+        if leaf:
+            taken.add(node ^ base)
+            units[node ^ base] = keys[prefix] | 1 << 31
+        for c in below:
+            taken.add(node ^ base ^ c)
+            units[node ^ base ^ c] |= c
+        for c in below:
+            place(node ^ base ^ c, prefix + bytes([c]))
+
+    place(0, b"")
+    return units
+
+
+def test_character_map_takes_the_longest_prefix():
+    table = {"ﬁ": "fi", "é": "é", " ": " ", "½": " 1/2", "ab": "X", "abc": "YY"}
+    texts, keys = b"", {}
+    for k, v in table.items():
+        keys[k.encode()] = len(texts)
+        texts += v.encode() + b"\0"
+    units = trie(keys)
+    m = sp.Model.__new__(sp.Model)
+    m.charsmap = sp.CharMap(struct.pack("<I", 4 * len(units)) + struct.pack(f"<{len(units)}I", *units) + texts)
+    m.dummy_prefix, m.squeeze, m.escape = True, True, True
+    out, align = m.normalize("  ﬁabcd   abx½ ".encode())
+    assert out.decode() == "▁fiYYd▁Xx▁1/2"
+    assert len(align) == len(out) + 1 and align[3] == align[4] == 2 and align[-1] == len("  ﬁabcd   abx½".encode())
+    where = out.index(b"X")
+    assert align[where] == "  ﬁabcd   ".encode().__len__() and align[where + 1] == align[where] + 2
+    m.squeeze = False
+    assert m.normalize(b"  a ")[0].decode() == "▁▁▁a▁"
+
+
+def test_piece_query_keeps_all_rows(spark):
+    df = spark.createDataFrame([(1, None), (1, None), (None, "a b"), (2, "")], "doc_id long, text string").withColumn("ids", F.lit(1))
+    got = sp.encode_documents(df, catalog.piece_model(), arrays=True).collect()
+    assert sorted(len(r.ids) for r in got) == [2, 2, 2, 4] and {r.decoded for r in got} == {"", "a b"}
+    assert sp.encode_documents(df.where("false"), catalog.piece_model()).count() == 0
+
+
+# -- JPEG: a slow writer that uses what the fast one doesn't ---------------------------------------------------------------
+
+
+class Writer:
+    def __init__(self):
+        self.bits: list[int] = []
+
+    def put(self, value: int, n: int) -> None:
+        self.bits += [(value >> i) & 1 for i in range(n - 1, -1, -1)]
+
+    def symbol(self, s: int) -> None:
+        self.put(s, 8) if s < 255 else None
+
+    def number(self, v: int) -> None:
+        n = abs(v).bit_length()
+        self.put(v if v >= 0 else v + (1 << n) - 1, n)
+
+    def done(self) -> bytes:
+        return jpeg.stuffed(np.array(self.bits, np.uint8))
+
+
+def table_of(key: int) -> bytes:
+    """Codes of 8 bits that are their symbols (255 has none)."""
+    return bytes([key]) + bytes(255 if n == 8 else 0 for n in range(1, 17)) + bytes(range(255))
+
+
+def ac_first(w, blocks, first, last, low):
+    run = 0
+
+    def flush():
+        nonlocal run
+        if run:
+            n = run.bit_length() - 1
+            w.symbol(n << 4)
+            w.put(run - (1 << n), n)
+            run = 0
+
+    for b in blocks:
+        zeros = 0
+        values = [int(np.sign(v)) * (abs(int(v)) >> low) for v in b[first : last + 1]]
+        end = max((i for i, v in enumerate(values) if v), default=-1)
+        for v in values[: end + 1]:
+            if not v:
+                zeros += 1
+                continue
+            flush()
+            while zeros > 15:
+                w.symbol(0xF0)
+                zeros -= 16
+            w.symbol(zeros << 4 | abs(v).bit_length())
+            w.number(v)
+            zeros = 0
+        if end < len(values) - 1:
+            run += 1
+    flush()
+
+
+def ac_refine(w, blocks, first, last, low):
+    for b in blocks:
+        values = [int(v) for v in b[first : last + 1]]
+        mags = [abs(v) >> low for v in values]
+        end = max((i for i, m in enumerate(mags) if m == 1), default=-1)
+        zeros, waiting = 0, []
+        for i in range(end + 1):
+            if mags[i] == 0:
+                zeros += 1
+                continue
+            while zeros > 15:
+                w.symbol(0xF0)
+                for bit in waiting:
+                    w.put(bit, 1)
+                zeros, waiting = zeros - 16, []
+            if mags[i] > 1:
+                waiting.append(mags[i] & 1)
+                continue
+            w.symbol(zeros << 4 | 1)
+            w.put(1 if values[i] > 0 else 0, 1)
+            for bit in waiting:
+                w.put(bit, 1)
+            zeros, waiting = 0, []
+        if end < len(values) - 1:
+            w.symbol(0)
+            for bit in [*waiting, *(m & 1 for m in mags[end + 1 :] if m > 1)]:
+                w.put(bit, 1)
+
+
+def slow_file(components, width, height, shapes, restart=0, sequential=False):
+    """components: blocks in rows (whole units). Interleaved DC, several bands, two refinements."""
+    out = [b"\xff\xd8", jpeg.marker(0xDB, b"\0" + bytes([2] * 64)), jpeg.marker(0xC4, table_of(0) + table_of(16))]
+    n = len(components)
+    out.append(jpeg.marker(0xC0 if sequential else 0xC2, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([n]) + b"".join(bytes([k + 1, h << 4 | v, 0]) for k, (h, v) in enumerate(shapes))))
+    if restart:
+        out.append(jpeg.marker(0xDD, restart.to_bytes(2, "big")))
+    mh, mv = max(h for h, _ in shapes), max(v for _, v in shapes)
+    across, down = -(-width // (8 * mh)), -(-height // (8 * mv))
+    order = [(k, (uy * v + y) * across * h + ux * h + x) for uy in range(down) for ux in range(across) for k, (h, v) in enumerate(shapes) for y in range(v) for x in range(h)]
+    per = sum(h * v for h, v in shapes)
+    head = lambda a, b, hi, lo: jpeg.marker(0xDA, bytes([n]) + b"".join(bytes([k + 1, 0]) for k in range(n)) + bytes([a, b, hi << 4 | lo]))
+    step = (restart or across * down) * per
+    parts = []
+    for i in range(0, len(order), step):
+        w, before = Writer(), [0] * n
+        for k, place in order[i : i + step]:
+            b = components[k][place]
+            v = int(b[0]) >> (0 if sequential else 1)
+            w.symbol(abs(v - before[k]).bit_length())
+            w.number(v - before[k])
+            before[k] = v
+            if sequential:
+                zeros = 0
+                end = max((j for j in range(1, 64) if b[j]), default=0)
+                for j in range(1, end + 1):
+                    if not b[j]:
+                        zeros += 1
+                        continue
+                    while zeros > 15:
+                        w.symbol(0xF0)
+                        zeros -= 16
+                    w.symbol(zeros << 4 | abs(int(b[j])).bit_length())
+                    w.number(int(b[j]))
+                    zeros = 0
+                if end < 63:
+                    w.symbol(0)
+        parts.append(w.done())
+    out.append(head(0, 63 if sequential else 0, 0, 0 if sequential else 1) + b"".join(p + (bytes([0xFF, 0xD0 + j % 8]) if j < len(parts) - 1 else b"") for j, p in enumerate(parts)))
+    if not sequential:
+        w = Writer()
+        for k, place in order:
+            w.put(int(components[k][place][0]) & 1, 1)
+        if not restart:
+            out.append(head(0, 0, 1, 0) + w.done())
+        for k, (h, v) in enumerate(shapes):
+            bw, bh = -(-(-(-width * h // mh)) // 8), -(-(-(-height * v // mv)) // 8)
+            real = [components[k][y * across * h + x] for y in range(bh) for x in range(bw)]
+            one = lambda a, b, hi, lo, k=k: jpeg.marker(0xDA, bytes([1, k + 1, 0, a, b, hi << 4 | lo]))
+            for a, b in ((1, 5), (6, 63)):
+                w = Writer()
+                ac_first(w, real, a, b, 2)
+                out.append(one(a, b, 0, 2) + w.done())
+            for hi, lo in ((2, 1), (1, 0)):
+                w = Writer()
+                ac_refine(w, real, 1, 63, lo)
+                out.append(one(1, 63, hi, lo) + w.done())
+    return b"".join(out) + b"\xff\xd9"
+
+
+def random_blocks(rng, count, dense=0.8):
+    b = np.where(rng.random((count, 64)) < rng.random((count, 1)) * dense, rng.integers(-120, 121, (count, 64)) // rng.choice([1, 30], (count, 64)), 0)
+    b[:, 0] = rng.integers(-400, 400, count)
+    b[0, 1:] = 0
+    b[1 % count, 30:] = 0
+    return b
+
+
+@pytest.mark.parametrize(("width", "height", "shapes"), [(40, 24, [(1, 1)]), (40, 40, [(2, 2), (1, 1), (1, 1)]), (50, 20, [(2, 1), (1, 1), (1, 1)])])
+def test_progressive_scans_add_up(width, height, shapes):
+    rng = np.random.default_rng(width)
+    mh, mv = max(h for h, _ in shapes), max(v for _, v in shapes)
+    across, down = -(-width // (8 * mh)), -(-height // (8 * mv))
+    comps = [random_blocks(rng, across * h * down * v) for h, v in shapes]
+    got = jpeg.decode(slow_file(comps, width, height, shapes))
+    for (h, v), c, want in zip(shapes, got.components, comps):
+        places = [y * across * h + x for y in range(c.down) for x in range(c.across)]
+        assert (c.coefficients[places] == want[places]).all()
+    assert got.rgb().shape == (height, width, 3)
+
+
+def test_sequential_with_restarts():
+    rng = np.random.default_rng(2)
+    shapes = [(2, 2), (1, 1), (1, 1)]
+    comps = [random_blocks(rng, n, 0.3) for n in (24, 6, 6)]
+    got = jpeg.decode(slow_file(comps, 48, 32, shapes, restart=2, sequential=True))
+    assert all((c.coefficients == w).all() for c, w in zip(got.components, comps))
+
+
+def test_inverse_transform_and_colours():
+    x = np.arange(8)
+    basis = np.array([[np.sqrt((1 if k == 0 else 2) / 8) * np.cos((2 * n + 1) * k * np.pi / 16) for n in x] for k in x])
+    rng = np.random.default_rng(1)
+    f = rng.integers(-30, 30, 64)
+    grid = np.zeros(64)
+    grid[jpeg.ZIGZAG] = f
+    assert np.allclose(f @ jpeg.PICTURES, (basis.T @ grid.reshape(8, 8) @ basis).ravel(), atol=1e-3)
+    assert jpeg.ZIGZAG[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and jpeg.ZIGZAG[-1] == 63
+    red = [np.zeros((4, 64), int), np.zeros((1, 64), int), np.zeros((1, 64), int)]
+    red[0][:, 0], red[2][:, 0] = -208, 500  # luminance 76, Cr 253, by a quantiser of 2
+    rgb = jpeg.decode(slow_file(red, 16, 16, [(2, 2), (1, 1), (1, 1)], sequential=True)).rgb()
+    assert abs(int(rgb[0, 0, 0]) - 251) <= 2 and rgb[5, 5, 1] < 5 and (rgb == rgb[0, 0]).all()
+
+
+@pytest.mark.parametrize("n", [64, 128, 384, 448, 6400, 128 * 1024])
+def test_payload_round_trip(n):
+    payload = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes()
+    assert jpeg.payload_of(jpeg.decode(jpeg.encode_payload(payload))) == payload
+
+
+def test_media_query(spark):
+    table = [(1, None), (2, ""), (3, "a" * 64), (3, "a" * 64), (4, "ä" * 40), (None, "x" * 70_000)]
+    df = spark.createDataFrame(table, "doc_id long, text string").withColumn("media", F.lit("clash"))
+    got = media.media_report(df).collect()
+    for r in got:
+        text = dict(table)[r.doc_id] or ""
+        data = text.encode()
+        data += bytes(-len(data) % 64 or (0 if data else 64))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text.encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
+    assert len(got) == 6 and len({(r.media_sha256, r.feature) for r in got if r.doc_id == 3}) == 1
+    broken = media.read_pictures(spark.createDataFrame([(b"no picture",), (None,), (jpeg.encode_payload(b"x" * 64)[:200],)], "media binary")).collect()
+    assert len(broken) == 3 and broken[0].error and broken[1].error
+    assert media.media_report(df.where("false")).count() == 0
+
+
+# -- HTML ------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (None, ""), ("", ""), ("plain  text\n only", "plain text only"),
+        ("<nav>m</nav><article><h1>T&nbsp;i</h1><p>A<b>b</b> c<br>d<p>e &lt;x&gt; &amp</article><footer>f</footer>", "T i Ab c d e <x> &"),
+        ("<body><nav>open <ul><li>a<article><p>real</p></article>", "real"),
+        ("<main><article><p>text</p><aside>s</aside><div class='share-bar'>sh</div></article><section id=comments><article class='comment'><p>long long long comment</p></article></section></main>", "text"),
+        ("<div id=content><p>x</p></div><div class=menu>m</div>", "x"), ("<script>var a='<p>no</p>'</script><p>yes</p><style>p{}</style>", "yes"),
+        ("<article><p>cut off he", "cut off he"), ("<article><p>cut</p><p cla", "cut"), ("<article><p>a</p><!-- <p>no</p> --><form>f<input></form><p>b</p></article>", "a b"),
+        ("<div class='cookie-notice'>c</div><header>h</header><p>body</p>", "body"), ("<article><table><tr><td>1<td>2<tr><td>3</table></article>", "1 2 3"),
+    ],
+)
+def test_main_text(html, want):
+    assert html_text.main_text(html) == want
+
+
+def test_site_templates(spark):
+    box = "<div><a href=x>Join our club today</a> unknown box</div>"
+    page = lambda i: f"<html><body>{box}<div class=x><p>Article number {i} says {'word ' * (i % 5)}</p></div></body></html>"
+    table = [(i, f"http://big.example/{i}", page(i)) for i in range(12)] + [(50, "http://small.example/1", page(50)), (51, None, None), (51, None, None)]
+    table += [(60 + i, "http://copies.example/x", "<div>the same <b>box</b></div><div><p>the same page</p></div>") for i in range(20)]
+    df = spark.createDataFrame(table, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    for limit in (html_text.BROADCAST_SUBTREES, -1):
+        got = {r.page_id: r.text for r in html_text.extract(df, broadcast=limit).collect()}
+        assert all("club" not in got[i] and got[i].startswith(f"Article number {i}") for i in range(12))
+        assert "club" in got[50] and got[51] == "" and got[60] == "the same box the same page"
+    assert html_text.extract(df).count() == len(table) and html_text.extract(df.where("false")).count() == 0
+
+
+# -- nearest neighbours ----------------------------------------------------------------------------------------------------
+
+
+def vectors(n, dim=16, seed=1):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim)).astype(np.float32)
+    x[: n // 3] = x[0] + rng.normal(scale=1e-3, size=(n // 3, dim)).astype(np.float32)  # a crowd of near copies
+    x[n // 2 : n // 2 + 30] = x[n // 2]  # and of copies
+    return x
+
+
+def test_search_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL_ROWS", 400)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 20)
+    x = vectors(1500)
+    table = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    odd = [(2000, None, 0), (2020, [0.0] * 16, 0), (2040, [float("nan")] * 16, 0), (2060, [None] + [1.0] * 15, 0), (2080, [1.0], 0), (None, [1.0] * 16, 0), (40, x[40].tolist(), 0)]
+    df = spark.createDataFrame(table + odd, "vec_id long, embedding array<float>, label int").withColumn("cell", F.lit("clash"))
+    got = {}
+    for r in ann.search(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    d = x.astype(float)
+    assert sorted(got) == list(range(0, 1500, 20))
+    hits = total = 0
+    for q, found in got.items():
+        s = d @ d[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(1500), -np.round(s, 12)))[:20]
+        assert [f[0] for f in found] == list(range(1, 21)) and len({f[1] for f in found}) == 20
+        assert all(f[2] == pytest.approx(d[f[1]] @ d[q], abs=1e-12) for f in found)
+        assert [(-f[2], f[1]) for f in found] == sorted((-f[2], f[1]) for f in found)
+        hits += sum(s[f[1]] >= s[best[-1]] - 1e-9 for f in found)
+        total += 20
+    assert hits / total >= 0.9
+    few = ann.search(df.where("vec_id < 5")).collect()
+    assert [(r.query_id, r.rank) for r in few] == [(0, k) for k in range(1, 5)]
+    assert ann.search(df.where("false")).count() == 0
+
+
+def test_anisotropic_codes_lower_their_loss():
+    x = np.random.default_rng(3).normal(size=(800, 16))
+    ix = ann.fit(x, 1, near=0.4)
+    loss = lambda codes: (lambda r: ((r**2).sum(1) + (ix.weight - 1) * (r * x).sum(1) ** 2 / (x**2).sum(1)).mean())(x - ix.centres[np.arange(8), codes].reshape(800, 16))
+    plain = ((ix.parts(x)[:, :, None, :] - ix.centres[None]) ** 2).sum(-1).argmin(2)
+    assert loss(ix.encode(x)) < loss(plain)
+    codes = ix.encode(x)
+    packed, tables = ix.pack(codes), ix.tables(x[:3])
+    want = x[:3] @ ix.centres[np.arange(8), codes].reshape(800, 16).T
+    got = sum(tables[:, j, :][:, packed[:, j]] for j in range(4))
+    assert np.allclose(got, want, atol=1e-4)
+    assert re.fullmatch(r"\d+", str(ix.probes))
