@@ -1,6 +1,6 @@
 """Pictures: decoders by format, and features of decoded pictures.
 
-PNG and BMP are decoded here. Other formats need a decoder from the caller: ``register(format, function)``, on every executor.
+PNG, BMP, GIF and simple TIFF files are decoded here. Other formats need a decoder from the caller: ``register(format, function)``, on every executor.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pixkin.config import Limits
 from pixkin.functions import kernels
+from pixkin.sources.tiff import capture_metadata, decode_tiff
 
 DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {}
 VARIANT = "struct<turn:int,aspect:double,a:bigint,d:bigint,p:bigint>"
@@ -129,8 +130,77 @@ def decode_bmp(data: bytes) -> np.ndarray:
     return rgba
 
 
+def decode_gif(data: bytes) -> np.ndarray:
+    """The first frame on its canvas."""
+    if data[:6] not in (b"GIF87a", b"GIF89a"):
+        raise ValueError("not a GIF file")
+    width, height, flags = struct.unpack("<HHB", data[6:11])
+    at, clear = 13, None
+    table = np.frombuffer(data, np.uint8, 3 << (flags & 7) + 1, at).reshape(-1, 3) if flags & 128 else None
+    at += 3 << (flags & 7) + 1 if flags & 128 else 0
+    canvas = np.zeros((height, width, 4), np.uint8)
+
+    def chunks(at: int) -> tuple[bytes, int]:
+        out = b""
+        while n := data[at]:
+            out, at = out + data[at + 1 : at + 1 + n], at + 1 + n
+        return out, at + 1
+
+    while data[at] != 0x2C:
+        if data[at] != 0x21:
+            raise ValueError("no frame")
+        kind = data[at + 1]
+        body, at = chunks(at + 2)
+        if kind == 0xF9 and body[0] & 1:
+            clear = body[3]
+    x, y, w, h, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+    at += 10
+    if flags & 128:
+        table = np.frombuffer(data, np.uint8, 3 << (flags & 7) + 1, at).reshape(-1, 3)
+        at += 3 << (flags & 7) + 1
+    pixels = np.frombuffer(unpacked_codes(chunks(at + 1)[0], data[at], w * h), np.uint8).reshape(h, w)
+    if flags & 64:  # rows in four passes
+        order = np.concatenate([np.arange(a, h, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
+        pixels = pixels[np.argsort(order)]
+    part = canvas[y : y + h, x : x + w]
+    part[..., :3], part[..., 3] = table[pixels], 255
+    if clear is not None:
+        part[pixels == clear] = 0
+    return canvas
+
+
+def unpacked_codes(data: bytes, bits: int, size: int) -> bytes:
+    """Variable-length codes of growing width, lowest bits first, that refer to earlier runs."""
+    reset, out, width, held, n = 1 << bits, bytearray(), bits + 1, 0, 0
+    words: list[bytes] = []
+    before = b""
+    for byte in data:
+        held, n = held | byte << n, n + 8
+        while n >= width:
+            code, held, n = held & (1 << width) - 1, held >> width, n - width
+            if code == reset:
+                words, width, before = [bytes([i]) for i in range(reset)] + [b"", b""], bits + 1, b""
+                continue
+            if code == reset + 1 or len(out) >= size:
+                return bytes(out[:size])
+            if code > len(words) or (code == len(words) and not before):
+                raise ValueError("a GIF code is broken")
+            word = words[code] if code < len(words) else before + before[:1]
+            out += word
+            if before and len(words) < 4096:
+                words.append(before + word[:1])
+                if len(words) == 1 << width and width < 12:
+                    width += 1
+            before = word
+    if len(out) < size:
+        raise ValueError("GIF data end early")
+    return bytes(out[:size])
+
+
 register("png", decode_png)
 register("bmp", decode_bmp)
+register("gif", decode_gif)
+register("tiff", decode_tiff)
 
 
 def features_of(name: str, data: bytes, orientation: int | None = None, edge: int = Limits().analysis_edge) -> dict:
@@ -148,7 +218,11 @@ def features_of(name: str, data: bytes, orientation: int | None = None, edge: in
 
 
 def image_features(images: DataFrame) -> DataFrame:
-    """``images`` (format, content, orientation if known) less content, plus FEATURES. A picture that can't be decoded keeps its row, with decode_error."""
+    """``images`` (format, content, metadata and orientation if known) less content, plus metadata, orientation and FEATURES. A picture that can't be decoded keeps its row, with decode_error."""
+    if "metadata" not in images.columns:
+        images = capture_metadata(images)
+    # Decoders show TIFF and browsers' formats as stored; what the file says about its turn is applied once, TIFF's by its decoder.
+    images = images if "orientation" in images.columns else images.withColumn("orientation", F.when(F.col("format") != "tiff", F.col("metadata.orientation")))
     carry = [c for c in images.columns if c != "content"]
     kinds = dict(images.dtypes)
     names = ["width", "height", "aspect", "variants", "histogram", "luminance", "gray", "decode_error"]
