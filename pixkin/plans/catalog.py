@@ -95,7 +95,8 @@ def hamming_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str, mode: str = "sensitive") -> DataFrame:
     """Best pairs with all metrics and their assessment; vectors stand in for pictures of 64 pixels."""
     s = MODES[mode]
-    pictures = vector_pictures(spark, sf_dir).select("id", "ord", "gray", "histogram", "width", "height", "size", "aspect", "luminance", *(f"{h}{t}" for t in TURNS for h in "adp"))
+    # Four joins read the pictures: their hashes are worked out once.
+    pictures = cut(vector_pictures(spark, sf_dir)).select("id", "ord", "gray", "histogram", "width", "height", "size", "aspect", "luminance", *(f"{h}{t}" for t in TURNS for h in "adp"))
     best = pairs.best_partners(pairs.candidate_pairs(pictures, SETTINGS), SETTINGS.top_k)
     side = lambda n: pictures.select(F.col("ord").alias(f"{n}_ord"), F.col("gray").alias(f"{n}_gray"), F.col("histogram").alias(f"{n}_histogram"), (F.col("width") * F.col("height")).cast("double").alias(f"{n}_pixels"))
     rows = best.withColumns({"x_ord": F.col("source.ord"), "y_ord": F.col("target.ord")}).join(side("x"), "x_ord").join(side("y"), "y_ord")
