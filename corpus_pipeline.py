@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixkin.llm import line_dedup, mixing, quality, sentencepiece, simhash
+from pixkin.llm import line_dedup, mixing, near_copies, quality, sentencepiece
 from pixkin.llm.catalog import piece_model
 from pixkin.llm.common import table
 
@@ -30,8 +30,8 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates."""
-    return simhash.keep_first(docs).select(*docs.columns)
+    """Keeps the smallest doc_id of each group of near copies, by five-word shingles and a similarity of 0.8 or more."""
+    return near_copies.keep_one(docs).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
