@@ -239,6 +239,9 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each component: the one whose id names it; of repeated rows of one id, one."""
+    """``docs`` with one row of each component: the one whose id names it; of repeated rows of one id, one.
+
+    Components without an id are lost, and so are texts whose id is repeated with other texts; ``near_copies.keep_one`` keeps both.
+    """
     firsts = near_duplicates(docs, text=text, doc_id=doc_id).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
     return docs.join(firsts, F.col(doc_id) == F.col("_first")).drop("_first").dropDuplicates([doc_id])

@@ -77,6 +77,13 @@ def test_stage_keeps_one_of_planted_near_copies(spark, monkeypatch, block, wante
     assert corpus_pipeline.one_of_a_kind(spark, docs.where("false"), "").count() == 0
 
 
+def test_no_group_is_lost_by_null_or_repeated_ids(spark):
+    table = [(None, "a b"), (7, "a b"), (7, "a b"), (None, "z"), (7, "quite another text without a copy"), (3, "one more text"), (9, "one more text"), (9, "only here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in table], SCHEMA)
+    got = corpus_pipeline.one_of_a_kind(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(7, "a b"), (None, "z"), (7, "quite another text without a copy"), (3, "one more text"), (9, "only here")], key=str)
+
+
 def test_fingerprints_never_part_near_sets():
     rng = np.random.default_rng(2)
     for n in (1, 5, 80, 700, 5000):
