@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from pixkin.llm.common import attach, cut_lineage, small_batches
 
-#: A subtree that goes with at least so many different articles of a host belongs to the host's template.
-LEAST_ARTICLES = 5
+#: A subtree that goes with at least so many different articles of a host, and this share of them, belongs to the host's template.
+LEAST_ARTICLES, LEAST_SHARE = 5, 0.1
 #: Up to so many template subtrees travel to the executors as a set (16 MB of hashes); beyond, pages are joined to theirs.
 BROADCAST_SUBTREES = 500_000
 
@@ -218,11 +218,11 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, *, html: str = "html", url: str = "url", least: int = LEAST_ARTICLES, broadcast: int = BROADCAST_SUBTREES) -> DataFrame:
+def extract(pages: DataFrame, *, html: str = "html", url: str = "url", least: int = LEAST_ARTICLES, share: float = LEAST_SHARE, broadcast: int = BROADCAST_SUBTREES) -> DataFrame:
     """``pages`` with ``text`` (empty if none) instead of the html column; every row is kept.
 
     A null html is an empty page; rows without a host (null or odd urls) form one of their own. Copies of an article count once, so
-    that they are no template. A column ``text`` of ``pages`` is replaced. An empty table gives no rows.
+    that they are no template; what a few articles of a large host share is their own text. A column ``text`` of ``pages`` is replaced. An empty table gives no rows.
     """
     pages = small_batches(pages)
     pages = pages.drop("text") if html != "text" else pages
@@ -231,14 +231,18 @@ def extract(pages: DataFrame, *, html: str = "html", url: str = "url", least: in
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple[int, int, int, int]] = []
+            out: list[tuple[int, int, int, int | None]] = []
             for site, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 article, found = candidates(text.as_py())
-                out.extend((site, key, article, h) for h in found)
+                out.extend((site, key, article, h) for h in (None, *found))  # a row without a subtree counts the article
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), (), ()))], ["site", "key", "article", "subtree"])
 
     seen = cut_lineage(rows.select("site", "key", "_html").mapInArrow(hashed, "site long, key long, article long, subtree long").distinct())
-    template = seen.groupBy("site", "subtree").agg(F.count_distinct("article").alias("articles"), F.count("*").alias("n")).where(F.col("articles") >= least)
+    hosts = seen.groupBy("site").agg(F.count_distinct("article").alias("of"))
+    seen = seen.where("subtree is not null")
+    often = cut_lineage(seen.groupBy("site", "subtree").agg(F.count_distinct("article").alias("articles"), F.count("*").alias("n")).where(F.col("articles") >= least))
+    hosts = cut_lineage(hosts.join(often.groupBy("site").agg(F.count("*").alias("subtrees")), "site"))
+    template = attach(often, hosts, ["site"], "subtrees", max(1, often.count())).where(F.col("articles") >= share * F.col("of"))
     template = cut_lineage(template.select("site", "subtree", "n"))
     others = [F.col(c) for c in pages.columns if c != html]
     kinds = ", ".join(f"`{c}` {t}" for c, t in pages.dtypes if c != html)
