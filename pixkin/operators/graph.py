@@ -2,44 +2,48 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixkin.operators.skew import attach, cut
+
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the session's folder; a local one only where the session names none."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+def followed(pointer: DataFrame) -> DataFrame:
+    """Pointers (node, root) moved to where their roots point, until none moves. A root that many nodes share is looked up once."""
+    total = pointer.count()
+    while True:
+        step = pointer.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        roots = pointer.groupBy("root").agg(F.count("*").alias("n")).join(step, "root")
+        moved = cut(attach(pointer, roots, ["root"], "n", total).select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        pointer = moved.select("node", "root")
+        if moved.where("moved").isEmpty():
+            return pointer
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of the component, for every node with an edge to another. edges: a, b of one ordered type.
 
-    A round points every node at its smallest neighbour, doubles the pointers up to their ends and contracts what they join.
+    A round points every node at its smallest neighbour, doubles the pointers up to their ends and contracts what they join. Nodes with
+    very many edges and roots with very many nodes are joined by ``attach``, so neither makes a hot task.
     """
     edges = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rounds = []
     while not edges.isEmpty():
+        count = edges.count()
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pointer = cut(ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
-        while True:
-            step = pointer.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            moved = cut(pointer.join(step, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-            pointer = moved.select("node", "root")
-            if moved.where("moved").isEmpty():
-                break
+        least = cut(ends.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n")))
+        pointer = followed(least.select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
         rounds.append(pointer)
-        left = pointer.select(F.col("node").alias("a"), F.col("root").alias("x"))
-        right = pointer.select(F.col("node").alias("b"), F.col("root").alias("y"))
-        joined = edges.join(left, "a").join(right, "b").where("x != y")
+        ranked = cut(pointer.join(least.select(F.col("a").alias("node"), "n"), "node"))
+        side = lambda c, name: ranked.select(F.col("node").alias(c), F.col("root").alias(name), "n")  # noqa: E731, B023
+        joined = attach(attach(edges, side("a", "x"), ["a"], "n", 2 * count).drop("n"), side("b", "y"), ["b"], "n", 2 * count).where("x != y")
         edges = cut(joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = rounds[0]
     for later in rounds[1:]:
-        out = out.join(later.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        later = later.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        out = cut(out)
+        used = out.groupBy("root").agg(F.count("*").alias("n")).join(later, "root", "left").select("root", F.coalesce("next", "root").alias("next"), "n")
+        out = attach(out, used, ["root"], "n", out.count()).select("node", F.col("next").alias("root"))
     return out

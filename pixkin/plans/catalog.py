@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pixkin.config import MODES, TURNS
 from pixkin.functions import bits, context, names, similarity, tables
 from pixkin.operators import clusters, comparisons, pairs, results, validate
-from pixkin.operators.graph import cut
+from pixkin.operators.skew import cut
 from pixkin.plans.oracles import SQL
 
 FLAGSHIP = "topk_per_item"
