@@ -6,15 +6,13 @@ rows are written as Parquet in the shared folder and read again, so a lost execu
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixkin.llm import line_dedup, mixing, near_copies, quality, sentencepiece
 from pixkin.llm.catalog import piece_model
 from pixkin.llm.common import table
+from pixkin.operators.skew import delete, new_path
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,20 +57,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Rows between stages stand in the shared folder; a stage's input goes once its result is written."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
     docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            path = f"{shared}/pipeline-{uuid.uuid4().hex}"
+            path = new_path(spark, "pipeline")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
             if before:
-                drop(spark, before)
+                delete(spark, before)
             before = path
     return docs
 
-
-def drop(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

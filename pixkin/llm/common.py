@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixkin.operators.skew import HEAVY_SHARE, attach, cut as cut_lineage, shared_folder, unused
+
+__all__ = ["BATCH_ROWS", "HEAVY_SHARE", "LOWER", "UPPER", "WORD", "WS", "ascii_lower", "attach", "cut_lineage", "shared_folder", "small_batches", "table", "unused"]
+
 #: White space of the contracts: space and U+0009 to U+000D.
 WS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: A group is heavy if it holds over this share of all rows. There are fewer than 1 / HEAVY_SHARE of them, so they may be broadcast.
-HEAVY_SHARE = 1 / 1000
 BATCH_ROWS = 1024
 
 
@@ -21,15 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the session names in spark.checkpoint.dir; a folder of our own only where it names none (tests)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, after making sure that its session's Arrow batches hold BATCH_ROWS rows at most: texts may be long, and a worker holds a batch at a time."""
     key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
@@ -41,18 +32,3 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
-
-
-def attach(rows: DataFrame, groups: DataFrame, key: list[str], weight: str, total: int) -> DataFrame:
-    """Inner join of many rows to one row per group, without a hot task.
-
-    ``groups`` has one row per key and the number of its rows in ``weight``. Groups with over HEAVY_SHARE of ``total`` rows
-    (fewer than 1 / HEAVY_SHARE of them) are broadcast and their rows stay where they are; all others meet in a shuffle join,
-    where no key has more than that share. No row is lost: the two filters are complementary, and keys must not be null.
-    """
-    limit = total * HEAVY_SHARE
-    heavy = groups.where(F.col(weight) > limit)
-    light = groups.where(F.col(weight) <= limit)
-    hot = rows.join(F.broadcast(heavy), key)
-    cold = rows.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(light, key)
-    return hot.unionByName(cold)

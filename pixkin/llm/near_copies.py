@@ -1,9 +1,14 @@
 """One document of each group of near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-No pair at or above the similarity is missed. Of two such sets each holds a shingle of the other among its first fifth and one, in any
-order that all sets share, so sets meet under the shingles of these prefixes, common shingles last. Pairs are then bounded by their sizes
-and by fingerprints of FP_LONGS x 64 parities (the Hamming distance of two is never over the number of shingles that one set has and the
-other lacks), and what is left is checked on the whole sets. Groups are the connected components of the links.
+Two searches propose pairs and an exact check of the whole sets decides. The vantage-point trees of the SimHash operator link
+fingerprints of five-word shingles within REACH bits. At a similarity of 0.8 fingerprints lie about ten bits apart and up to twenty,
+where no triangle bound prunes anything, so what lies beyond REACH is found by prefixes, without a missed pair: of two such sets each
+holds a shingle of the other among its first fifth and one, in any order that all sets share (common shingles come last). Pairs are
+bounded by their sizes and by sketches of SKETCH x 64 parities (the Hamming distance of two is never over the number of shingles that
+one set has and the other lacks). Groups are the connected components of the links.
+
+Members of a shingle are first checked against one hub, the member that meets most others, which joins most of a large group; only
+members that are still apart are then compared pair by pair, in blocks.
 """
 
 from __future__ import annotations
@@ -17,18 +22,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixkin.llm.common import attach, cut_lineage, small_batches
-from pixkin.llm.simhash import components, shingle_hashes
+from pixkin.llm import simhash
+from pixkin.llm.common import attach, cut_lineage, small_batches, unused
+from pixkin.llm.simhash import majority, shingle_hashes
+from pixkin.operators.graph import components
 
 WIDTH = 5
-FP_LONGS = 8
+#: Bits within which the vantage-point trees link fingerprints.
+REACH = 3
+SKETCH = 8
 #: Documents whose shingles are counted for the order, at least, and as a share of all. The order decides the work, never the result.
 COUNTED_ROWS, COUNTED_SHARE = 20_000, 0.01
-#: Common shingles that travel to the executors (3 MB), and the nodes that do when sets are fetched (8 MB; beyond, all sets are shuffled).
-COMMON_SHINGLES, WANTED_NODES = 200_000, 1_000_000
-#: Members of a shingle that are compared at once; larger shingles are dealt out in blocks.
-BLOCK = 512
-BITS = [f"b{i}" for i in range(FP_LONGS)]
+#: Common shingles that travel to the executors (3 MB).
+COMMON_SHINGLES = 200_000
+#: Bits of the filter of wanted sets (8 MB at most). Beyond, more sets are read than are wanted; the join drops them.
+FILTER_BITS = 1 << 26
+#: Members of a shingle that are compared at once, and checks that share a copy of a hub's set; larger ones are dealt out in blocks.
+BLOCK, SHARED_CHECKS = 512, 512
+BITS = [f"b{i}" for i in range(SKETCH)]
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -41,21 +52,23 @@ def name_of(shingles: np.ndarray) -> int:
 
 
 def parities(shingles: np.ndarray) -> np.ndarray:
-    """Whether each of the fingerprint's bits is hit an odd number of times."""
-    odd = np.bincount((shingles % np.uint64(64 * FP_LONGS)).astype(np.int64), minlength=64 * FP_LONGS) & 1
+    """Whether each of the sketch's bits is hit an odd number of times."""
+    odd = np.bincount((shingles % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first fifth and one of a set: shingles that aren't common by their hashes, then common ones by their counts."""
+def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first fifth and one of a set, as (shingles that aren't common, by their hashes; common ones, by their counts)."""
     n = len(shingles)
     if not n:
-        return shingles
+        return shingles, shingles
     weight = np.zeros(n, np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
         weight = np.where(common[at] == shingles, counts[at], 0)
-    return shingles[np.lexsort((shingles, weight))[: n // 5 + 1]]
+    first = np.lexsort((shingles, weight))[: n // 5 + 1]
+    rare = weight[first] == 0
+    return shingles[first[rare]], shingles[first[~rare]]
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -69,38 +82,104 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py()).view(np.int64))], ["shingle"])
 
     found = sample.select("text").distinct().mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    rows = found.orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES).collect()
-    common, counts = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    rows = found.orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES).toArrow()
+    common, counts = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(common)
     return common[order], counts[order]
 
 
 def shapes(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, node (the name of the row's shingle set), size, the fingerprint's longs and the prefix of each row. docs: doc_id, digest, text."""
+    """doc_id, digest, node (the name of the row's shingle set), size, fp (SimHash), the sketch's longs, rare and common (the prefix) of each row. docs: doc_id, digest, text.
+
+    A task gives the prefix of a set that it has met before as empty.
+    """
     order = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = order.value
+        met: set[int] = set()
+        nothing = np.zeros(0, np.uint64)
         for b in batches:
-            sets = [shingle_set(t.as_py()) for t in b.column(2)]
-            bits = np.array([parities(s) for s in sets], np.int64).reshape(len(sets), FP_LONGS)
-            columns = [pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(FP_LONGS))]
-            first = pa.array([prefix(s, common, counts).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns, first], ["doc_id", "digest", "node", "size", *BITS, "prefix"])
-
-    return docs.mapInArrow(run, f"doc_id long, digest string, node long, size long, {', '.join(f'{c} long' for c in BITS)}, prefix array<long>")
+            names, sizes, fps, bits, rare, usual = [], [], [], [], [], []
+            for t in b.column(2):
+                hashes = np.array(shingle_hashes(t.as_py(), WIDTH), np.uint64)
+                s = np.unique(hashes)
+                names.append(name_of(s))
+                sizes.append(len(s))
+                fps.append(int(majority(hashes, np.zeros(1, np.int64)).view(np.int64)[0]) if len(hashes) else 0)
+                bits.append(parities(s))
+                first = (nothing, nothing) if names[-1] in met else prefix(s, common, counts)
+                met.add(names[-1])
+                rare.append(first[0].view(np.int64))
+                usual.append(first[1].view(np.int64))
+            bits = np.array(bits, np.int64).reshape(len(names), SKETCH)
+            longs = [pa.array(x, pa.int64()) for x in (names, sizes, fps)] + [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *longs, pa.array(rare, pa.list_(pa.int64())), pa.array(usual, pa.list_(pa.int64()))], ["doc_id", "digest", "node", "size", "fp", *BITS, "rare", "common"])
+
+    return docs.mapInArrow(run, f"doc_id long, digest string, node long, size long, fp long, {', '.join(f'{c} long' for c in BITS)}, rare array<long>, common array<long>")
+
+
+def shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (shingle, node) in order: the rows of shingles that two nodes or more have, each once, by a stream that holds one batch."""
+    last = first = before = None
+    shown = False  # the open run's first node has been given out
+    for b in batches:
+        s, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+        if not len(s):
+            continue
+        new = np.append(s[0] != last, s[1:] != s[:-1])
+        starts = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        heads = n[starts]
+        head = np.where(run >= 0, heads[run] if len(heads) else n, n if first is None else first)
+        other = n != head
+        again = np.append(s[0] == last and n[0] == before, (s[1:] == s[:-1]) & (n[1:] == n[:-1]))
+        late = np.unique(run[other])  # runs whose first node is to be shown
+        out = [(s[other & ~again], n[other & ~again])]
+        own = late[late >= 0]
+        out.append((s[starts[own]], heads[own]))
+        if len(late) and late[0] < 0 and not shown:
+            out.append((np.array([last]), np.array([first])))
+        if len(starts):
+            shown = bool(len(late) and late[-1] == len(starts) - 1)
+            first = heads[-1]
+        else:
+            shown = shown or bool(len(late))
+        last, before = s[-1], n[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out]), pa.int64()) for i in (0, 1)], ["shingle", "node"])
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """shingle, node: the prefixes' shingles that two sets or more share, each pair once.
+
+    A shingle that isn't common met one of the counted documents at most, so few documents have it: those are dealt by shingle, sorted
+    and streamed. Common ones may be hot: they are counted before they are shuffled, and their heads (COMMON_SHINGLES at most) travel.
+    """
+    dealt = rows.select(F.explode("rare").alias("shingle"), "node").repartition("shingle").sortWithinPartitions("shingle", "node")
+    rare = dealt.mapInArrow(shared_runs, "shingle long, node long")
+    usual = rows.select(F.explode("common").alias("shingle"), "node").distinct()
+    several = usual.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+    return cut_lineage(rare.unionByName(usual.join(F.broadcast(several), "shingle")))
 
 
 def may_be_near(x: str, y: str) -> Column:
-    """Whether sizes and fingerprints leave room for a similarity of 0.8: shared shingles are 4/9 of both sizes or more."""
+    """Whether sizes and sketches leave room for a similarity of 0.8: shared shingles are 4/9 of both sizes or more."""
     c = lambda side, name: F.col(f"{side}{name}")
     apart = sum((F.bit_count(c(x, b).bitwiseXOR(c(y, b))) for b in BITS[1:]), F.bit_count(c(x, BITS[0]).bitwiseXOR(c(y, BITS[0]))))
     small, large = F.least(c(x, "size"), c(y, "size")), F.greatest(c(x, "size"), c(y, "size"))
     return (5 * small >= 4 * large) & (9 * apart <= small + large)
 
 
-def renamed(df: DataFrame, side: str) -> DataFrame:
-    return df.select(*(F.col(c).alias(f"{side}{c}") for c in ("node", "size", *BITS)), *(c for c in df.columns if c not in ("node", "size", *BITS)))
+def facts(nodes: DataFrame, side: str, key: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(key), *(F.col(c).alias(f"{side}{c}") for c in ("size", *BITS)))
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (node, hub) that their sizes and sketches allow, each once. Hubs may have many pairs."""
+    pairs = cut_lineage(pairs.where("node != hub").distinct())
+    of_hub = pairs.groupBy("hub").agg(F.count("*").alias("n")).join(facts(nodes, "y_", "hub"), "hub")
+    both = attach(pairs.join(facts(nodes, "x_", "node"), "node"), of_hub, ["hub"], "n", max(1, pairs.count()))
+    return cut_lineage(both.where(may_be_near("x_", "y_")).select("node", "hub"))
 
 
 def release(df: DataFrame) -> None:
@@ -109,88 +188,121 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def filter_of(nodes: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap that has the places of all wanted nodes, and its number of bits."""
+    bits = int(min(FILTER_BITS, max(1 << 10, 1 << (16 * nodes.count()).bit_length())))
+    place = F.pmod("node", F.lit(bits))
+    words = nodes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {bits}) & 63 as int))")).alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy()] = words["mask"].to_numpy()
+    return out.view(np.uint64), bits
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b of the pairs whose whole sets have a similarity of 0.8 or more."""
-    pairs = cut_lineage(pairs.distinct())
-    total = pairs.count()
-    uses = {c: cut_lineage(pairs.groupBy(F.col(c).alias("node")).agg(F.count("*").alias("n"))) for c in ("a", "b")}
-    nodes = uses["a"].select("node").union(uses["b"].select("node")).distinct()
-    few = [r[0] for r in nodes.limit(WANTED_NODES + 1).collect()]
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(few) if len(few) <= WANTED_NODES else None)
+    """The pairs (node, hub; each once) whose whole sets have a similarity of 0.8 or more.
+
+    Sets are made again from the texts and kept if a filter has their node. A set travels once to its node's checks and from there to its hubs; a
+    hub's set is copied for each SHARED_CHECKS of its checks, and a task streams a hub's set followed by those that are checked against it.
+    """
+    uses = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SHARED_CHECKS).cast("int").alias("shares"))
+    uses = cut_lineage(uses)
+    weights = pairs.groupBy("hub").agg(F.count("*").alias("n")).join(uses, "hub")
+    member = attach(pairs, weights, ["hub"], "n", max(1, pairs.count())).select("node", "hub", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), F.lit(False).alias("own"))
+    itself = uses.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(True).alias("own"))
+    places = cut_lineage(member.unionByName(itself))
+    wanted = docs.sparkSession.sparkContext.broadcast(filter_of(places.select("node").distinct()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (mask, bits), given = wanted.value, set()
         for b in batches:
-            out: dict[int, bytes] = {}
+            names, out = [], []
             for t in b.column(0):
                 s = shingle_set(t.as_py())
                 name = name_of(s)
-                if wanted.value is None or name in wanted.value:
-                    out[name] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["node", "shingles"])
+                at = name % bits
+                if name not in given and int(mask[at >> 6]) >> (at & 63) & 1:
+                    given.add(name)
+                    names.append(name)
+                    out.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], ["node", "shingles"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, of_hub = None, np.zeros(0, np.uint64)
         for b in batches:
-            near = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                near.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
-            yield b.select([0, 1]).filter(pa.array(near, pa.bool_()))
+            near: list[tuple[int, int]] = []
+            for node, to, own, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                if own:
+                    hub, of_hub = to, s.copy()
+                elif to == hub and 9 * len(np.intersect1d(s, of_hub, assume_unique=True)) >= 4 * (len(s) + len(of_hub)):
+                    near.append((node, to))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in near], pa.int64()) for i in (0, 1)], ["node", "hub"])
+
+    found = docs.select("text").mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    dealt = places.join(found, "node").repartition("hub", "share").sortWithinPartitions("hub", "share", F.desc("own"))
+    out = cut_lineage(dealt.select("node", "hub", "own", "shingles").mapInArrow(check, "node long, hub long"))
+    release(docs)
+    return out
+
 
-    if not few:
-        return pairs
-    found = cut_lineage(docs.select("text").mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")).join(nodes, "node", "left_semi"))
-    side = lambda c: found.join(uses[c], "node").select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}"), "n")
-    with_a = attach(pairs, side("a"), ["a"], "n", total).drop("n")
-    with_both = attach(with_a, side("b"), ["b"], "n", total)
-    return cut_lineage(with_both.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long"))
+def tree_pairs(nodes: DataFrame) -> DataFrame:
+    """node, hub: sets whose fingerprints the vantage-point trees link, and sets of one fingerprint, with the smallest of them."""
+    heads = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("hub"), F.count("*").alias("n")))
+    same = attach(nodes.select("fp", "node"), heads, ["fp"], "n", max(1, nodes.count())).select("node", "hub")
+    forest = cut_lineage(simhash.links(heads.select("fp"), REACH))
+    ends = forest.groupBy("b").agg(F.count("*").alias("n")).join(heads.select(F.col("fp").alias("b"), "hub"), "b")
+    linked = attach(forest.join(heads.select(F.col("fp").alias("a"), F.col("hub").alias("node")), "a"), ends, ["b"], "n", max(1, forest.count()))
+    return same.unionByName(linked.select("node", "hub"))
 
 
 def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b (nodes): links of similarity 0.8 or more that connect all that such links connect. rows: what shapes() gives."""
-    nodes = cut_lineage(rows.where("size > 0").select("node", "size", *BITS, "prefix").dropDuplicates(["node"]))
-    release(docs)
-    postings = nodes.select("node", F.explode("prefix").alias("shingle"))
-    shared = cut_lineage(postings.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1"))
-    in_all = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    members = attach(postings, shared, ["shingle"], "n", max(1, in_all))
-    members = cut_lineage(members.join(nodes.drop("prefix"), "node"))
-    del nodes, postings
-    release(docs)
-
-    # First each member with the first of its shingle; that alone joins most of a large group.
-    firsts = renamed(members.where("node = first").select("shingle", "n", "node", "size", *BITS), "y_")
-    star = attach(renamed(members.where("node != first").select("shingle", "node", "size", *BITS), "x_"), firsts, ["shingle"], "n", max(1, in_all))
-    near = verified(star.where(may_be_near("x_", "y_")).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")), docs)
-
-    release(docs)
+    members = meeting(rows.where("size > 0"))
+    nodes = cut_lineage(rows.where("size > 0").select("node", "size", "fp", *BITS).dropDuplicates(["node"]))
+    total = max(1, members.count())
+    # Hubs: of a shingle's members the one that meets most others, so the text that the copies were made of rather than one of them.
+    meets = members.groupBy("shingle").agg(F.count("*").alias("n"))
+    weight = attach(members, meets, ["shingle"], "n", total).groupBy("node").agg(F.sum("n").alias("weight"))
+    members = cut_lineage(members.join(weight, "node"))
+    hubs = members.groupBy("shingle").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"), F.count("*").alias("n"))
+    star = attach(members, hubs, ["shingle"], "n", total).select("node", "hub")
+    first = plausible(star.unionByName(tree_pairs(nodes)), nodes)
+    near = verified(first, docs)
 
     # Then all pairs of a shingle's members that aren't joined yet: those outside its largest component with all members, in blocks.
-    found = components(near).select("node", "root")
-    members = cut_lineage(members.drop("n", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    found = components(near.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    members = cut_lineage(members.select("shingle", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
     sizes = members.groupBy("shingle", "root").agg(F.count("*").alias("m")).groupBy("shingle")
     sizes = sizes.agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("top")).where("n > top.m").select("shingle", "n", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.m")) / BLOCK).alias("left"), F.ceil(F.col("n") / BLOCK).alias("right"))
-    open_ = cut_lineage(attach(members, cut_lineage(sizes), ["shingle"], "n", max(1, in_all)))
+    open_ = attach(members, cut_lineage(sizes), ["shingle"], "n", total)
+    open_ = cut_lineage(open_.join(nodes.select("node", "size", *BITS), "node"))
     place = lambda of: F.pmod(F.xxhash64("node"), F.col(of))
     every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
-    shape = ["shingle", "root", "node", "size", *BITS]
-    x = open_.where("root != top").select(*shape, place("left").alias("i"), every("right").alias("j"))
-    y = open_.select(*shape, (F.col("root") == F.col("top")).alias("in_top"), place("right").alias("j"), every("left").alias("i"))
-    x, y = renamed(x, "x_").withColumnRenamed("root", "x_root"), renamed(y, "y_").withColumnRenamed("root", "y_root")
+    side = lambda s: [F.col(c).alias(f"{s}{c}") for c in ("root", "node", "size", *BITS)]
+    x = open_.where("root != top").select("shingle", *side("x_"), place("left").alias("i"), every("right").alias("j"))
+    y = open_.select("shingle", *side("y_"), (F.col("root") == F.col("top")).alias("in_top"), place("right").alias("j"), every("left").alias("i"))
     pairs = x.join(y, ["shingle", "i", "j"]).where((F.col("x_root") != F.col("y_root")) & (F.col("in_top") | (F.col("x_node") < F.col("y_node"))) & may_be_near("x_", "y_"))
-    pairs = pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b"))
-    return near.unionByName(verified(pairs, docs))
+    tried = first.unionByName(first.select(F.col("hub").alias("node"), F.col("node").alias("hub")))
+    pairs = cut_lineage(pairs.select(F.greatest("x_node", "y_node").alias("node"), F.least("x_node", "y_node").alias("hub")).distinct().join(tried, ["node", "hub"], "left_anti"))
+    more = near if pairs.isEmpty() else near.unionByName(verified(pairs, docs))
+    return more.select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each group of near copies: the smallest id, null ids last; of one id's texts, the one with the smallest digest.
 
     Texts without words (null, empty) are one group. Rows that agree in id and text count as one. Null and repeated ids lose no group:
-    groups are made of texts, and the row that stays is found by id and text.
+    groups are made of texts, and the row that stays is found by id and text. Long texts count whole; an empty table gives no rows;
+    columns may have any names.
     """
-    key = {"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "_null": F.col(doc_id).isNull(), "_digest": F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))}
-    source = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), key["_digest"].alias("digest"), F.col(text).cast("string").alias("text"))
+    names = unused(docs, "near_id", "near_null", "near_digest")
+    key = dict(zip(names, (F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), F.col(doc_id).isNull(), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))))
+    source = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), key[names[2]].alias("digest"), F.col(text).cast("string").alias("text"))
     rows = cut_lineage(shapes(source))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("digest").alias("_digest"))).alias("best")
+    order = F.struct(F.col("doc_id").isNull().alias("nulls"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest")
+    best = F.min(order).alias("best")
     groups = rows.groupBy("node").agg(best).join(components(links(rows, source)), "node", "left")
-    stay = groups.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best.*")
-    return docs.withColumns(key).dropDuplicates(list(key)).join(stay, list(key), "left_semi").select(*docs.columns)
+    stay = groups.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    stay = cut_lineage(stay.select(F.col("best.id").alias(names[0]), F.col("best.nulls").alias(names[1]), F.col("best.digest").alias(names[2])))
+    release(docs)
+    return docs.withColumns(key).dropDuplicates(names).join(stay, names, "left_semi").select(*docs.columns)

@@ -19,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixkin.llm.common import attach, cut_lineage, small_batches
+from pixkin.operators.graph import components
 
 SEED = 42
-#: Fingerprints that the tree's upper levels are grown on; all fingerprints are then dealt by it.
-TREE_SAMPLE = 8192
 #: Home rows that a shard should have, and the deepest tree that deals to shards.
-SHARD_ROWS, MOST_LEVELS = 2048, 14
+SHARD_ROWS, MOST_LEVELS = 2048, 15
+#: Fingerprints for each shard that the tree's upper levels are grown on (4 MB in all at most); all fingerprints are then dealt by it.
+SHARD_SAMPLE = 16
+#: Home rows and asking rows of a shard that one task takes; larger shards are dealt out in blocks.
+HOME_ROWS, ASK_ROWS = 8192, 65_536
 LEAF = 96
 
 
@@ -156,65 +159,48 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def links(nodes: DataFrame, reach: int) -> DataFrame:
-    """a, b (fp long): a forest that spans all pairs of different fingerprints within ``reach``. nodes: fp long, unique."""
+    """a, b (fp long): a forest that spans all pairs of different fingerprints within ``reach``. nodes: fp long, unique.
+
+    The sample that the tree is grown on grows with its levels, so leaves hold like numbers of rows. A shard that is still too large (many
+    fingerprints at one distance of every point) is cut into blocks: parts of its home rows, each with all parts of its asking rows.
+    """
     count = nodes.count()
     levels = int(np.clip(np.ceil(np.log2(max(1, count / SHARD_ROWS))), 0, MOST_LEVELS))
-    sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("fp")).limit(TREE_SAMPLE).collect()], np.int64).view(np.uint64) if levels else np.zeros(0, np.uint64)
-    tree = Tree(sample, levels)
+    sample = nodes.orderBy(F.xxhash64("fp"), "fp").select("fp").limit(SHARD_SAMPLE << max(levels, 9)).toArrow()["fp"].to_numpy().view(np.uint64) if levels else np.zeros(0, np.uint64)
+    tree = nodes.sparkSession.sparkContext.broadcast(Tree(sample, levels))  # 2^MOST_LEVELS points
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False)
             for i in range(0, len(fp), 20_000):
                 part = fp[i : i + 20_000]
-                rows, shard, home = tree.route(part.view(np.uint64), reach)
+                rows, shard, home = tree.value.route(part.view(np.uint64), reach)
                 first = np.empty(len(part), np.int64)
                 first[rows[home]] = shard[home]
                 keep = home | (shard > first[rows])  # a pair meets once: in the later of its two shards
                 yield pa.RecordBatch.from_arrays([pa.array(shard[keep].astype(np.int32)), pa.array(part[rows[keep]]), pa.array(home[keep])], ["shard", "fp", "home"])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = np.sort(pdf["fp"].to_numpy(np.int64))
         own = np.sort(pdf.loc[pdf["home"], "fp"].to_numpy(np.int64))
+        fp = np.unique(pdf["fp"].to_numpy(np.int64))
         place = np.searchsorted(fp, own)
+        asks = np.searchsorted(fp, np.unique(pdf.loc[pdf["ask"], "fp"].to_numpy(np.int64)))
         label = np.arange(len(fp))
-        for q, d in near_pairs(own.view(np.uint64), fp.view(np.uint64), reach, np.random.default_rng(11)):
-            label = unite(label, q, place[d])
+        for q, d in near_pairs(own.view(np.uint64), fp[asks].view(np.uint64), reach, np.random.default_rng(11)):
+            label = unite(label, asks[q], place[d])
         linked = label != np.arange(len(fp))
         return pd.DataFrame({"a": fp[linked], "b": fp[label[linked]]})
 
-    return nodes.select("fp").mapInArrow(deal, "shard int, fp long, home boolean").groupBy("shard").applyInPandas(join, "a long, b long")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node of its component) for all nodes that have an edge. edges: a, b long.
-
-    Each round points every node to its smallest neighbour, follows the pointers to their ends by doubling, and contracts; every
-    component loses at least its larger half of local minima each time, so rounds are few. Groups are reduced by min() before they
-    are shuffled; joins are on single pointers.
-    """
-    edges = cut_lineage(edges.where("a != b").distinct())
-    maps = []
-    while edges.take(1):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = cut_lineage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
-        while True:
-            ends = point.select(F.col("node").alias("root"), F.col("root").alias("end"))
-            jumped = cut_lineage(point.join(ends, "root").select("node", F.col("end").alias("root"), (F.col("end") != F.col("root")).alias("moved")))
-            point = jumped.select("node", "root")
-            if not jumped.where("moved").take(1):
-                break
-        maps.append(point)
-        ends = lambda c: point.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: E731, B023
-        edges = edges.join(ends("a"), "a").join(ends("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a != b")
-        edges = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    found = maps[0]
-    for later in maps[1:]:
-        later = later.select(F.col("node").alias("root"), F.col("root").alias("end"))
-        found = found.join(later, "root", "left").select("node", F.coalesce("end", "root").alias("root"))
-    return found
+    dealt = cut_lineage(nodes.select("fp").mapInArrow(deal, "shard int, fp long, home boolean"))
+    sizes = dealt.groupBy("shard").agg(F.ceil(F.count_if("home") / HOME_ROWS).cast("int").alias("parts"), F.ceil(F.count("*") / ASK_ROWS).cast("int").alias("turns"))
+    placed = dealt.join(F.broadcast(sizes.where("parts > 0")), "shard")  # a row a shard; without home rows nothing can meet
+    part, turn = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("turns")).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    small = placed.where("parts = 1 and turns = 1").select("shard", F.lit(0).alias("part"), F.lit(0).alias("turn"), "fp", "home", F.lit(True).alias("ask"))
+    large = placed.where("parts > 1 or turns > 1")
+    homes = large.where("home").select("shard", part.alias("part"), every("turns").alias("turn"), "fp", F.lit(True).alias("home"), F.lit(False).alias("ask"))
+    asking = large.select("shard", every("parts").alias("part"), turn.alias("turn"), "fp", F.lit(False).alias("home"), F.lit(True).alias("ask"))
+    return small.unionByName(homes).unionByName(asking).groupBy("shard", "part", "turn").applyInPandas(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 3, reach: int = 2) -> DataFrame:
@@ -236,12 +222,3 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 def simhash_report(docs: DataFrame) -> DataFrame:
     """The digest: doc_id, fingerprint (16 hex digits), component_id."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each component: the one whose id names it; of repeated rows of one id, one.
-
-    Components without an id are lost, and so are texts whose id is repeated with other texts; ``near_copies.keep_one`` keeps both.
-    """
-    firsts = near_duplicates(docs, text=text, doc_id=doc_id).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(firsts, F.col(doc_id) == F.col("_first")).drop("_first").dropDuplicates([doc_id])

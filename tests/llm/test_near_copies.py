@@ -6,7 +6,9 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pixkin.llm import near_copies
 
@@ -64,16 +66,16 @@ def planted(n=60, seed=5):
     return [(i, " ".join(x)) for i, x in enumerate(out)] + [(9001, None), (9002, ""), (9003, "a b"), (9004, "A  b"), (9005, "a b c d e")]
 
 
-@pytest.mark.parametrize(("block", "wanted"), [(512, 1_000_000), (4, 0)])
-def test_stage_keeps_one_of_planted_near_copies(spark, monkeypatch, block, wanted):
-    monkeypatch.setattr(near_copies, "BLOCK", block)
-    monkeypatch.setattr(near_copies, "WANTED_NODES", wanted)
-    table = planted()
+@pytest.mark.parametrize(("block", "checks", "common", "bits", "n"), [(512, 512, 200_000, 1 << 26, 60), (16, 3, 20, 1 << 10, 25)])
+def test_stage_keeps_one_of_planted_near_copies(spark, monkeypatch, block, checks, common, bits, n):
+    for name, value in (("BLOCK", block), ("SHARED_CHECKS", checks), ("COMMON_SHINGLES", common), ("FILTER_BITS", bits)):
+        monkeypatch.setattr(near_copies, name, value)
+    table = planted(n)
     want, near = brute_kept(table)
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in table], SCHEMA).repartition(3)
     got = corpus_pipeline.one_of_a_kind(spark, docs, "")
     assert got.columns == docs.columns
-    assert sorted((False, r.doc_id) for r in got.collect()) == want and near > 100 and len(want) < len(table) - 60
+    assert sorted((False, r.doc_id) for r in got.collect()) == want and near > 60 and len(want) < len(table) - 40
     assert corpus_pipeline.one_of_a_kind(spark, docs.where("false"), "").count() == 0
 
 
@@ -84,6 +86,27 @@ def test_no_group_is_lost_by_null_or_repeated_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(7, "a b"), (None, "z"), (7, "quite another text without a copy"), (3, "one more text"), (9, "only here")], key=str)
 
 
+def test_runs_of_shared_shingles():
+    rng = random.Random(8)
+    for size in (1, 2, 7, 1000):
+        pairs = sorted((rng.randrange(40), rng.randrange(6)) for _ in range(150))
+        nodes: dict[int, set[int]] = {}
+        for s, n in pairs:
+            nodes.setdefault(s, set()).add(n)
+        parts = [pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs[k : k + size]], pa.int64()) for i in (0, 1)], ["shingle", "node"]) for k in range(0, len(pairs), size)]
+        got = [tuple(r) for b in near_copies.shared_runs(iter([parts[0].slice(0, 0), *parts])) for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert sorted(got) == sorted((s, n) for s, ns in nodes.items() if len(ns) > 1 for n in ns)
+
+
+def test_columns_that_clash_and_odd_rows(spark):
+    table = [(1, "a b c d e f"), (2, "A b c d e  f"), (3, None), (4, ""), (None, None), (5, "x " * 60_000), (6, "x " * 60_000)]
+    names = ["near_id", "near_null", "near_digest", "digest", "node", "size", "fp", "prefix", "shingle", "root", "hub", "best"]
+    docs = spark.createDataFrame(table, "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    got = near_copies.keep_one(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3, 5]
+    assert near_copies.keep_one(docs.where("text is null")).count() == 1
+
+
 def test_fingerprints_never_part_near_sets():
     rng = np.random.default_rng(2)
     for n in (1, 5, 80, 700, 5000):
