@@ -20,6 +20,13 @@ def followed(pointer: DataFrame) -> DataFrame:
             return pointer
 
 
+def composed(first: DataFrame, then: DataFrame) -> DataFrame:
+    """Pointers of ``first`` moved on to where ``then`` points, if it has their roots."""
+    step = then.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    used = first.groupBy("root").agg(F.count("*").alias("n")).join(step, "root", "left").select("root", F.coalesce("next", "root").alias("next"), "n")
+    return cut(attach(first, used, ["root"], "n", first.count()).select("node", F.col("next").alias("root")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of the component, for every node with an edge to another. edges: a, b of one ordered type.
 
@@ -27,23 +34,14 @@ def components(edges: DataFrame) -> DataFrame:
     very many edges and roots with very many nodes are joined by ``attach``, so neither makes a hot task.
     """
     edges = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    rounds = []
-    while not edges.isEmpty():
-        count = edges.count()
+    out = None
+    while count := edges.count():
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(ends.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n")))
         pointer = followed(least.select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
-        rounds.append(pointer)
         ranked = cut(pointer.join(least.select(F.col("a").alias("node"), "n"), "node"))
         side = lambda c, name: ranked.select(F.col("node").alias(c), F.col("root").alias(name), "n")  # noqa: E731, B023
         joined = attach(attach(edges, side("a", "x"), ["a"], "n", 2 * count).drop("n"), side("b", "y"), ["b"], "n", 2 * count).where("x != y")
         edges = cut(joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    if not rounds:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = rounds[0]
-    for later in rounds[1:]:
-        later = later.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        out = cut(out)
-        used = out.groupBy("root").agg(F.count("*").alias("n")).join(later, "root", "left").select("root", F.coalesce("next", "root").alias("next"), "n")
-        out = attach(out, used, ["root"], "n", out.count()).select("node", F.col("next").alias("root"))
-    return out
+        out = composed(out, pointer) if out is not None else pointer
+    return out if out is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -58,10 +58,13 @@ def attach(rows: DataFrame, groups: DataFrame, key: list[str], weight: str, tota
 
     ``groups`` has one row per key and the number of its rows in ``weight``. Groups with over HEAVY_SHARE of ``total`` rows
     (fewer than 1 / HEAVY_SHARE of them) are broadcast and their rows stay where they are; all others meet in a shuffle join,
-    where no key has more than that share. No row is lost: the two filters are complementary, and keys must not be null.
+    where no key has more than that share. No row is lost: the two filters are complementary, and keys must not be null. ``groups`` is
+    written once, since it is read for both.
     """
-    limit = total * HEAVY_SHARE
+    groups, limit = cut(groups), total * HEAVY_SHARE
     heavy = groups.where(F.col(weight) > limit)
+    if heavy.isEmpty():
+        return rows.join(groups, key)
     light = groups.where(F.col(weight) <= limit)
     hot = rows.join(F.broadcast(heavy), key)
     cold = rows.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(light, key)
