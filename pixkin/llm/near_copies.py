@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pixkin.llm import simhash
 from pixkin.llm.common import attach, cut_lineage, small_batches, unused
 from pixkin.llm.simhash import majority, shingle_hashes
-from pixkin.operators.graph import components
+from pixkin.operators.graph import components, composed
 
 WIDTH = 5
 #: Bits within which the vantage-point trees link fingerprints.
@@ -248,15 +248,13 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def tree_pairs(nodes: DataFrame) -> DataFrame:
     """node, hub: sets whose fingerprints the vantage-point trees link, and sets of one fingerprint, with the smallest of them."""
     heads = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("hub"), F.count("*").alias("n")))
-    same = attach(nodes.select("fp", "node"), heads, ["fp"], "n", max(1, nodes.count())).select("node", "hub")
-    forest = cut_lineage(simhash.links(heads.select("fp"), REACH))
-    ends = forest.groupBy("b").agg(F.count("*").alias("n")).join(heads.select(F.col("fp").alias("b"), "hub"), "b")
-    linked = attach(forest.join(heads.select(F.col("fp").alias("a"), F.col("hub").alias("node")), "a"), ends, ["b"], "n", max(1, forest.count()))
-    return same.unionByName(linked.select("node", "hub"))
+    same = attach(nodes.select("fp", "node"), heads.where("n > 1"), ["fp"], "n", max(1, nodes.count())).select("node", "hub")
+    forest = simhash.links(heads.select("fp", F.col("hub").alias("name")), REACH)
+    return same.unionByName(forest.select(F.col("a").alias("node"), F.col("b").alias("hub")))
 
 
-def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b (nodes): links of similarity 0.8 or more that connect all that such links connect. rows: what shapes() gives."""
+def groups_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, root (the smallest node) of all that links of similarity 0.8 or more join. rows: what shapes() gives."""
     members = meeting(rows.where("size > 0"))
     nodes = cut_lineage(rows.where("size > 0").select("node", "size", "fp", *BITS).dropDuplicates(["node"]))
     total = max(1, members.count())
@@ -268,9 +266,9 @@ def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     star = attach(members, hubs, ["shingle"], "n", total).select("node", "hub")
     first = plausible(star.unionByName(tree_pairs(nodes)), nodes)
     near = verified(first, docs)
+    found = components(near.select(F.col("node").alias("a"), F.col("hub").alias("b")))
 
     # Then all pairs of a shingle's members that aren't joined yet: those outside its largest component with all members, in blocks.
-    found = components(near.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     members = cut_lineage(members.select("shingle", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
     sizes = members.groupBy("shingle", "root").agg(F.count("*").alias("m")).groupBy("shingle")
     sizes = sizes.agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("top")).where("n > top.m").select("shingle", "n", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.m")) / BLOCK).alias("left"), F.ceil(F.col("n") / BLOCK).alias("right"))
@@ -284,8 +282,15 @@ def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = x.join(y, ["shingle", "i", "j"]).where((F.col("x_root") != F.col("y_root")) & (F.col("in_top") | (F.col("x_node") < F.col("y_node"))) & may_be_near("x_", "y_"))
     tried = first.unionByName(first.select(F.col("hub").alias("node"), F.col("node").alias("hub")))
     pairs = cut_lineage(pairs.select(F.greatest("x_node", "y_node").alias("node"), F.least("x_node", "y_node").alias("hub")).distinct().join(tried, ["node", "hub"], "left_anti"))
-    more = near if pairs.isEmpty() else near.unionByName(verified(pairs, docs))
-    return more.select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    release(docs)
+    if pairs.isEmpty():
+        return found
+    more = verified(pairs, docs)
+    for end in ("node", "hub"):
+        more = more.join(found.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    later = components(more.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    alone = later.join(found.select("node"), "node", "left_anti")
+    return cut_lineage(composed(found, later).unionByName(alone))
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -301,7 +306,7 @@ def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") ->
     rows = cut_lineage(shapes(source))
     order = F.struct(F.col("doc_id").isNull().alias("nulls"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest")
     best = F.min(order).alias("best")
-    groups = rows.groupBy("node").agg(best).join(components(links(rows, source)), "node", "left")
+    groups = rows.groupBy("node").agg(best).join(groups_of(rows, source), "node", "left")
     stay = groups.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     stay = cut_lineage(stay.select(F.col("best.id").alias(names[0]), F.col("best.nulls").alias(names[1]), F.col("best.digest").alias(names[2])))
     release(docs)

@@ -159,7 +159,7 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def links(nodes: DataFrame, reach: int) -> DataFrame:
-    """a, b (fp long): a forest that spans all pairs of different fingerprints within ``reach``. nodes: fp long, unique.
+    """a, b (names): a forest that spans all pairs of different fingerprints within ``reach``. nodes: fp long (unique), name long (unique; what the result names them by).
 
     The sample that the tree is grown on grows with its levels, so leaves hold like numbers of rows. A shard that is still too large (many
     fingerprints at one distance of every point) is cut into blocks: parts of its home rows, each with all parts of its asking rows.
@@ -171,36 +171,35 @@ def links(nodes: DataFrame, reach: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False)
+            fp, name = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for i in range(0, len(fp), 20_000):
-                part = fp[i : i + 20_000]
+                part, names = fp[i : i + 20_000], name[i : i + 20_000]
                 rows, shard, home = tree.value.route(part.view(np.uint64), reach)
                 first = np.empty(len(part), np.int64)
                 first[rows[home]] = shard[home]
                 keep = home | (shard > first[rows])  # a pair meets once: in the later of its two shards
-                yield pa.RecordBatch.from_arrays([pa.array(shard[keep].astype(np.int32)), pa.array(part[rows[keep]]), pa.array(home[keep])], ["shard", "fp", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[keep].astype(np.int32)), pa.array(part[rows[keep]]), pa.array(names[rows[keep]]), pa.array(home[keep])], ["shard", "fp", "name", "home"])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = np.sort(pdf.loc[pdf["home"], "fp"].to_numpy(np.int64))
-        fp = np.unique(pdf["fp"].to_numpy(np.int64))
-        place = np.searchsorted(fp, own)
-        asks = np.searchsorted(fp, np.unique(pdf.loc[pdf["ask"], "fp"].to_numpy(np.int64)))
-        label = np.arange(len(fp))
-        for q, d in near_pairs(own.view(np.uint64), fp[asks].view(np.uint64), reach, np.random.default_rng(11)):
-            label = unite(label, asks[q], place[d])
-        linked = label != np.arange(len(fp))
-        return pd.DataFrame({"a": fp[linked], "b": fp[label[linked]]})
-
-    dealt = cut_lineage(nodes.select("fp").mapInArrow(deal, "shard int, fp long, home boolean"))
+        pdf = pdf.sort_values("fp")
+        both, at = np.unique(pdf["fp"].to_numpy(np.int64), return_index=True)
+        name = pdf["name"].to_numpy(np.int64)[at]
+        places = [np.searchsorted(both, np.unique(pdf.loc[pdf[c], "fp"].to_numpy(np.int64))) for c in ("home", "ask")]
+        own, asks = places
+        label = np.arange(len(both))
+        for q, d in near_pairs(both[own].view(np.uint64), both[asks].view(np.uint64), reach, np.random.default_rng(11)):
+            label = unite(label, asks[q], own[d])
+        linked = label != np.arange(len(both))
+        return pd.DataFrame({"a": name[linked], "b": name[label[linked]]})
+
+    dealt = cut_lineage(nodes.select("fp", "name").mapInArrow(deal, "shard int, fp long, name long, home boolean"))
     sizes = dealt.groupBy("shard").agg(F.ceil(F.count_if("home") / HOME_ROWS).cast("int").alias("parts"), F.ceil(F.count("*") / ASK_ROWS).cast("int").alias("turns"))
     placed = dealt.join(F.broadcast(sizes.where("parts > 0")), "shard")  # a row a shard; without home rows nothing can meet
-    part, turn = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("turns")).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    small = placed.where("parts = 1 and turns = 1").select("shard", F.lit(0).alias("part"), F.lit(0).alias("turn"), "fp", "home", F.lit(True).alias("ask"))
-    large = placed.where("parts > 1 or turns > 1")
-    homes = large.where("home").select("shard", part.alias("part"), every("turns").alias("turn"), "fp", F.lit(True).alias("home"), F.lit(False).alias("ask"))
-    asking = large.select("shard", every("parts").alias("part"), turn.alias("turn"), "fp", F.lit(False).alias("home"), F.lit(True).alias("ask"))
-    return small.unionByName(homes).unionByName(asking).groupBy("shard", "part", "turn").applyInPandas(join, "a long, b long")
+    own = F.when(F.col("home"), F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    turn = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("turns")).cast("int")
+    cells = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.transform(F.sequence(F.lit(0), F.col("turns") - 1), lambda t: F.struct(p.alias("part"), t.alias("turn"), F.coalesce(p == own, F.lit(False)).alias("home"), (t == turn).alias("ask"))))))
+    blocks = placed.select("shard", "fp", "name", cells.alias("c")).where("c.home or c.ask").select("shard", "c.part", "c.turn", "fp", "name", "c.home", "c.ask")
+    return blocks.groupBy("shard", "part", "turn").applyInPandas(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", width: int = 3, reach: int = 2) -> DataFrame:
@@ -211,7 +210,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     """
     rows = cut_lineage(fingerprint(docs, text=text, doc_id=doc_id, width=width))
     nodes = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    found = components(links(nodes, reach))
+    found = components(links(nodes.select("fp", F.col("fp").alias("name")), reach))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = cut_lineage(rooted)
     roots = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("fps"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
+import math
 import random
 import re
 import zlib
@@ -73,6 +75,15 @@ def test_lines_repeated_rows_null_ids_and_clashes(spark):
     assert line_dedup.dedup_lines(df.where("false")).count() == 0
 
 
+def test_null_ids_are_no_document_of_a_large_id_and_names_may_clash(spark):
+    names = ["line_late", "line_doc", "line_tid", "line_n", "line_words", "_n", "_doc", "_tid", "_words", "doc", "tid", "pos", "first"]
+    df = spark.createDataFrame([(2**63 - 1, "the same long line"), (None, "the same long line"), (None, "the same long line"), (5, "own line of text")], "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    out = line_dedup.dedup_lines(df)
+    got = sorted(((r.doc_id, r.text, r.n_dropped) for r in out.collect()), key=str)
+    assert got == sorted([(2**63 - 1, "the same long line", 0), (None, "", 1), (None, "", 1), (5, "own line of text", 0)], key=str)
+    assert set(df.columns) < set(out.columns)
+
+
 def brute_fingerprint(text, width=3):
     words = (text or "").encode().lower().split()
     sh = [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or ([b" ".join(words)] if words else [])
@@ -121,7 +132,9 @@ def test_near_links_against_all_pairs(spark, monkeypatch, shard_rows):
                 x ^= 1 << b
             fps.add(x)
     signed = [f - 2**64 if f >= 2**63 else f for f in sorted(fps)]
-    links = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), 2)
+    monkeypatch.setattr(simhash, "HOME_ROWS", 30 if shard_rows == 40 else 8192)
+    monkeypatch.setattr(simhash, "ASK_ROWS", 50 if shard_rows == 40 else 65_536)
+    links = simhash.links(spark.createDataFrame([(f, f) for f in signed], "fp long, name long"), 2)
     got = {r.node: r.root for r in simhash.components(links).collect()}
     want = {}
     comp = brute_components(dict(zip(signed, (f % 2**64 for f in signed))))
@@ -183,6 +196,19 @@ def test_mixture(spark, docs):
     assert [tuple(r)[1:] for r in mixing.mix_report(docs.where("doc_id = 101")).collect()] == [(0, 0, 0.0, 0)]
 
 
+def test_mixture_of_repeated_and_null_ids_and_clashing_names(spark):
+    """Texts of one id are taken apart, so a source of one id alone meets its target."""
+    rng = random.Random(5)
+    table = [(7 if i % 2 else None, f"w{i} " * rng.randint(1, 30), "a") for i in range(300)] + [(1000 + i, "x " * 10, "b") for i in range(300)]
+    names = ["_s", "_k", "_i", "_salt", "_t", "_copy", "mix_source", "mix_key", "mix_id", "mix_epochs", "mix_copy", "epochs", "cut_key"]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string").withColumns({n: F.lit(n) for n in names})
+    out = mixing.mix_sources(docs)
+    got = out.collect()
+    taken = {s: sum(r.copies * len(r.text.split()) for r in got if r.source == s) for s in "ab"}
+    assert len(got) == 600 and all(abs(taken[r.source] - r.target) <= 15 for r in got)
+    assert mixing.repeat_rows(out).columns == docs.columns
+
+
 def test_mixture_through_a_shuffle(spark, docs, monkeypatch):
     want = sorted(map(tuple, mixing.mix_report(docs).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
@@ -199,6 +225,29 @@ def test_differencing():
     assert sharding.karmarkar_karp([], 3) == [] and sharding.karmarkar_karp([5], 3) == [0]
 
 
+def test_differencing_against_a_plain_one():
+    """Partial partitions as lists of sums, the two of the largest spread joined in opposite order."""
+    rng = random.Random(9)
+    for k in (2, 3, 8):
+        sizes = [rng.randint(1, 500) for _ in range(60)]
+        partial = [(-s, i, sorted([(s, [i])] + [(0, [])] * (k - 1), key=lambda p: -p[0])) for i, s in enumerate(sizes)]
+        heapq.heapify(partial)
+        n = len(partial)
+        while len(partial) > 1:
+            a, b = heapq.heappop(partial)[2], heapq.heappop(partial)[2]
+            both = sorted(((x + y, p + q) for (x, p), (y, q) in zip(a, b[::-1])), key=lambda p: -p[0])
+            n += 1
+            heapq.heappush(partial, (both[-1][0] - both[0][0], n, both))
+        got = sharding.karmarkar_karp(sizes, k)
+        assert [sum(sizes[i] for i, p in enumerate(got) if p == j) for j in range(k)] == [s for s, _ in partial[0][2]]
+
+
+def test_shards_of_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "a"), (3, "b" * 40), (3, "c"), (3, None)], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("item", "size", "shard", "slot", "bytes", "n", "slice", "rank")})
+    got = sharding.shard_documents(df, shards=2).collect()
+    assert len(got) == 5 and all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in (0, 1))
+
+
 @pytest.mark.parametrize("fan", [32, 2048])
 def test_shards(spark, docs, monkeypatch, fan):
     monkeypatch.setattr(sharding, "FAN", fan)
@@ -249,6 +298,53 @@ def test_importance_resampling(spark):
     assert quality.keep_good(docs, marks).columns == docs.columns
 
 
+def test_resampling_against_plain_counts(spark):
+    """Counts, ratios, cut, Gumbel keys and k by loops over n-grams."""
+    table, labels, docs, marks = labelled(spark, 120)
+    sample = {r["_id"]: r for r in quality.label_sample(marks).collect()}
+    raw, target = [0] * quality.BUCKETS, [0] * quality.BUCKETS
+    grams = {}
+    for i, text, *_ in table:
+        grams[i] = quality.ngram_buckets(text.encode()).tolist()
+        for b in grams[i]:
+            raw[b] += 1
+            target[b] += sample[i].good and sample[i].fit
+    ratio = []
+    for r, t in zip(raw, target):
+        x = math.log((t + 1) / (r * sum(target) / sum(raw) + 1))
+        ratio.append(math.copysign(max(0.0, abs(x) - 2 * math.sqrt(1 / (t + 1) + 1 / (r + 1))), x))
+    weight = {i: sum(ratio[b] for b in g) for i, g in grams.items()}
+    held = {good: [weight[i] for i, s in sample.items() if not s.fit and s.good == good] for good in (True, False)}
+    threshold = quality.cut(np.array(held[True]), np.array(held[False]))
+    k = sum(w > threshold for w in weight.values())
+    got = {r.doc_id: r for r in quality.resample(docs, marks).collect()}
+    noise = {r.doc_id: r.h % 2**52 for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(13)).alias("h")).collect()}
+    keys = {i: weight[i] - math.log(-math.log((noise[i] + 0.5) / 2**52)) for i in weight}
+    last = sorted(keys.values(), reverse=True)[k - 1]
+    for i, w in weight.items():
+        assert got[i].log_weight == pytest.approx(w, abs=1e-9) and got[i].gumbel_key == pytest.approx(keys[i], abs=1e-9) and got[i].n_grams == len(grams[i])
+        assert got[i].keep == (keys[i] >= last)
+
+
+def test_small_samples_reject_bad_rows(spark):
+    rng = random.Random(2)
+    plain = ["the", "of", "and", "house", "river", "stone", "light", "garden"]
+    table = [(i, " ".join(rng.choice(plain) + ("%%%" if i % 4 == 0 else "") for _ in range(40))) for i in range(80)]
+    docs, marks = spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(80)], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality.keep_good(docs, marks).collect()}
+    assert not any(i % 4 == 0 for i in kept) and len(kept) >= 56
+
+
+def test_kept_rows_one_by_one_and_clashing_names(spark):
+    table, labels, docs, marks = labelled(spark, 120)
+    odd = spark.createDataFrame([(None, "the river", "", "", 0), (7, "the %%% $$$ *** " * 20, "", "", 0), (8, None, "", "", 0), (901, "the river " * 50_000, "", "", 0)], SCHEMA)
+    both = docs.unionByName(odd).withColumns({c: F.lit(1) for c in ("_kept", "whole_text", "n_grams", "log_weight", "good", "fit", "_id", "target")})
+    kept = quality.keep_good(both, marks)
+    stays = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+    assert kept.columns == both.columns and stays == sorted((r.doc_id is None, r.doc_id or 0) for r in quality.resample(both, marks).where("keep").collect())
+    assert quality.keep_good(both.where("false"), marks).count() == 0
+
+
 def test_token_hashes_in_chunks(monkeypatch):
     text = b" ".join(b"word%d,, x" % (i % 50) for i in range(3000))
     whole = quality.token_hashes(text)
@@ -285,3 +381,33 @@ def test_toxicity(spark):
 def test_languages_by_function_words():
     texts = ["the house and the river", "der Hund und das Haus ist", "le chat et la maison est dans", "el perro y los gatos del", "zzz qqq", None]
     assert toxicity.read(texts)[2].tolist() == [1, 2, 3, 4, 0, 0]
+
+
+def test_forward_pass_against_loops():
+    """Embeddings, filters and pooling word by word."""
+    rng = np.random.default_rng(4)
+    net = toxicity.Net(rng.normal(size=(1 << toxicity.BITS, toxicity.DIM)).astype(np.float32), [rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS], [rng.normal(size=toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS], rng.normal(size=24).astype(np.float32), 0.1, np.full(5, 0.5))
+    texts = ["one two three four", "", "word", None, "two words", "x " * 300]
+    buckets, ends, _ = toxicity.read(texts)
+    got = net.pooled(buckets, ends)[0]
+    begin = 0
+    for row, end in zip(got, ends):
+        vectors = [sum(net.table[b] for b in word) for word in buckets[begin:end]]
+        want = []
+        for w, f, s in zip(toxicity.WIDTHS, net.filters, net.shifts):
+            for j in range(toxicity.FILTERS):
+                want.append(max([0.0] + [float(sum(vectors[i + o] @ f[o][:, j] for o in range(w)) + s[j]) for i in range(len(vectors) - w + 1)]))
+        assert np.allclose(row, want, rtol=1e-4, atol=1e-4)
+        begin = end
+
+
+def test_the_fit_is_bounded_in_words(spark, monkeypatch):
+    table, labels, docs, marks = labelled(spark, 200)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, *a: seen.append(texts) or "net")
+    for words, longest in ((10**9, 10**9), (1000, 10**9), (10**9, 40), (0, 10)):
+        monkeypatch.setattr(toxicity, "TRAIN_WORDS", words)
+        monkeypatch.setattr(toxicity, "LONGEST", longest)
+        toxicity.train(docs, marks)
+    sizes = [[len(t) for t in texts] for texts in seen]
+    assert len(sizes[0]) > 100 and 900 < sum(sizes[1]) <= 1000 and max(sizes[2]) <= 40 and sizes[3] == []
