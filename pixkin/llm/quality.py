@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixkin.llm.common import cut_lineage, small_batches
+from pixkin.llm.common import cut_lineage, small_batches, unused
 
 BUCKETS = 1 << 14
 #: Labelled rows that the target model and the cut are fitted on at most: those with the smallest hashes of their ids.
 LABELLED_ROWS = 50_000
+CUT_FOLDS = 4
 BINS = 1024
 BASE = 0x9E3779B97F4A7C15 | 1
 CHUNK = 1 << 20
@@ -82,17 +83,28 @@ def doc_hash(doc_id: Column, seed: int) -> Column:
 
 
 def label_sample(labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
-    """_id, good boolean: the labelled ids with the smallest hashes, at most ``rows``. Ids with several labels count as their lowest; null ids or labels don't."""
+    """_id, good and fit boolean: the labelled ids with the smallest hashes, at most ``rows``. Rows with ``fit`` make the target model, the others (one in CUT_FOLDS) set the cut.
+
+    Ids with several labels count as their lowest; null ids or labels don't.
+    """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = known.orderBy(doc_hash(F.col("doc_id"), 1), "doc_id").limit(rows)
-    return picked.select(F.col("doc_id").alias("_id"), (F.col("quality") > 0).alias("good"))
+    return picked.select(F.col("doc_id").alias("_id"), (F.col("quality") > 0).alias("good"), (F.pmod(doc_hash(F.col("doc_id"), 2), F.lit(CUT_FOLDS)) > 0).alias("fit"))
 
 
-def model(docs: DataFrame, text: str) -> np.ndarray:
-    """Log ratios of the buckets. docs: text, good (null: not in the sample). One pass counts both models; a task sends its sums once.
+def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log ratios of the buckets' shares in target and raw text.
 
-    A ratio is drawn towards zero by two standard errors of its estimate, so buckets that the sample says little about say nothing.
+    The target's count is held against the count that the raw model expects, each with one added, and drawn towards zero by two standard
+    errors: buckets that the samples say little about, in small samples most, say nothing.
     """
+    expected = raw * (target.sum() / max(1.0, raw.sum()))
+    ratio = np.log((target + 1) / (expected + 1))
+    return np.sign(ratio) * np.maximum(0, np.abs(ratio) - 2 * np.sqrt(1 / (target + 1) + 1 / (raw + 1)))
+
+
+def model(docs: DataFrame, text: str) -> np.ndarray:
+    """Log ratios of the buckets. docs: text, target (whether the row is of the target text). One pass counts both models; a task sends its sums once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
@@ -111,28 +123,24 @@ def model(docs: DataFrame, text: str) -> np.ndarray:
         seen = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[0, seen]), pa.array(total[1, seen])], ["bucket", "raw", "target"])
 
-    parts = docs.select(F.col(text).cast("string").alias("text"), "good").mapInArrow(run, "bucket long, raw long, target long")
-    raw, target = np.full(BUCKETS, 0.5), np.full(BUCKETS, 0.5)
-    for bucket, r, t in parts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():  # BUCKETS rows at most
-        raw[bucket] += r
-        target[bucket] += t
-    if target.sum() <= BUCKETS:
-        return np.zeros(BUCKETS)
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
-    return np.sign(ratio) * np.maximum(0, np.abs(ratio) - 2 * np.sqrt(1 / target + 1 / raw))
+    parts = docs.select(F.col(text).cast("string").alias("text"), "target").mapInArrow(run, "bucket long, raw long, target long")
+    sums = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # BUCKETS rows at most
+    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    raw[sums["bucket"].to_numpy()], target[sums["bucket"].to_numpy()] = sums["raw"].to_numpy(), sums["target"].to_numpy()
+    return log_ratios(raw, target)
 
 
-def score(docs: DataFrame, ratios: np.ndarray, text: str, carry: list[str]) -> DataFrame:
-    """``carry`` columns, n_grams and log_weight of each row."""
+def score(docs: DataFrame, ratios: np.ndarray, text: str, n_grams: str = "n_grams", log_weight: str = "log_weight") -> DataFrame:
+    """``docs`` with the number of n-grams and the log weight of each row, by its whole text."""
+    at, kinds = docs.columns.index(text), dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [ngram_buckets((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(len(carry))]
+            found = [ngram_buckets((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column(at)]
             columns = [pa.array([len(x) for x in found], pa.int64()), pa.array([float(ratios[x].sum()) for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(carry))), *columns], [*carry, "n_grams", "log_weight"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, n_grams, log_weight])
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*carry, F.col(text).cast("string").alias("_text")).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in carry) + ", n_grams long, log_weight double")
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + f", `{n_grams}` long, `{log_weight}` double")
 
 
 def cut(good: np.ndarray, bad: np.ndarray) -> float:
@@ -162,28 +170,40 @@ def kth_largest(df: DataFrame, key: str, k: int) -> float:
     return low
 
 
+def gumbel_key(log_weight: Column, doc_id: Column, seed: int) -> Column:
+    uniform = (F.pmod(doc_hash(doc_id, seed), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
+    return log_weight - F.log(-F.log(uniform))
+
+
+def draw(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, seed: int) -> tuple[DataFrame, np.ndarray, float]:
+    """(doc_id, n_grams, log_weight, gumbel_key of all rows; the log ratios; the smallest key that is kept)."""
+    sample = F.broadcast(label_sample(labels))  # LABELLED_ROWS at most
+    rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(sample, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    ratios = model(rows.withColumn("target", F.coalesce(F.col("good") & F.col("fit"), F.lit(False))), "text")
+    scored = score(rows, ratios, "text").drop("text").withColumn("gumbel_key", gumbel_key(F.col("log_weight"), F.col("doc_id"), seed))
+    scored = cut_lineage(scored)
+    held = scored.where("good is not null and not fit").groupBy("doc_id", "good").agg(F.min("log_weight").alias("w")).toArrow()  # a row an id
+    good, weight = held["good"].to_numpy(zero_copy_only=False).astype(bool), held["w"].to_numpy()
+    threshold = cut(weight[good], weight[~good])
+    k = scored.where(F.col("log_weight") > F.lit(threshold)).count()
+    return scored, ratios, kth_largest(scored, "gumbel_key", k) if k else float("inf")
+
+
 def resample(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", seed: int = 13) -> DataFrame:
     """doc_id, n_grams, log_weight, gumbel_key, keep.
 
-    k is the number of documents whose log weight is above the cut between labelled good and bad rows; the k largest of log weight
+    k is the number of documents whose log weight is above the cut between held-out labelled good and bad rows; the k largest of log weight
     plus Gumbel noise (a hash of the id: reruns agree) are kept, with all that tie with the last. Texts without tokens (null, empty)
-    weigh nothing, 0. Rows of one id share their noise, null ids too. Without labels nothing is rejected; an empty table gives no rows.
+    weigh nothing, 0; long ones count whole. Rows of one id share their noise, null ids too. Without labels of both kinds nothing is
+    rejected; an empty table gives no rows. Other columns of ``docs`` play no part.
     """
-    sample = F.broadcast(label_sample(labels))  # LABELLED_ROWS at most
-    marked = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(sample, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    scored = cut_lineage(score(marked, model(marked, "text"), "text", ["doc_id", "good"]))
-    known: dict[bool, list[float]] = {True: [], False: []}
-    for good, weight in scored.where("good is not null").select("good", "log_weight").limit(2 * LABELLED_ROWS).collect():
-        known[good].append(weight)
-    threshold = cut(np.array(known[True]), np.array(known[False]))
-    uniform = (F.pmod(doc_hash(F.col("doc_id"), seed), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
-    keyed = scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
-    k = keyed.where(F.col("log_weight") > F.lit(threshold)).count()
-    keep = F.col("gumbel_key") >= F.lit(kth_largest(keyed, "gumbel_key", k)) if k else F.lit(False)
-    return keyed.select("doc_id", "n_grams", "log_weight", "gumbel_key", keep.alias("keep"))
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that the resampling keeps; rows with a null id follow the decision on them."""
-    kept = resample(docs, labels, text=text, doc_id=doc_id).where("keep").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_kept")).distinct()
-    return docs.join(kept, F.coalesce(F.col(doc_id), F.lit(-(2**63))) == F.col("_kept"), "left_semi")
+    scored, _, last = draw(docs, labels, text, doc_id, seed)
+    return scored.select("doc_id", "n_grams", "log_weight", "gumbel_key", (F.col("gumbel_key") >= F.lit(last)).alias("keep"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", seed: int = 13) -> DataFrame:
+    """The rows of ``docs`` that the resampling keeps, each by its own text and id; texts are scored again where they stand and never shuffled."""
+    _, ratios, last = draw(docs, labels, text, doc_id, seed)
+    whole, n_grams, weight = unused(docs, "whole_text", "n_grams", "log_weight")
+    scored = score(small_batches(docs).withColumn(whole, F.col(text).cast("string")), ratios, whole, n_grams, weight)
+    return scored.where(gumbel_key(F.col(weight), F.col(doc_id).cast("long"), seed) >= F.lit(last)).select(*docs.columns)
