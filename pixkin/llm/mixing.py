@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixkin.llm.common import HEAVY_SHARE, WORD, cut_lineage
+from pixkin.llm.common import WORD, cut_lineage, unused
 
 #: Sources are few; their table is broadcast up to this many, and joined by a salted shuffle beyond.
 BROADCAST_SOURCES = 100_000
@@ -22,9 +22,9 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def random_key(doc_id: Column, seed: int) -> Column:
-    """The first 15 hex digits of md5(doc_id '#' seed): uniform, and the same in every run and engine."""
-    return F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f"#{seed}"))), 1, 15)
+def random_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """The first 15 hex digits of md5(doc_id '#' seed '#' md5(text)): uniform, the same in every run and engine, and others for other texts of one id."""
+    return F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f"#{seed}#"), F.md5(F.coalesce(text, F.lit(""))))), 1, 15)
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -91,32 +91,36 @@ def mix_sources(
 ) -> DataFrame:
     """``docs`` with copies (how often the mix takes a document: 0, 1, 2 ...), source_size and target; with ``sizes``, also size.
 
-    Null texts have size 0, a null source is a source of its own and comes last, rows with a null or repeated doc_id share one key
-    and stand or fall together; an empty table gives no rows. Columns of ``docs`` named like the added ones are replaced.
+    Null texts have size 0, a null source is a source of its own and comes last. Rows that agree in doc_id (null ids too) and text share
+    one key and stand or fall together; other texts of one id have other keys. Long texts count whole; an empty table gives no rows.
+    Columns of ``docs`` named like the added ones are replaced, others may have any names.
     """
     added = ("copies", "source_size", "target", *(("size",) if sizes else ()))
     docs = docs.drop(*[c for c in docs.columns if c in added])
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), token_count(F.col(text)).alias("size")).withColumn("key", random_key(F.col("doc_id"), seed))
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), token_count(F.col(text)).alias("size"), random_key(F.col(doc_id), F.col(text), seed).alias("key"))
     sized = cut_lineage(sized)
     cuts = cut_lineage(source_cuts(sized, weights, share, most))
-    key, own = random_key(F.col(doc_id), seed), F.coalesce(F.col(doc_id), F.lit(-(2**63)))
-    within = (key < F.col("_k")) | ((key == F.col("_k")) & (own <= F.coalesce(F.col("_i"), F.lit(-(2**63)))))
-    cuts = cuts.select(F.col("source").alias("_s"), "source_size", "target", "epochs", F.col("cut_key").alias("_k"), F.col("cut_id").alias("_i"))
-    on = F.col(source).eqNullSafe(F.col("_s"))
+    own = F.coalesce(F.col(doc_id), F.lit(-(2**63)))
+    key = random_key(F.col(doc_id), F.col(text), seed)
+    s, k, i, e, salt, t = unused(docs.withColumns({c: F.lit(0) for c in added}), "mix_source", "mix_key", "mix_id", "mix_epochs", "mix_salt", "mix_turn")
+    within = (key < F.col(k)) | ((key == F.col(k)) & (own <= F.coalesce(F.col(i), F.lit(-(2**63)))))
+    cuts = cuts.select(F.col("source").alias(s), "source_size", "target", F.col("epochs").alias(e), F.col("cut_key").alias(k), F.col("cut_id").alias(i))
+    on = F.col(source).eqNullSafe(F.col(s))
     if cuts.count() <= BROADCAST_SOURCES:
         joined = docs.join(F.broadcast(cuts), on)
     else:
-        salted = docs.withColumn("_salt", F.pmod(F.xxhash64(doc_id), F.lit(SALTS)))
-        joined = salted.join(cuts.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), on & (F.col("_salt") == F.col("_t"))).drop("_salt", "_t")
-    joined = joined.withColumn("copies", (F.col("epochs") + F.coalesce(within.cast("long"), F.lit(0))).cast("long"))
+        salted = docs.withColumn(salt, F.pmod(F.xxhash64(doc_id, text), F.lit(SALTS)))
+        joined = salted.join(cuts.withColumn(t, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), on & (F.col(salt) == F.col(t)))
+    joined = joined.withColumn("copies", (F.col(e) + F.coalesce(within.cast("long"), F.lit(0))).cast("long"))
     out = joined.select(*docs.columns, "copies", "source_size", "target")
     return out.withColumn("size", token_count(F.col(text))) if sizes else out
 
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:
     """The mix itself: each row as often as its copies say."""
-    rows = mixed.withColumn("_copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))).otherwise(F.array())))
-    return rows.drop("_copy", "copies", "source_size", "target")
+    name = unused(mixed, "mix_copy")[0]
+    rows = mixed.withColumn(name, F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))).otherwise(F.array())))
+    return rows.drop(name, "copies", "source_size", "target")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -129,7 +133,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '#7'), 1, 15) AS k
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '#7#' || md5(coalesce(text, ''))), 1, 15) AS k
   FROM {docs}),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT] AS w,
