@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixkin.llm.common import small_batches
+from pixkin.llm.common import cut_lineage, small_batches
 from pixkin.llm.quality import _WORDCHAR, BASE, mixed
 
-#: Labelled rows that the network is fitted on at most: those with the smallest hashes of their ids.
-TRAIN_ROWS = 12_000
+#: Labelled rows that the network is fitted on at most: those with the smallest hashes of their ids, as many of them as have TRAIN_WORDS
+#: words together (20 bytes each on the driver); rows of over LONGEST words are passed over. Scores are of whole texts, however long.
+TRAIN_ROWS, TRAIN_WORDS, LONGEST = 12_000, 3_000_000, 50_000
 BITS, DIM, FILTERS, WIDTHS = 18, 8, 8, (1, 2, 3)
 PREFIXES = (4, 5, 6, 7)
 #: A bucket met in fewer documents of the sample keeps a zero embedding: one in 500, from 2 to LEAST_DOCS.
@@ -224,7 +225,8 @@ def fold(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> Net:
     """Fit on at most ``rows`` labelled rows outside the held-out fold (fold 0); fold 1 calibrates. Without labels, all score alike.
 
-    Executors hash the words; the driver gets their buckets. Ids with several labels count as the highest.
+    Executors hash the words; the driver gets the buckets of TRAIN_WORDS words at most. Ids with several labels count as the highest,
+    null ids or labels don't count, of several texts of an id each counts.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold(F.col("doc_id")) != 0)
     picked = known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(rows).select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic"), (fold(F.col("doc_id")) == 1).alias("calibrate"))
@@ -233,12 +235,19 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [read([t.as_py()]) for t in b.column(3)]
-            columns = [b.column(0), b.column(1), b.column(2), pa.array([int(f[2][0]) for f in found], pa.int32()), pa.array([f[0].tobytes() for f in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "toxic", "calibrate", "lang", "buckets"])
-
-    got = sample.mapInArrow(hashed, "id long, toxic int, calibrate boolean, lang int, buckets binary").toArrow().sort_by("id")
+            columns = [b.column(0), b.column(1), b.column(2), pa.array([int(f[2][0]) for f in found], pa.int32()), pa.array([len(f[0]) for f in found], pa.int64()), pa.array([f[0].tobytes() for f in found], pa.binary())]
+            keep = pa.array([len(f[0]) <= LONGEST for f in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, ["id", "toxic", "calibrate", "lang", "words", "buckets"]).filter(keep)
+
+    made = cut_lineage(sample.mapInArrow(hashed, "id long, toxic int, calibrate boolean, lang int, words long, buckets binary"))
+    place = F.struct(F.xxhash64("id", F.lit(3)).alias("h"), F.col("id").alias("i"), F.xxhash64("buckets").alias("b"))
+    sizes = made.select(place.alias("place"), "words").orderBy("place").limit(rows).toArrow()  # a number a row
+    fits = int(np.searchsorted(np.cumsum(sizes["words"].to_numpy()), TRAIN_WORDS, "right"))
+    last = sizes["place"][fits - 1].as_py() if fits else None
+    within = place <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["i"]).alias("i"), F.lit(last["b"]).alias("b")) if last else F.lit(False)
+    got = made.where(within).toArrow().sort_by([("id", "ascending"), ("words", "ascending")])
     texts = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 1 + len(PREFIXES)) for x in got["buckets"]]
-    return fit(texts, got["lang"].to_numpy(), got["toxic"].to_numpy().astype(np.int64), got["calibrate"].to_numpy().astype(bool))
+    return fit(texts, got["lang"].to_numpy(), got["toxic"].to_numpy().astype(np.int64), got["calibrate"].to_numpy(zero_copy_only=False).astype(bool))
 
 
 def score_documents(docs: DataFrame, net: Net, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
