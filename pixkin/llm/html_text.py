@@ -2,6 +2,7 @@
 
 Element subtrees outside the prose are hashed by their tags and words and counted per host in Spark. Subtrees that go with several
 different articles of a host are its template and are deleted, besides what a page's own tags and class names say is not its article.
+Reading a page takes time in proportion to its length, however its tags are nested, left open or broken off.
 """
 
 from __future__ import annotations
@@ -11,16 +12,17 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixkin.llm.common import attach, cut_lineage, small_batches
+from pixkin.llm.common import attach, cut_lineage, small_batches, unused
 
 #: A subtree that goes with at least so many different articles of a host, and this share of them, belongs to the host's template.
 LEAST_ARTICLES, LEAST_SHARE = 5, 0.1
-#: Up to so many template subtrees travel to the executors as a set (16 MB of hashes); beyond, pages are joined to theirs.
+#: Up to so many template subtrees travel to the executors as arrays (8 MB); beyond, pages are joined to theirs.
 BROADCAST_SUBTREES = 500_000
 
 # Fixed values of the format: elements by how they are treated.
@@ -33,30 +35,40 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 COUNTED = frozenset("div nav section aside header footer ul ol dl form table menu".split())
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = frozenset("ul ol dl table div section article main body html td th aside nav".split())
-# Words of class names and ids.
+KEEPS_P = frozenset("table td th caption button object".split())
+# Words of class names and ids. A word after no-, has-, with- or without- says what a page is like, not what a box is.
+START, STOP = r"(?:^|(?<!\bno)(?<!\bhas)(?<!\bwith)(?<!\bwithout)[\s_-])", r"(?:$|[\s_-])"
 NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|nav|navbar|navigation|menu|menubar|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|skip|comments?|commentlist|disqus|replies|respond)(?:$|[\s_-])",
+    START + r"(?:ads?|adverts?|advertis\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|nav|navbar|navigation|menu|menubar|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
+    r"newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|skip|comments?|commentlist|disqus|replies|respond)" + STOP,
     re.I,
 )
-COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond)(?:$|[\s_-])", re.I)
+COMMENTS = re.compile(START + r"(?:comments?|commentlist|disqus|replies|respond)" + STOP, re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:$|[\s_-])", re.I)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag's inside: quotes count after an equals sign only. No part is tried twice.
+INSIDE = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+>")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in RAW}
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     tag: str
     parent: int
     first: int  # of the page's parts
-    dropped: bool = False
-    comment: bool = False
+    out: bool = False  # not part of an article, by its tag or attributes
+    boxed: bool = False  # by its name
+    comment: bool = False  # by its name
+    below: bool = False  # is a comment or inside of one
     named: bool = False
-    inside: int = -1  # the article it is in
     end: int = -1
+    #: Texts and numbers of children, in page order.
+    inside: list[str | int] = field(default_factory=list)
+    dropped: bool = False
+    article: int = -1  # the outermost article that it is in or is
 
 
 @dataclass
@@ -67,100 +79,152 @@ class Page:
 
 
 def parse(html: str) -> Page:
-    """Elements and texts in page order, by a scan that closes what the format lets be left open."""
+    """Elements and texts in page order, by a scan that closes what the format lets be left open. Tags that no '>' ends are left out with all after them."""
     page = Page([Element("", -1, 0)])
     elements, parts, stack = page.elements, page.parts, [0]
+    places: dict[str, list[int]] = {}  # of the open elements of a tag, in the stack
+    menus: list[int] = []  # and of those that are no part of an article
+
+    def pop() -> None:
+        e = elements[stack.pop()]
+        e.end = len(parts)
+        places[e.tag].pop()
+        if menus and menus[-1] == len(stack):
+            menus.pop()
 
     def close(to: int) -> None:
         while len(stack) > to:
-            elements[stack.pop()].end = len(parts)
+            pop()
         parts.append((stack[-1], None))
 
+    def nearest(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def text(raw: str) -> None:
         if raw:
-            parts.append((stack[-1], entities.unescape(raw) if "&" in raw else raw))
-
-    at = 0
-    while m := TOKEN.search(html, at):
-        text(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+            raw = entities.unescape(raw) if "&" in raw else raw
+            parts.append((stack[-1], raw))
+            elements[stack[-1]].inside.append(raw)
+
+    at = shown = 0
+    loose = False  # a tag whose quotes never end was met: quotes count no more
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith(("<!", "<?"), at):
+            text(html[shown:at])
+            stop = html.find("-->", at + 4) + 3 if html.startswith("<!--", at) else html.find(">", at) + 1
+            at = shown = stop if stop > 2 else len(html)
+            continue
+        closing = html.startswith("</", at)
+        name = NAME.match(html, at + 1 + closing)
+        if not name:
+            at += 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if elements[stack[i]].tag == tag:
-                    if tag in INLINE:
-                        while len(stack) > i:
-                            elements[stack.pop()].end = len(parts)
-                    else:
-                        close(i)
-                    break
+        text(html[shown:at])
+        stop = None if loose else INSIDE.match(html, name.end())
+        if stop is None:
+            loose, after = True, html.find(">", name.end()) + 1
+            if not after:
+                shown = len(html)
+                break
+        else:
+            after = stop.end()
+        tag, inner = name[0].lower(), html[name.end() : after - 1]
+        at = shown = after
+        if closing:
+            if places.get(tag):
+                to = places[tag][-1]
+                if tag in INLINE:
+                    while len(stack) > to:
+                        pop()
+                else:
+                    close(to)
             continue
         if tag in VOID:
             if tag not in INLINE:
                 parts.append((stack[-1], None))
             continue
-        if tag in CLOSES_P and any(elements[e].tag == "p" for e in stack[-6:]):
-            for i in range(len(stack) - 1, 0, -1):
-                if elements[stack[i]].tag == "p":
-                    close(i)
-                    break
-        if tag in SAME_CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if elements[stack[i]].tag in SAME_CLOSES[tag]:
-                    close(i)
-                    break
-                if elements[stack[i]].tag in STOPS:
-                    break
-        attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
+        if tag in CLOSES_P and places.get("p") and places["p"][-1] > nearest(KEEPS_P):
+            close(places["p"][-1])
+        if tag in SAME_CLOSES and (same := nearest(SAME_CLOSES[tag])) and same > nearest(STOPS - {tag}):
+            close(same)
+        attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(inner)} if inner.strip() else {}
         names = f"{attributes.get('class', '')} {attributes.get('id', '')}" if attributes else ""
-        if tag in ("article", "main") and not COMMENTS.search(names):
-            # An article is not part of a menu or a box that was left open before it.
-            outer = next((i for i in range(1, len(stack)) if elements[stack[i]].dropped), 0)
-            if outer and not any(elements[e].comment for e in stack):
-                close(outer)
-        up = elements[stack[-1]]
-        e = Element(tag, stack[-1], len(parts), inside=up.inside)
-        e.comment = up.comment or bool(names and COMMENTS.search(names))
-        own = tag in DROPPED or "hidden" in attributes or attributes.get("role", "").lower() in ROLES
-        own = own or bool(names and tag not in ("html", "body", "main", *(("article",) if not e.comment else ())) and NOT_ARTICLE.search(names))
-        own = own or tag == "header" and up.inside < 0 or e.comment
-        e.dropped = up.dropped or own
-        e.named = tag == "main" or attributes.get("role", "").lower() == "main" or bool(names and CONTENT.search(names))
+        about = bool(names) and tag not in ("html", "body", "main") and bool(COMMENTS.search(names))
+        if tag in ("article", "main") and not about and menus and not elements[stack[-1]].below:
+            close(menus[0])  # an article is not part of a menu that was left open before it
+        role = attributes.get("role", "").lower()
+        e = Element(tag, stack[-1], len(parts), comment=about, below=about or elements[stack[-1]].below)
+        e.out = tag in DROPPED or "hidden" in attributes or role in ROLES
+        e.boxed = bool(names) and tag not in ("html", "body", "main", "article") and bool(NOT_ARTICLE.search(names))
+        e.named = tag == "main" or role == "main" or bool(names and CONTENT.search(names))
+        elements[stack[-1]].inside.append(len(elements))
         elements.append(e)
-        if tag == "article" and not e.dropped and up.inside < 0:
-            e.inside = len(elements) - 1
         if tag not in INLINE:
             parts.append((len(elements) - 1, None))
+        if e.out:
+            menus.append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
         stack.append(len(elements) - 1)
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            parts.append((stack[-1], html[at : stop.start() if stop else len(html)]))
-            at = stop.end() if stop else len(html)
-            elements[stack.pop()].end = len(parts)
-    tail = html[at:]
-    cut = tail.rfind("<")
-    if cut >= 0 and re.match(r"</?[a-zA-Z!?]", tail[cut:]):  # a tag that the page's end cuts off
-        tail = tail[:cut]
-    text(tail)
+            end = ENDS[tag].search(html, at)
+            parts.append((stack[-1], html[at : end.start() if end else len(html)]))
+            at = shown = end.end() if end else len(html)
+            pop()
+    text(html[shown:])
     while stack:
         elements[stack.pop()].end = len(parts)
+    decide(page)
     return page
 
 
+def decide(page: Page) -> None:
+    """Which elements are dropped. A box by its name alone ('has-sidebar', 'no-comments') that holds the page's article isn't one.
+
+    The article is the main element, else the longest article (inside a box only if it has more than half of the page's prose outside of
+    links, or no heading of first rank is there); comments are none. Without one, a box stays if it has more than half of the prose and the heading of first rank, or is no
+    comment.
+    """
+    elements = page.elements
+    out, links, boxed, size = ([x] * len(elements) for x in (False, False, False, 0))
+    for i, e in enumerate(elements[1:], 1):
+        out[i], links[i], boxed[i] = out[e.parent] or e.out, links[e.parent] or e.tag == "a", boxed[e.parent] or e.boxed
+    for i, t in page.parts:
+        if t and not out[i] and not links[i]:
+            size[i] += len(t) - t.count(" ")
+    for i in range(len(elements) - 1, 0, -1):
+        size[elements[i].parent] += size[i]
+    holds: set[int] = set()
+    fine = [i for i, e in enumerate(elements) if not out[i] and (e.tag in ("main", "article") and not e.below or e.tag == "h1")]
+    for tag, test in (("main", lambda i: True), ("article", lambda i: not boxed[i]), ("article", lambda i: 2 * size[i] > size[0]), ("h1", lambda i: not elements[i].below), ("article", lambda i: True), ("h1", lambda i: True)):
+        if found := [i for i in fine if elements[i].tag == tag and test(i)]:
+            j = max(found, key=lambda i: (size[i], -i))
+            sure = tag != "h1"
+            while j >= 0:
+                if sure or 2 * size[j] > size[0]:
+                    holds.add(j)
+                j = elements[j].parent
+            break
+    else:
+        holds.update(i for i, e in enumerate(elements) if 2 * size[i] > size[0] and not e.below)
+    for i, e in enumerate(elements[1:], 1):
+        up = elements[e.parent]
+        e.dropped = up.dropped or e.out or (e.boxed or e.comment) and i not in holds or e.tag == "header" and up.article < 0
+        e.article = up.article if up.article >= 0 else i if e.tag == "article" and not e.dropped else -1
+
+
+def texts_before(page: Page) -> np.ndarray:
+    """Lengths of the kept texts before each part, in all."""
+    return np.cumsum([0, *(len(t) if t and not page.elements[e].dropped else 0 for e, t in page.parts)])
+
+
 def root(page: Page) -> int:
     """The element of the article: the longest article that isn't dropped, else main or what is named so, else the whole page."""
-    sizes: dict[int, int] = {}
-    for e, t in page.parts:
-        if t and not page.elements[e].dropped:
-            sizes[page.elements[e].inside] = sizes.get(page.elements[e].inside, 0) + len(t)
-    articles = [(n, -a) for a, n in sizes.items() if a >= 0]
-    if articles:
-        return -max(articles)[1]
-    named = [i for i, e in enumerate(page.elements) if e.named and not e.dropped]
-    if named:
-        return max(named, key=lambda i: (sum(len(t) for e, t in page.parts[page.elements[i].first : page.elements[i].end] if t and not page.elements[e].dropped), -i))
+    before = texts_before(page)
+    length = lambda i: int(before[page.elements[i].end] - before[page.elements[i].first])
+    for choose in (lambda i, e: e.article == i, lambda i, e: e.named):
+        found = [i for i, e in enumerate(page.elements) if i and not e.dropped and choose(i, e)]
+        if found:
+            return max(found, key=lambda i: (length(i), -i))
     return 0
 
 
@@ -187,17 +251,19 @@ def under(page: Page, top: int, cut: frozenset[int] | set[int] = frozenset()) ->
 
 
 def subtrees(page: Page, top: int) -> dict[int, int]:
-    """Hashes, by element, of the containers that may be a template's: not the article nor what holds it."""
+    """Hashes, by element, of the containers that may be a template's: not the article nor what holds it. A hash is made of the tag, the texts and the children's hashes."""
     holds, j = set(), top
     while j >= 0:
         holds.add(j)
         j = page.elements[j].parent
-    out = {}
-    for i, e in enumerate(page.elements):
-        if e.tag in COUNTED and i not in holds:
-            words = [f"<{page.elements[k].tag}" if t is None else " ".join(t.split()) for k, t in page.parts[e.first : e.end]]
-            out[i] = xxhash.xxh64_intdigest("\0".join(w for w in words if w).encode("utf-8", "surrogatepass")) - 2**63
-    return out
+    hashes = [0] * len(page.elements)
+    for i in range(len(page.elements) - 1, 0, -1):
+        e = page.elements[i]
+        made = xxhash.xxh64(e.tag.encode("utf-8", "surrogatepass"))
+        for x in e.inside:
+            made.update(b"\1" + hashes[x].to_bytes(8, "little") if isinstance(x, int) else b"\0" + " ".join(x.split()).encode("utf-8", "surrogatepass"))
+        hashes[i] = made.intdigest()
+    return {i: hashes[i] - 2**63 for i, e in enumerate(page.elements) if e.tag in COUNTED and i not in holds}
 
 
 def candidates(html: str | None) -> tuple[int, list[int]]:
@@ -218,16 +284,8 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, *, html: str = "html", url: str = "url", least: int = LEAST_ARTICLES, share: float = LEAST_SHARE, broadcast: int = BROADCAST_SUBTREES) -> DataFrame:
-    """``pages`` with ``text`` (empty if none) instead of the html column; every row is kept.
-
-    A null html is an empty page; rows without a host (null or odd urls) form one of their own. Copies of an article count once, so
-    that they are no template; what a few articles of a large host share is their own text. A column ``text`` of ``pages`` is replaced. An empty table gives no rows.
-    """
-    pages = small_batches(pages)
-    pages = pages.drop("text") if html != "text" else pages
-    source = F.coalesce(F.col(html).cast("string"), F.lit("")).alias("_html")
-    rows = pages.select(F.xxhash64(host(F.col(url))).alias("site"), source).withColumn("key", F.xxhash64("_html"))
+def templates(rows: DataFrame, least: int = LEAST_ARTICLES, share: float = LEAST_SHARE) -> tuple[DataFrame, DataFrame]:
+    """(site, subtree, n) of the subtrees that go with ``least`` different articles of a site and ``share`` of all its articles, and (site, key, subtree) of all pages. rows: site, key, html."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,37 +295,51 @@ def extract(pages: DataFrame, *, html: str = "html", url: str = "url", least: in
                 out.extend((site, key, article, h) for h in (None, *found))  # a row without a subtree counts the article
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), (), ()))], ["site", "key", "article", "subtree"])
 
-    seen = cut_lineage(rows.select("site", "key", "_html").mapInArrow(hashed, "site long, key long, article long, subtree long").distinct())
+    seen = cut_lineage(rows.select("site", "key", "html").mapInArrow(hashed, "site long, key long, article long, subtree long").distinct())
     hosts = seen.groupBy("site").agg(F.count_distinct("article").alias("of"))
     seen = seen.where("subtree is not null")
     often = cut_lineage(seen.groupBy("site", "subtree").agg(F.count_distinct("article").alias("articles"), F.count("*").alias("n")).where(F.col("articles") >= least))
     hosts = cut_lineage(hosts.join(often.groupBy("site").agg(F.count("*").alias("subtrees")), "site"))
-    template = attach(often, hosts, ["site"], "subtrees", max(1, often.count())).where(F.col("articles") >= share * F.col("of"))
-    template = cut_lineage(template.select("site", "subtree", "n"))
-    others = [F.col(c) for c in pages.columns if c != html]
-    kinds = ", ".join(f"`{c}` {t}" for c, t in pages.dtypes if c != html)
+    found = attach(often, hosts, ["site"], "subtrees", max(1, often.count())).where(F.col("articles") >= share * F.col("of"))
+    return cut_lineage(found.select("site", "subtree", "n")), seen.select("site", "key", "subtree")
+
+
+def extract(pages: DataFrame, *, html: str = "html", url: str = "url", least: int = LEAST_ARTICLES, share: float = LEAST_SHARE, broadcast: int = BROADCAST_SUBTREES) -> DataFrame:
+    """``pages`` with ``text`` (empty if none) instead of the html column; every row is kept.
 
-    def cleaned(of: dict[int, set[int]] | None):
+    A null html is an empty page; rows without a host (null or odd urls) form one of their own. Copies of an article count once, so
+    that they are no template; what a few articles of a large host share is their own text. Long pages count whole. A column ``text`` of
+    ``pages`` is replaced, other columns may have any names. An empty table gives no rows.
+    """
+    pages = small_batches(pages)
+    pages = pages.drop("text") if html != "text" else pages
+    s, k, h, found = unused(pages, "page_site", "page_key", "page_html", "page_subtrees")
+    others = [F.col(f"`{c}`") for c in pages.columns if c != html]
+    source = F.coalesce(F.col(html).cast("string"), F.lit(""))
+    keyed = pages.select(*others, F.xxhash64(host(F.col(url))).alias(s), F.xxhash64(source).alias(k), source.alias(h))
+    template, seen = templates(keyed.select(F.col(s).alias("site"), F.col(k).alias("key"), F.col(h).alias("html")), least, share)
+    kinds = "".join(f"`{c}` {t}, " for c, t in pages.dtypes if c != html)
+
+    def cleaned(subtrees_of):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 n = b.num_columns
-                sets = [sites.value.get(s, frozenset()) for s in b.column(n - 2).to_pylist()] if of is None else [frozenset(s or ()) for s in b.column(n - 2).to_pylist()]
-                text = [main_text(h.as_py(), s) for h, s in zip(b.column(n - 1), sets)]
+                text = [main_text(x.as_py(), subtrees_of(y)) for x, y in zip(b.column(n - 1), b.column(n - 2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n - 2)), pa.array(text, pa.string())], [*b.schema.names[: n - 2], "text"])
 
         return run
 
-    made = f"{kinds}, text string" if kinds else "text string"
     if template.count() <= broadcast:
-        by_site: dict[int, set[int]] = {}
-        for site, subtree in template.select("site", "subtree").collect():  # ``broadcast`` rows at most
-            by_site.setdefault(site, set()).add(subtree)
-        sites = pages.sparkSession.sparkContext.broadcast(by_site)
-        return pages.select(*others, F.xxhash64(host(F.col(url))).alias("_site"), source).mapInArrow(cleaned(None), made)
-    per_page = attach(seen.select("site", "key", "subtree"), template, ["site", "subtree"], "n", max(1, seen.count())).groupBy("site", "key").agg(F.collect_set("subtree").alias("_subtrees"))
-    sites = None
-    keyed = pages.select(*others, F.xxhash64(host(F.col(url))).alias("site"), source).withColumn("key", F.xxhash64("_html"))
-    return keyed.join(per_page, ["site", "key"], "left").select(*others, "_subtrees", "_html").mapInArrow(cleaned({}), made)
+        table = template.select("site", "subtree").orderBy("site", "subtree").toArrow()  # ``broadcast`` rows at most
+        arrays = pages.sparkSession.sparkContext.broadcast((table["site"].to_numpy(), table["subtree"].to_numpy()))
+
+        def of_site(site: int) -> frozenset[int]:
+            sites, subtree = arrays.value
+            return frozenset(subtree[np.searchsorted(sites, site, "left") : np.searchsorted(sites, site, "right")].tolist())
+
+        return keyed.select(*others, s, h).mapInArrow(cleaned(of_site), f"{kinds}text string")
+    met = attach(seen, template, ["site", "subtree"], "n", max(1, seen.count())).groupBy(F.col("site").alias(s), F.col("key").alias(k)).agg(F.collect_set("subtree").alias(found))
+    return keyed.join(met, [s, k], "left").select(*others, found, h).mapInArrow(cleaned(lambda x: frozenset(x or ())), f"{kinds}text string")
 
 
 def page_report(pages: DataFrame) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from pixkin.llm import html_text
 
@@ -18,3 +22,62 @@ def test_a_list_that_few_articles_of_a_large_host_share_stays(spark, broadcast):
     got = {r.page_id: r.text for r in html_text.extract(df, broadcast=broadcast).collect()}
     want = {i: f"own text {i}" + (" first step second step" if i < 8 else "") for i in range(120)} | {500 + i: f"small text {i}" for i in range(6)}
     assert got == want
+
+
+LONG = "All of this is what the page has to say, and it says it at length. " * 6
+WRAPPED = [
+    (f'<body><div class="content has-sidebar"><h1>T</h1><p>{LONG}</p><div class="sidebar"><a href=x>link</a> more</div></div></body>', "T"),
+    (f'<body><div id="page" class="layout-no-sidebar"><article><p>{LONG}</p></article></div><div class="cookie-notice">{LONG * 3}</div></body>', ""),
+    (f'<div class="widget-area"><p>{LONG}</p></div>', ""),
+    (f'<div class="post no-comments"><article><p>{LONG}</p></article></div><div class="comments"><article class=comment>{LONG * 3}</article></div>', ""),
+    (f'<div class="wrap menu-open"><main><p>{LONG}</p></main></div><div class="related"><article><p>{LONG * 2}</p></article></div>', ""),
+    (f'<div><h1>T</h1><p>{LONG}</p></div><div class="related"><article><p>teaser</p></article></div>', "T"),
+    (f'<article><p>{LONG}</p><div class="related"><article>teaser {LONG}</article></div></article>', ""),
+    (f'<a title="1 > 0" href=x>skip</a><article class="post""><p>{LONG}</p></article>', ""),
+    (f'<p><b><i><u><s><em><span>{LONG}<div>', ""),
+]
+
+
+@pytest.mark.parametrize(("html", "before"), WRAPPED)
+def test_boxes_that_hold_the_article_stay(html, before):
+    assert html_text.main_text(html).split() == f"{before} {LONG}".split()
+
+
+def test_hard_pages_take_linear_time():
+    """Ten times the page takes about ten times as long, not a hundred."""
+    for part in ('<a href="', "<div>", "<div class=content>", "<p>", "<b><i>", "</span><div>", "<article>", "<li><div>", "<!", "<menu>a"):
+        took = []
+        for n in (4_000, 40_000):
+            start = time.process_time()
+            html_text.candidates(part * n)
+            took.append(time.process_time() - start)
+        assert took[1] < 40 * max(took[0], 0.02), part
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_templates_against_plain_counts_and_clashing_names(spark, broadcast):
+    rng = random.Random(1)
+    boxes = [f"<div>box {k} <b>of words</b></div>" for k in range(12)]
+    table = []
+    for i in range(150):
+        host = rng.choice(["a.example", "b.example", "c.example", None])
+        html = "<body>" + "".join(b for k, b in enumerate(boxes) if rng.random() < k / 20) + f"<article><p>text {i % 110}</p>{rng.choice(boxes)}</article></body>"
+        table.append((i, host and f"http://{host}/{i}", html))
+    articles, goes = {}, {}
+    for i, url, html in table:
+        site = url.split("/")[2] if url else ""
+        page = html_text.parse(html)
+        top = html_text.root(page)
+        text = html_text.under(page, top)
+        articles.setdefault(site, set()).add(text)
+        for h in html_text.subtrees(page, top).values():
+            goes.setdefault((site, h), set()).add(text)
+    want = {}
+    for i, url, html in table:
+        site = url.split("/")[2] if url else ""
+        cut = {h for (s, h), texts in goes.items() if s == site and len(texts) >= 5 and len(texts) >= 0.1 * len(articles[site])}
+        want[i] = html_text.main_text(html, cut)
+    names = ["site", "key", "article", "subtree", "_site", "_html", "page_site", "page_key", "page_html", "page_subtrees", "n", "of"]
+    df = spark.createDataFrame(table, "page_id long, url string, html string").withColumns({n: F.lit(n) for n in names})
+    out = html_text.extract(df, broadcast=broadcast)
+    assert {r.page_id: r.text for r in out.collect()} == want and set(names) < set(out.columns) and len(set(want.values())) > 100
