@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixkin.operators.graph import components
-from pixkin.operators.skew import cut
+from pixkin.operators.skew import cut, numbered
 
 CATEGORY_RANK = {"almost-certain-duplicate": 4, "probable-duplicate": 3, "needs-review": 2, "probably-different": 1}
 
@@ -28,8 +28,9 @@ def best_edges(edges: DataFrame, images: DataFrame) -> DataFrame:
     edges = edges.where("source_id != target_id")
     for end in ("source_id", "target_id"):
         edges = edges.join(known, F.col(end) == F.col("known"), "left_semi")
-    pair = Window.partitionBy(F.least("source_id", "target_id"), F.greatest("source_id", "target_id")).orderBy(*strength())
-    return edges.withColumn("_n", F.row_number().over(pair)).where("_n = 1").drop("_n")
+    place = F.struct(~F.col("strong"), -F.col("score"), -category_rank(F.col("category")), "id")
+    best = edges.groupBy(F.least("source_id", "target_id").alias("_a"), F.greatest("source_id", "target_id").alias("_b")).agg(F.min_by(F.struct(*edges.columns), place).alias("_best"))
+    return best.select("_best.*")
 
 
 def complete_link(edges: DataFrame) -> DataFrame:
@@ -64,8 +65,9 @@ def with_reference(members: DataFrame, edges: DataFrame, images: DataFrame) -> D
     ends = edges.select("draft", "score", F.explode(F.array("source_id", "target_id")).alias("image")).groupBy("draft", "image").agg(F.sum("score").alias("total"))
     facts = images.select(F.col("id").alias("image"), (F.coalesce("width", F.lit(0)) * F.coalesce("height", F.lit(0))).alias("pixels"), F.coalesce("size", F.lit(0)).alias("bytes")).dropDuplicates(["image"])
     ranked = members.join(ends, ["draft", "image"], "left").join(facts, "image", "left")
-    order = Window.partitionBy("draft").orderBy(F.desc(F.coalesce("total", F.lit(0))), F.desc("pixels"), F.desc("bytes"), "image")
-    return ranked.withColumn("reference", F.first("image").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).select("draft", "image", "reference")
+    place = F.struct(-F.coalesce("total", F.lit(0)), -F.coalesce("pixels", F.lit(0)), -F.coalesce("bytes", F.lit(0)), "image")
+    first = ranked.groupBy("draft").agg(F.min_by("image", place).alias("reference"))
+    return members.select("draft", "image").join(first, "draft").select("draft", "image", "reference")
 
 
 def duplicate_groups(edges: DataFrame, images: DataFrame) -> DataFrame:
@@ -94,5 +96,5 @@ def duplicate_groups(edges: DataFrame, images: DataFrame) -> DataFrame:
     first = core_groups.select("*", F.lit(0).alias("kind"), F.lit(True).alias("strong"), F.lit(0).alias("score"), F.lit("").alias("category"), F.col("draft").alias("id"))
     every = first.unionByName(pair_groups.withColumn("kind", F.lit(1)))
     # Numbers follow the reference's order; among equals cores come first, then pairs by strength.
-    number = F.row_number().over(Window.orderBy("reference_id", "kind", *strength()))
-    return every.withColumn("group_id", F.concat(F.lit("group-"), number.cast("string"))).select(F.col("group_id").alias("id"), "reference_id", "member_ids", "uncertain_ids", "edge_ids", F.lit("unreviewed").alias("status"))
+    every = numbered(every, [F.col("reference_id"), F.col("kind"), *strength()], "number")
+    return every.withColumn("group_id", F.concat(F.lit("group-"), F.col("number").cast("string"))).select(F.col("group_id").alias("id"), "reference_id", "member_ids", "uncertain_ids", "edge_ids", F.lit("unreviewed").alias("status"))

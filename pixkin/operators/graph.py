@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixkin.operators.skew import attach, cut
+from pixkin.operators.skew import HEAVY_SHARE, attach, cut, release
 
 
 def followed(pointer: DataFrame) -> DataFrame:
-    """Pointers (node, root) moved to where their roots point, until none moves. A root that many nodes share is looked up once."""
+    """Pointers (node, root) moved to where their roots point, until none moves. A root that very many nodes share is looked up once."""
     total = pointer.count()
     while True:
         step = pointer.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        roots = pointer.groupBy("root").agg(F.count("*").alias("n")).join(step, "root")
-        moved = cut(attach(pointer, roots, ["root"], "n", total).select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        sizes = pointer.groupBy("root").agg(F.count("*").alias("n"))
+        most = sizes.agg(F.max("n")).first()[0]
+        onward = pointer.join(step, "root") if most <= total * HEAVY_SHARE else attach(pointer, sizes.join(step, "root"), ["root"], "n", total)
+        moved = cut(onward.select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
         pointer = moved.select("node", "root")
         if moved.where("moved").isEmpty():
             return pointer
@@ -41,7 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
         pointer = followed(least.select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
         ranked = cut(pointer.join(least.select(F.col("a").alias("node"), "n"), "node"))
         side = lambda c, name: ranked.select(F.col("node").alias(c), F.col("root").alias(name), "n")  # noqa: E731, B023
-        joined = attach(attach(edges, side("a", "x"), ["a"], "n", 2 * count).drop("n"), side("b", "y"), ["b"], "n", 2 * count).where("x != y")
+        joined = attach(attach(edges, side("a", "x"), ["a"], "n", 2 * count, ready=True).drop("n"), side("b", "y"), ["b"], "n", 2 * count, ready=True).where("x != y")
         edges = cut(joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         out = composed(out, pointer) if out is not None else pointer
+        release(edges.sparkSession)
     return out if out is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

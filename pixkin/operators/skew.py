@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,15 +54,15 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def attach(rows: DataFrame, groups: DataFrame, key: list[str], weight: str, total: int) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, key: list[str], weight: str, total: int, ready: bool = False) -> DataFrame:
     """Inner join of many rows to one row per group, without a hot task.
 
     ``groups`` has one row per key and the number of its rows in ``weight``. Groups with over HEAVY_SHARE of ``total`` rows
     (fewer than 1 / HEAVY_SHARE of them) are broadcast and their rows stay where they are; all others meet in a shuffle join,
     where no key has more than that share. No row is lost: the two filters are complementary, and keys must not be null. ``groups`` is
-    written once, since it is read for both.
+    read several times, so it is written first unless it is ``ready``.
     """
-    groups, limit = cut(groups), total * HEAVY_SHARE
+    groups, limit = groups if ready else cut(groups), total * HEAVY_SHARE
     heavy = groups.where(F.col(weight) > limit)
     if heavy.isEmpty():
         return rows.join(groups, key)
@@ -69,3 +70,26 @@ def attach(rows: DataFrame, groups: DataFrame, key: list[str], weight: str, tota
     hot = rows.join(F.broadcast(heavy), key)
     cold = rows.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(light, key)
     return hot.unionByName(cold)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner take what nothing refers to any more: files of shuffles and checkpoints, broadcasts, plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with ``name``: 1, 2, 3 ... in ``order`` (a total one), without a task that sees all rows.
+
+    Rows are dealt by ranges of the order and sorted there; a number is the place in its range plus the rows of the ranges before, of which
+    the driver gets one count a range.
+    """
+    place = unused(df, "place")[0]
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn(place, F.monotonically_increasing_id())
+    part = F.shiftright(place, 33)
+    sizes = dict(ranged.groupBy(part.alias("part")).agg(F.count("*")).collect())
+    starts, before = {}, 0
+    for p in sorted(sizes):
+        starts[p], before = before, before + sizes[p]
+    table = F.create_map(*[F.lit(x) for p, n in starts.items() for x in (p, n)]) if starts else F.create_map(F.lit(0), F.lit(0))
+    return ranged.withColumn(name, (F.element_at(table, part.cast("int")) + F.col(place).bitwiseAND((1 << 33) - 1) + 1).cast("long")).drop(place)
