@@ -13,7 +13,6 @@ members that are still apart are then compared pair by pair, in blocks.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +25,7 @@ from pixkin.llm import simhash
 from pixkin.llm.common import attach, cut_lineage, small_batches, unused
 from pixkin.llm.simhash import majority, shingle_hashes
 from pixkin.operators.graph import components, composed
+from pixkin.operators.skew import release
 
 WIDTH = 5
 #: Bits within which the vantage-point trees link fingerprints.
@@ -182,12 +182,6 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return cut_lineage(both.where(may_be_near("x_", "y_")).select("node", "hub"))
 
 
-def release(df: DataFrame) -> None:
-    """Lets Spark's cleaner take the files of shuffles and checkpoints that nothing refers to any more."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def filter_of(nodes: DataFrame) -> tuple[np.ndarray, int]:
     """A bitmap that has the places of all wanted nodes, and its number of bits."""
     bits = int(min(FILTER_BITS, max(1 << 10, 1 << (16 * nodes.count()).bit_length())))
@@ -204,10 +198,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     Sets are made again from the texts and kept if a filter has their node. A set travels once to its node's checks and from there to its hubs; a
     hub's set is copied for each SHARED_CHECKS of its checks, and a task streams a hub's set followed by those that are checked against it.
     """
-    uses = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SHARED_CHECKS).cast("int").alias("shares"))
+    uses = pairs.groupBy("hub").agg(F.count("*").alias("n"), F.ceil(F.count("*") / SHARED_CHECKS).cast("int").alias("shares"))
     uses = cut_lineage(uses)
-    weights = pairs.groupBy("hub").agg(F.count("*").alias("n")).join(uses, "hub")
-    member = attach(pairs, weights, ["hub"], "n", max(1, pairs.count())).select("node", "hub", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), F.lit(False).alias("own"))
+    member = attach(pairs, uses, ["hub"], "n", max(1, pairs.count()), ready=True).select("node", "hub", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), F.lit(False).alias("own"))
     itself = uses.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(True).alias("own"))
     places = cut_lineage(member.unionByName(itself))
     wanted = docs.sparkSession.sparkContext.broadcast(filter_of(places.select("node").distinct()))
@@ -241,7 +234,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     found = docs.select("text").mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     dealt = places.join(found, "node").repartition("hub", "share").sortWithinPartitions("hub", "share", F.desc("own"))
     out = cut_lineage(dealt.select("node", "hub", "own", "shingles").mapInArrow(check, "node long, hub long"))
-    release(docs)
+    release(docs.sparkSession)
     return out
 
 
@@ -250,7 +243,7 @@ def tree_pairs(nodes: DataFrame) -> DataFrame:
     heads = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("hub"), F.count("*").alias("n")))
     same = attach(nodes.select("fp", "node"), heads.where("n > 1"), ["fp"], "n", max(1, nodes.count())).select("node", "hub")
     forest = simhash.links(heads.select("fp", F.col("hub").alias("name")), REACH)
-    return same.unionByName(forest.select(F.col("a").alias("node"), F.col("b").alias("hub")))
+    return cut_lineage(same.unionByName(forest.select(F.col("a").alias("node"), F.col("b").alias("hub"))))
 
 
 def groups_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -263,7 +256,8 @@ def groups_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
     weight = attach(members, meets, ["shingle"], "n", total).groupBy("node").agg(F.sum("n").alias("weight"))
     members = cut_lineage(members.join(weight, "node"))
     hubs = members.groupBy("shingle").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"), F.count("*").alias("n"))
-    star = attach(members, hubs, ["shingle"], "n", total).select("node", "hub")
+    star = cut_lineage(attach(members, hubs, ["shingle"], "n", total).select("node", "hub").where("node != hub").distinct())
+    release(docs.sparkSession)
     first = plausible(star.unionByName(tree_pairs(nodes)), nodes)
     near = verified(first, docs)
     found = components(near.select(F.col("node").alias("a"), F.col("hub").alias("b")))
@@ -272,7 +266,7 @@ def groups_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
     members = cut_lineage(members.select("shingle", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
     sizes = members.groupBy("shingle", "root").agg(F.count("*").alias("m")).groupBy("shingle")
     sizes = sizes.agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("top")).where("n > top.m").select("shingle", "n", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.m")) / BLOCK).alias("left"), F.ceil(F.col("n") / BLOCK).alias("right"))
-    open_ = attach(members, cut_lineage(sizes), ["shingle"], "n", total)
+    open_ = attach(members, sizes, ["shingle"], "n", total)
     open_ = cut_lineage(open_.join(nodes.select("node", "size", *BITS), "node"))
     place = lambda of: F.pmod(F.xxhash64("node"), F.col(of))
     every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
@@ -282,7 +276,7 @@ def groups_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = x.join(y, ["shingle", "i", "j"]).where((F.col("x_root") != F.col("y_root")) & (F.col("in_top") | (F.col("x_node") < F.col("y_node"))) & may_be_near("x_", "y_"))
     tried = first.unionByName(first.select(F.col("hub").alias("node"), F.col("node").alias("hub")))
     pairs = cut_lineage(pairs.select(F.greatest("x_node", "y_node").alias("node"), F.least("x_node", "y_node").alias("hub")).distinct().join(tried, ["node", "hub"], "left_anti"))
-    release(docs)
+    release(docs.sparkSession)
     if pairs.isEmpty():
         return found
     more = verified(pairs, docs)
@@ -309,5 +303,5 @@ def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") ->
     groups = rows.groupBy("node").agg(best).join(groups_of(rows, source), "node", "left")
     stay = groups.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     stay = cut_lineage(stay.select(F.col("best.id").alias(names[0]), F.col("best.nulls").alias(names[1]), F.col("best.digest").alias(names[2])))
-    release(docs)
+    release(docs.sparkSession)
     return docs.withColumns(key).dropDuplicates(names).join(stay, names, "left_semi").select(*docs.columns)
