@@ -29,19 +29,8 @@ def hsv_histogram(rgba: np.ndarray) -> np.ndarray:
     return np.bincount(bin_(hue / 360, 8) * 16 + bin_(saturation, 4) * 4 + bin_(high, 4), minlength=128) / max(1, len(p))
 
 
-@lru_cache(64)
-def stretch(source: int, target: int) -> np.ndarray:
-    """Weights, target x source, of linear interpolation between pixel centres with the edges held."""
-    at = np.clip((np.arange(target) + 0.5) * (source / target) - 0.5, 0, source - 1)
-    low = np.floor(at).astype(int)
-    w = np.zeros((target, source))
-    np.add.at(w, (np.arange(target), low), 1 - (at - low))
-    np.add.at(w, (np.arange(target), np.minimum(source - 1, low + 1)), at - low)
-    return w
-
-
 def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Bilinear; each pixel is interpolated across first, then down, so that flat areas stay exactly flat."""
+    """Bilinear, of a picture or a stack of them; each pixel is interpolated across first, then down, so that flat areas stay exactly flat."""
     x = image.astype(np.float64)
 
     def along(x: np.ndarray, target: int) -> np.ndarray:
@@ -51,22 +40,22 @@ def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
         left, right = x[..., low], x[..., np.minimum(source - 1, low + 1)]
         return left + (right - left) * (at - low)
 
-    return along(along(x, width).T, height).T
+    return along(along(x, width).swapaxes(-1, -2), height).swapaxes(-1, -2)
 
 
-def pack(bits: np.ndarray) -> int:
-    """64 booleans as a signed number, the first as the highest bit."""
-    return int(np.packbits(bits.ravel()).view(">i8")[0])
+def packed(bits: np.ndarray) -> np.ndarray:
+    """The last two axes' 64 booleans as signed numbers, the first as the highest bit."""
+    return np.ascontiguousarray(np.packbits(bits.reshape(*bits.shape[:-2], 64), axis=-1)).view(">i8")[..., 0].astype(np.int64)
 
 
-def average_hash(image: np.ndarray) -> int:
+def average_hash(image: np.ndarray) -> np.ndarray:
     p = resize(image, 8, 8)
-    return pack(p >= p.mean())
+    return packed(p >= p.mean((-1, -2), keepdims=True))
 
 
-def difference_hash(image: np.ndarray) -> int:
+def difference_hash(image: np.ndarray) -> np.ndarray:
     p = resize(image, 9, 8)
-    return pack(p[:, :-1] > p[:, 1:])
+    return packed(p[..., :-1] > p[..., 1:])
 
 
 @lru_cache(1)
@@ -76,26 +65,33 @@ def cosines() -> np.ndarray:
     return np.sqrt(np.where(k == 0, 1 / 32, 2 / 32)) * np.cos((2 * n + 1) * k * np.pi / 64)
 
 
-def perceptual_hash(image: np.ndarray) -> int:
+def perceptual_hash(image: np.ndarray) -> np.ndarray:
     c = cosines() @ resize(image, 32, 32) @ cosines().T
     c[np.abs(c) < 1e-9] = 0
-    return pack(c > np.sort(c.ravel()[1:])[31])
+    middle = np.sort(c.reshape(*c.shape[:-2], 64)[..., 1:], axis=-1)[..., 31]
+    return packed(c > middle[..., None, None])
 
 
 def turned(image: np.ndarray, degrees: int) -> np.ndarray:
-    """Clockwise by quarter turns."""
-    return np.rot90(image, -degrees // 90)
+    """Clockwise by quarter turns, of a picture or a stack of them."""
+    return np.rot90(image, -degrees // 90, axes=(-2, -1))
+
+
+def hashes(image: np.ndarray) -> dict[str, np.ndarray]:
+    """Average, difference and perceptual hashes of the four turns of a picture or a stack of them: a0, d0, p0 ... p270."""
+    out = {}
+    for turn in TURNS:
+        t = turned(image, turn)
+        out |= {f"a{turn}": average_hash(t), f"d{turn}": difference_hash(t), f"p{turn}": perceptual_hash(t)}
+    return out
 
 
 def variants(image: np.ndarray, aspect: float) -> list[tuple[int, float, int, int, int]]:
     """(turn, aspect, average, difference and perceptual hash) of the four turns."""
     if not 0 < aspect < float("inf"):
         raise ValueError("the aspect ratio must be positive and finite")
-    out = []
-    for turn in TURNS:
-        t = turned(image, turn)
-        out.append((turn, 1 / aspect if turn in (90, 270) else aspect, average_hash(t), difference_hash(t), perceptual_hash(t)))
-    return out
+    h = hashes(image)
+    return [(t, 1 / aspect if t in (90, 270) else aspect, *(int(h[f"{k}{t}"]) for k in "adp")) for t in TURNS]
 
 
 def oriented(pixels: np.ndarray, orientation: int | None) -> np.ndarray:
@@ -112,18 +108,18 @@ def oriented(pixels: np.ndarray, orientation: int | None) -> np.ndarray:
     return moves.get(orientation or 1, lambda p: p)(pixels)
 
 
-def global_ssim(x: np.ndarray, y: np.ndarray) -> float:
-    """Structural similarity over the whole picture, with sample variances."""
-    if x.shape != y.shape or x.size < 2:
+def global_ssim(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Structural similarity over whole pictures, with sample variances; of pictures (n values each) or stacks of them (k x n)."""
+    if x.shape != y.shape or x.shape[-1] < 2:
         raise ValueError("pictures of one size are needed")
-    if (x == y).all():
-        return 1.0
-    a, b = x.ravel().astype(np.float64), y.ravel().astype(np.float64)
-    c1, c2, n = (0.01 * 255) ** 2, (0.03 * 255) ** 2, a.size - 1
-    ma, mb = a.mean(), b.mean()
+    a, b = x.astype(np.float64), y.astype(np.float64)
+    c1, c2, n = (0.01 * 255) ** 2, (0.03 * 255) ** 2, a.shape[-1] - 1
+    ma, mb = a.mean(-1, keepdims=True), b.mean(-1, keepdims=True)
     da, db = a - ma, b - mb
-    va, vb, cov = (da @ da) / n, (db @ db) / n, (da @ db) / n
-    return float(np.clip((2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2)), -1, 1))
+    va, vb, cov = ((p * q).sum(-1) / n for p, q in ((da, da), (db, db), (da, db)))
+    ma, mb = ma[..., 0], mb[..., 0]
+    value = np.clip((2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2)), -1, 1)
+    return np.where((x == y).all(-1), 1.0, value)
 
 
 def area_square(rgba: np.ndarray, edge: int) -> np.ndarray:

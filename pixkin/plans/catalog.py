@@ -6,64 +6,66 @@ are captures, pages are archive entries, order lines are edges. Each query says
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixkin.config import MODES, TURNS
-from pixkin.functions import bits, context, names, similarity, tables
+from pixkin.functions import bits, context, kernels, names, similarity, tables
 from pixkin.operators import clusters, comparisons, pairs, results, validate
-from pixkin.operators.skew import cut
+from pixkin.operators.skew import attach, cut, numbered
+from pixkin.plans.analysis import metrics_of
 from pixkin.plans.oracles import SQL
 
 FLAGSHIP = "topk_per_item"
 SETTINGS = MODES["sensitive"]
-#: Places of an 8 x 8 picture's pixels after clockwise turns.
-TURNED = {0: list(range(64)), 90: [(7 - i % 8) * 8 + i // 8 for i in range(64)], 180: [63 - i for i in range(64)], 270: [i % 8 * 8 + 7 - i // 8 for i in range(64)]}
-NEXT_IN_ROW = [i // 8 * 8 + (i + 1) % 8 for i in range(64)]
+HASHES = [f"{h}{t}" for t in TURNS for h in "adp"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def at(values, places: list[int]):
-    return F.transform(F.array(*[F.lit(i) for i in places]), lambda i: F.get(values, i))
-
-
 def vector_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as records: hashes of four turns, aspect and size from the id, brightness from the mean, grey values and a histogram."""
-    v = F.col("v")
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    rows = rows.withColumns({"mean": F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / 64, "middle": F.get(F.array_sort(v), F.lit(31))})
-    # One row per turn would repeat the vector; expressions over index arrays stay in the row.
-    hashes = {}
-    for t in TURNS:
-        g = at(v, TURNED[t])
-        hashes[f"a{t}"] = bits.pack(F.transform(g, lambda x: x >= F.col("mean")))
-        hashes[f"d{t}"] = bits.pack(F.zip_with(g, at(g, NEXT_IN_ROW), lambda x, y: x > y))
-        hashes[f"p{t}"] = bits.pack(F.transform(g, lambda x: x > F.col("middle")))
-    rows = rows.withColumns(hashes)
+    """embeddings as records: a vector's 64 numbers are the grey values of an 8 x 8 picture. Hashes of four turns, brightness and a histogram by the engine's kernels; aspect and size from the id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = np.asarray(b.column(1).flatten(), np.float64).reshape(-1, 64)
+            gray = np.floor(np.clip((v + 1) * 127.5, 0, 255)).astype(np.uint8)
+            made = kernels.hashes(gray.reshape(-1, 8, 8))
+            yield pa.RecordBatch.from_arrays([
+                b.column(0), pa.array(gray.mean(1) / 255), pa.array([g.tobytes() for g in gray], pa.binary()), pa.array(list(np.abs(v)), pa.list_(pa.float64())), *(pa.array(made[h]) for h in HASHES),
+            ], ["vec_id", "luminance", "gray", "histogram", *HASHES])
+
+    rows = read(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", "embedding")
+    rows = rows.mapInArrow(run, "vec_id long, luminance double, gray binary, histogram array<double>, " + ", ".join(f"{h} long" for h in HASHES))
     return rows.withColumns({
+        "archive": F.lit(""),
         "id": F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 9, "0")),
         "ord": F.col("vec_id"),
         "aspect": F.col("vec_id") % 5 * F.lit(0.1) + 1.0,
-        "luminance": (F.col("mean") + 1) / 2,
         "width": (F.col("vec_id") % 7 * 100 + 1000).cast("int"),
         "height": F.lit(800),
         "size": F.col("vec_id") % 11 * 1000,
-        "gray": F.transform(v, lambda x: F.floor(similarity.clamp((x + 1) * 127.5, 0.0, 255.0)).cast("double")),
-        "histogram": F.transform(v, lambda x: F.abs(x)),
     })
 
 
 def ahash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average, difference and rank hashes as 16 hex digits."""
+    """Average, difference and perceptual hashes as 16 hex digits, unturned and turned."""
     p = vector_pictures(spark, sf_dir)
     return p.select("vec_id", *(bits.to_hex(F.col(f"{h}{t}")).alias(f"{h}_hash_{t}") for h in "adp" for t in (0, 90)))
 
 
+def turned_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hashes of the other two turns, and how far each turn's are from the unturned ones."""
+    p = vector_pictures(spark, sf_dir)
+    return p.select("vec_id", *(bits.to_hex(F.col(f"{h}{t}")).alias(f"{h}_hash_{t}") for h in "adp" for t in (180, 270)), *(bits.hamming(F.col(f"{h}0"), F.col(f"{h}{t}")).alias(f"{h}_moves_{t}") for h in "adp" for t in TURNS[1:]))
+
+
 def found_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.candidate_pairs(vector_pictures(spark, sf_dir), SETTINGS)
 
@@ -83,46 +85,59 @@ def topk_per_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(pairs.best_partners(found_pairs(spark, sf_dir), SETTINGS.top_k))
 
 
+def after(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Rows with the columns of the row that follows in the order of ``key`` (unique), as next_...; the last row has none and drops out."""
+    rows = cut(numbered(df.select(key, *columns), [F.col(key)], "nth"))
+    following = rows.select((F.col("nth") - 1).alias("nth"), *(F.col(c).alias(f"next_{c}") for c in (key, *columns)))
+    return rows.join(following, "nth").drop("nth")
+
+
 def hamming_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hamming distances of each vector's hashes to those of the next id."""
-    after = Window.orderBy("vec_id")
-    p = vector_pictures(spark, sf_dir)
-    lead = lambda c: F.lead(c).over(after)
-    cols = [bits.hamming(F.col(f"{h}0"), lead(f"{h}0")).alias(f"{h}_distance") for h in "adp"]
-    return p.select("vec_id", "a0", "d0", "p0").select("vec_id", *cols).where("a_distance is not null")
+    rows = after(vector_pictures(spark, sf_dir), "vec_id", "a0", "d0", "p0")
+    return rows.select("vec_id", *(bits.hamming(F.col(f"{h}0"), F.col(f"next_{h}0")).alias(f"{h}_distance") for h in "adp"))
 
 
 def scored(spark: SparkSession, sf_dir: str, mode: str = "sensitive") -> DataFrame:
-    """Best pairs with all metrics and their assessment; vectors stand in for pictures of 64 pixels."""
-    s = MODES[mode]
-    # Four joins read the pictures: their hashes are worked out once.
-    pictures = cut(vector_pictures(spark, sf_dir)).select("id", "ord", "gray", "histogram", "width", "height", "size", "aspect", "luminance", *(f"{h}{t}" for t in TURNS for h in "adp"))
-    best = pairs.best_partners(pairs.candidate_pairs(pictures, SETTINGS), SETTINGS.top_k)
-    side = lambda n: pictures.select(F.col("ord").alias(f"{n}_ord"), F.col("gray").alias(f"{n}_gray"), F.col("histogram").alias(f"{n}_histogram"), (F.col("width") * F.col("height")).cast("double").alias(f"{n}_pixels"))
-    rows = best.withColumns({"x_ord": F.col("source.ord"), "y_ord": F.col("target.ord")}).join(side("x"), "x_ord").join(side("y"), "y_ord")
-    turned = None
-    for t in TURNS[1:]:
-        turned = (F.when(F.col("turn") == t, at(F.col("y_gray"), TURNED[t])) if turned is None else turned.when(F.col("turn") == t, at(F.col("y_gray"), TURNED[t])))
-    rows = rows.withColumn("y_gray", turned.otherwise(F.col("y_gray")))
-    rows = rows.withColumns({
-        "ssim": similarity.ssim(F.col("x_gray"), F.col("y_gray"), 64),
-        "histogram": similarity.bhattacharyya(F.col("x_histogram"), F.col("y_histogram")),
-        "resolution": F.least("x_pixels", "y_pixels") / F.greatest(F.lit(1.0), "x_pixels", "y_pixels"),
-    })
-    m = {n: F.col(n) for n in ("p", "d", "a", "ssim", "histogram", "aspect", "resolution")}
-    u = similarity.supports(m, s)
-    rows = rows.withColumn("score", similarity.score(m, s)).withColumn("category", similarity.category(F.col("score"), u, s))
-    rows = rows.withColumns({"confidence": similarity.confidence(F.col("category"), u, m), "strong": similarity.is_strong(F.col("category"), F.col("score")), "reasons": similarity.reasons(m, u, s)})
-    return rows.withColumns({"source_id": F.col("source.id"), "target_id": F.col("target.id"), "id": F.concat("source.id", F.lit("::"), "target.id")})
+    """Best pairs with all metrics and their assessment, by the engine's own plan; vectors stand in for pictures of 8 x 8 pixels."""
+    s, pictures = MODES[mode], cut(vector_pictures(spark, sf_dir))
+    best = pairs.best_partners(pairs.candidate_pairs(pictures, s), s.top_k)
+    rows = metrics_of(best, pictures, s, edge=8)
+    return rows.withColumns({f"{n}_ord": F.substring(f"{n}_id", 2, 9).cast("long") for n in ("source", "target")})
+
+
+def assessed(r: DataFrame) -> DataFrame:
+    return r.select(F.col("source_ord").alias("source"), F.col("target_ord").alias("target"), F.round("ssim", 6).alias("ssim"), F.round("histogram", 6).alias("histogram"), F.round("resolution", 6).alias("resolution"), "score", "category", "confidence", "strong")
 
 
 def assess_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = scored(spark, sf_dir)
-    return r.select(F.col("x_ord").alias("source"), F.col("y_ord").alias("target"), F.round("ssim", 6).alias("ssim"), F.round("histogram", 6).alias("histogram"), F.round("resolution", 6).alias("resolution"), "score", "category", "confidence", "strong")
+    return assessed(scored(spark, sf_dir))
+
+
+def assess_pairs_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assessed(scored(spark, sf_dir, "balanced"))
+
+
+def pair_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences that explain each assessment, in order."""
+    return scored(spark, sf_dir).select(F.col("source_ord").alias("source"), F.col("target_ord").alias("target"), F.array_join("reasons", " | ").alias("reasons"))
 
 
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).groupBy("category", "confidence").agg(F.count("*").alias("pairs"), F.max("score").alias("best"), F.min("score").alias("worst"))
+    """Assessments by mode."""
+    out = None
+    for mode in MODES:
+        rows = scored(spark, sf_dir, mode).withColumn("mode", F.lit(mode))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("mode", "category", "confidence").agg(F.count("*").alias("pairs"), F.max("score").alias("best"), F.min("score").alias("worst"))
+
+
+def legacy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate where every third record has no turned hashes: those meet unturned, or by the narrow way in for quarter turns."""
+    p = vector_pictures(spark, sf_dir)
+    known = F.col("vec_id") % 3 != 0
+    p = p.withColumns({h: F.when(known, F.col(h)) for h in HASHES[3:]}).withColumn("aspect", F.when(F.col("vec_id") % 2 == 0, F.lit(1.5)).otherwise(F.lit(0.65)))
+    return shown(pairs.candidate_pairs(p, SETTINGS))
 
 
 def vector_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -150,17 +165,15 @@ def histogram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of the event-type histograms of each user and the next one."""
     e = read(spark, sf_dir, "events")
     per = e.groupBy("user_id").agg(F.array(*[F.count_if(F.substring(F.md5("event_type"), 1, 1).isin(*k)).cast("double") for k in ("0123", "456", "789", "abc", "def")]).alias("h"))
-    w = Window.orderBy("user_id")
-    rows = per.select("user_id", "h", F.lead("user_id").over(w).alias("next_id"), F.lead("h").over(w).alias("n")).where("next_id is not null")
-    return rows.select("user_id", "next_id", F.round(similarity.bhattacharyya(F.col("h"), F.col("n")), 6).alias("overlap"))
+    rows = after(per, "user_id", "h")
+    return rows.select("user_id", F.col("next_user_id").alias("next_id"), F.round(similarity.bhattacharyya(F.col("h"), F.col("next_h")), 6).alias("overlap"))
 
 
 def ssim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structural similarity of each vector and the next one, as 64 grey values."""
-    w = Window.orderBy("vec_id")
-    p = vector_pictures(spark, sf_dir).select("vec_id", "gray")
-    rows = p.select("vec_id", "gray", F.lead("gray").over(w).alias("n")).where("n is not null")
-    return rows.select("vec_id", F.round(similarity.ssim(F.col("gray"), F.col("n"), 64), 6).alias("ssim"))
+    """Structural similarity of each vector and the next one, as 64 grey values, by the expression for arrays."""
+    grey = F.transform("embedding", lambda x: F.floor(similarity.clamp((x.cast("double") + 1) * 127.5, 0.0, 255.0)).cast("double"))
+    rows = after(read(spark, sf_dir, "embeddings").select("vec_id", grey.alias("gray")), "vec_id", "gray")
+    return rows.select("vec_id", F.round(similarity.ssim(F.col("gray"), F.col("next_gray"), 64), 6).alias("ssim"))
 
 
 def haversine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,11 +210,11 @@ def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entry_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.check_entries(page_entries(spark, sf_dir), unicode=False).select("page_id", "normal_path", "code", "skip", "format")
+    return validate.check_entries(page_entries(spark, sf_dir)).select("page_id", "normal_path", "code", "skip", "format")
 
 
 def archive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = validate.inspect(validate.check_entries(page_entries(spark, sf_dir), unicode=False))
+    s = validate.inspect(validate.check_entries(page_entries(spark, sf_dir)))
     return s.select("archive", "code", F.coalesce("at_index", F.lit(-1)).cast("int").alias("at_index"), "total_entries", "supported_images", "skipped_entries", "total_bytes", F.array_join("formats", ",").alias("formats"))
 
 
@@ -257,27 +270,50 @@ def decision_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.when(F.col("n_chars") % 5 == 0, "different").when(F.col("n_chars") % 7 == 0, "later").when(F.col("n_chars") % 11 == 0, "duplicate").otherwise("unreviewed")
     of = F.when(F.col("toxic") == 1, "later").when(F.col("quality") == 0, "different").when(F.col("quality") == 1, "unreviewed")
     d = d.select("doc_id", "source", "lang", F.floor(F.col("n_chars") / 100).alias("page"), own.alias("own"), of.alias("relation"))
-    rel = d.groupBy("source", "lang", "page").agg(F.collect_list("relation").alias("relations"), F.min("doc_id").alias("ref"))
-    j = d.join(rel, ["source", "lang", "page"])
-    decision = results.file_decision(F.col("own"), F.col("relations"))
-    j = j.withColumn("decision", decision)
+    rel = d.groupBy("source", "lang", "page").agg(results.relation_flags(F.col("relation")).alias("relations"), F.min("doc_id").alias("ref"), F.count("*").alias("n"))
+    j = attach(d, rel, ["source", "lang", "page"], "n", max(1, d.count()))
+    j = j.withColumn("decision", results.file_decision(F.col("own"), F.col("relations")))
     return j.select("doc_id", "decision", results.file_class(F.col("decision"), F.col("doc_id") != F.col("ref"), F.col("doc_id") == F.col("ref")).alias("category"))
 
 
-def result_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search, facet, order and page over groups of documents: one of each source and language, the smallest id its reference."""
+def document_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(images, comparisons with decisions): documents as images, in groups of one source and language whose smallest id is the reference."""
     d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
-    d = d.withColumns({"id": F.col("doc_id").cast("string"), "name": F.concat("source", F.lit("-"), "lang"), "path": F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")), "size": F.col("n_chars"), "group_id": F.concat("source", F.lit("-"), "lang")})
+    group = F.concat("source", F.lit("-"), "lang")
+    d = d.withColumns({"id": F.col("doc_id").cast("string"), "name": F.concat(F.lit("name "), F.col("doc_id") % 10, F.lit("-"), "source"), "path": F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")), "size": F.col("n_chars"), "group_id": group})
     ref = d.groupBy("group_id").agg(F.min("doc_id").alias("ref"))
-    c = d.join(ref, "group_id").where("doc_id != ref")
+    c = d.join(F.broadcast(ref), "group_id").where("doc_id != ref")  # a row a source and language
     category = F.when(F.col("quality") == 0, "needs-review").otherwise("probable-duplicate")
     resolved = c.select(
         "group_id", F.col("ref").cast("string").alias("reference_id"), F.col("id").alias("candidate_id"), F.col("doc_id").alias("place"), F.when(F.col("toxic") == 1, "manual-review").otherwise("strong").alias("tier"),
         F.struct((F.col("n_chars") % 101).alias("score"), category.alias("category")).alias("edge"), F.when(F.col("n_chars") % 3 == 0, "duplicate").otherwise("unreviewed").alias("decision"),
     )
-    groups = resolved.select(F.col("group_id").alias("id")).distinct()
-    found = results.search(groups, d.select("id", "name", "path", "size"), resolved, text=" SRC1 ", facet="needs-review", sort="similarity-desc", tier="strong")
-    return found.select("group_id", "tier", "reference_id", F.size("candidate_ids").cast("long").alias("candidates"), "best_score")
+    return d.select("id", "name", "path", "size"), resolved
+
+
+def result_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search, facet, order and page over groups of documents."""
+    images, resolved = document_groups(spark, sf_dir)
+    found = results.search(images, resolved, text=" SRC1 ", facet="needs-review", sort="similarity-desc", tier="strong")
+    return found.select("group_id", "tier", "reference_id", "candidates", "best_score")
+
+
+def result_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of five groups in each of the six orders, by a facet of decisions."""
+    images, resolved = document_groups(spark, sf_dir)
+    out = None
+    for sort in results.SORTS:
+        rows = results.search(images, resolved, facet="duplicate", sort=sort, limit=5, offset=5).select(F.lit(sort).alias("sort"), "group_id", "tier", "reference_id", "candidates", "best_score")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def result_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups by tier, and what is shown when a tier without groups is asked for: the first one that has some."""
+    images, resolved = document_groups(spark, sf_dir)
+    counts = results.tier_counts(comparisons.presented(resolved)).select("tier", "groups")
+    found = results.search(images, resolved, tier="low-priority", limit=None)
+    return counts.unionByName(found.groupBy(F.concat(F.lit("shown "), "tier").alias("tier")).agg(F.count("*").alias("groups")))
 
 
 def name_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,14 +330,14 @@ def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def error_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FNV-1a ids of errors; the hash of UTF-16 units has no SQL twin here."""
+    """FNV-1a ids of errors."""
     e = entry_validation(spark, sf_dir).where("code is not null")
     return e.select("page_id", validate.error_id(F.col("code"), F.col("normal_path"), F.lit("message")).alias("error_id"))
 
 
 ALL = (
-    ahash_embeddings, hamming_neighbours, candidate_gate, topk_per_item, assess_pairs, category_counts, complete_link_groups, resolved_comparisons, histogram_similarity, ssim_pairs, haversine_pairs,
-    metadata_context, entry_validation, archive_summary, magic_sniff, csv_escape, best_edge_per_pair, review_pairs, reference_scores, decision_rollup, result_query, name_tools, error_codes, error_ids,
+    ahash_embeddings, turned_hashes, hamming_neighbours, candidate_gate, topk_per_item, legacy_pairs, assess_pairs, assess_pairs_balanced, pair_reasons, category_counts, complete_link_groups, resolved_comparisons, histogram_similarity, ssim_pairs, haversine_pairs,
+    metadata_context, entry_validation, archive_summary, magic_sniff, csv_escape, best_edge_per_pair, review_pairs, reference_scores, decision_rollup, result_query, result_orders, result_tiers, name_tools, error_codes, error_ids,
 )
 
 

@@ -2,45 +2,88 @@
 
 from __future__ import annotations
 
-from pixkin.config import MODES, WEIGHTS
+import numpy as np
+
+from pixkin.config import MODES, WEIGHTS, Settings
 
 S = MODES["sensitive"]
 
+
+def numbers(values) -> str:
+    return "[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in np.asarray(values).ravel()) + "]"
+
+
+# Where each of nine columns lies among eight, and the lowest eight cosines of 32 values that are interpolated from eight.
+_at = np.clip((np.arange(9) + 0.5) * (8 / 9) - 0.5, 0, 7)
+_low = np.floor(_at).astype(int)
+_at32 = np.clip((np.arange(32) + 0.5) * (8 / 32) - 0.5, 0, 7)
+_spread = np.zeros((32, 8))
+for _i, _x in enumerate(_at32):
+    _spread[_i, int(_x)] += 1 - (_x - int(_x))
+    _spread[_i, min(7, int(_x) + 1)] += _x - int(_x)
+_k, _n = np.arange(8)[:, None], np.arange(32)[None]
+COSINES = (np.sqrt(np.where(_k == 0, 1 / 32, 2 / 32)) * np.cos((2 * _n + 1) * _k * np.pi / 64)) @ _spread
+_left, _right = ("[" + ", ".join(str(x) for x in v) + "]" for v in (_low + 1, np.minimum(7, _low + 1) + 1))
+
+
+def turned_list(g: str, t: int) -> str:
+    place = {0: "i + 1", 90: "(7 - i % 8) * 8 + i // 8 + 1", 180: "64 - i", 270: "i % 8 * 8 + 8 - i // 8"}[t]
+    return f"list_transform(range(0, 64), lambda i: {g}[{place}])"
+
+
+def hash_bits(t: int) -> str:
+    """Bit strings of the three hashes of g{t}: average, difference, perceptual (c{t}: its coefficients)."""
+    nine = lambda c: f"(g{t}[i // 8 * 8 + {_left}[{c}]] + (g{t}[i // 8 * 8 + {_right}[{c}]] - g{t}[i // 8 * 8 + {_left}[{c}]]) * {numbers(_at - _low)}[{c}])"
+    return f"""  array_to_string(list_transform(g{t}, lambda x: CASE WHEN x >= mean THEN '1' ELSE '0' END), '')::BIT AS a{t},
+  array_to_string(list_transform(range(0, 64), lambda i: CASE WHEN {nine('i % 8 + 1')} > {nine('i % 8 + 2')} THEN '1' ELSE '0' END), '')::BIT AS d{t},
+  array_to_string(list_transform(c{t}, lambda x: CASE WHEN x > list_sort(c{t}[2:])[32] THEN '1' ELSE '0' END), '')::BIT AS p{t}"""
+
+
+def coefficients(t: int) -> str:
+    across = f"list_transform(range(0, 64), lambda i: list_sum(list_transform(range(0, 8), lambda k: g{t}[i // 8 * 8 + k + 1] * m[i % 8 * 8 + k + 1])))"
+    return f"{across} AS r{t}"
+
+
+def coefficients_down(t: int) -> str:
+    down = f"list_sum(list_transform(range(0, 8), lambda k: r{t}[k * 8 + i % 8 + 1] * m[i // 8 * 8 + k + 1]))"
+    return f"list_transform(list_transform(range(0, 64), lambda i: {down}), lambda x: CASE WHEN abs(x) < 1e-9 THEN 0 ELSE x END) AS c{t}"
+
+
 #: Vectors as 8 x 8 pictures: bit strings of three hashes and four turns, aspect, brightness, grey values.
-PICTURES = """
-b AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-c AS (SELECT *, list_reduce(v, lambda s, x: s + x, 0.0::DOUBLE) / 64 AS mean, list_sort(v)[32] AS middle FROM b),
-g AS (SELECT *, v AS g0,
-  list_transform(range(0, 64), lambda i: v[(7 - i % 8) * 8 + i // 8 + 1]) AS g90,
-  list_transform(range(0, 64), lambda i: v[63 - i + 1]) AS g180,
-  list_transform(range(0, 64), lambda i: v[i % 8 * 8 + 7 - i // 8 + 1]) AS g270 FROM c),
-pic AS (SELECT vec_id, v, mean,
-""" + ",\n".join(
-    f"""  array_to_string(list_transform(g{t}, lambda x: CASE WHEN x >= mean THEN '1' ELSE '0' END), '')::BIT AS a{t},
-  array_to_string(list_transform(range(0, 64), lambda i: CASE WHEN g{t}[i + 1] > g{t}[i // 8 * 8 + (i + 1) % 8 + 1] THEN '1' ELSE '0' END), '')::BIT AS d{t},
-  array_to_string(list_transform(g{t}, lambda x: CASE WHEN x > middle THEN '1' ELSE '0' END), '')::BIT AS p{t}"""
-    for t in (0, 90, 180, 270)
-) + """,
-  vec_id % 5 * 0.1::DOUBLE + 1.0::DOUBLE AS aspect, (mean + 1) / 2 AS luminance, (vec_id % 7 * 100 + 1000) * 800.0::DOUBLE AS pixels,
-  list_transform(v, lambda x: floor(greatest(0.0::DOUBLE, least(255.0::DOUBLE, (x + 1) * 127.5::DOUBLE)))) AS gray FROM g)"""
-
-CANDIDATES = PICTURES + """,
-turns AS (
-""" + "\nUNION ALL\n".join(
-    f"""SELECT x.vec_id AS source, y.vec_id AS target, {t} AS turn, bit_count(xor(x.a0, y.a{t})) AS a, bit_count(xor(x.d0, y.d{t})) AS d, bit_count(xor(x.p0, y.p{t})) AS p,
+PICTURES = f"""
+b AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, {numbers(COSINES)} AS m FROM embeddings WHERE len(embedding) = 64),
+b0 AS (SELECT *, list_transform(v, lambda x: floor(greatest(0.0::DOUBLE, least(255.0::DOUBLE, (x + 1) * 127.5::DOUBLE)))) AS gray FROM b),
+g AS (SELECT *, list_sum(gray) / 64 AS mean, {", ".join(f"{turned_list('gray', t)} AS g{t}" for t in (0, 90, 180, 270))} FROM b0),
+g1 AS (SELECT *, {", ".join(map(coefficients, (0, 90, 180, 270)))} FROM g),
+g2 AS (SELECT *, {", ".join(map(coefficients_down, (0, 90, 180, 270)))} FROM g1),
+pic AS (SELECT vec_id, v, gray,
+""" + ",\n".join(map(hash_bits, (0, 90, 180, 270))) + """,
+  vec_id % 5 * 0.1::DOUBLE + 1.0::DOUBLE AS aspect, mean / 255 AS luminance, (vec_id % 7 * 100 + 1000) * 800.0::DOUBLE AS pixels FROM g2)"""
+
+
+def candidates(s: Settings) -> str:
+    turns = "\nUNION ALL\n".join(
+        f"""SELECT x.vec_id AS source, y.vec_id AS target, {t} AS turn, bit_count(xor(x.a0, y.a{t})) AS a, bit_count(xor(x.d0, y.d{t})) AS d, bit_count(xor(x.p0, y.p{t})) AS p,
   abs(x.aspect - {y}) / greatest(x.aspect, {y}) AS aspect, abs(x.luminance - y.luminance) AS lum FROM pic x JOIN pic y ON x.vec_id < y.vec_id"""
-    for t, y in ((0, "y.aspect"), (90, "(1 / y.aspect)"), (180, "y.aspect"), (270, "(1 / y.aspect)"))
-) + f"""),
+        for t, y in ((0, "y.aspect"), (90, "(1 / y.aspect)"), (180, "y.aspect"), (270, "(1 / y.aspect)"))
+    )
+    return PICTURES + f""",
+turns AS ({turns}),
 aligned AS (SELECT *, p * 0.5::DOUBLE + d * 0.3::DOUBLE + a * 0.2::DOUBLE + aspect * 20 AS r FROM turns
   QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY p * 0.5::DOUBLE + d * 0.3::DOUBLE + a * 0.2::DOUBLE + aspect * 20, turn) = 1),
 cand AS (SELECT *, r + lum * 10 AS rank FROM aligned
   WHERE (aspect <= 0.38 OR least(a, d, p) <= 4) AND (lum <= 0.35 OR least(a, d, p) <= 4)
-    AND (least(a, d, p) <= 4 OR (a <= {S.a + 3})::INT + (d <= {S.d + 3})::INT + (p <= {S.p + 3})::INT >= 2))"""
+    AND (least(a, d, p) <= 4 OR (a <= {s.a + 3})::INT + (d <= {s.d + 3})::INT + (p <= {s.p + 3})::INT >= 2))"""
+
 
-TOPK = CANDIDATES + f""",
+def topk(s: Settings) -> str:
+    return candidates(s) + f""",
 ends AS (SELECT *, unnest([source, target]) AS e FROM cand),
 best AS (SELECT DISTINCT source, target, turn, a, d, p, aspect, lum, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY e ORDER BY rank, source DESC, target DESC) AS place FROM ends) WHERE place <= {S.top_k})"""
+  SELECT *, row_number() OVER (PARTITION BY e ORDER BY rank, source DESC, target DESC) AS place FROM ends) WHERE place <= {s.top_k})"""
+
+
+CANDIDATES, TOPK = candidates(S), topk(S)
 
 PAIR_COLUMNS = "source, target, turn, CAST(a AS INT) AS a, CAST(d AS INT) AS d, CAST(p AS INT) AS p, round(aspect, 6) AS aspect, round(rank, 6) AS rank"
 
@@ -50,11 +93,10 @@ _value = " + ".join(f"({e}) * {WEIGHTS[n]}::DOUBLE" for n, e in (
 ))
 _weight = " + ".join(f"{WEIGHTS[n]}::DOUBLE" for n in ("p", "d", "a", "ssim", "histogram", "aspect", "resolution"))
 
-SCORED = TOPK + f""",
-gs AS (SELECT b.*, x.gray AS gx, CASE b.turn WHEN 0 THEN y.gray
-    WHEN 90 THEN list_transform(range(0, 64), lambda i: y.gray[(7 - i % 8) * 8 + i // 8 + 1])
-    WHEN 180 THEN list_transform(range(0, 64), lambda i: y.gray[64 - i])
-    ELSE list_transform(range(0, 64), lambda i: y.gray[i % 8 * 8 + 7 - i // 8 + 1]) END AS gy,
+
+def scored(S: Settings) -> str:
+    return topk(S) + f""",
+gs AS (SELECT b.*, x.gray AS gx, CASE b.turn WHEN 0 THEN y.gray WHEN 90 THEN {turned_list("y.gray", 90)} WHEN 180 THEN {turned_list("y.gray", 180)} ELSE {turned_list("y.gray", 270)} END AS gy,
   list_transform(x.v, lambda z: abs(z)) AS hx, list_transform(y.v, lambda z: abs(z)) AS hy, least(x.pixels, y.pixels) / greatest(1.0::DOUBLE, x.pixels, y.pixels) AS resolution
   FROM best b JOIN pic x ON b.source = x.vec_id JOIN pic y ON b.target = y.vec_id),
 ms AS (SELECT *, list_reduce(gx, lambda s, v: s + v, 0.0::DOUBLE) / 64 AS mx, list_reduce(gy, lambda s, v: s + v, 0.0::DOUBLE) / 64 AS my,
@@ -73,13 +115,42 @@ sf AS (SELECT *, CASE WHEN score >= {S.certain} AND fam >= 3 AND (hashes > 0 OR
 sg AS (SELECT *, CASE WHEN category = 'almost-certain-duplicate' AND fam >= 3 THEN 'very-high' WHEN category IN ('almost-certain-duplicate', 'probable-duplicate') AND fam >= 2 THEN 'high'
   WHEN category = 'needs-review' THEN 'medium' ELSE 'low' END AS confidence, category = 'almost-certain-duplicate' OR (category = 'probable-duplicate' AND score >= 84) AS strong FROM sf)"""
 
+
+def reasons(s: Settings) -> str:
+    two = lambda x: f"replace(printf('%.2f', {x}), '.', ',')"
+    number = lambda x: f"{x:.2f}".replace(".", ",")
+    return f"""concat_ws(' | ',
+  'pHash-Abstand ' || p || '/64 ' || CASE WHEN p <= {s.p} THEN 'liegt im Grenzwert (≤ {s.p})' ELSE 'überschreitet den Grenzwert ({s.p})' END || '.',
+  CASE WHEN hashes >= 2 THEN hashes || ' unabhängige Bild-Hashes stimmen ausreichend überein.' END,
+  'SSIM ' || {two('ssim')} || ' ' || CASE WHEN ssim >= {s.ssim} THEN 'bestätigt eine ähnliche Bildstruktur' ELSE 'liefert keine starke Strukturbestätigung' END || ' (Grenzwert {number(s.ssim)}).',
+  'Histogramm-Ähnlichkeit ' || {two('histogram')} || ' ' || CASE WHEN histogram >= {s.histogram} THEN 'stützt den Treffer' ELSE 'liegt unter dem Modus-Grenzwert' END || ' (Grenzwert {number(s.histogram)}).',
+  CASE WHEN aspect > {s.aspect} THEN 'Die Seitenverhältnisse unterscheiden sich deutlich; der Gesamtwert wurde reduziert.' ELSE 'Die Seitenverhältnisse sind mit dem gewählten Modus vereinbar.' END,
+  '{s.label}-Modus: technische Einstufung ab {s.review}/{s.probable}/{s.certain} Punkten.')"""
+
+
+ASSESSED = "source, target, round(ssim, 6) AS ssim, round(histogram, 6) AS histogram, round(resolution, 6) AS resolution, score, category, confidence, strong"
+
+#: Pairs where every third record has no turned hashes.
+LEGACY = f"""{PICTURES},
+lp AS (SELECT * REPLACE (CASE WHEN vec_id % 2 = 0 THEN 1.5::DOUBLE ELSE 0.65::DOUBLE END AS aspect), vec_id % 3 <> 0 AS whole FROM pic),
+turns AS ({" UNION ALL ".join(
+    f"SELECT x.vec_id AS source, y.vec_id AS target, {t} AS turn, bit_count(xor(x.a0, y.a{t})) AS a, bit_count(xor(x.d0, y.d{t})) AS d, bit_count(xor(x.p0, y.p{t})) AS p, "
+    f"abs(x.aspect - {y}) / greatest(x.aspect, {y}) AS aspect, abs(x.luminance - y.luminance) AS lum, x.aspect AS ax, y.aspect AS ay, y.whole FROM lp x JOIN lp y ON x.vec_id < y.vec_id" + (" WHERE y.whole" if t else "")
+    for t, y in ((0, "y.aspect"), (90, "(1 / y.aspect)"), (180, "y.aspect"), (270, "(1 / y.aspect)")))}),
+aligned AS (SELECT *, p * 0.5::DOUBLE + d * 0.3::DOUBLE + a * 0.2::DOUBLE + aspect * 20 AS r FROM turns
+  QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY p * 0.5::DOUBLE + d * 0.3::DOUBLE + a * 0.2::DOUBLE + aspect * 20, turn) = 1),
+tested AS (SELECT *, r + lum * 10 AS rank, (aspect <= 0.38 OR least(a, d, p) <= 4) AND (lum <= 0.35 OR least(a, d, p) <= 4)
+    AND (least(a, d, p) <= 4 OR (a <= {S.a + 3})::INT + (d <= {S.d + 3})::INT + (p <= {S.p + 3})::INT >= 2) AS passes, abs(ax - 1 / ay) / greatest(ax, 1 / ay) AS crossed FROM aligned),
+legacy AS (SELECT source, target, CASE WHEN passes THEN turn WHEN ay < ax THEN 90 ELSE 270 END AS turn, a, d, p, CASE WHEN passes THEN aspect ELSE crossed END AS aspect, rank FROM tested
+  WHERE passes OR (NOT whole AND crossed <= 0.08 AND lum <= 0.08 AND least(a, d, p) <= 32 AND (a + d + p) / 3.0::DOUBLE <= 38))"""
+
 ENTRIES = r"""
 n AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS archive,
   regexp_replace(url, '^[a-z]+://[^/]*/', '') || '-' || page_id::VARCHAR || ['.jpg', '.PNG', '.txt', '.webp', '', '.tif', '/.hidden.gif', '/thumbs.db', '.bmp', '/../x.png', '.zip'][1 + CASE WHEN page_id % 46 = 0 THEN 9 WHEN page_id % 23 = 0 THEN 10 ELSE page_id % 9 END] AS filename,
   page_id % 31 = 0 AS directory, CASE WHEN page_id % 19 = 0 THEN 0 ELSE length(html) END AS size, page_id % 97 = 5 AS encrypted FROM pages),
 m AS (SELECT *, floor(size / (page_id % 120 + 1.0::DOUBLE))::BIGINT AS packed, row_number() OVER (PARTITION BY archive ORDER BY page_id) - 1 AS idx,
   list_filter(string_split(replace(filename, chr(92), '/'), '/'), lambda s: s <> '' AND s <> '.') AS seg FROM n),
-o AS (SELECT *, CASE WHEN filename = '' OR regexp_matches(filename, '[\x00-\x1f\x7f]') OR filename[1] IN ('/', chr(92)) OR regexp_matches(filename, '^[a-zA-Z]:') OR list_contains(seg, '..') OR len(seg) = 0 THEN NULL ELSE array_to_string(seg, '/') END AS path FROM m),
+o AS (SELECT *, CASE WHEN filename = '' OR regexp_matches(filename, '[\x00-\x1f\x7f]') OR filename[1] IN ('/', chr(92)) OR regexp_matches(filename, '^[a-zA-Z]:') OR list_contains(seg, '..') OR len(seg) = 0 THEN NULL ELSE nfc_normalize(array_to_string(seg, '/')) END AS path FROM m),
 q AS (SELECT *, lower(string_split(path, '.')[-1]) AS ext, string_split(path, '/')[-1] AS base FROM o),
 r AS (SELECT *, CASE WHEN ext IN ('jpg', 'jpeg') THEN 'jpeg' WHEN ext IN ('heic', 'heif', 'hif') THEN 'heic' WHEN ext IN ('bmp', 'dib') THEN 'bmp' WHEN ext IN ('tif', 'tiff') THEN 'tiff' WHEN ext IN ('png', 'webp', 'avif', 'gif') THEN ext END AS format FROM q),
 s AS (SELECT *, CASE WHEN directory THEN 'directory' WHEN size = 0 THEN 'empty' WHEN base[1] = '.' OR lower(base) = 'thumbs.db' OR len(list_filter(string_split(lower(path), '/'), lambda x: x = '__macosx')) > 0 THEN 'system' WHEN format IS NULL THEN 'unsupported' END AS skip FROM r),
@@ -117,18 +188,37 @@ SELECT event_id, n_event_id, CASE WHEN coalesce(metres >= 5000, false) OR (secon
 
 _heads = "['FFD8FFE0', '89504E470D0A1A0A00', '52494646000000005745425056', '474946383761', '474946383961', '424D0000', '49492A00', '4D4D002A', '000000186674797061766966', '00000018667479706D696631', '504B0304', '504B0506', '0000', 'FFD8']"
 
+#: Documents in groups of one source and language, their comparisons split by tier.
+GROUPS = """x AS (SELECT *, source || '-' || lang AS group_id, min(doc_id) OVER (PARTITION BY source, lang) AS ref, 'name ' || (doc_id % 10)::VARCHAR || '-' || source AS name, source || '/' || lang || '/' || doc_id::VARCHAR AS path FROM documents LEFT JOIN labels USING (doc_id)),
+c AS (SELECT group_id, ref, doc_id, CASE WHEN toxic = 1 THEN 'manual-review' ELSE 'strong' END AS tier, n_chars % 101 AS score, coalesce(quality = 0, false) AS review, n_chars % 3 = 0 AS decided, lower(name || chr(10) || path) AS t FROM x WHERE doc_id <> ref),
+g AS (SELECT c.group_id, c.tier, c.ref, count(*) AS candidates, max(c.score) AS best_score, bool_or(c.review) AS hit, bool_or(c.decided) AS decided, bool_or(contains(c.t, 'src1')) OR bool_or(contains(lower(x.name || chr(10) || x.path), 'src1')) AS found FROM c JOIN x ON c.ref = x.doc_id GROUP BY c.group_id, c.tier, c.ref)"""
+
+
+def _natural(column: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all(lower({column}), '[0-9]+|[^0-9]+'), lambda s: CASE WHEN s[1] BETWEEN '0' AND '9' THEN lpad(s, 20, '0') ELSE s END), '')"
+
+
 SQL = {
     "ahash_embeddings": f"WITH {PICTURES} SELECT vec_id, "
     + ", ".join(
         f"lower(lpad(to_hex(list_reduce(list_transform(range(1, 65), lambda i: CASE WHEN ({h}{t}::VARCHAR)[i] = '1' THEN (1::UBIGINT << (64 - i)::UBIGINT) ELSE 0::UBIGINT END), lambda s, x: s + x)), 16, '0')) AS {h}_hash_{t}" for h in "adp" for t in (0, 90)
     )
     + " FROM pic",
+    "turned_hashes": f"WITH {PICTURES} SELECT vec_id, "
+    + ", ".join(
+        f"lower(lpad(to_hex(list_reduce(list_transform(range(1, 65), lambda i: CASE WHEN ({h}{t}::VARCHAR)[i] = '1' THEN (1::UBIGINT << (64 - i)::UBIGINT) ELSE 0::UBIGINT END), lambda s, x: s + x)), 16, '0')) AS {h}_hash_{t}" for h in "adp" for t in (180, 270)
+    )
+    + ", " + ", ".join(f"CAST(bit_count(xor({h}0, {h}{t})) AS INT) AS {h}_moves_{t}" for h in "adp" for t in (90, 180, 270))
+    + " FROM pic",
+    "legacy_pairs": f"WITH {LEGACY} SELECT {PAIR_COLUMNS} FROM legacy",
+    "assess_pairs_balanced": f"WITH {scored(MODES['balanced'])} SELECT {ASSESSED} FROM sg",
+    "pair_reasons": f"WITH {scored(S)} SELECT source, target, {reasons(S)} AS reasons FROM sg",
     "hamming_neighbours": f"WITH {PICTURES}, w AS (SELECT vec_id, a0, d0, p0, lead(a0) OVER (ORDER BY vec_id) AS a, lead(d0) OVER (ORDER BY vec_id) AS d, lead(p0) OVER (ORDER BY vec_id) AS p FROM pic) "
     "SELECT vec_id, CAST(bit_count(xor(a0, a)) AS INT) AS a_distance, CAST(bit_count(xor(d0, d)) AS INT) AS d_distance, CAST(bit_count(xor(p0, p)) AS INT) AS p_distance FROM w WHERE a IS NOT NULL",
     "candidate_gate": f"WITH {CANDIDATES} SELECT {PAIR_COLUMNS} FROM cand",
     "topk_per_item": f"WITH {TOPK} SELECT {PAIR_COLUMNS} FROM best",
-    "assess_pairs": f"WITH {SCORED} SELECT source, target, round(ssim, 6) AS ssim, round(histogram, 6) AS histogram, round(resolution, 6) AS resolution, score, category, confidence, strong FROM sg",
-    "category_counts": f"WITH {SCORED} SELECT category, confidence, count(*) AS pairs, max(score) AS best, min(score) AS worst FROM sg GROUP BY ALL",
+    "assess_pairs": f"WITH {scored(S)} SELECT {ASSESSED} FROM sg",
+    "category_counts": " UNION ALL ".join(f"SELECT * FROM (WITH {scored(m)} SELECT '{name}' AS mode, category, confidence, count(*) AS pairs, max(score) AS best, min(score) AS worst FROM sg GROUP BY ALL)" for name, m in MODES.items()),
     "histogram_similarity": "WITH h AS (SELECT user_id, "
     + "["
     + ", ".join(f"count(*) FILTER (md5(event_type)[1] IN ({', '.join(repr(c) for c in k)}))::DOUBLE" for k in ("0123", "456", "789", "abc", "def"))
@@ -158,12 +248,17 @@ SQL = {
     "r AS (SELECT source, lang, page, count(rel) AS n, count(*) FILTER (rel = 'later') AS l, count(*) FILTER (rel = 'different') AS f, min(doc_id) AS ref FROM d GROUP BY source, lang, page), "
     "j AS (SELECT doc_id, ref, CASE WHEN own = 'duplicate' THEN 'duplicate' WHEN own = 'later' OR l > 0 THEN 'later' WHEN n > 0 AND n = f THEN 'different' WHEN own = 'different' THEN 'different' WHEN n > 0 THEN 'unreviewed' ELSE own END AS decision FROM d JOIN r USING (source, lang, page)) "
     "SELECT doc_id, decision, CASE WHEN decision = 'duplicate' THEN 'bestätigtes-duplikat' WHEN decision = 'later' THEN 'ungeklärt' WHEN decision = 'unreviewed' AND doc_id <> ref THEN 'ungeklärt' ELSE 'behalten' END AS category FROM j",
-    "result_query": "WITH d AS (SELECT *, source || '-' || lang AS group_id, min(doc_id) OVER (PARTITION BY source, lang) AS ref FROM documents LEFT JOIN labels USING (doc_id)), "
-    "c AS (SELECT group_id, ref, doc_id, CASE WHEN toxic = 1 THEN 'manual-review' ELSE 'strong' END AS tier, n_chars % 101 AS score, coalesce(quality = 0, false) AS review, group_id || chr(10) || source || '/' || lang || '/' || doc_id::VARCHAR AS t FROM d WHERE doc_id <> ref), "
-    "g AS (SELECT group_id, tier, ref, count(*) AS candidates, max(score) AS best_score, bool_or(review) AS hit, bool_or(contains(lower(t), 'src1')) OR contains(lower(any_value(group_id)), 'src1') AS found FROM c GROUP BY group_id, tier, ref) "
-    "SELECT group_id, tier, ref::VARCHAR AS reference_id, candidates, best_score FROM g WHERE tier = 'strong' AND hit AND found ORDER BY best_score DESC, group_id, tier LIMIT 20",
+    "result_query": f"WITH {GROUPS} SELECT group_id, tier, ref::VARCHAR AS reference_id, candidates, best_score FROM g WHERE tier = 'strong' AND hit AND found ORDER BY best_score DESC, group_id, tier LIMIT 20",
+    "result_orders": f"WITH {GROUPS}, k AS (SELECT g.*, x.n_chars AS size, {_natural("x.name")} AS nk, {_natural("x.path")} AS pk FROM g JOIN x ON g.ref = x.doc_id WHERE g.decided) "
+    + " UNION ALL ".join(
+        f"(SELECT '{n}' AS sort, group_id, tier, ref::VARCHAR AS reference_id, candidates, best_score FROM k ORDER BY {o}, group_id, tier LIMIT 5 OFFSET 5)"
+        for n, o in (("similarity-desc", "best_score DESC"), ("similarity-asc", "best_score"), ("name", "nk"), ("path", "pk"), ("size", "size DESC"), ("group-size", "candidates DESC"))
+    ),
+    "result_tiers": f"WITH {GROUPS}, t AS (SELECT tier, count(*) AS groups FROM g GROUP BY tier) SELECT tier, groups FROM t UNION ALL SELECT 'shown ' || tier AS tier, groups FROM t WHERE tier = 'strong'",
     "name_tools": r"""WITH c AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '[\x00-\x1f\x7f]', '_', 'g'), '[<>:"/\\|?*]', '_', 'g') AS u FROM pages), """
     r"""s AS (SELECT page_id, url, substr(regexp_replace(u, '[. ]+$', ''), 1, 180) AS n, substr(regexp_replace(u || '-bericht', '[. ]+$', ''), 1, 180) AS stem FROM c) SELECT page_id, CASE WHEN n = '' THEN 'bericht' ELSE n END AS safe_name, string_split(url, '/')[-1] AS base, 'jpeg' AS format, stem FROM s""",
     "error_codes": f"WITH {ENTRIES} SELECT code, CASE code WHEN 'encrypted-zip' THEN 'encrypted-zip' WHEN 'compression-ratio' THEN 'limit-exceeded' WHEN 'archive-too-large' THEN 'limit-exceeded' WHEN 'entry-too-large' THEN 'limit-exceeded' WHEN 'too-many-images' THEN 'limit-exceeded' ELSE 'invalid-zip' END AS public, "
     "false AS recoverable, count(*) AS entries FROM u WHERE code IS NOT NULL GROUP BY code",
+    "error_ids": f"WITH {ENTRIES}, w AS (SELECT page_id, code || chr(0) || coalesce(path, '') || chr(0) || 'message' AS t FROM u WHERE code IS NOT NULL) SELECT page_id, 'zip-' || lower(lpad(to_hex(list_reduce(list_transform(range(1, length(t) + 1), "
+    "lambda i: unicode(t[i])::HUGEINT), lambda s, x: (xor(s, x) * 16777619) % 4294967296, 2166136261::HUGEINT)::UBIGINT), 8, '0')) AS error_id FROM w",
 }

@@ -154,6 +154,9 @@ def test_turns_and_scales(spark):
 
 
 def test_file_decisions(spark):
-    d = lambda own, *rel: results.file_decision(F.lit(own), F.array(*[F.lit(x) for x in rel]).cast("array<string>"))
-    r = one(spark, a=d("unreviewed", "different", "duplicate"), b=d("unreviewed", "later", "different"), c=d("unreviewed", "different", "different"), d=d("different", "unreviewed"), e=d("unreviewed", "unreviewed", "different"), f=d("unreviewed"))
-    assert tuple(r) == ("duplicate", "later", "different", "different", "unreviewed", "unreviewed")
+    cases = {"a": ("unreviewed", ["different", "duplicate"]), "b": ("unreviewed", ["later", "different"]), "c": ("unreviewed", ["different", "different"]), "d": ("different", ["unreviewed"]), "e": ("unreviewed", ["unreviewed", "different"]), "f": ("unreviewed", [None]), "g": ("later", [])}
+    rows = spark.createDataFrame([(k, own, r) for k, (own, rel) in cases.items() for r in rel], "k string, own string, relation string")
+    flags = rows.groupBy("k").agg(results.relation_flags(F.col("relation")).alias("flags"))
+    files = spark.createDataFrame([(k, own) for k, (own, _) in cases.items()], "k string, own string").join(flags, "k", "left")
+    got = {r.k: r.d for r in files.select("k", results.file_decision(F.col("own"), F.col("flags")).alias("d")).collect()}
+    assert got == {"a": "duplicate", "b": "later", "c": "different", "d": "different", "e": "unreviewed", "f": "unreviewed", "g": "later"}

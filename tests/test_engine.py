@@ -93,7 +93,7 @@ def test_histogram_and_ssim():
     h = kernels.hsv_histogram(red)
     assert h[0 * 16 + 3 * 4 + 3] == 1 and h.sum() == 1
     y, x = np.mgrid[0:64, 0:64]
-    board = (((x // 8 + y // 8) % 2) * 200).astype(np.uint8)
+    board = (((x // 8 + y // 8) % 2) * 200).astype(np.uint8).ravel()
     assert kernels.global_ssim(board, board) == 1 and kernels.global_ssim(board, board + 10) > 0.98 and kernels.global_ssim(board, 200 - board) < 0
     assert kernels.thumbnail_size(7200, 10) == (360, 1) and kernels.thumbnail_size(100, 50) == (100, 50)
 
@@ -292,9 +292,9 @@ def test_archives_to_reports(spark, zips, tmp_path):
     assert text.startswith("﻿Gruppen-ID") and text.count("\r\n") == 5
     cleaned = results.cleaned_files(found.images, found.groups, resolved).collect()
     assert [r.category for r in cleaned].count("ungeklärt") == 4 and [r.path for r in cleaned] == sorted(r.path for r in cleaned)
-    hits = results.search(found.groups, found.images, resolved, text=" KOPIE ", facet="almost-certain-duplicate", tier="strong").collect()
+    hits = results.search(found.images, resolved, text=" KOPIE ", facet="almost-certain-duplicate", tier="strong").collect()
     assert [h.group_id for h in hits] == ["group-1"] and hits[0].best_score == 100
-    assert results.search(found.groups, found.images, resolved, text="nirgends").count() == 0
+    assert results.search(found.images, resolved, text="nirgends").count() == 0
     assert results.shown_tier(comparisons.presented(resolved), "low-priority") == "strong"
     decided = found.images.withColumn("decision", F.when(F.col("name") == "kopie.png", "duplicate").otherwise(F.col("decision")))
     again = comparisons.with_decisions(comparisons.resolve(found.groups, found.edges), decided, spark.createDataFrame([], "edge_id string, decision string"))
