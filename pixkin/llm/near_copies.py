@@ -203,6 +203,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     member = attach(pairs, uses, ["hub"], "n", max(1, pairs.count()), ready=True).select("node", "hub", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), F.lit(False).alias("own"))
     itself = uses.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(True).alias("own"))
     places = cut_lineage(member.unionByName(itself))
+    release(docs.sparkSession)
     wanted = docs.sparkSession.sparkContext.broadcast(filter_of(places.select("node").distinct()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,6 +250,7 @@ def tree_pairs(nodes: DataFrame) -> DataFrame:
 def groups_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """node, root (the smallest node) of all that links of similarity 0.8 or more join. rows: what shapes() gives."""
     members = meeting(rows.where("size > 0"))
+    release(docs.sparkSession)
     nodes = cut_lineage(rows.where("size > 0").select("node", "size", "fp", *BITS).dropDuplicates(["node"]))
     total = max(1, members.count())
     # Hubs: of a shingle's members the one that meets most others, so the text that the copies were made of rather than one of them.
@@ -258,7 +260,10 @@ def groups_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
     hubs = members.groupBy("shingle").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"), F.count("*").alias("n"))
     star = cut_lineage(attach(members, hubs, ["shingle"], "n", total).select("node", "hub").where("node != hub").distinct())
     release(docs.sparkSession)
-    first = plausible(star.unionByName(tree_pairs(nodes)), nodes)
+    tree = tree_pairs(nodes)
+    release(docs.sparkSession)
+    first = plausible(star.unionByName(tree), nodes)
+    del star, tree, hubs, meets, weight
     near = verified(first, docs)
     found = components(near.select(F.col("node").alias("a"), F.col("hub").alias("b")))
 
@@ -267,6 +272,7 @@ def groups_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
     sizes = members.groupBy("shingle", "root").agg(F.count("*").alias("m")).groupBy("shingle")
     sizes = sizes.agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("top")).where("n > top.m").select("shingle", "n", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.m")) / BLOCK).alias("left"), F.ceil(F.col("n") / BLOCK).alias("right"))
     open_ = attach(members, sizes, ["shingle"], "n", total)
+    release(docs.sparkSession)
     open_ = cut_lineage(open_.join(nodes.select("node", "size", *BITS), "node"))
     place = lambda of: F.pmod(F.xxhash64("node"), F.col(of))
     every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
@@ -280,6 +286,8 @@ def groups_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
     if pairs.isEmpty():
         return found
     more = verified(pairs, docs)
+    del members, sizes, open_, x, y, pairs, tried, first, near
+    release(docs.sparkSession)
     for end in ("node", "hub"):
         more = more.join(found.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
     later = components(more.select(F.col("node").alias("a"), F.col("hub").alias("b")))
@@ -298,9 +306,12 @@ def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") ->
     key = dict(zip(names, (F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), F.col(doc_id).isNull(), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))))
     source = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), key[names[2]].alias("digest"), F.col(text).cast("string").alias("text"))
     rows = cut_lineage(shapes(source))
+    release(docs.sparkSession)
     order = F.struct(F.col("doc_id").isNull().alias("nulls"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest")
     best = F.min(order).alias("best")
-    groups = rows.groupBy("node").agg(best).join(groups_of(rows, source), "node", "left")
+    found = groups_of(rows, source)
+    release(docs.sparkSession)
+    groups = rows.groupBy("node").agg(best).join(found, "node", "left")
     stay = groups.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
     stay = cut_lineage(stay.select(F.col("best.id").alias(names[0]), F.col("best.nulls").alias(names[1]), F.col("best.digest").alias(names[2])))
     release(docs.sparkSession)
