@@ -93,3 +93,12 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
         starts[p], before = before, before + sizes[p]
     table = F.create_map(*[F.lit(x) for p, n in starts.items() for x in (p, n)]) if starts else F.create_map(F.lit(0), F.lit(0))
     return ranged.withColumn(name, (F.element_at(table, part.cast("int")) + F.col(place).bitwiseAND((1 << 33) - 1) + 1).cast("long")).drop(place)
+
+
+def bounded_batches(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """``df``, after making sure that Arrow batches of its session hold about ``most`` bytes at most: rows hold whole files, and a worker holds a batch at a time."""
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    now = spark.conf.get(key)
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(key, str(most))
+    return df

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pixkin.config import Limits
 from pixkin.functions import names
+from pixkin.operators.skew import bounded_batches
 from pixkin.operators.validate import check_entries, inspect
 
 ENTRIES = "archive string, index int, filename string, directory boolean, compressed_size long, uncompressed_size long, encrypted boolean, last_modified timestamp"
@@ -46,7 +47,7 @@ def read_entries(files: DataFrame) -> DataFrame:
                     out[c] = out[c].astype("Int64")
                 yield out
 
-    return files.select("path", "content").mapInPandas(run, ENTRIES + ", error string")
+    return bounded_batches(files).select("path", "content").mapInPandas(run, ENTRIES + ", error string")
 
 
 def unpack(files: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def unpack(files: DataFrame, wanted: DataFrame) -> DataFrame:
                             error = "corrupt-entry"
                         yield pd.DataFrame({"archive": [path], "index": [i], "content": [data], "error": [error]})
 
-    return both.mapInPandas(run, "archive string, index int, content binary, error string")
+    return bounded_batches(both).mapInPandas(run, "archive string, index int, content binary, error string")
 
 
 def read_images(files: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,6 @@
 """Pictures: decoders by format, and features of decoded pictures.
 
-PNG, BMP, GIF and simple TIFF files are decoded here. Other formats need a decoder from the caller: ``register(format, function)``, on every executor.
+JPEG, PNG, BMP, GIF and simple TIFF files are decoded here. Other formats need a decoder from the caller: ``register(format, function)``, on every executor.
 """
 
 from __future__ import annotations
@@ -16,9 +16,13 @@ from pyspark.sql import functions as F
 
 from pixkin.config import Limits
 from pixkin.functions import kernels
+from pixkin.operators.skew import bounded_batches
+from pixkin.sources.jpeg import decode_jpeg
 from pixkin.sources.tiff import capture_metadata, decode_tiff
 
 DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {}
+#: A decoded picture takes four bytes a pixel and more while it is worked on.
+MOST_PIXELS = 200_000_000
 VARIANT = "struct<turn:int,aspect:double,a:bigint,d:bigint,p:bigint>"
 FEATURES = f"width int, height int, aspect double, variants array<{VARIANT}>, histogram array<double>, luminance double, gray binary, decode_error string"
 
@@ -32,7 +36,7 @@ def decode_png(data: bytes) -> np.ndarray:
     """8- and 16-bit, 1- to 4-bit grey and palette, all filters, Adam7."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG file")
-    at, body, palette, alpha = 8, b"", None, b""
+    at, body, palette, alpha = 8, [], None, b""
     width = height = depth = kind = interlaced = 0
     while at + 8 <= len(data):
         n, name = struct.unpack(">I4s", data[at : at + 8])
@@ -47,13 +51,16 @@ def decode_png(data: bytes) -> np.ndarray:
         elif name == b"tRNS":
             alpha = chunk
         elif name == b"IDAT":
-            body += chunk
+            body.append(chunk)
         elif name == b"IEND":
             break
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
-    raw, place = zlib.decompress(body), 0
-    out = np.zeros((height, width, channels), np.uint16)
     passes = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)) if interlaced else ((0, 0, 1, 1),)
+    if width * height > MOST_PIXELS:
+        raise ValueError("the picture is too large")
+    size = sum(max(0, -(-(height - y0) // dy)) * (1 + -(-max(0, -(-(width - x0) // dx)) * channels * depth // 8)) for x0, y0, dx, dy in passes)
+    raw, place = zlib.decompressobj().decompress(b"".join(body), size), 0  # no more than the picture needs
+    out = np.zeros((height, width, channels), np.uint16)
     for x0, y0, dx, dy in passes:
         w, h = -(-(width - x0) // dx), -(-(height - y0) // dy)
         if w <= 0 or h <= 0:
@@ -85,30 +92,32 @@ def decode_png(data: bytes) -> np.ndarray:
 
 
 def unfiltered(raw: bytes, h: int, line: int, step: int) -> np.ndarray:
-    """Scan lines without their filters."""
+    """Scan lines without their filters. Lines that lean on the byte before and the line above at once are undone by diagonals, all lines together."""
     data = np.frombuffer(raw, np.uint8).reshape(h, line + 1)
-    out = np.zeros((h + 1, line), np.uint8)
-    for y in range(h):
-        how, row, up = data[y, 0], data[y, 1:], out[y]
-        if how == 0:
-            out[y + 1] = row
-        elif how == 2:
-            out[y + 1] = row + up
-        elif how == 1:
-            for k in range(step):
-                out[y + 1, k::step] = np.cumsum(row[k::step], dtype=np.uint8)
-        else:
-            cur, top = [0] * step + row.tolist(), [0] * step + up.tolist()
-            for i in range(step, len(cur)):
-                a, b, c = cur[i - step], top[i], top[i - step]
-                if how == 3:
-                    cur[i] = (cur[i] + (a + b) // 2) & 255
-                else:
-                    p = a + b - c
-                    pa, pb, pc = abs(p - a), abs(p - b), abs(p - c)
-                    cur[i] = (cur[i] + (a if pa <= pb and pa <= pc else b if pb <= pc else c)) & 255
-            out[y + 1] = cur[step:]
-    return out[1:]
+    how = data[:, 0]
+    if not (how >= 3).any():
+        out = np.zeros((h + 1, line), np.uint8)
+        for y in range(h):
+            row = data[y, 1:]
+            if how[y] == 1:
+                for k in range(step):
+                    out[y + 1, k::step] = np.cumsum(row[k::step], dtype=np.uint8)
+            else:
+                out[y + 1] = row + out[y] if how[y] == 2 else row
+        return out[1:]
+    w = -(-line // step)
+    left = np.zeros((h, w * step), np.int16)
+    left[:, :line] = data[:, 1:]
+    left, out = left.reshape(h, w, step), np.zeros((h + 1, w + 1, step), np.int16)
+    for d in range(w + h - 1):
+        y = np.arange(max(0, d - w + 1), min(h, d + 1))
+        x, f = d - y, how[y, None]
+        a, b, c = out[y + 1, x], out[y, x + 1], out[y, x]
+        pa, pb, pc = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+        nearest = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
+        guess = np.where(f == 1, a, np.where(f == 2, b, np.where(f == 3, (a + b) >> 1, np.where(f == 4, nearest, 0))))
+        out[y + 1, x + 1] = (left[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8).reshape(h, w * step)[:, :line]
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
@@ -141,10 +150,11 @@ def decode_gif(data: bytes) -> np.ndarray:
     canvas = np.zeros((height, width, 4), np.uint8)
 
     def chunks(at: int) -> tuple[bytes, int]:
-        out = b""
+        out = []
         while n := data[at]:
-            out, at = out + data[at + 1 : at + 1 + n], at + 1 + n
-        return out, at + 1
+            out.append(data[at + 1 : at + 1 + n])
+            at += 1 + n
+        return b"".join(out), at + 1
 
     while data[at] != 0x2C:
         if data[at] != 0x21:
@@ -197,27 +207,28 @@ def unpacked_codes(data: bytes, bits: int, size: int) -> bytes:
     return bytes(out[:size])
 
 
+register("jpeg", decode_jpeg)
 register("png", decode_png)
 register("bmp", decode_bmp)
 register("gif", decode_gif)
 register("tiff", decode_tiff)
 
 
-def features_of(name: str, data: bytes, orientation: int | None = None, edge: int = Limits().analysis_edge) -> dict:
-    """The record of one picture; ValueError if it can't be decoded."""
+def features_of(name: str, data: bytes, orientation: int | None = None, edge: int = Limits().analysis_edge, upright: bool = True) -> dict:
+    """The record of one picture; ValueError if it can't be decoded. Not ``upright``: decoders leave the picture as stored, so one whose orientation isn't 1 gets no turned variants."""
     if name not in DECODERS:
         raise ValueError(f"no decoder for {name}")
-    rgba = kernels.oriented(DECODERS[name](data), orientation)
+    rgba = kernels.oriented(DECODERS[name](data), orientation if upright else None)
     height, width = rgba.shape[:2]
     small = kernels.area_square(rgba, edge)
     gray, aspect = kernels.grey(small), width / max(1, height)
     return {
-        "width": width, "height": height, "aspect": aspect, "variants": [dict(zip(("turn", "aspect", "a", "d", "p"), v)) for v in kernels.variants(gray, aspect)],
+        "width": width, "height": height, "aspect": aspect, "variants": [dict(zip(("turn", "aspect", "a", "d", "p"), v)) for v in kernels.variants(gray, aspect)][: 4 if upright or orientation in (None, 1) else 1],
         "histogram": kernels.hsv_histogram(small).tolist(), "luminance": float(gray.mean() / 255), "gray": gray.tobytes(), "decode_error": None,
     }
 
 
-def image_features(images: DataFrame) -> DataFrame:
+def image_features(images: DataFrame, upright: bool = True) -> DataFrame:
     """``images`` (format, content, metadata and orientation if known) less content, plus metadata, orientation and FEATURES. A picture that can't be decoded keeps its row, with decode_error."""
     if "metadata" not in images.columns:
         images = capture_metadata(images)
@@ -234,14 +245,14 @@ def image_features(images: DataFrame) -> DataFrame:
             for i, (name, data) in enumerate(zip(pdf["format"], pdf["content"])):
                 turn = pdf["orientation"].iloc[i] if oriented else None
                 try:
-                    rows.append(features_of(name, data, None if turn is None or pd.isna(turn) else int(turn)))
+                    rows.append(features_of(name, data, None if turn is None or pd.isna(turn) else int(turn), upright=upright))
                 except (ValueError, KeyError, IndexError, TypeError, zlib.error, struct.error) as e:
                     rows.append(dict.fromkeys(names) | {"decode_error": str(e) or type(e).__name__})
             made = pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in names}).set_index(pdf.index)
             made = made.astype({"width": "Int32", "height": "Int32", "aspect": "Float64", "luminance": "Float64"})
             yield pd.concat([pdf[carry], made], axis=1)
 
-    return images.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", " + FEATURES)
+    return bounded_batches(images).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", " + FEATURES)
 
 
 def flat_hashes(features: DataFrame) -> DataFrame:

@@ -6,7 +6,10 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from pixkin.plans import standins
+from pixkin.plans.analysis import analyse
 from pixkin.sources import images, tiff
 
 
@@ -132,3 +135,48 @@ def test_lzw_with_growing_codes():
     put(5, width)
     out.append(held)
     assert images.unpacked_codes(bytes(out), 2, len(data)) == data
+
+
+@pytest.mark.parametrize(("w", "h"), [(1, 1), (7, 3), (33, 21), (5, 40)])
+def test_png_with_all_filters(w, h):
+    a = np.random.default_rng(w).integers(0, 256, (h, w, 3)).astype(np.uint8)
+    assert (images.decode_png(standins.png_file(a))[..., :3] == a).all()
+    with pytest.raises(ValueError):
+        images.decode_png(standins.png_file(a)[:-20])
+
+
+def jpeg_file(levels: np.ndarray) -> bytes:
+    """A grey baseline file of one level a block: codes of four bits for the sizes of DC differences, and the end of each block."""
+    bits, before = [], 0
+    for level in ((levels.astype(int) - 128) * 8).ravel():
+        v, before = int(level) - before, int(level)
+        n = abs(v).bit_length()
+        bits += [n >> k & 1 for k in (3, 2, 1, 0)] + [(v if v >= 0 else v + (1 << n) - 1) >> k & 1 for k in range(n - 1, -1, -1)] + [0]
+    bits += [1] * (-len(bits) % 8)
+    marker = lambda kind, body: bytes([0xFF, kind]) + (len(body) + 2).to_bytes(2, "big") + body
+    table = lambda key, width, symbols: bytes([key]) + bytes(len(symbols) if n == width else 0 for n in range(1, 17)) + bytes(symbols)
+    h, w = levels.shape
+    frame = bytes([8]) + (8 * h).to_bytes(2, "big") + (8 * w).to_bytes(2, "big") + bytes([1, 1, 0x11, 0])
+    data = np.packbits(np.array(bits, np.uint8)).tobytes().replace(b"\xff", b"\xff\0")
+    return b"\xff\xd8" + marker(0xDB, b"\0" + b"\1" * 64) + marker(0xC4, table(0, 4, list(range(12))) + table(0x10, 1, [0])) + marker(0xC0, frame) + marker(0xDA, bytes([1, 1, 0, 0, 63, 0])) + data + b"\xff\xd9"
+
+
+def test_a_jpeg_original_and_its_png_copy(spark):
+    """They are one picture to the engine, also where the JPEG is stored on its side."""
+    levels = np.random.default_rng(5).integers(20, 230, (9, 12)).astype(np.uint8)
+    pixels = levels.repeat(8, 0).repeat(8, 1)
+    block = tiff_file(">", {0x0112: (3, [6])})
+    side = jpeg_file(np.rot90(levels))
+    side = side[:2] + b"\xff\xe1" + struct.pack(">H", len(block) + 8) + b"Exif\0\0" + block + side[2:]
+    png = standins.png_file(np.repeat(pixels[:, :, None], 3, 2))
+    files = standins.zipped([("a/original.jpg", jpeg_file(levels)), ("a/kopie.png", png), ("a/seite.jpg", side), ("a/kaputt.jpg", jpeg_file(levels)[:60])])
+    df = spark.createDataFrame([("x.zip", len(files), files)], "path string, length long, content binary").withColumn("modificationTime", F.current_timestamp())
+    found = analyse(df)
+    names = {r.id: r.name for r in found.images.collect()}
+    assert sorted(names.values()) == ["kopie.png", "original.jpg", "seite.jpg"] and [r.code for r in found.errors.collect()] == ["unsupported-image"]
+    assert sorted(tuple(sorted((names[e.source_id], names[e.target_id]))) + (e.score, e.turn) for e in found.edges.collect()) == [("kopie.png", "original.jpg", 100, 0), ("kopie.png", "seite.jpg", 100, 0), ("original.jpg", "seite.jpg", 100, 0)]
+
+
+def test_variants_are_withheld_where_the_turn_is_unknown():
+    data = standins.png_file(np.random.default_rng(1).integers(0, 256, (6, 9, 3)).astype(np.uint8))
+    assert [len(images.features_of("png", data, turn, upright=upright)["variants"]) for turn, upright in ((6, True), (6, False), (1, False), (None, False))] == [4, 1, 4, 4]
