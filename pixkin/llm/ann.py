@@ -179,7 +179,7 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, vec_id: str = "v
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``, among all other rows.
 
     Null ids, and vectors that are null, zero, hold null or non-finite components or have another length than most, take no part. Rows
-    that repeat an id count once. Ties go to the smaller id. With fewer than k + 1 rows, all are returned; an empty table gives no rows.
+    that repeat an id count once; of different vectors of one id the best score counts. Ties go to the smaller id. With fewer than k + 1 rows, all are returned; an empty table gives no rows.
     """
     all_ = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     lengths = all_.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
@@ -230,7 +230,7 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, vec_id: str = "v
         asks = pdf["codes"].isna().to_numpy()
         both = []
         for part in (pdf[~asks], pdf[asks]):
-            part = part.drop_duplicates("id").sort_values("id")
+            part = part.drop_duplicates(["id", "v"]).sort_values("id", kind="stable")
             both.append((part["id"].to_numpy(np.int64), np.frombuffer(b"".join(part["v"])).reshape(-1, dim), part))
         (ids, x, own), (q_ids, q, _) = both
         if not len(ids) or not len(q_ids):
@@ -239,6 +239,6 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, vec_id: str = "v
         found = best_of_block(shared.value, ids, x, packed, q_ids, q, k)
         return pd.DataFrame({n: np.concatenate([f[i] for f in found]) for i, n in enumerate(("query_id", "vec_id", "score"))})
 
-    found = left.unionByName(right).groupBy("cell", "sub", "turn").applyInPandas(block, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id"])
+    found = left.unionByName(right).groupBy("cell", "sub", "turn").applyInPandas(block, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

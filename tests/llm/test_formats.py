@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -93,6 +94,26 @@ def test_character_map_takes_the_longest_prefix():
     assert m.normalize(b"  a ")[0].decode() == "▁▁▁a▁"
 
 
+@pytest.mark.parametrize(("rule", "tidy"), [("nmt_nfkc", False), ("nfkc", True), ("nmt_nfkc_cf", True)])
+def test_normalisation_and_offsets_equal_the_library(rule, tidy):
+    """Compiled public character maps over hundreds of strings: text, and the source of each character."""
+    library = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=tidy, escape_whitespaces=tidy, remove_extra_whitespaces=tidy)
+    spec = next(v for k, v in sp.fields(library.serialized_model_proto()) if k == 3)
+    m = sp.Model.__new__(sp.Model)
+    m.charsmap = sp.CharMap(next(v for k, v in sp.fields(spec) if k == 2))
+    m.dummy_prefix, m.squeeze, m.escape = tidy, tidy, True
+    rng = random.Random(3)
+    pool = [*"ﬁ½Å①㌔ｱﾞé\u00a0\u3000 \t日😀ǆﷺ\u200bⅧ\u0300가㎏™\ufeffx", "  ", "e\u0301", "\u1100\u1161", "\r\n"]
+    spans = [range(32, 127), range(160, 0x500), range(0x2000, 0x3400), range(0xAC00, 0xD7A0), range(0xF900, 0xFFEE)]
+    for i in range(400):
+        text = "".join(rng.choice(pool) if rng.random() < 0.6 else chr(rng.choice(rng.choice(spans))) for _ in range(rng.randint(0, 30 if i else 5000)))
+        want, offsets = library.normalize(text, with_offsets=True)
+        out, align = m.normalize(text.encode())
+        got = out.decode() if tidy else out.decode().replace("▁", " ")
+        starts = np.cumsum([0, *(len(c.encode()) for c in out.decode())])
+        assert got == want and [len(text.encode()[: align[a]].decode()) for a in starts] == list(offsets)
+
+
 def test_piece_query_keeps_all_rows(spark):
     df = spark.createDataFrame([(1, None), (1, None), (None, "a b"), (2, "")], "doc_id long, text string").withColumn("ids", F.lit(1))
     got = sp.encode_documents(df, catalog.piece_model(), arrays=True).collect()
@@ -378,11 +399,25 @@ def test_search_against_brute_force(spark, monkeypatch):
         hits += sum(s[f[1]] >= s[best[-1]] - 1e-9 for f in found)
         total += 20
     assert hits / total >= 0.9
+    twice = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(np.eye(16)[:4])] + [(3, [0.5, 0.9] + [0.0] * 14, 0), (0, [0.0, 1.0] + [0.0] * 14, 0)], "vec_id long, embedding array<float>, label int")
+    assert [(r.vec_id, round(r.score, 6)) for r in ann.search(twice).orderBy("rank").collect()] == [(1, 1.0), (3, 0.9), (2, 0.0)]  # of several vectors of an id the best counts
     few = ann.search(df.where("vec_id < 5")).collect()
     assert [(r.query_id, r.rank) for r in few] == [(0, k) for k in range(1, 5)]
     assert ann.search(df.where("false")).count() == 0
 
 
+def test_clustered_vectors_need_few_cells():
+    """Cells prune where vectors have structure: a quarter of them holds nearly all neighbours."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(200, 32))
+    x = centres[rng.integers(200, size=8000)] + rng.normal(scale=0.2, size=(8000, 32))
+    ix = ann.fit(x, 64)
+    q = x[:100]
+    best = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    cells = ix.nearest_cells(q, ix.probes)
+    assert ix.probes <= 16 and (ix.home(x)[best][:, :, None] == cells[:, None, :]).any(2).mean() >= 0.9
+
+
 def test_anisotropic_codes_lower_their_loss():
     x = np.random.default_rng(3).normal(size=(800, 16))
     ix = ann.fit(x, 1, near=0.4)
