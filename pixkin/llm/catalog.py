@@ -19,42 +19,52 @@ def piece_model() -> str:
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_grams, log_weight, gumbel_key, keep of every document. Null or empty texts weigh 0, long ones count whole; equal keys are kept or dropped together; rows of one id share their noise; no rows for an empty table."""
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text (null: empty, begin and end only) and the text they decode to. Repeated rows and null ids keep their rows; no rows for an empty table."""
     return sentencepiece.piece_report(table(spark, sf_dir, "documents"), piece_model())
 
 
 def op3_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes; equal texts (null: empty) share one. Repeated rows and null ids have slots of their own, ties go by size and checksum; no rows for an empty table."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text (null: empty) as the coefficients of a progressive file, read back. Equal texts give equal values; repeated rows and null ids keep their rows; no rows for an empty table."""
     return media.media_report(table(spark, sf_dir, "documents"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines before and after dropping those that a smaller doc_id has. Null or empty texts have one empty line; rows of one id are one document, null ids one that follows all others; no rows for an empty table."""
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
 def op6_simhash_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components. Texts without words have fingerprint zero and link like any other; every row is returned; null ids name no component unless it has no other; no rows for an empty table."""
     return simhash.simhash_report(table(spark, sf_dir, "documents"))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document. Null texts have size 0, a null source comes last, rows that agree in id and text stand or fall together; no rows for an empty table."""
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text (null or empty: what no word says). The fit takes bounded labelled rows outside the held-out fold; null ids are scored, not held out; no rows for an empty table."""
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector. Null, zero and non-finite vectors and null ids take no part, repeated ids count once, ties go to the smaller id; no rows for an empty table."""
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
 def op10_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. A null html is an empty page; odd or null urls are one host; copies of an article count once; every row is kept; no rows for an empty table."""
     return html_text.page_report(table(spark, sf_dir, "pages"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pixkin.operators.skew import HEAVY_SHARE, attach, cut as cut_lineage, shared_folder, unused
 
-__all__ = ["BATCH_ROWS", "HEAVY_SHARE", "LOWER", "UPPER", "WORD", "WS", "ascii_lower", "attach", "cut_lineage", "shared_folder", "small_batches", "table", "unused"]
+__all__ = ["BATCH_ROWS", "HEAVY_SHARE", "LOWER", "UPPER", "WORD", "WS", "ascii_lower", "attach", "cut_lineage", "set_aside", "shared_folder", "small_batches", "table", "unused"]
 
 #: White space of the contracts: space and U+0009 to U+000D.
 WS = " \t\n\x0b\x0c\r"
@@ -32,3 +32,10 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
+
+
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns of these names renamed, and the names to call them again."""
+    there = [c for c in df.columns if c in names]
+    other = dict(zip(there, unused(df, *(f"own_{c}" for c in there))))
+    return df.withColumnsRenamed(other), {v: k for k, v in other.items()}

@@ -51,6 +51,26 @@ def test_stages_one_by_one(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == ids.count()
 
 
+def test_stages_take_odd_rows_and_names(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, clashing names, and an empty table."""
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(60)]
+    text = lambda n: "\n".join(" ".join(rng.choice(words) for _ in range(9)) for _ in range(n))
+    table = [(i, text(3), "en", "s", 1) for i in range(40)]
+    table += [(None, text(3), None, None, None), (None, None, None, None, None), (3, None, "en", "s", 0), (4, "", "en", None, 0), (5, text(4000), "en", "s", 9), *[(6, "the same line of words twice", "en", "s", 1)] * 2, (None, text(2), "en", "s", 1)]
+    spark.createDataFrame([(i, int(i % 9 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(table, SCHEMA).withColumns({c: F.lit(c) for c in ("target", "copies", "n_lines", "key", "node", "_id", "good", "log_weight", "size", "digest")})
+    for docs in (docs, docs.where("false")):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before = docs
+            path = str(tmp_path / f"{docs.isEmpty()}{k}")
+            stage(spark, docs, str(tmp_path)).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if k < 4:
+                assert docs.columns == before.columns
+                assert before.isEmpty() or docs.where("doc_id is null").count() > 0 or k == 3
+
+
 def test_keep_good_holds_clean_documents(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     kept = {r.doc_id for r in quality.keep_good(docs, labels).select("doc_id").collect()}
