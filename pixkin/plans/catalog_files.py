@@ -152,7 +152,7 @@ SQL = {
     "archive_identity": f"""WITH f AS (SELECT doc_id, encode(text) AS b, strlen(text) AS n FROM documents WHERE text IS NOT NULL),
       g AS (SELECT *, doc_id || '.zip' AS name, greatest(least(n, 512), n - 512) AS start FROM f)
       SELECT name, n AS size, sha256(encode('{archive.IDENTITY_TAG}' || chr(10) || '{{"name":"' || name || '","size":' || n || ',"lastModified":' || (doc_id * 1000) || ',"chunkBytes":512}}' || chr(10)) || b[1:512] || CASE WHEN start < n THEN b[start + 1:n] ELSE ''::BLOB END) AS fingerprint FROM g""",
-    "archive_images": f"""WITH {ENTRIES} SELECT archive, path, string_split(path, '/')[2] AS name, CASE WHEN i % 2 = 1 THEN 'png' ELSE 'bmp' END AS format, CASE WHEN i % 2 = 0 THEN 246 END AS size, NULL::VARCHAR AS code, NULL::BOOLEAN AS fatal FROM good
+    "archive_images": f"""WITH {ENTRIES} SELECT archive, path, string_split(path, '/')[2] AS name, CASE WHEN i % 2 = 1 THEN 'png' ELSE 'bmp' END AS format, CASE WHEN i % 2 = 0 THEN 246::BIGINT END AS size, NULL::VARCHAR AS code, NULL::BOOLEAN AS fatal FROM good
       UNION ALL SELECT archive, path, NULL, NULL, NULL, code, code = 'nested-zip' FROM j WHERE code IS NOT NULL""",
     "picture_records": f"""WITH {SHOWN} SELECT i AS vec_id, CASE WHEN i % 2 = 1 THEN 'png' ELSE 'bmp' END AS format, 8::INT AS width, 8::INT AS height, 1.0::DOUBLE AS aspect, round(mean / 255, 6) AS luminance,
       md5(array_to_string(list_transform(range(0, 4096), lambda k: lpad(to_hex(gray[k // 512 * 8 + k % 64 // 8 + 1]::INT), 2, '0')), '')) AS gray_md5, colours, {_hex('ab')} AS a_hash, {_hex('db')} AS d_hash, {_hex('pb')} AS p_hash, 4::INT AS variants, NULL::VARCHAR AS decode_error FROM d3 JOIN h4 USING (i)""",
