@@ -56,10 +56,12 @@ def decode_png(data: bytes) -> np.ndarray:
             break
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
     passes = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)) if interlaced else ((0, 0, 1, 1),)
-    if width * height > MOST_PIXELS:
-        raise ValueError("the picture is too large")
+    if not 0 < width * height <= MOST_PIXELS:
+        raise ValueError("a PNG header is missing, or the picture is too large")
     size = sum(max(0, -(-(height - y0) // dy)) * (1 + -(-max(0, -(-(width - x0) // dx)) * channels * depth // 8)) for x0, y0, dx, dy in passes)
     raw, place = zlib.decompressobj().decompress(b"".join(body), size), 0  # no more than the picture needs
+    if len(raw) < size:
+        raise ValueError("PNG data end early")
     out = np.zeros((height, width, channels), np.uint16)
     for x0, y0, dx, dy in passes:
         w, h = -(-(width - x0) // dx), -(-(height - y0) // dy)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import itertools
+import json
 import random
 import struct
 import zipfile
@@ -17,6 +18,7 @@ from pixkin.config import MODES, TURNS, Limits
 from pixkin.functions import kernels
 from pixkin.operators import clusters, comparisons, graph, pairs, reports, results, validate
 from pixkin.plans.analysis import analyse
+from pixkin.plans.progress import Cancelled, Progress
 from pixkin.sources import archive, images
 from pixkin.sources.store import Store
 from pixkin.streaming.incremental import watch
@@ -153,6 +155,8 @@ def test_pair_join_and_best_partners_against_loops(spark, without):
                     bucket.remove(next(b for b in bucket if b[0] == max(z[0] for z in bucket)))
     got = pairs.candidate_pairs(df, s, block_rows=7)
     assert {(r.source.ord, r.target.ord): (r.turn, r.a, r.d, r.p) for r in got.collect()} == found and len(found) > 20
+    ranks = [r["rank"] for r in pairs.by_rank(got).collect()]
+    assert ranks == sorted(ranks)
     best = {(r.source.ord, r.target.ord) for r in pairs.best_partners(got, 3).collect()}
     assert best == {b[1:] for bucket in tops.values() for b in bucket}
 
@@ -272,8 +276,13 @@ def test_entry_counts(spark):
 
 
 def test_archives_to_reports(spark, zips, tmp_path):
-    files = archive.archives(spark, zips)
-    found = analyse(files)
+    files, told = archive.archives(spark, zips), []
+    progress = Progress(spark, lambda phase, percent: told.append((phase, percent)))
+    found = analyse(files, progress=progress)
+    assert [t[1] for t in told] == [1, 10, 61, 94, 98, 100] and set(progress.timings) == {t[0] for t in told} - {"completed"} and all(v >= 0 for v in progress.timings.values())
+    progress.cancel()
+    with pytest.raises(Cancelled):
+        analyse(files, progress=progress)
     errors = {(r.archive.rsplit("/", 1)[1], r.path): (r.code, r.fatal) for r in found.errors.collect()}
     assert errors == {("a.zip", "baustelle/beschaedigt.jpg"): ("format-mismatch", False), ("a.zip", "baustelle/kaputt.png"): ("unsupported-image", False), ("disguised.zip", "bad.png"): ("nested-zip", True), ("broken.zip", None): ("invalid-zip", True)}
     names = {r.id: r.name for r in found.images.collect()}
@@ -299,8 +308,12 @@ def test_archives_to_reports(spark, zips, tmp_path):
     decided = found.images.withColumn("decision", F.when(F.col("name") == "kopie.png", "duplicate").otherwise(F.col("decision")))
     again = comparisons.with_decisions(comparisons.resolve(found.groups, found.edges), decided, spark.createDataFrame([], "edge_id string, decision string"))
     assert [r.category for r in results.cleaned_files(decided, found.groups, again).collect() if r.name == "kopie.png"] == ["bestätigtes-duplikat"]
+    one = archive.read_one(files, "./baustelle//a/kopie.png").where(F.col("archive").endswith("a.zip")).collect()
+    assert len(one) == 1 and one[0].content[:4] == b"\x89PNG"
     document = reports.json_document(spark.range(1).select(F.lit("a.zip").alias("name")), found.images, found.edges, found.groups, resolved, found.errors, "2026-01-01T00:00:00Z")
-    assert '"exportVersion": 4' in reports.join_json(document) and '"gray"' not in reports.join_json(document)
+    text = json.loads(reports.join_json(document))
+    assert text["exportVersion"] == 4 and all("gray" not in i and "aspect" in i for i in text["images"]) and len(text["comparisons"]) == 4 and set(text["groups"][0]) == {"id", "referenceId", "memberIds", "uncertainIds", "edgeIds", "status"}
+    assert set(text["comparisons"][0]) >= {"groupId", "groupReferenceId", "comparisonBaseId", "candidateId", "edgeId", "directToReference", "effectiveCandidateRotationDegrees", "candidateKind", "presentationTier", "decision"}
 
 
 def test_store_and_stream(spark, zips, tmp_path):
