@@ -226,7 +226,9 @@ def test_chain_is_no_core(spark):
     assert clusters.duplicate_groups(df.where("false"), pics).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("finish", [100_000, 20, 0])
+def test_components(spark, monkeypatch, finish):
+    monkeypatch.setattr(graph, "FINISH_EDGES", finish)
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)]
     parent: dict[int, int] = {}
