@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixkin.llm import ann, html_text, line_dedup, media, mixing, quality, sentencepiece, sharding, simhash, toxicity
+from pixkin.llm import ann, decontaminate, html_text, line_dedup, media, merkle, mixing, quality, sentencepiece, sharding, simhash, toxicity, whitening
 from pixkin.llm.common import table
 
 
@@ -68,9 +68,24 @@ def op10_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.page_report(table(spark, sf_dir, "pages"))
 
 
+def op11_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which benchmark items' windows every document holds. Null and empty texts have no words, long ones count whole; copies and repeated rows are all marked, repeated items count once; clashing columns play no part; no rows for an empty table, no marks for an empty benchmark."""
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A leaf, a proof and what it verifies of every document. Nulls in any field are '-', null ids come first and aren't tampered with, rows of one id go by their digests, repeated rows have leaves of their own; long texts count whole; no rows for an empty table."""
+    return merkle.manifest_report(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 whitened components of every vector. Null, non-finite and odd-length vectors have no rows; null and repeated ids keep theirs; components without variance are left out (equal vectors have none); no rows for an empty table."""
+    return whitening.whitening_report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_importance_resampling, op2_sentencepiece, op3_shard_documents, op4_progressive_jpeg, op5_line_dedup, op6_simhash_vp_tree, op7_mix_sources, op8_toxicity_cnn, op9_anisotropic_search, op10_site_templates)}
+    return {f.__name__: f for f in (op1_importance_resampling, op2_sentencepiece, op3_shard_documents, op4_progressive_jpeg, op5_line_dedup, op6_simhash_vp_tree, op7_mix_sources, op8_toxicity_cnn, op9_anisotropic_search, op10_site_templates, op11_positional_index, op12_merkle_manifest, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.LINE_REPORT_SQL, "op7_mix_sources": mixing.MIX_REPORT_SQL}
+    return {"op5_line_dedup": line_dedup.LINE_REPORT_SQL, "op7_mix_sources": mixing.MIX_REPORT_SQL, "op11_positional_index": decontaminate.CONTAMINATION_SQL, "op12_merkle_manifest": merkle.MANIFEST_SQL}
