@@ -72,6 +72,21 @@ def attach(rows: DataFrame, groups: DataFrame, key: list[str], weight: str, tota
     return hot.unionByName(cold)
 
 
+def attach_left(rows: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame:
+    """Left join of many rows to at most one row a group, without a hot task.
+
+    Keys (never null) of over HEAVY_SHARE of all rows are counted first. Their rows meet a broadcast of their groups, or of the fact that
+    they have none, where they stand; all others meet in a shuffle join.
+    """
+    sizes = cut(rows.groupBy(*key).agg(F.count("*").alias("n")))
+    limit = (sizes.agg(F.sum("n")).first()[0] or 0) * HEAVY_SHARE
+    heavy = sizes.where(F.col("n") > limit).select(*key)  # fewer than 1 / HEAVY_SHARE rows
+    if limit < 1 or heavy.isEmpty():
+        return rows.join(groups, key, "left")
+    hot = rows.join(F.broadcast(heavy.join(groups, key, "left")), key)
+    return hot.unionByName(rows.join(F.broadcast(heavy), key, "left_anti").join(groups, key, "left"))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner take what nothing refers to any more: files of shuffles and checkpoints, broadcasts, plans."""
     gc.collect()

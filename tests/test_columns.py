@@ -160,3 +160,22 @@ def test_file_decisions(spark):
     files = spark.createDataFrame([(k, own) for k, (own, _) in cases.items()], "k string, own string").join(flags, "k", "left")
     got = {r.k: r.d for r in files.select("k", results.file_decision(F.col("own"), F.col("flags")).alias("d")).collect()}
     assert got == {"a": "duplicate", "b": "later", "c": "different", "d": "different", "e": "unreviewed", "f": "unreviewed", "g": "later"}
+
+
+def test_natural_order_of_long_numbers(spark):
+    from pixkin.operators.results import natural_key
+
+    names = ["img1000000000000000000000000", "img5", "img12", "img0003", "IMG7", "img9999999999999999999999999", "img", "img5b2", "img5b10", "img999999999999999999999"]
+    got = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(natural_key(F.col("n"))).collect()]
+    assert got == ["img", "img0003", "img5", "img5b2", "img5b10", "IMG7", "img12", "img999999999999999999999", "img1000000000000000000000000", "img9999999999999999999999999"]
+
+
+def test_left_join_of_hot_keys_keeps_every_row(spark):
+    from pixkin.operators.skew import attach_left
+
+    rows = spark.createDataFrame([("hot", i) for i in range(3000)] + [("none", i) for i in range(2000)] + [(f"k{i}", i) for i in range(300)], "k string, v int")
+    groups = spark.createDataFrame([("hot", 1), ("k5", 2), ("unused", 3)], "k string, g int")
+    got = attach_left(rows, groups, ["k"])
+    assert got.count() == 5300 and got.where("g is not null").groupBy("k").count().collect().__len__() == 2
+    assert got.where("k = 'hot' and g = 1").count() == 3000 and got.where("k = 'none' and g is null").count() == 2000
+    assert attach_left(rows.where("false"), groups, ["k"]).count() == 0
