@@ -11,6 +11,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixkin.llm.common import attach, cut_lineage, small_batches, unused
+from pixkin.llm.common import attach, attach_left, cut_lineage, small_batches, unused
 
 #: A subtree that goes with at least so many different articles of a host, and this share of them, belongs to the host's template.
 LEAST_ARTICLES, LEAST_SHARE = 5, 0.1
@@ -31,19 +32,27 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("head script style title noscript template iframe nav footer aside form button select option datalist textarea input svg canvas object embed audio video map dialog menu noembed noframes".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+CONTROLS = frozenset("form button select textarea".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 COUNTED = frozenset("div nav section aside header footer ul ol dl form table menu".split())
+BOXES = frozenset("div section aside ul ol dl table details figure ins nav header footer center".split())
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = frozenset("ul ol dl table div section article main body html td th aside nav".split())
 KEEPS_P = frozenset("table td th caption button object".split())
-# Words of class names and ids. A word after no-, has-, with- or without- says what a page is like, not what a box is.
-START, STOP = r"(?:^|(?<!\bno)(?<!\bhas)(?<!\bwith)(?<!\bwithout)[\s_-])", r"(?:$|[\s_-])"
-NOT_ARTICLE = re.compile(
-    START + r"(?:ads?|adverts?|advertis\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|nav|navbar|navigation|menu|menubar|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|skip|comments?|commentlist|disqus|replies|respond)" + STOP,
-    re.I,
+# Words of the names (classes and ids) of boxes that are no part of an article, and words that may stand beside them. A
+# name counts if it is made of such words alone: "related-posts" is one, "related-work", "side-effects" and "no-comments" are none.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
+BOX_WORDS = COMMENT_WORDS | frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense adsbygoogle sponsor sponsors sponsored promo promos promotion promoted banner sidebar side nav navbar navigation menu menubar "
+    "breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommend recommended "
+    "recommendation recommendations widget widgets pagination pager toolbar skip".split()
 )
-COMMENTS = re.compile(START + r"(?:comments?|commentlist|disqus|replies|respond)" + STOP, re.I)
+NEUTRAL_WORDS = frozenset(
+    "site main page primary secondary global top bottom left right header bar box boxes block blocks area section wrap wrapper container inner outer content list lists item items link links button buttons icon icons "
+    "post posts article articles story stories news form thread unit slot row col column group panel module mobile desktop layer dialog message messages text to for by and the id".split()
+)
+SENTENCE_END = re.compile(r"[.!?…。！？؟।](?:$|[\s\"'”’»)\]])")
+NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_a-zA-Z]+")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:$|[\s_-])", re.I)
 
@@ -54,6 +63,17 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"
 ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I) for tag in RAW}
 
 
+@lru_cache(4096)
+def box_of(names: str) -> tuple[bool, bool]:
+    """Whether one of the names in a class or id attribute says that a box is no part of an article, and whether one speaks of comments."""
+    boxed = comment = False
+    for name in names.split():
+        words = {w.lower() for w in NAME_WORD.findall(name)}
+        if words & BOX_WORDS and words <= BOX_WORDS | NEUTRAL_WORDS:
+            boxed, comment = True, comment or bool(words & COMMENT_WORDS)
+    return boxed, comment
+
+
 @dataclass(slots=True)
 class Element:
     tag: str
@@ -64,6 +84,7 @@ class Element:
     comment: bool = False  # by its name
     below: bool = False  # is a comment or inside of one
     named: bool = False
+    control: bool = False  # is or directly holds a part of a form
     end: int = -1
     #: Texts and numbers of children, in page order.
     inside: list[str | int] = field(default_factory=list)
@@ -140,6 +161,8 @@ def parse(html: str) -> Page:
                     close(to)
             continue
         if tag in VOID:
+            if tag == "input":
+                elements[stack[-1]].control = True
             if tag not in INLINE:
                 parts.append((stack[-1], None))
             continue
@@ -149,13 +172,14 @@ def parse(html: str) -> Page:
             close(same)
         attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(inner)} if inner.strip() else {}
         names = f"{attributes.get('class', '')} {attributes.get('id', '')}" if attributes else ""
-        about = bool(names) and tag not in ("html", "body", "main") and bool(COMMENTS.search(names))
+        boxed, about = box_of(names) if names.strip() and tag not in ("html", "body", "main") else (False, False)
         if tag in ("article", "main") and not about and menus and not elements[stack[-1]].below:
             close(menus[0])  # an article is not part of a menu that was left open before it
         role = attributes.get("role", "").lower()
         e = Element(tag, stack[-1], len(parts), comment=about, below=about or elements[stack[-1]].below)
         e.out = tag in DROPPED or "hidden" in attributes or role in ROLES
-        e.boxed = bool(names) and tag not in ("html", "body", "main", "article") and bool(NOT_ARTICLE.search(names))
+        e.boxed = boxed and tag != "article"
+        e.control = tag in CONTROLS
         e.named = tag == "main" or role == "main" or bool(names and CONTENT.search(names))
         elements[stack[-1]].inside.append(len(elements))
         elements.append(e)
@@ -206,12 +230,44 @@ def decide(page: Page) -> None:
             break
     else:
         holds.update(i for i, e in enumerate(elements) if 2 * size[i] > size[0] and not e.below)
+    proved = evidence(page, out, links)
     for i, e in enumerate(elements[1:], 1):
         up = elements[e.parent]
-        e.dropped = up.dropped or e.out or (e.boxed or e.comment) and i not in holds or e.tag == "header" and up.article < 0
+        e.dropped = up.dropped or e.out or (e.boxed or e.comment) and i not in holds and proved[i] or e.tag == "header" and up.article < 0
         e.article = up.article if up.article >= 0 else i if e.tag == "article" and not e.dropped else -1
 
 
+def evidence(page: Page, out: list[bool], links: list[bool]) -> list[bool]:
+    """What besides its name says that an element is no part of the article it is in. Outside of articles, and of boxes of other kinds than an article has, a name is enough.
+
+    Inside: half of its text or more is links, it holds a part of a form, an article of its own or no sentence, or it is about comments and holds a comment or is
+    followed by boxes only.
+    """
+    elements = page.elements
+    text, linked, other, comments, prose = ([x] * len(elements) for x in (0, 0, False, False, False))
+    zone, hidden = [-1] * len(elements), [False] * len(elements)
+    for i, e in enumerate(elements[1:], 1):
+        zone[i] = zone[e.parent] if zone[e.parent] >= 0 else i if e.tag in ("article", "main") else -1
+        hidden[i] = hidden[e.parent] or e.out or e.boxed or e.comment
+        other[i] = e.control or e.tag == "article"
+    last: dict[int, int] = {}
+    for k, (i, t) in enumerate(page.parts):
+        if t and not out[i]:
+            size = len(t) - t.count(" ")
+            text[i], linked[i], prose[i] = text[i] + size, linked[i] + size * links[i], prose[i] or bool(SENTENCE_END.search(t))
+            if zone[i] >= 0 and not hidden[i] and not t.isspace():
+                last[zone[i]] = k
+    for i in range(len(elements) - 1, 0, -1):
+        e = elements[i]
+        text[e.parent], linked[e.parent] = text[e.parent] + text[i], linked[e.parent] + linked[i]
+        other[e.parent], comments[e.parent], prose[e.parent] = other[e.parent] or other[i], comments[e.parent] or comments[i] or e.comment, prose[e.parent] or prose[i]
+    found = []
+    for i, e in enumerate(elements):
+        inside = e.parent >= 0 and zone[e.parent] >= 0 or e.tag not in BOXES
+        found.append(not inside or 2 * linked[i] >= text[i] or other[i] or not prose[i] or e.comment and (comments[i] or e.first > last.get(zone[i], -1)))
+    return found
+
+
 def texts_before(page: Page) -> np.ndarray:
     """Lengths of the kept texts before each part, in all."""
     return np.cumsum([0, *(len(t) if t and not page.elements[e].dropped else 0 for e, t in page.parts)])
@@ -339,7 +395,7 @@ def extract(pages: DataFrame, *, html: str = "html", url: str = "url", least: in
 
         return keyed.select(*others, s, h).mapInArrow(cleaned(of_site), f"{kinds}text string")
     met = attach(seen, template, ["site", "subtree"], "n", max(1, seen.count())).groupBy(F.col("site").alias(s), F.col("key").alias(k)).agg(F.collect_set("subtree").alias(found))
-    return keyed.join(met, [s, k], "left").select(*others, found, h).mapInArrow(cleaned(lambda x: frozenset(x or ())), f"{kinds}text string")
+    return attach_left(keyed, met, [s, k]).select(*others, found, h).mapInArrow(cleaned(lambda x: frozenset(x or ())), f"{kinds}text string")
 
 
 def page_report(pages: DataFrame) -> DataFrame:

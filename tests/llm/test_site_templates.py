@@ -81,3 +81,36 @@ def test_templates_against_plain_counts_and_clashing_names(spark, broadcast):
     df = spark.createDataFrame(table, "page_id long, url string, html string").withColumns({n: F.lit(n) for n in names})
     out = html_text.extract(df, broadcast=broadcast)
     assert {r.page_id: r.text for r in out.collect()} == want and set(names) < set(out.columns) and len(set(want.values())) > 100
+
+
+KEPT = "side-effects promo-code alert-level related-work comments-on-the-law banner-year menu-engineering share-price social-contract modal-verbs navigation-history footer-notes widget-theory notice-period popup-books cookie-recipes sponsor-of-the-bill side-note skip-logic toolbar-design".split()
+
+
+@pytest.mark.parametrize("name", KEPT)
+@pytest.mark.parametrize("box", ['<div class="{}">{}</div>', '<p class="{}">{}</p>', '<section id="{}"><p>{}</p></section>', '<p id="x" class="big {}">{}</p>'])
+def test_a_name_alone_drops_no_part_of_an_article(name, box):
+    for top in ("article", "main", "div"):
+        html = f"<body><nav>m</nav><{top}><h1>T</h1><p>One goes first.</p>{box.format(name, 'Two comes next.')}<p>Three ends it.</p></{top}></body>"
+        assert html_text.main_text(html) == "T One goes first. Two comes next. Three ends it."
+
+
+def test_whole_names_need_evidence_inside_an_article():
+    page = lambda box, end="<p>Last words.</p>": f"<article><h1>T</h1><p>One goes first.</p>{box}{end}</article>"
+    for name in ("notice", "alert", "banner", "sidebar", "promo", "related", "comments", "share"):
+        assert "Said here." in html_text.main_text(page(f'<div class="{name}"><p>Said here.</p></div>')), name
+    for box in (
+        '<div class="related-posts"><a href=x>Read this. And this.</a></div>', '<div class="newsletterSignup"><p>Leave your address.</p><form><input></form></div>', '<div class="newsletter">Join us. <input type=text></div>',
+        '<div class="share-buttons">Share Save</div>', '<section class="comments"><div class="comment">Nice. Thanks.</div></section>', '<div class="ad-slot"><a href=y>Buy it now.</a></div>',
+    ):
+        assert html_text.main_text(page(box)) == "T One goes first. Last words.", box
+    assert html_text.main_text(page('<section class="comments"><p>Bob says it is nice.</p></section><div class="share">Share</div>', "")) == "T One goes first."
+
+
+def test_copies_of_a_page_on_the_second_path_and_null_page_ids(spark):
+    pages = [(None if i % 3 else i, "http://a.example/x", "<body><div>same box of the site</div><article><p>one text.</p></article></body>") for i in range(3000)]
+    pages += [(9000 + i, "http://a.example/y", f"<body><div>same box of the site</div><article><p>text {i}.</p><div>shared by all of them</div></article></body>") for i in range(8)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    out = html_text.page_report(df).collect()
+    assert len(out) == 3008 and sum(r.page_id is None for r in out) == 2000
+    got = html_text.extract(df, broadcast=-1).collect()
+    assert sorted(r.text for r in got) == sorted(r.text for r in out) == sorted(["one text."] * 3000 + [f"text {i}." for i in range(8)])
