@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixkin.operators.skew import HEAVY_SHARE, attach, cut as cut_lineage, shared_folder, unused
+from pixkin.operators.skew import HEAVY_SHARE, attach, attach_left, cut as cut_lineage, shared_folder, unused
 
-__all__ = ["BATCH_ROWS", "HEAVY_SHARE", "LOWER", "UPPER", "WORD", "WS", "ascii_lower", "attach", "cut_lineage", "set_aside", "shared_folder", "small_batches", "table", "unused"]
+__all__ = ["BATCH_ROWS", "HEAVY_SHARE", "LOWER", "UPPER", "WORD", "WS", "ascii_lower", "attach", "attach_left", "cut_lineage", "set_aside", "shared_folder", "small_batches", "table", "unused"]
 
 #: White space of the contracts: space and U+0009 to U+000D.
 WS = " \t\n\x0b\x0c\r"

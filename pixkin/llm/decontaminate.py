@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixkin.llm.common import ascii_lower, cut_lineage, unused
+from pixkin.llm.common import ascii_lower, attach_left, cut_lineage, unused
 from pixkin.operators.skew import delete, new_path
 
 #: Between words: ASCII other than digits and lower-case letters; with capitals, before lower-casing.
@@ -21,8 +21,6 @@ ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WIDTH = 10
 #: Rows of term and pair tables that travel to the executors (30 MB at most); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Copies of a text's facts that its rows are dealt to.
-SALTS = 32
 KEY = ["k1", "k2"]
 
 
@@ -142,16 +140,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item
     added = ("n_words", "n_hit", "item_ids", "contaminated")
     docs = docs.drop(*[c for c in docs.columns if c in added and c != text])
     found = facts(docs, items, text=text, item_text=item_text, item_id=item_id, width=width)
-    x, y, salt = unused(docs.withColumns({c: F.lit(0) for c in added}), "text_k1", "text_k2", "text_salt")
+    x, y = unused(docs.withColumns({c: F.lit(0) for c in added}), "text_k1", "text_k2")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     k1, k2 = text_key(body)
     rows = docs.withColumns({"n_words": F.regexp_count(body, F.lit(ANY_WORD)).cast("long"), x: k1, y: k2})
     found = found.withColumnsRenamed({"k1": x, "k2": y})
     if found.count() <= BROADCAST_ROWS // 10:
         joined = rows.join(F.broadcast(found), [x, y], "left")
-    else:  # a text may have very many copies, so its rows are dealt to several places
-        rows = rows.withColumn(salt, F.pmod(F.hash(*[F.col(f"`{c}`") for c, kind in docs.dtypes if c != text and not kind.startswith("map")], F.monotonically_increasing_id()), F.lit(SALTS)))
-        joined = rows.join(found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [x, y, salt], "left")
+    else:
+        joined = attach_left(rows, found, [x, y])
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return joined.withColumns({"n_hit": hit, "item_ids": F.coalesce("item_ids", F.array().cast("array<string>"))}).withColumn("contaminated", F.col("n_hit") > 0).select(*docs.columns, *added)
 

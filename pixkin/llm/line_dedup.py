@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixkin.llm.common import HEAVY_SHARE, WS, ascii_lower, cut_lineage, unused
+from pixkin.llm.common import HEAVY_SHARE, WS, ascii_lower, attach_left, cut_lineage, unused
 
 
 def document(doc_id: str) -> tuple[Column, Column]:
@@ -61,7 +61,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     late, own, tid, n, words = unused(docs, "line_late", "line_doc", "line_tid", "line_n", "line_words")
     maps = maps.select(F.col("doc.late").alias(late), F.col("doc.id").alias(own), F.col("tid").alias(tid), F.col("n_dropped").alias(n), F.map_from_entries("words").alias(words))
     is_late, doc = document(doc_id)
-    joined = docs.join(maps, (doc == F.col(own)) & (F.xxhash64(body) == F.col(tid)) & (is_late == F.col(late)), "left")
+    joined = attach_left(docs.withColumns({late: is_late, own: doc, tid: F.xxhash64(body)}), maps, [late, own, tid])
     bits = lambda i: F.coalesce(F.try_element_at(F.col(words), F.shiftright(i, 6)), F.lit(-1).cast("long"))
     stays = lambda line, i: F.getbit(bits(i), i.bitwiseAND(63)) == 1
     kept = F.array_join(F.filter(F.split(body, "\n", -1), stays), "\n")
