@@ -43,20 +43,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def token_hashes(data: bytes) -> np.ndarray:
     """64-bit hashes of the tokens: runs of letters, digits and non-ASCII bytes, and runs of other visible characters.
 
-    Differences of one prefix sum of a polynomial, so all tokens are hashed at once; long texts go in chunks cut at spaces.
+    Differences of one prefix sum of a polynomial, so all tokens are hashed at once. Long texts go in chunks that end where a token does,
+    and a token longer than a chunk is added up in parts, so a text's tokens don't depend on its length.
     """
-    if len(data) > CHUNK:
-        cut = max(data.rfind(b" ", 0, CHUNK), data.rfind(b"\n", 0, CHUNK))
-        cut = cut if cut > 0 else CHUNK
-        parts = []
-        while data:
-            parts.append(token_hashes(data[:cut]))
-            data = data[cut:]
-            cut = len(data) if len(data) <= CHUNK else max(data.rfind(b" ", 0, CHUNK), data.rfind(b"\n", 0, CHUNK))
-            cut = cut if cut > 0 else CHUNK
-        return np.concatenate(parts)
     b = np.frombuffer(data, np.uint8)
     kind = _WORDCHAR[b]
+    if len(b) > CHUNK:
+        ends = np.append(np.flatnonzero(np.diff(kind)) + 1, len(b))
+        parts, at = [], 0
+        while at < len(b):
+            last = int(np.searchsorted(ends, at + CHUNK, "right")) - 1
+            if last >= 0 and ends[last] > at:
+                parts.append(token_hashes(data[at : ends[last]]))
+                at = int(ends[last])
+            else:
+                stop = int(ends[last + 1])
+                if kind[at]:
+                    parts.append(long_token_hash(b[at:stop]))
+                at = stop
+        return np.concatenate([np.zeros(0, np.uint64), *parts])
     edge = np.flatnonzero(np.diff(kind, prepend=0, append=0))
     if not len(edge):
         return np.zeros(0, np.uint64)
@@ -67,6 +72,14 @@ def token_hashes(data: bytes) -> np.ndarray:
     return mixed((sums[ends] - sums[starts]) * _INVERSE[starts])
 
 
+def long_token_hash(token: np.ndarray) -> np.ndarray:
+    total = 0
+    for at in range(0, len(token), CHUNK):
+        part = token[at : at + CHUNK]
+        total += int(np.dot(part.astype(np.uint64) + np.uint64(1), _POWERS[: len(part)])) * pow(BASE, at, 2**64)
+    return mixed(np.array([total % 2**64], np.uint64))
+
+
 _REPEAT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -170,8 +183,10 @@ def kth_largest(df: DataFrame, key: str, k: int) -> float:
     return low
 
 
-def gumbel_key(log_weight: Column, doc_id: Column, seed: int) -> Column:
-    uniform = (F.pmod(doc_hash(doc_id, seed), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
+def gumbel_key(log_weight: Column, doc_id: Column, text: Column, seed: int) -> Column:
+    """Log weight plus noise that a hash of id and text gives: rows of one id, or of none, have noise of their own unless their texts are equal too."""
+    own = F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit(""))), F.lit(seed))
+    uniform = (F.pmod(own, F.lit(2**52)) + 0.5) / F.lit(float(2**52))
     return log_weight - F.log(-F.log(uniform))
 
 
@@ -180,7 +195,7 @@ def draw(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, seed: int)
     sample = F.broadcast(label_sample(labels))  # LABELLED_ROWS at most
     rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(sample, F.col("doc_id") == F.col("_id"), "left").drop("_id")
     ratios = model(rows.withColumn("target", F.coalesce(F.col("good") & F.col("fit"), F.lit(False))), "text")
-    scored = score(rows, ratios, "text").drop("text").withColumn("gumbel_key", gumbel_key(F.col("log_weight"), F.col("doc_id"), seed))
+    scored = score(rows, ratios, "text").withColumn("gumbel_key", gumbel_key(F.col("log_weight"), F.col("doc_id"), F.col("text"), seed)).drop("text")
     scored = cut_lineage(scored)
     held = scored.where("good is not null and not fit").groupBy("doc_id", "good").agg(F.min("log_weight").alias("w")).toArrow()  # a row an id
     good, weight = held["good"].to_numpy(zero_copy_only=False).astype(bool), held["w"].to_numpy()
@@ -193,8 +208,8 @@ def resample(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id:
     """doc_id, n_grams, log_weight, gumbel_key, keep.
 
     k is the number of documents whose log weight is above the cut between held-out labelled good and bad rows; the k largest of log weight
-    plus Gumbel noise (a hash of the id: reruns agree) are kept, with all that tie with the last. Texts without tokens (null, empty)
-    weigh nothing, 0; long ones count whole. Rows of one id share their noise, null ids too. Without labels of both kinds nothing is
+    plus Gumbel noise (a hash of id and text: reruns agree) are kept, with all that tie with the last. Texts without tokens (null, empty)
+    weigh nothing, 0; long ones count whole. Only rows that agree in id (null ids too) and text share their noise. Without labels of both kinds nothing is
     rejected; an empty table gives no rows. Other columns of ``docs`` play no part.
     """
     scored, _, last = draw(docs, labels, text, doc_id, seed)
@@ -206,4 +221,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id:
     _, ratios, last = draw(docs, labels, text, doc_id, seed)
     whole, n_grams, weight = unused(docs, "whole_text", "n_grams", "log_weight")
     scored = score(small_batches(docs).withColumn(whole, F.col(text).cast("string")), ratios, whole, n_grams, weight)
-    return scored.where(gumbel_key(F.col(weight), F.col(doc_id).cast("long"), seed) >= F.lit(last)).select(*docs.columns)
+    return scored.where(gumbel_key(F.col(weight), F.col(doc_id).cast("long"), F.col(whole), seed) >= F.lit(last)).select(*docs.columns)
