@@ -19,7 +19,7 @@ def piece_model() -> str:
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_grams, log_weight, gumbel_key, keep of every document. Null or empty texts weigh 0, long ones count whole; equal keys are kept or dropped together; rows of one id share their noise; no rows for an empty table."""
+    """doc_id, n_grams, log_weight, gumbel_key, keep of every document. Null or empty texts weigh 0, long ones count whole; equal keys are kept or dropped together; only rows equal in id and text share their noise; clashing columns play no part; no rows for an empty table."""
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -49,7 +49,7 @@ def op6_simhash_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document. Null texts have size 0, a null source comes last, rows that agree in id and text stand or fall together; no rows for an empty table."""
+    """How many words the mix takes of each document. Null texts have size 0, a null source comes last, of rows that agree in id and text as many are taken as the cut says; no rows for an empty table."""
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 

@@ -318,7 +318,7 @@ def test_resampling_against_plain_counts(spark):
     threshold = quality.cut(np.array(held[True]), np.array(held[False]))
     k = sum(w > threshold for w in weight.values())
     got = {r.doc_id: r for r in quality.resample(docs, marks).collect()}
-    noise = {r.doc_id: r.h % 2**52 for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(13)).alias("h")).collect()}
+    noise = {r.doc_id: r.h % 2**52 for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.md5("text"), F.lit(13)).alias("h")).collect()}
     keys = {i: weight[i] - math.log(-math.log((noise[i] + 0.5) / 2**52)) for i in weight}
     last = sorted(keys.values(), reverse=True)[k - 1]
     for i, w in weight.items():
@@ -411,3 +411,54 @@ def test_the_fit_is_bounded_in_words(spark, monkeypatch):
         toxicity.train(docs, marks)
     sizes = [[len(t) for t in texts] for texts in seen]
     assert len(sizes[0]) > 100 and 900 < sum(sizes[1]) <= 1000 and max(sizes[2]) <= 40 and sizes[3] == []
+
+
+@pytest.mark.parametrize(("table", "target"), [([(1, "four words in here", "a")] * 1000, 6000), ([(None, "four words in here", "a")] * 500 + [(i, f"own text {i}", "a") for i in range(300)], None), ([(None, "w " * (i % 7), ["a", "b", None][i % 3]) for i in range(600)], None)])
+def test_equal_rows_meet_their_target_within_half_a_row(spark, table, target):
+    df = spark.createDataFrame(table, "doc_id long, text string, source string").repartition(5)
+    weights, share = ((1.0,), 1.125) if target == 6000 else ((5, 2, 1), 1.5)
+    rows = mixing.mix_sources(df.withColumns({n: F.lit(n) for n in ("mix_n", "mix_turn", "count_part", "rows")}), weights=weights, share=share, sizes=True).collect()
+    assert len(rows) == len(table) and all(r.mix_turn == "mix_turn" and r.rows == "rows" for r in rows)
+    for source in {r.source for r in rows}:
+        own = [r for r in rows if r.source == source]
+        assert abs(sum(r.size * r.copies for r in own) - own[0].target) <= max(r.size for r in own) / 2
+        assert all(r.copies <= 2 for r in own)  # texts without words too
+    assert target is None or sum(r.size * r.copies for r in rows) == 4500
+
+
+def test_mixture_against_its_sql_on_equal_rows(spark):
+    import duckdb
+
+    table = [(7, "same words again", "s")] * 40 + [(None, "null id text", "s")] * 25 + [(i, f"text {i} " * (i % 5), ["s", "t", None][i % 3]) for i in range(80)]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", table)
+    want = con.sql(f"select doc_id, size, source_size, target, taken from ({mixing.MIX_REPORT_SQL})").fetchall()
+    got = [tuple(r) for r in mixing.mix_report(spark.createDataFrame(table, "doc_id long, text string, source string").repartition(3)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_null_ids_have_noise_of_their_own(spark):
+    table = [(None, f"text number {i}") for i in range(200)] + [(5, "one"), (5, "two"), (5, "two")]
+    got = quality.resample(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
+    noise = {round(r.gumbel_key - r.log_weight, 12) for r in got if r.doc_id is None}
+    assert len(noise) == 200 and len({r.gumbel_key for r in got if r.doc_id == 5}) == 2
+
+
+def test_tokens_of_long_texts_are_those_of_short_ones(monkeypatch):
+    rng = random.Random(2)
+    text = "".join(rng.choice(["word", "Ünï", "12", "--", "?!", " ", "\n", "x" * 40]) for _ in range(3000)) + "y" * 500 + "...." * 100
+    whole = quality.token_hashes(text.encode())
+    for chunk in (7, 64, 333, 5000):
+        monkeypatch.setattr(quality, "CHUNK", chunk)
+        assert (quality.token_hashes(text.encode()) == whole).all()
+
+
+def test_lines_of_one_hot_text_under_one_id_and_under_none(spark):
+    table = [(3, "a first line of text\nanother line here", "", "", 0)] + [(9, "a first line of text\nown", "", "", 0)] * 1500 + [(None, "another line here\nrest", "", "", 0)] * 1500 + [(None, None, "", "", 0)] * 500
+    got = line_dedup.line_report(spark.createDataFrame(table, SCHEMA).repartition(3)).collect()
+    text = {3: table[0][1], 9: "own"}
+    assert len(got) == len(table)
+    for r in got:
+        want = {hashlib.sha256(t.encode()).hexdigest() for t in ([text[r.doc_id]] if r.doc_id else ["rest", ""])}
+        assert r.kept_sha256 in want and r.n_dropped == (r.doc_id != 3 and r.n_lines == 2)
