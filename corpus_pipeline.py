@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pixkin.llm import line_dedup, mixing, near_copies, quality, sentencepiece
 from pixkin.llm.catalog import piece_model
 from pixkin.llm.common import set_aside, table
-from pixkin.operators.skew import delete, new_path
+from pixkin.operators.skew import delete, new_path, scratch
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,16 +61,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Rows between stages stand in the shared folder; a stage's input goes once its result is written."""
+    """All stages over documents. Rows between stages stand in the shared folder; a stage's input and its checkpoints go once its result is written."""
     docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            path = new_path(spark, "pipeline")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-            if before:
-                delete(spark, before)
-            before = path
+        if i + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        path = new_path(spark, "pipeline")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Checkpoints made in the block are deleted at its end. What it yields cuts a frame that is to outlive the block."""
+    outer, inner = spark.sparkContext.getCheckpointDir() or shared_folder(spark), new_path(spark, "scratch")
+
+    def keep(df: DataFrame) -> DataFrame:
+        spark.sparkContext.setCheckpointDir(outer)
+        try:
+            return df.checkpoint(eager=True)
+        finally:
+            spark.sparkContext.setCheckpointDir(inner)
+
+    spark.sparkContext.setCheckpointDir(inner)
+    try:
+        yield keep
+    finally:
+        spark.sparkContext.setCheckpointDir(outer)
+        delete(spark, inner)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path in the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -88,7 +110,7 @@ def attach_left(rows: DataFrame, groups: DataFrame, key: list[str]) -> DataFrame
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner take what nothing refers to any more: files of shuffles and checkpoints, broadcasts, plans."""
+    """Lets Spark's cleaner take the shuffle files, broadcasts and plans that nothing refers to any more; it learns of them only when the driver collects garbage. Checkpoints go by path: see ``scratch``."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
