@@ -25,7 +25,7 @@ from pixkin.llm import simhash
 from pixkin.llm.common import attach, cut_lineage, small_batches, unused
 from pixkin.llm.simhash import majority, shingle_hashes
 from pixkin.operators.graph import components, composed
-from pixkin.operators.skew import release
+from pixkin.operators.skew import release, scratch
 
 WIDTH = 5
 #: Bits within which the vantage-point trees link fingerprints.
@@ -305,14 +305,14 @@ def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") ->
     names = unused(docs, "near_id", "near_null", "near_digest")
     key = dict(zip(names, (F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), F.col(doc_id).isNull(), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))))
     source = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), key[names[2]].alias("digest"), F.col(text).cast("string").alias("text"))
-    rows = cut_lineage(shapes(source))
-    release(docs.sparkSession)
-    order = F.struct(F.col("doc_id").isNull().alias("nulls"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest")
-    best = F.min(order).alias("best")
-    found = groups_of(rows, source)
-    release(docs.sparkSession)
-    groups = rows.groupBy("node").agg(best).join(found, "node", "left")
-    stay = groups.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
-    stay = cut_lineage(stay.select(F.col("best.id").alias(names[0]), F.col("best.nulls").alias(names[1]), F.col("best.digest").alias(names[2])))
+    with scratch(docs.sparkSession) as keep:
+        rows = cut_lineage(shapes(source))
+        order = F.struct(F.col("doc_id").isNull().alias("nulls"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest")
+        best = F.min(order).alias("best")
+        found = groups_of(rows, source)
+        groups = rows.groupBy("node").agg(best).join(found, "node", "left")
+        stay = groups.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+        stay = keep(stay.select(F.col("best.id").alias(names[0]), F.col("best.nulls").alias(names[1]), F.col("best.digest").alias(names[2])))
+        del rows, found, groups
     release(docs.sparkSession)
     return docs.withColumns(key).dropDuplicates(names).join(stay, names, "left_semi").select(*docs.columns)
