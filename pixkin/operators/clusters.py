@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixkin.operators.graph import components
-from pixkin.operators.skew import cut, numbered
+from pixkin.operators.skew import attach, cut, numbered
 
 CATEGORY_RANK = {"almost-certain-duplicate": 4, "probable-duplicate": 3, "needs-review": 2, "probably-different": 1}
 
@@ -33,31 +33,64 @@ def best_edges(edges: DataFrame, images: DataFrame) -> DataFrame:
     return best.select("_best.*")
 
 
+#: Connected parts of the graph of clusters with so many pairs at most are finished by one task each (some 20 MB); larger ones go on in rounds.
+FINISH_PAIRS = 100_000
+
+
+def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+    """cluster, core of one bounded part: pairs (x, y) of mergeable clusters, the best first, merge if all clusters of both sides are such pairs."""
+    pdf = pdf.sort_values(["score", "kind", "id"], ascending=[False, False, True], kind="stable")
+    linked: dict[str, set[str]] = {}
+    for a, b in zip(pdf["x"], pdf["y"]):
+        linked.setdefault(a, set()).add(b)
+        linked.setdefault(b, set()).add(a)
+    cluster = {n: {n} for n in linked}
+    for a, b in zip(pdf["x"], pdf["y"]):
+        x, y = cluster[a], cluster[b]
+        if x is not y and all(y <= linked[m] for m in x):
+            x |= y
+            for m in y:
+                cluster[m] = x
+    return pd.DataFrame([(n, min(c)) for n, c in cluster.items()], columns=["cluster", "core"])
+
+
 def complete_link(edges: DataFrame) -> DataFrame:
-    """image, core: clusters of two and more that merge, strongest edge first, only where all cross pairs are strong.
+    """image, core: clusters of two and more that merge, strongest edge first, only where all cross pairs are strong. core is the smallest image.
 
-    ``edges``: strong best edges. A merge needs a strong edge across, so connected components are independent: each is one group.
+    ``edges``: strong best edges. Pairs of clusters with as many edges as members multiplied can merge; others never can, whatever they
+    grow to, and go. Of those that can, a pair that is the best of both its clusters is merged by the ordered process too, since no merge
+    elsewhere makes a better pair for either, so all such pairs merge at once. Each round takes off connected parts: one in which every two clusters are a
+    pair is one cluster, one of FINISH_PAIRS pairs at most is one task's work, and the rest is contracted.
     """
-    comp = components(edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")))
-    placed = edges.join(comp, F.col("source_id") == F.col("node")).select("root", "source_id", "target_id", "score", category_rank(F.col("category")).alias("kind"), "id")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "kind", "id"], ascending=[False, False, True], kind="stable")
-        linked: dict[str, set[str]] = {}
-        for a, b in zip(pdf["source_id"], pdf["target_id"]):
-            linked.setdefault(a, set()).add(b)
-            linked.setdefault(b, set()).add(a)
-        cluster = {n: {n} for n in linked}
-        for a, b in zip(pdf["source_id"], pdf["target_id"]):
-            x, y = cluster[a], cluster[b]
-            if x is not y and all(y <= linked[m] for m in x):
-                x |= y
-                for m in y:
-                    cluster[m] = x
-        rows = [(n, min(c)) for n, c in cluster.items() if len(c) > 1]
-        return pd.DataFrame(rows, columns=["image", "core"])
-
-    return placed.groupBy("root").applyInPandas(greedy, "image string, core string")
+    a, b = F.least("source_id", "target_id"), F.greatest("source_id", "target_id")
+    best = F.struct((-F.col("score")).alias("score"), (-category_rank(F.col("category"))).alias("kind"), F.col("id").alias("id"))
+    pairs = cut(edges.select(a.alias("x"), b.alias("y"), best.alias("best"), F.lit(1).cast("long").alias("n")))
+    ends = lambda p: p.select("x", "y", "best").unionByName(p.select(F.col("y").alias("x"), F.col("x").alias("y"), "best"))
+    owner = cut(ends(pairs).select(F.col("x").alias("image"), F.col("x").alias("core")).distinct())
+    while not pairs.isEmpty():
+        part = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        nodes = part.groupBy("root").agg(F.count("*").alias("nodes"))
+        placed = cut(attach(pairs.join(part.withColumnRenamed("node", "x"), "x"), cut(pairs.join(part.withColumnRenamed("node", "x"), "x").groupBy("root").agg(F.count("*").alias("pairs")).join(nodes, "root")), ["root"], "pairs", pairs.count(), ready=True))
+        whole = F.col("pairs") * 2 == F.col("nodes") * (F.col("nodes") - 1)
+        small = placed.where(~whole & (F.col("pairs") <= FINISH_PAIRS)).select("root", "x", "y", (-F.col("best.score")).alias("score"), (-F.col("best.kind")).alias("kind"), F.col("best.id").alias("id"))
+        large = placed.where(~whole & (F.col("pairs") > FINISH_PAIRS)).select("x", "y", "best", "n")
+        merged = placed.where(whole).select(F.explode(F.array("x", "y")).alias("cluster"), F.col("root").alias("core")).distinct()
+        merged = merged.unionByName(small.groupBy("root").applyInPandas(greedy, "cluster string, core string"))
+        choice = ends(large).groupBy("x").agg(F.min_by("y", "best").alias("y"))
+        mutual = choice.join(choice.select(F.col("x").alias("y"), F.col("y").alias("x")), ["x", "y"]).where("x < y")
+        met = cut(mutual.select(F.explode(F.array("x", "y")).alias("cluster"), F.col("x").alias("core")))
+        step = cut(merged.unionByName(met))
+        moved = owner.groupBy("core").agg(F.count("*").alias("n")).join(step.withColumnRenamed("core", "to"), F.col("core") == F.col("cluster"), "left").select("core", "n", F.coalesce("to", "core").alias("to"))
+        owner = cut(attach(owner, moved, ["core"], "n", max(1, owner.count())).select("image", F.col("to").alias("core")))
+        for end in ("x", "y"):
+            large = large.join(met.select(F.col("cluster").alias(end), F.col("core").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        large = large.where("x != y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+        sizes = owner.groupBy("core").agg(F.count("*").alias("size"))
+        for end in ("x", "y"):
+            large = large.join(sizes.select(F.col("core").alias(end), F.col("size").alias(f"{end}_size")), end)
+        pairs = cut(large.where("n = x_size * y_size").select("x", "y", "best", "n"))
+    members = owner.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    return attach(owner, members, ["core"], "n", max(1, owner.count())).select("image", "core")
 
 
 def with_reference(members: DataFrame, edges: DataFrame, images: DataFrame) -> DataFrame:
@@ -73,15 +106,17 @@ def with_reference(members: DataFrame, edges: DataFrame, images: DataFrame) -> D
 def duplicate_groups(edges: DataFrame, images: DataFrame) -> DataFrame:
     """id, reference_id, member_ids, uncertain_ids, edge_ids, status: cores, and a pair for each other edge that isn't 'probably-different'.
 
-    ``edges``: id, source_id, target_id, strong, score, category; ``images``: id, width, height, size.
+    ``edges``: id, source_id, target_id, strong, score, category; ``images``: id, width, height, size. Groups are numbered in each
+    archive if edges have an archive; where there are several, ids begin with what tells it apart.
     """
-    relevant = best_edges(edges, images).where("category != 'probably-different'").select("id", "source_id", "target_id", "strong", "score", "category")
+    edges = edges if "archive" in edges.columns else edges.withColumn("archive", F.lit(""))
+    relevant = best_edges(edges, images).where("category != 'probably-different'").select("id", "source_id", "target_id", "strong", "score", "category", "archive")
     relevant = cut(relevant)
     cores = cut(complete_link(relevant.where("strong")))
     inside = (
         relevant.join(cores.select(F.col("image").alias("source_id"), F.col("core").alias("draft")), "source_id")
         .join(cores.select(F.col("image").alias("target_id"), F.col("core").alias("draft")), ["target_id", "draft"])
-        .select("draft", "id", "source_id", "target_id", "score", "strong", "category")
+        .select("draft", "id", "source_id", "target_id", "score", "strong", "category", "archive")
     )
     inside = cut(inside)
     review = relevant.join(inside.select("id"), "id", "left_anti").withColumn("draft", F.concat(F.lit("edge\0"), F.col("id")))
@@ -90,11 +125,14 @@ def duplicate_groups(edges: DataFrame, images: DataFrame) -> DataFrame:
     others = lambda: F.array_sort(F.collect_list(F.when(F.col("image") != F.col("reference"), F.col("image"))))
     none = F.array().cast("array<string>")
     core_groups = of_core.groupBy("draft", "reference").agg(others().alias("rest")).select("draft", F.col("reference").alias("reference_id"), F.concat(F.array("reference"), "rest").alias("member_ids"), none.alias("uncertain_ids"))
-    core_groups = core_groups.join(inside.groupBy("draft").agg(F.array_sort(F.collect_list("id")).alias("edge_ids")), "draft")
+    core_groups = core_groups.join(inside.groupBy("draft").agg(F.array_sort(F.collect_list("id")).alias("edge_ids"), F.min("archive").alias("archive")), "draft")
     pair_groups = of_pair.groupBy("draft", "reference").agg(others().alias("rest")).select("draft", F.col("reference").alias("reference_id"), F.array("reference").alias("member_ids"), F.col("rest").alias("uncertain_ids"))
-    pair_groups = pair_groups.join(review.select("draft", F.array("id").alias("edge_ids"), "strong", "score", "category", "id"), "draft")
+    pair_groups = pair_groups.join(review.select("draft", F.array("id").alias("edge_ids"), "strong", "score", "category", "id", "archive"), "draft")
     first = core_groups.select("*", F.lit(0).alias("kind"), F.lit(True).alias("strong"), F.lit(0).alias("score"), F.lit("").alias("category"), F.col("draft").alias("id"))
     every = first.unionByName(pair_groups.withColumn("kind", F.lit(1)))
     # Numbers follow the reference's order; among equals cores come first, then pairs by strength.
-    every = numbered(every, [F.col("reference_id"), F.col("kind"), *strength()], "number")
-    return every.withColumn("group_id", F.concat(F.lit("group-"), F.col("number").cast("string"))).select(F.col("group_id").alias("id"), "reference_id", "member_ids", "uncertain_ids", "edge_ids", F.lit("unreviewed").alias("status"))
+    every = numbered(every, [F.col("archive"), F.col("reference_id"), F.col("kind"), *strength()], "number")
+    starts = cut(every.groupBy("archive").agg(F.min("number").alias("start"), F.count("*").alias("n")))
+    every = attach(every, starts, ["archive"], "n", max(1, every.count()), ready=True)
+    prefix = F.concat(F.substring(F.sha2("archive", 256), 1, 8), F.lit("-group-")) if starts.limit(2).count() > 1 else F.lit("group-")
+    return every.withColumn("group_id", F.concat(prefix, (F.col("number") - F.col("start") + 1).cast("string"))).select(F.col("group_id").alias("id"), "reference_id", "member_ids", "uncertain_ids", "edge_ids", F.lit("unreviewed").alias("status"))

@@ -147,7 +147,7 @@ def vector_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def complete_link_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Duplicate groups of vectors; order-dependent merging has no SQL twin."""
+    """Duplicate groups of vectors."""
     e, p = vector_edges(spark, sf_dir)
     g = clusters.duplicate_groups(e, p)
     return g.select("id", "reference_id", F.array_join("member_ids", ",").alias("members"), F.array_join("uncertain_ids", ",").alias("uncertain"), F.array_join("edge_ids", ",").alias("edges"), "status")

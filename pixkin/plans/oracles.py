@@ -198,7 +198,41 @@ def _natural(column: str) -> str:
     return f"array_to_string(list_transform(regexp_extract_all(lower({column}), '[0-9]+|[^0-9]+'), lambda s: CASE WHEN s[1] BETWEEN '0' AND '9' THEN lpad(s, 20, '0') ELSE s END), '')"
 
 
+#: Complete-link groups of vectors. A round merges all pairs of clusters that can merge (as many strong edges as members multiplied) and are the best of both.
+LINKED = f"""WITH RECURSIVE {scored(S)},
+es AS (SELECT *, row_number() OVER (ORDER BY strong DESC, score DESC, category, id) AS rk FROM (
+  SELECT 'v' || lpad(source::VARCHAR, 9, '0') AS s, 'v' || lpad(target::VARCHAR, 9, '0') AS t, 'v' || lpad(source::VARCHAR, 9, '0') || '::v' || lpad(target::VARCHAR, 9, '0') AS id, score, turn, score >= 45 AS strong,
+    CASE WHEN score >= 45 THEN 'a' ELSE 'b' END AS category FROM sg)),
+sl AS (SELECT s AS x, t AS y, rk FROM es WHERE strong),
+m AS (SELECT 0 AS i, image, image AS core FROM (SELECT x AS image FROM sl UNION SELECT y FROM sl)
+  UNION ALL
+  SELECT i, image, core FROM (
+    WITH z AS (SELECT core, count(*) AS n FROM m GROUP BY core),
+    pr AS (SELECT least(a.core, b.core) AS x, greatest(a.core, b.core) AS y, min(rk) AS rk, count(*) AS n FROM sl JOIN m a ON sl.x = a.image JOIN m b ON sl.y = b.image WHERE a.core <> b.core GROUP BY ALL),
+    lv AS (SELECT pr.x, pr.y, pr.rk FROM pr JOIN z zx ON zx.core = pr.x JOIN z zy ON zy.core = pr.y WHERE pr.n = zx.n * zy.n),
+    ch AS (SELECT c, min(rk) AS rk FROM (SELECT x AS c, rk FROM lv UNION ALL SELECT y, rk FROM lv) GROUP BY c),
+    mu AS (SELECT lv.x, lv.y FROM lv JOIN ch cx ON cx.c = lv.x AND cx.rk = lv.rk JOIN ch cy ON cy.c = lv.y AND cy.rk = lv.rk)
+    SELECT m.i + 1 AS i, m.image, coalesce(mu.x, m.core) AS core FROM m LEFT JOIN mu ON mu.y = m.core WHERE (SELECT count(*) FROM mu) > 0)),
+co AS (SELECT image, core FROM m WHERE i = (SELECT max(i) FROM m) QUALIFY count(*) OVER (PARTITION BY core) > 1),
+ie AS (SELECT a.core AS draft, es.* FROM es JOIN co a ON es.s = a.image JOIN co b ON es.t = b.image WHERE a.core = b.core),
+re AS (SELECT id AS draft, es.* FROM es WHERE id NOT IN (SELECT id FROM ie)),
+mb AS (SELECT core AS draft, image FROM co UNION ALL SELECT draft, unnest([s, t]) FROM re),
+tt AS (SELECT draft, image, sum(score) AS total FROM (SELECT draft, unnest([s, t]) AS image, score FROM ie UNION ALL SELECT draft, unnest([s, t]), score FROM re) GROUP BY ALL),
+rf AS (SELECT draft, first(image ORDER BY total DESC, k % 7 DESC, k % 11 DESC, image) AS reference FROM (SELECT mb.*, coalesce(total, 0) AS total, substr(image, 2)::BIGINT AS k FROM mb LEFT JOIN tt USING (draft, image)) GROUP BY draft),
+ot AS (SELECT mb.draft, string_agg(image, ',' ORDER BY image) AS rest FROM mb JOIN rf USING (draft) WHERE image <> reference GROUP BY mb.draft),
+dr AS (SELECT rf.draft, reference, rest, 0 AS kind, true AS strong, 0 AS score, 'a' AS category, (SELECT string_agg(id, ',' ORDER BY id) FROM ie WHERE ie.draft = rf.draft) AS edges FROM rf JOIN ot USING (draft) WHERE draft IN (SELECT core FROM co)
+  UNION ALL SELECT rf.draft, reference, rest, 1, re.strong, re.score, re.category, re.id FROM rf JOIN ot USING (draft) JOIN re USING (draft)),
+gr AS (SELECT *, 'group-' || row_number() OVER (ORDER BY reference, kind, strong DESC, score DESC, category, draft) AS id FROM dr)"""
+
 SQL = {
+    "complete_link_groups": LINKED + " SELECT id, reference AS reference_id, CASE WHEN kind = 0 THEN reference || ',' || rest ELSE reference END AS members, CASE WHEN kind = 0 THEN '' ELSE rest END AS uncertain, edges, 'unreviewed' AS status FROM gr",
+    "resolved_comparisons": LINKED + """,
+cd AS (SELECT gr.id AS group_id, gr.kind, gr.reference, gr.draft, mb.image FROM gr JOIN mb ON mb.draft = gr.draft WHERE mb.image <> gr.reference),
+al AS (SELECT draft, s, t, id, score, turn, strong FROM ie UNION ALL SELECT draft, s, t, id, score, turn, strong FROM re),
+be AS (SELECT cd.group_id, cd.image, first(al ORDER BY al.strong DESC, al.score DESC, al.id) AS e FROM cd JOIN al ON al.draft = cd.draft AND (al.s = cd.image OR al.t = cd.image) GROUP BY ALL),
+bb AS (SELECT cd.*, be.e, coalesce(CASE WHEN be.e.s = cd.image THEN be.e.t ELSE be.e.s END, cd.reference) AS base FROM cd LEFT JOIN be USING (group_id, image))
+SELECT group_id, image AS candidate_id, CASE WHEN kind = 0 THEN 'strong-member' ELSE 'manual-review' END AS kind, base AS base_id, base = reference AS direct,
+  CASE WHEN kind = 0 THEN 'strong' WHEN e.score % 7 = 0 THEN 'low-priority' ELSE 'manual-review' END AS tier, CAST(CASE WHEN e IS NULL THEN 0 WHEN e.t = image THEN e.turn ELSE (360 - e.turn) % 360 END AS INT) AS turn, e.score AS score FROM bb""",
     "ahash_embeddings": f"WITH {PICTURES} SELECT vec_id, "
     + ", ".join(
         f"lower(lpad(to_hex(list_reduce(list_transform(range(1, 65), lambda i: CASE WHEN ({h}{t}::VARCHAR)[i] = '1' THEN (1::UBIGINT << (64 - i)::UBIGINT) ELSE 0::UBIGINT END), lambda s, x: s + x)), 16, '0')) AS {h}_hash_{t}" for h in "adp" for t in (0, 90)

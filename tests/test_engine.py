@@ -204,8 +204,9 @@ def brute_groups(edges, sizes):
     return [(f"group-{i + 1}", *d) for i, d in enumerate(drafts)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_groups_against_a_plain_model(spark, seed):
+@pytest.mark.parametrize(("seed", "finish"), [(1, 100_000), (2, 6)])
+def test_groups_against_a_plain_model(spark, monkeypatch, seed, finish):
+    monkeypatch.setattr(clusters, "FINISH_PAIRS", finish)
     edges = edge_rows(12, seed)
     rng = random.Random(seed)
     sizes = {f"n{i:02d}": (rng.choice([10, 20]), 10, rng.choice([1, 2])) for i in range(12)}
@@ -218,6 +219,39 @@ def test_groups_against_a_plain_model(spark, seed):
     assert sorted(((g.id, g.reference_id, g.member_ids, g.uncertain_ids, g.edge_ids) for g in got), key=key) == want
 
 
+@pytest.mark.parametrize(("seed", "nodes", "share", "finish"), [(1, 11, 0.6, 0), (3, 40, 0.1, 8)])
+def test_rounds_merge_as_the_ordered_process(spark, monkeypatch, seed, nodes, share, finish):
+    """Random graphs with many equal scores, merged in rounds and edge by edge."""
+    monkeypatch.setattr(clusters, "FINISH_PAIRS", finish)
+    rng = random.Random(seed)
+    edges = [(f"n{a:02d}::n{b:02d}", f"n{a:02d}", f"n{b:02d}", True, rng.randint(84, 90), rng.choice(["almost-certain-duplicate", "probable-duplicate"])) for a in range(nodes) for b in range(a + 1, nodes) if rng.random() < share]
+    linked = {frozenset(e[1:3]) for e in edges}
+    cluster = {n: frozenset([n]) for e in edges for n in e[1:3]}
+    for e in sorted(edges, key=lambda e: (-e[4], e[5] != "almost-certain-duplicate", e[0])):
+        x, y = cluster[e[1]], cluster[e[2]]
+        if x != y and all(frozenset((p, q)) in linked for p in x for q in y):
+            cluster.update(dict.fromkeys(x | y, x | y))
+    got = {r.image: r.core for r in clusters.complete_link(spark.createDataFrame(edges, "id string, source_id string, target_id string, strong boolean, score int, category string")).collect()}
+    assert got == {n: min(c) for n, c in cluster.items() if len(c) > 1}
+
+
+def test_a_part_where_all_are_linked_is_one_core_at_once(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "FINISH_PAIRS", 0)
+    edges = [(f"{a:03d}::{b:03d}", f"{a:03d}", f"{b:03d}", True, 90, "probable-duplicate") for a in range(120) for b in range(a + 1, 120)]
+    got = clusters.complete_link(spark.createDataFrame(edges, "id string, source_id string, target_id string, strong boolean, score int, category string")).collect()
+    assert len(got) == 120 and {r.core for r in got} == {"000"}
+
+
+def test_groups_are_numbered_in_each_archive(spark):
+    rows = [(f"{z}{i}::{z}{i + 1}", f"{z}{i}", f"{z}{i + 1}", True, 90 + i, "probable-duplicate", z) for z in "pq" for i in (0, 2, 4)]
+    pics = spark.createDataFrame([(f"{z}{i}", 1, 1, 1) for z in "pq" for i in range(6)], "id string, width int, height int, size int")
+    got = clusters.duplicate_groups(spark.createDataFrame(rows, "id string, source_id string, target_id string, strong boolean, score int, category string, archive string"), pics).collect()
+    by = {}
+    for g in got:
+        by.setdefault(g.reference_id[0], []).append((g.reference_id, g.id[8:]))
+    assert {z: sorted(v) for z, v in by.items()} == {z: [(f"{z}0", "-group-1"), (f"{z}2", "-group-2"), (f"{z}4", "-group-3")] for z in "pq"} and len({g.id for g in got}) == 6
+
+
 def test_chain_is_no_core(spark):
     df = spark.createDataFrame([("ab", "a", "b", True, 95, "almost-certain-duplicate"), ("bc", "b", "c", True, 90, "almost-certain-duplicate"), ("aa", "a", "a", True, 99, "probable-duplicate"), ("ax", "a", "x", True, 99, "probable-duplicate")], "id string, source_id string, target_id string, strong boolean, score int, category string")
     pics = spark.createDataFrame([(n, 1, 1, 1) for n in "abc"], "id string, width int, height int, size int")
