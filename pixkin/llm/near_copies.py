@@ -159,7 +159,7 @@ def meeting(rows: DataFrame) -> DataFrame:
     rare = dealt.mapInArrow(shared_runs, "shingle long, node long")
     usual = rows.select(F.explode("common").alias("shingle"), "node").distinct()
     several = usual.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
-    return cut_lineage(rare.unionByName(usual.join(F.broadcast(several), "shingle")))
+    return rare.unionByName(usual.join(F.broadcast(several), "shingle"))
 
 
 def may_be_near(x: str, y: str) -> Column:
@@ -184,7 +184,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def filter_of(nodes: DataFrame) -> tuple[np.ndarray, int]:
     """A bitmap that has the places of all wanted nodes, and its number of bits."""
-    bits = int(min(FILTER_BITS, max(1 << 10, 1 << (16 * nodes.count()).bit_length())))
+    bits = int(min(FILTER_BITS, max(1 << 10, 1 << (256 * nodes.count()).bit_length())))
     place = F.pmod("node", F.lit(bits))
     words = nodes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {bits}) & 63 as int))")).alias("mask")).toArrow()
     out = np.zeros(bits // 64, np.int64)
@@ -247,10 +247,8 @@ def tree_pairs(nodes: DataFrame) -> DataFrame:
     return cut_lineage(same.unionByName(forest.select(F.col("a").alias("node"), F.col("b").alias("hub"))))
 
 
-def groups_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, root (the smallest node) of all that links of similarity 0.8 or more join. rows: what shapes() gives."""
-    members = meeting(rows.where("size > 0"))
-    release(docs.sparkSession)
+def groups_of(rows: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, root (the smallest node) of all that links of similarity 0.8 or more join. rows: what shapes() gives, but for the prefixes; members: what meeting() gives."""
     nodes = cut_lineage(rows.where("size > 0").select("node", "size", "fp", *BITS).dropDuplicates(["node"]))
     total = max(1, members.count())
     # Hubs: of a shingle's members the one that meets most others, so the text that the copies were made of rather than one of them.
@@ -306,13 +304,18 @@ def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") ->
     key = dict(zip(names, (F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), F.col(doc_id).isNull(), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))))
     source = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), key[names[2]].alias("digest"), F.col(text).cast("string").alias("text"))
     with scratch(docs.sparkSession) as keep:
-        rows = cut_lineage(shapes(source))
+        with scratch(docs.sparkSession) as hold:  # the prefixes, a third of the stage's disk, go as soon as they have met
+            whole = cut_lineage(shapes(source))
+            release(docs.sparkSession)
+            members, rows = hold(meeting(whole.where("size > 0"))), hold(whole.drop("rare", "common"))
+            del whole
+        release(docs.sparkSession)
         order = F.struct(F.col("doc_id").isNull().alias("nulls"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest")
         best = F.min(order).alias("best")
-        found = groups_of(rows, source)
+        found = groups_of(rows, members, source)
         groups = rows.groupBy("node").agg(best).join(found, "node", "left")
         stay = groups.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
         stay = keep(stay.select(F.col("best.id").alias(names[0]), F.col("best.nulls").alias(names[1]), F.col("best.digest").alias(names[2])))
-        del rows, found, groups
+        del rows, members, found, groups
     release(docs.sparkSession)
     return docs.withColumns(key).dropDuplicates(names).join(stay, names, "left_semi").select(*docs.columns)
