@@ -112,7 +112,29 @@ def stored_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-ALL = (archive_entries, archive_lookup, archive_identity, archive_images, picture_records, picture_metadata, exif_texts, hex_hashes, stored_analyses)
+def keyed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions by source and document: put, some put again (the later one counts), compacted, some deleted, one put anew; and values that nobody agreed to keep."""
+    path = new_path(spark, "store")
+    store = Store(spark, path)
+    d = read(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("fingerprint"), F.col("doc_id").cast("string").alias("key"), "doc_id", "n_chars")
+    kind = F.when(F.col("n_chars") % 3 == 0, "duplicate").when(F.col("n_chars") % 3 == 1, "later").otherwise("different")
+    log = store.keyed("decisions")
+    log.put(d.select("fingerprint", "key", kind.alias("decision")))
+    log.put(d.where("doc_id % 2 = 0").select("fingerprint", "key", F.explode(F.array(F.struct(F.lit("later").alias("decision"), F.timestamp_seconds(F.lit(1)).alias("at")), F.struct(F.lit("unreviewed").alias("decision"), F.timestamp_seconds(F.lit(2)).alias("at")))).alias("e")).select("fingerprint", "key", "e.*"))
+    log.compact()
+    log.delete(d.where("doc_id % 5 = 0"))
+    log.put(d.where("doc_id % 25 = 0").select("fingerprint", "key", F.lit("different").alias("decision")))
+    refused = store.keyed("values").put(d)
+    store.agree(True)
+    kept = store.keyed("values").put(d.where("doc_id % 10 = 3").select("fingerprint", "key", F.lit("value").alias("decision")))
+    rows = log.get().select(F.lit("decision").alias("stored"), "fingerprint", "key", "decision")
+    out = rows.unionByName(store.keyed("values").get().select(F.lit(f"{refused} {kept}").alias("stored"), "fingerprint", "key", "decision"))
+    out = cut(out)
+    delete(spark, path)
+    return out
+
+
+ALL = (keyed_decisions, archive_entries, archive_lookup, archive_identity, archive_images, picture_records, picture_metadata, exif_texts, hex_hashes, stored_analyses)
 
 _at64 = (np.arange(9) + 0.5) * (64 / 9) - 0.5
 _low64 = np.floor(_at64).astype(int)
@@ -175,6 +197,9 @@ SQL = {
       SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 AND (p_partkey % 7 = 0 OR p_partkey % 11 = 0) THEN NULL ELSE (CASE WHEN n >= 9223372036854775808 THEN n - 18446744073709551616 ELSE n END)::BIGINT END AS hash,
       (p_partkey % 2 = 0 AND p_partkey % 3 = 0) OR (p_partkey % 2 = 1 AND p_partkey % 3 = 1) AS agrees,
       round(CASE WHEN p_partkey % 4 IN (1, 3) AND ref > 0 THEN least(ref, 1 / 1.5::DOUBLE) / least(ref / 1.5::DOUBLE, 1) ELSE 1 END, 6) AS scale FROM q""",
+    "keyed_decisions": """SELECT 'decision' AS stored, coalesce(source, 'none') AS fingerprint, doc_id::VARCHAR AS key,
+      CASE WHEN doc_id % 25 = 0 THEN 'different' WHEN doc_id % 2 = 0 THEN 'unreviewed' WHEN n_chars % 3 = 0 THEN 'duplicate' WHEN n_chars % 3 = 1 THEN 'later' ELSE 'different' END AS decision FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 25 = 0
+      UNION ALL SELECT 'False True', coalesce(source, 'none'), doc_id::VARCHAR, 'value' FROM documents WHERE doc_id % 10 = 3""",
     "stored_analyses": """SELECT 'images' AS stored, o_orderstatus AS fingerprint, o_orderkey::VARCHAR AS key FROM orders WHERE o_orderstatus = 'O' OR (o_orderstatus = 'F' AND o_totalprice > 100000)
       UNION ALL SELECT 'thumbnails', 'T', o_orderkey::VARCHAR FROM orders WHERE o_orderkey % 4 IN (0, 1)""",
 }

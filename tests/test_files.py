@@ -180,3 +180,30 @@ def test_a_jpeg_original_and_its_png_copy(spark):
 def test_variants_are_withheld_where_the_turn_is_unknown():
     data = standins.png_file(np.random.default_rng(1).integers(0, 256, (6, 9, 3)).astype(np.uint8))
     assert [len(images.features_of("png", data, turn, upright=upright)["variants"]) for turn, upright in ((6, True), (6, False), (1, False), (None, False))] == [4, 1, 4, 4]
+
+
+def test_keyed_rows(spark, tmp_path):
+    from pixkin.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "keyed"))
+    log = store.keyed("decisions")
+    rows = lambda *r: spark.createDataFrame(r, "fingerprint string, key string, decision string")
+    assert log.get() is None and not store.agreed()
+    log.compact()
+    log.put(rows(("f", "a", "later"), ("f", "b", "later"), ("g", "a", "different"), (None, "x", "later"), ("f", None, "later")))
+    log.put(rows(("f", "a", "duplicate")))
+    seen = lambda **k: sorted(tuple(r)[:3] for r in log.get(**k).select("fingerprint", "key", "decision").collect())
+    want = [("f", "a", "duplicate"), ("f", "b", "later"), ("g", "a", "different")]
+    assert seen() == want and seen(fingerprint="f", key="a") == want[:1] and seen(key="a") == [want[0], want[2]]
+    log.delete(rows(("f", "b", ""), ("h", "none", "")))
+    assert seen() == [want[0], want[2]]
+    log.compact()
+    assert seen() == [want[0], want[2]] and len(log.folders()) == 1 and len(list((tmp_path / "keyed/keyed/decisions").iterdir())) == 1
+    (tmp_path / "keyed/keyed/decisions/put-000000000099").mkdir()  # a job that never committed
+    log.put(rows(("f", "b", "different")).withColumn("note", F.lit("new column")))
+    assert seen() == [want[0], ("f", "b", "different"), want[2]] and log.get(key="b").first().note == "new column"
+    assert not store.keyed("thumbnails").put(rows(("f", "t", "x"))) and store.keyed("thumbnails").get() is None
+    store.agree(True)
+    assert store.keyed("thumbnails").put(rows(("f", "t", "x"))) and store.keyed("thumbnails").get("f", "t").count() == 1
+    store.agree(False)
+    assert not store.keyed("thumbnails").put(rows(("f", "u", "x"))) and store.keyed("thumbnails").get().count() == 1
