@@ -1,4 +1,7 @@
-"""ZIP archives as tables: entries, images and errors, one task for each archive."""
+"""ZIP archives as tables: entries, images and errors.
+
+Archives come by their paths alone, and are read by ranges (``ranged``), or with their content, where only Spark's readers reach them.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +19,7 @@ from pixkin.config import Limits
 from pixkin.functions import names
 from pixkin.operators.skew import bounded_batches
 from pixkin.operators.validate import check_entries, inspect
+from pixkin.sources import ranged
 
 ENTRIES = "archive string, index int, filename string, directory boolean, compressed_size long, uncompressed_size long, encrypted boolean, last_modified timestamp"
 HEADER_BYTES = 256
@@ -23,13 +27,16 @@ HEADER_BYTES = 256
 IDENTITY_TAG = "pixkin:zip:v1"
 
 
-def archives(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:
-    """path, modificationTime, length, content of the archives under a path that Spark can read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+def archives(spark: SparkSession, path: str, glob: str = "*.zip", content: bool = False) -> DataFrame:
+    """path, modificationTime, length of the archives under a path; with ``content``, which is limited to 2 GB an archive, also their bytes, for stores that Spark alone can read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return files if content else files.select("path", "modificationTime", "length")  # unread where it isn't selected
 
 
 def read_entries(files: DataFrame) -> DataFrame:
-    """The central directories: ENTRIES, and error for files that are no archives (then index is null). No payload is unpacked."""
+    """The central directories: ENTRIES, and error for files that are no archives (then index is null); by ranges also the entries' places. No payload is unpacked."""
+    if "content" not in files.columns:
+        return ranged.read_directories(files, ENTRIES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -51,7 +58,10 @@ def read_entries(files: DataFrame) -> DataFrame:
 
 
 def unpack(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """archive, index, content, error of wanted (archive, index) entries. Size and checksum are verified; one bad entry spoils no other."""
+    """archive, index, content, error of wanted (archive, index) entries. Size and checksum are verified; one bad entry spoils no other. Without content in ``files`` no byte of an archive is shuffled."""
+    if "content" not in files.columns:
+        placed = wanted if "offset" in wanted.columns else wanted.select("archive", "index").join(read_entries(files).where("error is null"), ["archive", "index"])
+        return ranged.read_payloads(placed)
     lists = wanted.groupBy("archive").agg(F.sort_array(F.collect_list("index")).alias("indexes"))
     both = files.join(lists, F.col("path") == F.col("archive")).select("archive", "content", "indexes")
 
@@ -101,7 +111,7 @@ def read_one(files: DataFrame, path: str) -> DataFrame:
     """The content of one entry by its path, normalised."""
     entries = read_entries(files).where("error is null")
     asked = files.sparkSession.range(1).select(names.normalized(F.lit(path)).alias("asked"))
-    found = entries.withColumn("normal", names.normalized(F.col("filename"))).join(asked, F.col("normal") == F.col("asked")).select("archive", "index")
+    found = entries.withColumn("normal", names.normalized(F.col("filename"))).join(asked, F.col("normal") == F.col("asked")).drop("normal", "asked", "error")
     return unpack(files, found)
 
 
@@ -111,8 +121,11 @@ def identity(files: DataFrame, chunk: int = Limits().fingerprint_chunk, tag: str
         raise ValueError("the chunk must be positive")
     name = F.element_at(F.split("path", "/"), -1)
     facts = F.to_json(F.struct(name.alias("name"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("lastModified"), F.lit(chunk).alias("chunkBytes")))
-    head = F.expr(f"substring(content, 1, {chunk})")
-    start = F.greatest(F.least(F.col("length"), F.lit(chunk)), F.col("length") - chunk)
-    tail = F.substr(F.col("content"), (start + 1).cast("int"), F.lit(chunk))
+    if "content" in files.columns:
+        head = F.expr(f"substring(content, 1, {chunk})")
+        start = F.greatest(F.least(F.col("length"), F.lit(chunk)), F.col("length") - chunk)
+        tail = F.substr(F.col("content"), (start + 1).cast("int"), F.lit(chunk))
+    else:
+        files, head, tail = ranged.ends(files, chunk), F.col("head"), F.col("tail")
     whole = F.concat(F.encode(F.concat(F.lit(tag + "\n"), facts, F.lit("\n")), "UTF-8"), head, tail)
     return files.select(F.col("path").alias("archive"), name.alias("name"), F.col("length").alias("size"), F.sha2(whole, 256).alias("fingerprint"))
