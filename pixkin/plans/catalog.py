@@ -67,7 +67,7 @@ def turned_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.candidate_pairs(vector_pictures(spark, sf_dir), SETTINGS)
+    return pairs.candidate_pairs(cut(vector_pictures(spark, sf_dir).select("id", "ord", "aspect", "luminance", *HASHES)), SETTINGS)
 
 
 def shown(p: DataFrame) -> DataFrame:
@@ -101,8 +101,11 @@ def hamming_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str, mode: str = "sensitive") -> DataFrame:
     """Best pairs with all metrics and their assessment, by the engine's own plan; vectors stand in for pictures of 8 x 8 pixels."""
     s, pictures = MODES[mode], cut(vector_pictures(spark, sf_dir))
-    best = pairs.best_partners(pairs.candidate_pairs(pictures, s), s.top_k)
-    rows = metrics_of(best, pictures, s, edge=8)
+    return ends_of(metrics_of(pairs.best_partners(pairs.candidate_pairs(pictures, s), s.top_k), pictures, s, edge=8))
+
+
+def ends_of(rows: DataFrame) -> DataFrame:
+    """Adds the ids of vectors at both ends."""
     return rows.withColumns({f"{n}_ord": F.substring(f"{n}_id", 2, 9).cast("long") for n in ("source", "target")})
 
 
@@ -124,10 +127,12 @@ def pair_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assessments by mode."""
-    out = None
-    for mode in MODES:
-        rows = scored(spark, sf_dir, mode).withColumn("mode", F.lit(mode))
+    """Assessments by mode: one pair join under the widest gate, of whose pairs each mode keeps its own."""
+    pictures, out = cut(vector_pictures(spark, sf_dir)), None
+    wide = cut(pairs.candidate_pairs(pictures, MODES["sensitive"]))
+    for mode, s in MODES.items():
+        best = pairs.best_partners(pairs.narrowed(wide, s), s.top_k)
+        rows = ends_of(metrics_of(best, pictures, s, edge=8)).withColumn("mode", F.lit(mode))
         out = rows if out is None else out.unionByName(rows)
     return out.groupBy("mode", "category", "confidence").agg(F.count("*").alias("pairs"), F.max("score").alias("best"), F.min("score").alias("worst"))
 
@@ -137,7 +142,7 @@ def legacy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = vector_pictures(spark, sf_dir)
     known = F.col("vec_id") % 3 != 0
     p = p.withColumns({h: F.when(known, F.col(h)) for h in HASHES[3:]}).withColumn("aspect", F.when(F.col("vec_id") % 2 == 0, F.lit(1.5)).otherwise(F.lit(0.65)))
-    return shown(pairs.candidate_pairs(p, SETTINGS))
+    return shown(pairs.candidate_pairs(cut(p.select("id", "ord", "aspect", "luminance", *HASHES)), SETTINGS))
 
 
 def vector_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -161,6 +161,27 @@ def test_pair_join_and_best_partners_against_loops(spark, without):
     assert best == {b[1:] for bucket in tops.values() for b in bucket}
 
 
+def test_narrower_modes_come_from_the_widest_join(spark):
+    _, df = random_records(spark, 40, without=8)
+    wide = pairs.candidate_pairs(df, MODES["sensitive"], block_rows=9).cache()
+    for s in MODES.values():
+        assert sorted(pairs.narrowed(wide, s).collect()) == sorted(pairs.candidate_pairs(df, s).collect())
+    wide.unpersist()
+
+
+def test_pairs_of_odd_records(spark):
+    rows, df = random_records(spark, 6)
+    alike = [("p", k, 1.0, 0.5, *([7] * 12)) for k in (0, 3, 10**12)]  # places far apart, equal ids
+    odd = [("nan", 1, float("nan"), 0.5, *([7] * 12)), ("dark", 2, 1.0, None, *([7] * 12)), ("blank", 4, 1.0, 0.5, None, *([7] * 11)), ("nowhere", None, 1.0, 0.5, *([7] * 12)), ("flat", 5, 0.0, 0.5, *([7] * 12))]
+    lone = [("half", 6, 1.0, 0.5, *([7] * 11), None)]  # lacks one turned hash: unturned only
+    made = spark.createDataFrame(alike + odd + lone, ", ".join(f"{f.name} {'long' if f.name == 'ord' else f.dataType.simpleString()}" for f in df.schema))
+    got = {(r.source.ord, r.target.ord, r.turn) for r in pairs.candidate_pairs(made, MODES["strict"], block_rows=2).collect()}
+    between = {(0, 3, 0), (0, 6, 0), (0, 10**12, 0), (3, 6, 0), (3, 10**12, 0), (6, 10**12, 0)}
+    flat = {(0, 5, 0), (3, 5, 0), (5, 6, 0), (5, 10**12, 0)}  # equal hashes let any known aspect through
+    assert got == between | flat
+    assert pairs.candidate_pairs(made.limit(0), MODES["strict"]).count() == 0
+
+
 def edge_rows(n, seed):
     rng = random.Random(seed)
     out = []
