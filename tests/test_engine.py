@@ -354,7 +354,7 @@ def test_archives_to_reports(spark, zips, tmp_path):
     assert reports.framed(lines).startswith("﻿Gruppen-ID") and reports.framed(lines).endswith("\r\n")
     assert {len(r.text.split(",")) for r in reports.comparison_report(resolved, found.images, delimiter=",", exact_gps=True).collect()} >= {47}
     reports.write_csv(reports.comparison_report(resolved, found.images), str(tmp_path / "csv"))
-    text = next((tmp_path / "csv").glob("part-*")).read_bytes().decode()
+    text = b"".join(f.read_bytes() for f in sorted((tmp_path / "csv").glob("part-*"))).decode()
     assert text.startswith("﻿Gruppen-ID") and text.count("\r\n") == 5
     cleaned = results.cleaned_files(found.images, found.groups, resolved).collect()
     assert [r.category for r in cleaned].count("ungeklärt") == 4 and [r.path for r in cleaned] == sorted(r.path for r in cleaned)
@@ -368,11 +368,39 @@ def test_archives_to_reports(spark, zips, tmp_path):
     one = archive.read_one(files, "./baustelle//a/kopie.png").where(F.col("archive").endswith("a.zip")).collect()
     assert len(one) == 1 and one[0].content[:4] == b"\x89PNG"
     document = reports.json_document(spark.range(1).select(F.lit("a.zip").alias("name")), found.images, found.edges, found.groups, resolved, found.errors, "2026-01-01T00:00:00Z")
-    text = json.loads(reports.join_json(document))
+    reports.write_json(document, str(tmp_path / "json"))
+    text = json.loads(b"".join(f.read_bytes() for f in sorted((tmp_path / "json").glob("part-*"))))
+    assert [i["id"] for i in text["images"]] == sorted(names) and list(text)[-5:] == ["images", "edges", "groups", "comparisons", "errors"]
     assert text["exportVersion"] == 4 and all("gray" not in i and "aspect" in i for i in text["images"]) and len(text["comparisons"]) == 4 and set(text["groups"][0]) == {"id", "referenceId", "memberIds", "uncertainIds", "edgeIds", "status"}
     assert set(text["comparisons"][0]) >= {"groupId", "groupReferenceId", "comparisonBaseId", "candidateId", "edgeId", "directToReference", "effectiveCandidateRotationDegrees", "candidateKind", "presentationTier", "decision"}
 
 
+def test_documents_written_by_ranges(spark, tmp_path):
+    lines = spark.range(5000).select(F.col("id").alias("g"), F.concat(F.lit("Zeile "), F.col("id").cast("string")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges, however small
+    try:
+        reports.write_csv(lines.union(lines.limit(10)).repartition(7), str(tmp_path / "csv"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "csv").glob("part-*"))
+    text = b"".join(f.read_bytes() for f in files).decode()
+    want = sorted([*range(5000), *range(10)])  # equal lines stay
+    assert text == "\ufeff" + "".join(f"Zeile {i}\r\n" for i in want) and len(files) > 1
+    back = reports.read_parts(spark, str(tmp_path / "csv")).orderBy("nth").collect()
+    assert [r.nth for r in back] == list(range(1, 5011)) and back[0].text == "\ufeffZeile 0\r" and back[-1].text == "Zeile 4999\r"
+
+
+@pytest.mark.parametrize("there", [(0, 0, 0, 0, 0), (3, 3, 3, 3, 3), (3, 0, 0, 3, 0), (0, 3, 0, 0, 3), (0, 0, 3, 0, 0)])
+def test_json_documents_with_empty_parts(spark, there):
+    rows = [(0, "head", "", 0, 0, "", '{"a":1}')] + [(i, k, "", 9 - j, 0, "", json.dumps({"n": 9 - j, "t": 'x"\n'})) for i, (k, n) in enumerate(zip(reports.KINDS[1:], there), 1) for j in range(n)]
+    document = spark.createDataFrame(rows, "part int, kind string, book string, place long, step long, key string, json string")
+    text = json.loads("\n".join(r.text for r in reports.json_lines(document).orderBy("nth").collect()))
+    assert text == {"a": 1} | {k: [{"n": i, "t": 'x"\n'} for i in (7, 8, 9)[: n]] for k, n in zip(reports.KINDS[1:], there)}
+    if not any(there):
+        with pytest.raises(ValueError):
+            reports.json_lines(document.limit(0))
+
+
 def test_store_and_stream(spark, zips, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     assert store.get("groups") is None
