@@ -103,11 +103,11 @@ def with_reference(members: DataFrame, edges: DataFrame, images: DataFrame) -> D
     return members.select("draft", "image").join(first, "draft").select("draft", "image", "reference")
 
 
-def duplicate_groups(edges: DataFrame, images: DataFrame) -> DataFrame:
+def duplicate_groups(edges: DataFrame, images: DataFrame, apart: bool | None = None) -> DataFrame:
     """id, reference_id, member_ids, uncertain_ids, edge_ids, status: cores, and a pair for each other edge that isn't 'probably-different'.
 
     ``edges``: id, source_id, target_id, strong, score, category; ``images``: id, width, height, size. Groups are numbered in each
-    archive if edges have an archive; where there are several, ids begin with what tells it apart.
+    archive if edges have an archive; ids begin with what tells it ``apart`` (None: where there are several).
     """
     edges = edges if "archive" in edges.columns else edges.withColumn("archive", F.lit(""))
     relevant = best_edges(edges, images).where("category != 'probably-different'").select("id", "source_id", "target_id", "strong", "score", "category", "archive")
@@ -134,5 +134,5 @@ def duplicate_groups(edges: DataFrame, images: DataFrame) -> DataFrame:
     every = numbered(every, [F.col("archive"), F.col("reference_id"), F.col("kind"), *strength()], "number")
     starts = cut(every.groupBy("archive").agg(F.min("number").alias("start"), F.count("*").alias("n")))
     every = attach(every, starts, ["archive"], "n", max(1, every.count()), ready=True)
-    prefix = F.concat(F.substring(F.sha2("archive", 256), 1, 8), F.lit("-group-")) if starts.limit(2).count() > 1 else F.lit("group-")
+    prefix = F.concat(F.substring(F.sha2("archive", 256), 1, 8), F.lit("-group-")) if (starts.limit(2).count() > 1 if apart is None else apart) else F.lit("group-")
     return every.withColumn("group_id", F.concat(prefix, (F.col("number") - F.col("start") + 1).cast("string"))).select(F.col("group_id").alias("id"), "reference_id", "member_ids", "uncertain_ids", "edge_ids", F.lit("unreviewed").alias("status"))

@@ -24,7 +24,11 @@ class Store:
 
     def put(self, table: str, rows: DataFrame, fingerprint: str) -> None:
         """Replace what the table holds of one archive."""
-        stamped = rows.withColumns({"fingerprint": F.lit(fingerprint), "version": F.lit(VERSION), "updated_at": F.current_timestamp()})
+        self.put_all(table, rows.withColumn("fingerprint", F.lit(fingerprint)))
+
+    def put_all(self, table: str, rows: DataFrame) -> None:
+        """Replace what the table holds of the archives that ``rows`` name in their fingerprint."""
+        stamped = rows.withColumns({"version": F.lit(VERSION), "updated_at": F.current_timestamp()})
         stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fingerprint").parquet(self.where(table))
 
     def put_thumbnails(self, rows: DataFrame, fingerprint: str) -> None:
@@ -61,6 +65,12 @@ class Store:
         fs, p = self._fs(self.where(table))
         return fs.exists(p)
 
+    def remove(self, table: str, fingerprints: list[str]) -> None:
+        """What one table holds of some archives."""
+        for fingerprint in fingerprints:
+            fs, p = self._fs(f"{self.where(table)}/fingerprint={fingerprint}")
+            fs.delete(p, True)
+
     def delete(self, fingerprint: str) -> None:
         """All that is held of one archive, in all tables."""
         fs, root = self._fs(self.path)

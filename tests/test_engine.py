@@ -6,9 +6,11 @@ import io
 import itertools
 import json
 import random
+import shutil
 import struct
 import zipfile
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -21,6 +23,7 @@ from pixkin.plans.analysis import analyse
 from pixkin.plans.progress import Cancelled, Progress
 from pixkin.sources import archive, images
 from pixkin.sources.store import Store
+from pixkin.streaming import incremental
 from pixkin.streaming.incremental import watch
 
 signed = lambda h: int.from_bytes(bytes.fromhex(h), "big", signed=True)
@@ -435,3 +438,28 @@ def test_updates(spark):
     assert results.mark_reviewed(groups, decided, "group-1").first().status == "reviewed"
     assert results.dissolve(groups, "group-1").count() == 0 and results.confirm_safe(groups, edges).count() == 1
     assert results.reset_status(groups.withColumn("status", F.lit("reviewed")), spark.createDataFrame([("group-1", "later")], "group_id string, decision string")).first().status == "unreviewed"
+
+
+def test_a_batch_is_one_analysis_and_equals_a_full_run(spark, zips, tmp_path, monkeypatch):
+    folder, runs = tmp_path / "zips", []
+    folder.mkdir()
+    source = Path(zips) / "a.zip"
+    for n in ("one", "two"):
+        shutil.copy2(source, folder / f"{n}.zip")
+    real = incremental.analyse
+    monkeypatch.setattr(incremental, "analyse", lambda files, *rest, **more: runs.append(files.count()) or real(files, *rest, **more))
+    store = Store(spark, str(tmp_path / "store"))
+    watch(spark, str(folder), store, str(tmp_path / "checkpoint")).awaitTermination(120)
+    shutil.copy2(source, folder / "three.zip")
+    watch(spark, str(folder), store, str(tmp_path / "checkpoint")).awaitTermination(120)
+    assert runs == [2, 1]
+    full = analyse(archive.archives(spark, str(folder)))
+    ids = lambda df: sorted(r.id for r in df.select("id").collect())
+    for table in ("images", "edges", "groups"):
+        assert ids(store.get(table)) == ids(getattr(full, table)) and len(ids(store.get(table))) % 3 == 0
+    assert store.get("errors").count() == full.errors.count() and store.get("analyses").count() == 3
+    mark = store.get("analyses").where("name = 'two.zip'").first().fingerprint
+    assert {r.fingerprint for r in store.get("groups").where("archive like '%two.zip'").collect()} == {mark}
+    assert incremental.analyse_new(archive.archives(spark, str(folder)), store) == 0
+    store.remove("analyses", [mark])  # as if a run had broken before its last step
+    assert incremental.analyse_new(archive.archives(spark, str(folder)), store) == 1 and ids(store.get("edges")) == ids(full.edges)
