@@ -122,18 +122,22 @@ def global_ssim(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where((x == y).all(-1), 1.0, value)
 
 
-def area_square(rgba: np.ndarray, edge: int) -> np.ndarray:
-    """The picture drawn into a square of ``edge`` pixels, aspect ignored, each the mean of the area that it covers."""
+def area_resize(rgba: np.ndarray, width: int, height: int) -> np.ndarray:
+    """The picture drawn into ``width`` x ``height`` pixels, aspect ignored, each the mean of the area that it covers."""
 
-    def weights(n: int) -> np.ndarray:
+    def weights(n: int, edge: int) -> np.ndarray:
         a, b = np.arange(edge) * n / edge, (np.arange(edge) + 1) * n / edge
         i = np.arange(n)
         return np.clip(np.minimum(b[:, None], i + 1) - np.maximum(a[:, None], i), 0, None) * edge / n
 
-    wy, wx = weights(rgba.shape[0]), weights(rgba.shape[1])
+    wy, wx = weights(rgba.shape[0], height), weights(rgba.shape[1], width)
     return np.clip(np.rint(np.einsum("yh,hwc,xw->yxc", wy, rgba.astype(np.float64), wx, optimize=True)), 0, 255).astype(np.uint8)
 
 
+def area_square(rgba: np.ndarray, edge: int) -> np.ndarray:
+    return area_resize(rgba, edge, edge)
+
+
 def thumbnail_size(width: int, height: int, edge: int = 360) -> tuple[int, int]:
     """The longest edge fitted, never enlarged, at least a pixel."""
     scale = min(1.0, edge / max(width, height, 1))

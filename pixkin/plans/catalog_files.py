@@ -60,6 +60,15 @@ def picture_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("vec_id", "format", "width", "height", "aspect", F.round("luminance", 6).alias("luminance"), F.md5(F.hex("gray")).alias("gray_md5"), bins.alias("colours"), unturned("a"), unturned("d"), unturned("p"), F.size("variants").alias("variants"), "decode_error")
 
 
+def thumbnail_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thumbnails of pictures as JPEG files, read again: their format and size, and whether they are as bright as the pictures (noise of halved colours moves it a little)."""
+    found, _ = archive.read_images(standins.picture_archives(read(spark, sf_dir, "embeddings")))
+    made = cut(images.thumbnails(found.select(F.regexp_extract("name", r"v(\d+)", 1).cast("long").alias("vec_id"), "format", "content")))
+    again = images.image_features(made.select("vec_id", names.format_of_bytes(F.col("content")).alias("format"), "content"))
+    before = picture_features(spark, sf_dir).select("vec_id", F.col("luminance").alias("was"))
+    return again.join(before, "vec_id").select("vec_id", "format", "width", "height", (F.abs(F.col("luminance") - F.col("was")) < 0.1).alias("as_bright"), "decode_error")
+
+
 def picture_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capture metadata read from the files."""
     m = lambda n: F.col(f"metadata.{n}")
@@ -134,7 +143,7 @@ def keyed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-ALL = (keyed_decisions, archive_entries, archive_lookup, archive_identity, archive_images, picture_records, picture_metadata, exif_texts, hex_hashes, stored_analyses)
+ALL = (keyed_decisions, archive_entries, archive_lookup, archive_identity, archive_images, picture_records, thumbnail_files, picture_metadata, exif_texts, hex_hashes, stored_analyses)
 
 _at64 = (np.arange(9) + 0.5) * (64 / 9) - 0.5
 _low64 = np.floor(_at64).astype(int)
@@ -178,6 +187,7 @@ SQL = {
       UNION ALL SELECT archive, path, NULL, NULL, NULL, code, code = 'nested-zip' FROM j WHERE code IS NOT NULL""",
     "picture_records": f"""WITH {SHOWN} SELECT i AS vec_id, CASE WHEN i % 2 = 1 THEN 'png' ELSE 'bmp' END AS format, 8::INT AS width, 8::INT AS height, 1.0::DOUBLE AS aspect, round(mean / 255, 6) AS luminance,
       md5(array_to_string(list_transform(range(0, 4096), lambda k: lpad(to_hex(gray[k // 512 * 8 + k % 64 // 8 + 1]::INT), 2, '0')), '')) AS gray_md5, colours, {_hex('ab')} AS a_hash, {_hex('db')} AS d_hash, {_hex('pb')} AS p_hash, 4::INT AS variants, NULL::VARCHAR AS decode_error FROM d3 JOIN h4 USING (i)""",
+    "thumbnail_files": f"WITH {ENTRIES} SELECT i AS vec_id, 'jpeg' AS format, 8::INT AS width, 8::INT AS height, true AS as_bright, NULL::VARCHAR AS decode_error FROM good",
     "picture_metadata": f"""WITH {ENTRIES}, o AS (SELECT i, i % 100 + 0.5::DOUBLE AS la, (i % 180) + 0.01::DOUBLE AS lo FROM good WHERE i % 2 = 1)
       SELECT i AS vec_id, 'ACME Inc' AS make, 'M' || (i % 7) AS model, CASE WHEN i % 9 > 0 THEN (i % 9)::INT END AS orientation,
       strftime(make_timestamp(2024, i % 9 + 1, 10 + i % 10, 7, i % 10, 9) - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') || '.' || rpad((i % 1000)::VARCHAR, 3, '0')[1:3] AS taken, true AS zoned,

@@ -8,9 +8,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pixkin.functions.kernels import area_resize
 from pixkin.plans import standins
 from pixkin.plans.analysis import analyse
 from pixkin.sources import images, tiff
+from pixkin.sources.images import thumbnails
+from pixkin.sources.jpeg import decode_jpeg
+from pixkin.sources.jpeg_writer import code_lengths, encode_jpeg
+from pixkin.sources.store import Store
 
 
 def tiff_file(order: str, tags: dict[int, tuple[int, list]], extra: dict[int, dict[int, tuple[int, list]]] | None = None, tail: bytes = b"") -> bytes:
@@ -286,3 +291,64 @@ def test_directories_of_large_archives():
     tail = data + ranged.END64.pack(b"PK\6\6", 44, 45, 45, 0, 0, n, n, len(data), start) + ranged.END64_PLACE.pack(b"PK\6\7", 0, start + len(data), 1) + ranged.END.pack(b"PK\5\6", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
     found = list(ranged.entries(lambda at, k: tail[at - start : at - start + k], start + len(tail)))
     assert len(found) == n and found[9].offset == 9 * far and found[9].compressed_size == far + 1 and found[9].uncompressed_size == far + 9 and found[9].filename == "9"
+
+
+def wedge(h, w):
+    y, x = np.mgrid[0:h, 0:w]
+    return np.stack([x * 255 // w, y * 255 // h, (x + y) * 255 // (w + h)], -1).astype(np.uint8)
+
+
+def halved_chroma(picture):
+    """The picture with the mean chroma of each two by two pixels, by the definition of the colour space."""
+    h, w = picture.shape[:2]
+    x = np.pad(picture, ((0, h % 2), (0, w % 2), (0, 0)), mode="edge").astype(float)
+    y = x @ [0.299, 0.587, 0.114]
+    both = []
+    for channel, scale in ((2, 1.772), (0, 1.402)):
+        c = (x[..., channel] - y) / scale
+        both.append(c.reshape(c.shape[0] // 2, 2, c.shape[1] // 2, 2).mean((1, 3)).repeat(2, 0).repeat(2, 1))
+    cb, cr = both
+    rgb = np.stack([y + 1.402 * cr, y - (0.114 * 1.772 * cb + 0.299 * 1.402 * cr) / 0.587, y + 1.772 * cb], -1)
+    return np.clip(rgb, 0, 255)[:h, :w]
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (8, 8), (16, 16), (17, 33), (1, 40), (40, 1), (64, 100)])
+def test_written_jpeg_files_are_read_again(shape):
+    rng = np.random.default_rng(shape[1])
+    sparse = np.zeros((*shape, 3), np.uint8)
+    sparse[::7, ::5] = 255
+    noise = rng.integers(0, 256, (*shape, 3)).astype(np.uint8)
+    for picture in (wedge(*shape), np.full((*shape, 3), 77, np.uint8), noise, noise // 32 * 32, sparse):
+        back = decode_jpeg(encode_jpeg(picture, 100))[..., :3].astype(float)  # divisors of one: what is lost is rounding
+        assert back.shape == picture.shape and np.abs(back - halved_chroma(picture)).max() <= 5
+        coarse = encode_jpeg(picture, 1)
+        assert decode_jpeg(coarse).shape[:2] == shape and len(coarse) <= len(encode_jpeg(picture, 100))
+
+
+def test_jpeg_writer_blends_with_white_and_refuses_odd_input():
+    clear = np.zeros((8, 8, 4), np.uint8)
+    assert (decode_jpeg(encode_jpeg(clear))[..., :3] == 255).all()
+    for bad, quality in ((np.zeros((0, 3, 3), np.uint8), 78), (clear, 0), (clear, 101), (clear[..., 0], 78)):
+        with pytest.raises(ValueError):
+            encode_jpeg(bad, quality)
+
+
+def test_prefix_codes_stay_within_sixteen_bits():
+    weights = {i: 2**i for i in range(30)}  # would need 30 bits
+    depth = code_lengths(weights)
+    assert max(depth.values()) <= 16 and sum(2.0**-d for d in depth.values()) <= 1 and depth[-1] == max(depth.values())
+    assert code_lengths({5: 9})[5] == 1
+
+
+def test_thumbnails_fit_and_are_stored(spark, tmp_path):
+    big, tall = wedge(300, 900), wedge(500, 100)
+    rows = [("a", "jpeg", encode_jpeg(big, 95), 1), ("b", "jpeg", encode_jpeg(tall, 95), 6), ("c", "jpeg", b"\xff\xd8 broken", None), ("d", "heic", b"x", None), ("e", "jpeg", None, None)]
+    made = {r.key: r for r in thumbnails(spark.createDataFrame(rows, "key string, format string, content binary, orientation int")).collect()}
+    assert (made["a"].width, made["a"].height) == (360, 120) and (made["b"].width, made["b"].height) == (360, 72)
+    small = decode_jpeg(bytes(made["a"].content))[..., :3].astype(int)
+    assert np.abs(small - area_resize(big, 360, 120)).mean() < 3
+    assert all(made[k].content is None and made[k].decode_error for k in "cde")
+    store = Store(spark, str(tmp_path / "store"))
+    store.agree(True)
+    store.put_thumbnails(spark.createDataFrame([(k, bytes(made[k].content)) for k in "ab"], "key string, content binary"), "f")
+    assert {(r.key, bytes(r.content)) for r in store.get("thumbnails", "f").collect()} == {(k, bytes(made[k].content)) for k in "ab"}
