@@ -1,6 +1,6 @@
 """Pictures: decoders by format, and features of decoded pictures.
 
-JPEG, PNG, BMP, GIF and simple TIFF files are decoded here. Other formats need a decoder from the caller: ``register(format, function)``, on every executor.
+JPEG, PNG, BMP, GIF and TIFF files are decoded here. Other formats need a decoder from the caller: ``register(format, function)``, on every executor.
 """
 
 from __future__ import annotations

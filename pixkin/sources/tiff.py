@@ -1,4 +1,4 @@
-"""TIFF structures: capture metadata of JPEG, TIFF and PNG files, and simple TIFF pictures."""
+"""TIFF structures: capture metadata of JPEG, TIFF and PNG files, and TIFF pictures."""
 
 from __future__ import annotations
 
@@ -151,26 +151,94 @@ def packed_bits(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+def lzw_bytes(data: bytes, size: int) -> bytes:
+    """Codes of 9 to 12 bits, highest bits first, that refer to earlier runs; a code widens one entry before its table is full. At most ``size`` bytes."""
+    start = [bytes([i]) for i in range(256)] + [b"", b""]
+    words, width, before, held, n, out = list(start), 9, b"", 0, 0, bytearray()
+    for byte in data:
+        held, n = (held & (1 << n) - 1) << 8 | byte, n + 8
+        if n < width:
+            continue
+        n -= width
+        code = held >> n
+        if code == 257 or len(out) >= size:
+            break
+        if code == 256:
+            words, width, before = list(start), 9, b""
+            continue
+        if code > len(words) or (code == len(words) and not before):
+            raise ValueError("a TIFF code is broken")
+        word = words[code] if code < len(words) else before + before[:1]
+        out += word
+        if before and len(words) < 4096:
+            words.append(before + word[:1])
+            if len(words) == (1 << width) - 1 and width < 12:
+                width += 1
+        before = word
+    return bytes(out[:size])
+
+
+#: A picture's samples while it is decoded: 200 million pixels of four channels.
+MOST_SAMPLES = 800_000_000
+inflated = lambda data, size: zlib.decompressobj().decompress(data, size)
+UNPACK = {1: lambda data, size: data[:size], 5: lzw_bytes, 8: inflated, 32946: inflated, 32773: packed_bits}
+
+
+def samples(raw: bytes, rows: int, width: int, channels: int, bits: int, order: str, differenced: bool) -> np.ndarray:
+    """rows x width x channels of one strip or tile. Rows begin with whole bytes."""
+    line = (width * channels * bits + 7) // 8
+    lines = np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line)
+    if bits < 8:
+        ones = np.unpackbits(lines, axis=1)[:, : width * channels * bits].reshape(rows, width, channels, bits)
+        return (ones << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(3, dtype=np.uint8)
+    values = (lines if bits == 8 else lines.view(order + "u2").astype(np.uint16)).reshape(rows, width, channels)
+    return np.cumsum(values, axis=1, dtype=values.dtype) if differenced else values
+
+
 def decode_tiff(data: bytes) -> np.ndarray:
-    """The first picture: 8 bits, grey or RGB with or without alpha, in strips; plain, PackBits or Deflate, with or without differencing. Shown upright."""
-    tags, _ = first_directory(data)
+    """The first picture, shown upright: grey, colour table or RGB, with or without alpha, of 1, 2, 4, 8 or 16 bits, in strips or tiles, channels together or apart.
+
+    Plain, LZW, PackBits or Deflate, with or without differencing. Of 16 bits the upper eight count.
+    """
+    tags, order = first_directory(data)
     listed = lambda t: tags[t] if isinstance(tags[t], list) else [tags[t]]
-    width, height, packing, kind, channels = tags[256], tags[257], tags.get(259, 1), tags.get(262, 1), tags.get(277, 1)
-    if any(b != 8 for b in (listed(258) if 258 in tags else [1])) or kind not in (0, 1, 2) or 273 not in tags or tags.get(284, 1) != 1:
+    width, height, kind, channels = tags[256], tags[257], tags.get(262, 1), tags.get(277, 1)
+    depths = set(listed(258)) if 258 in tags else {1}
+    bits, differenced, unpack = depths.pop(), tags.get(317, 1) == 2, UNPACK.get(tags.get(259, 1))
+    if depths or bits not in (1, 2, 4, 8, 16) or kind not in (0, 1, 2, 3) or tags.get(317, 1) not in (1, 2) or (differenced and bits < 8) or (kind == 3 and (bits == 16 or 320 not in tags)):
         raise ValueError("this kind of TIFF isn't supported")
-    unpack = {1: lambda b, n: b, 32773: packed_bits, 8: lambda b, n: zlib.decompress(b), 32946: lambda b, n: zlib.decompress(b)}.get(packing)
-    if unpack is None:
+    if unpack is None or tags.get(266, 1) != 1:
         raise ValueError("this TIFF compression isn't supported")
-    per, parts = tags.get(278, height), []
-    for i, (at, size) in enumerate(zip(listed(273), listed(279))):
-        rows = min(per, height - i * per)
-        raw = np.frombuffer(unpack(data[at : at + size], rows * width * channels), np.uint8, rows * width * channels).reshape(rows, width, channels)
-        parts.append(np.cumsum(raw, axis=1, dtype=np.uint8) if tags.get(317) == 2 else raw)
-    pixels = np.concatenate(parts)
-    pixels = 255 - pixels if kind == 0 else pixels
+    tiled, apart = 324 in tags, tags.get(284, 1) == 2
+    wide, high = (tags[322], tags[323]) if tiled else (width, min(tags.get(278, height), height))
+    if min(width, height, wide, high) <= 0 or channels < (3 if kind == 2 else 1):
+        raise ValueError("a TIFF picture is empty")
+    across, down, inner = -(-width // wide), -(-height // high), 1 if apart else channels
+    if across * wide * down * high * channels > MOST_SAMPLES:
+        raise ValueError("a TIFF picture is too large")
+    places, sizes = (listed(324), listed(325)) if tiled else (listed(273), listed(279))
+    planes = channels if apart else 1
+    if min(len(places), len(sizes)) < across * down * planes:
+        raise ValueError("parts of a TIFF picture are missing")
+    pixels = np.empty((down * high, across * wide, channels), np.uint16 if bits == 16 else np.uint8)
+    for i in range(across * down * planes):
+        plane, (row, column) = i // (across * down), divmod(i % (across * down), across)
+        rows = high if tiled else min(high, height - row * high)
+        line = (wide * inner * bits + 7) // 8
+        block = samples(unpack(data[places[i] : places[i] + sizes[i]], rows * line), rows, wide, inner, bits, order, differenced)
+        pixels[row * high : row * high + rows, column * wide : (column + 1) * wide, plane if apart else 0 : plane + 1 if apart else channels] = block
+    pixels = pixels[:height, :width]
+    if bits == 16:
+        pixels = (pixels >> 8).astype(np.uint8)
     rgba = np.full((height, width, 4), 255, np.uint8)
-    rgba[..., :3] = pixels[..., :3] if kind == 2 else pixels[..., :1]
-    if channels in (2, 4):
-        rgba[..., 3] = pixels[..., -1]
+    if kind == 3:
+        table = (np.array(listed(320), np.uint32).reshape(3, -1) >> 8).astype(np.uint8)
+        rgba[..., :3] = table[:, pixels[..., 0]].transpose(1, 2, 0)
+    else:
+        shown = pixels * np.uint8(255 // ((1 << min(bits, 8)) - 1))
+        shown = 255 - shown if kind == 0 else shown
+        rgba[..., :3] = shown[..., :3] if kind == 2 else shown[..., :1]
+        if channels in (2, 4):
+            rgba[..., 3] = (255 - shown if kind == 0 else shown)[..., -1]
     turn = tags.get(ORIENTATION, 1)
     return oriented(rgba, turn if isinstance(turn, int) else 1)

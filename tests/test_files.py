@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -352,3 +353,102 @@ def test_thumbnails_fit_and_are_stored(spark, tmp_path):
     store.agree(True)
     store.put_thumbnails(spark.createDataFrame([(k, bytes(made[k].content)) for k in "ab"], "key string, content binary"), "f")
     assert {(r.key, bytes(r.content)) for r in store.get("thumbnails", "f").collect()} == {(k, bytes(made[k].content)) for k in "ab"}
+
+
+def lzw_packed(data: bytes) -> bytes:
+    """The compressor's side, as the format describes it: a code widens after entry 511 (1023, 2047) is made, entry 4094 starts the table anew."""
+    codes, table, run, width = [(256, 9)], {bytes([i]): i for i in range(256)}, b"", 9
+    after = 258
+    for byte in data:
+        longer = run + bytes([byte])
+        if longer in table:
+            run = longer
+            continue
+        codes.append((table[run], width))
+        table[longer], after, run = after, after + 1, bytes([byte])
+        if after - 1 in (511, 1023, 2047):
+            width += 1
+        if after - 1 == 4094:
+            codes.append((256, width))
+            table, after, width = {bytes([i]): i for i in range(256)}, 258, 9
+    if run:
+        codes.append((table[run], width))
+        width += after in (511, 1023, 2047)  # the reader makes an entry for the last run too
+    bits = "".join(format(c, f"0{w}b") for c, w in [*codes, (257, width)])
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 260, 3000, 20_000])
+def test_lzw_codes_of_all_widths(n):
+    rng = np.random.default_rng(n)
+    for data in (rng.integers(0, 256, n).astype(np.uint8).tobytes(), rng.integers(0, 3, n).astype(np.uint8).tobytes(), b"a" * n):
+        assert tiff.lzw_bytes(lzw_packed(data), n) == data and tiff.lzw_bytes(lzw_packed(data), n // 2) == data[: n // 2]
+    with pytest.raises(ValueError):
+        tiff.lzw_bytes(bytes.fromhex("807f") + b"\xff" * 20, 100)  # a code that the table lacks
+
+
+def picture_tiff(order, picture, bits, kind, packing=1, tile=None, apart=False, differenced=False, more=None):
+    """A TIFF file of samples (height x width x channels), the data before the directory."""
+    h, w, channels = picture.shape
+    pack = {1: bytes, 5: lzw_packed, 8: zlib.compress}[packing]
+    wide, high = tile or (w, 5)
+    segments = []
+    for plane in (range(channels) if apart else [slice(None)]):
+        part = picture[..., [plane] if apart else plane]
+        for top in range(0, h, high):
+            for left in range(0, w, wide):
+                block = part[top : top + high, left : left + wide]
+                if tile:
+                    block = np.pad(block, ((0, high - block.shape[0]), (0, wide - block.shape[1]), (0, 0)))
+                if differenced:
+                    block = np.diff(block, axis=1, prepend=np.zeros_like(block[:, :1]))
+                rows = block.reshape(len(block), -1)
+                if bits < 8:
+                    raw = np.packbits((rows[..., None] >> np.arange(bits)[::-1] & 1).reshape(len(rows), -1).astype(np.uint8), axis=1).tobytes()
+                else:
+                    raw = rows.astype(order + f"u{bits // 8}").tobytes()
+                segments.append(pack(raw))
+    places = [8 + sum(map(len, segments[:i])) for i in range(len(segments))]
+    tags = {256: (4, [w]), 257: (4, [h]), 258: (3, [bits] * channels), 259: (3, [packing]), 262: (3, [kind]), 277: (3, [channels]), 284: (3, [2 if apart else 1]), 317: (3, [2 if differenced else 1])} | (more or {})
+    tags |= {322: (4, [wide]), 323: (4, [high]), 324: (4, places), 325: (4, [len(s) for s in segments])} if tile else {278: (4, [high]), 273: (4, places), 279: (4, [len(s) for s in segments])}
+    data = b"".join(segments)
+    at = 8 + len(data)
+    body, late = struct.pack(order + "H", len(tags)), b""
+    for tag, (form, values) in sorted(tags.items()):
+        raw = struct.pack(order + {3: "H", 4: "I"}[form] * len(values), *values)
+        body += struct.pack(order + "HHI", tag, form, len(values))
+        body += raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(order + "I", at + 2 + 12 * len(tags) + 4 + len(late))
+        late += raw if len(raw) > 4 else b""
+    return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", at) + data + body + b"\0" * 4 + late
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("tile", [None, (16, 16)])
+@pytest.mark.parametrize("packing", [1, 5, 8])
+def test_tiff_depths_tiles_and_planes(order, tile, packing):
+    rng = np.random.default_rng(7)
+    read_picture = images.DECODERS["tiff"]
+    for bits, channels, apart, differenced in [(8, 3, False, True), (8, 4, True, False), (16, 3, False, True), (16, 1, False, False), (16, 3, True, True), (8, 2, False, False)]:
+        a = rng.integers(0, 1 << bits, (21, 37, channels)).astype(f"u{bits // 8}")
+        back = read_picture(picture_tiff(order, a, bits, 2 if channels > 2 else 1, packing, tile, apart, differenced))
+        want = (a >> (bits - 8)).astype(np.uint8)
+        assert (back[..., :3] == (want[..., :3] if channels > 2 else want[..., :1])).all()
+        assert (back[..., 3] == (want[..., -1] if channels in (2, 4) else 255)).all()
+    for bits in (1, 2, 4):
+        a = rng.integers(0, 1 << bits, (21, 37, 1)).astype(np.uint8)
+        shade = a * (255 // ((1 << bits) - 1))
+        assert (read_picture(picture_tiff(order, a, bits, 1, packing, tile))[..., :3] == shade).all()
+        assert (read_picture(picture_tiff(order, a, bits, 0, packing, tile))[..., :3] == 255 - shade).all()
+    a, table = rng.integers(0, 256, (21, 37, 1)).astype(np.uint8), rng.integers(0, 65536, (3, 256))
+    back = read_picture(picture_tiff(order, a, 8, 3, packing, tile, more={320: (3, table.ravel().tolist())}))
+    assert (back[..., :3] == (table >> 8).T[a[..., 0]]).all()
+
+
+def test_tiff_pictures_that_are_refused():
+    a = np.zeros((4, 4, 3), np.uint8)
+    good = dict(order="<", picture=a, bits=8, kind=2)
+    for change in ({"more": {259: (3, [7])}}, {"more": {258: (3, [8, 8, 16])}}, {"kind": 6}, {"more": {256: (4, [0])}}, {"more": {256: (4, [10**9]), 257: (4, [10**9])}}, {"more": {257: (4, [40])}}, {"more": {317: (3, [3])}}):
+        with pytest.raises(ValueError):
+            images.DECODERS["tiff"](picture_tiff(**(good | change)))
+    with pytest.raises((ValueError, struct.error)):  # callers take both for a broken picture
+        images.DECODERS["tiff"](picture_tiff(**good)[:20])
