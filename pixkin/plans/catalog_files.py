@@ -156,7 +156,7 @@ _nine = lambda c: f"(gray[i // 8 * 8 + {_lists(_low64 // 8 + 1)}[{c}]] + (gray[i
 _hex = lambda h: f"lower(lpad(to_hex(list_reduce(list_transform(range(1, 65), lambda i: CASE WHEN {h}[i] THEN (1::UBIGINT << (64 - i)::UBIGINT) ELSE 0::UBIGINT END), lambda s, x: s + x)), 16, '0'))"
 
 ENTRIES = """
-e AS (SELECT vec_id AS i, embedding, vec_id // 64 AS z, 'p/v' || vec_id || '.' || CASE WHEN vec_id % 13 = 0 THEN 'txt' WHEN vec_id % 17 = 0 THEN 'gif' WHEN vec_id % 2 = 1 THEN 'png' ELSE 'bmp' END AS path,
+e AS (SELECT vec_id AS i, embedding, vec_id // 64 AS z, 'p/v' || vec_id || '.' || CASE WHEN vec_id % 13 = 0 THEN 'txt' WHEN vec_id % 17 = 0 THEN 'gif' WHEN vec_id % 2 = 1 THEN 'png' WHEN vec_id % 4 = 2 THEN 'webp' ELSE 'bmp' END AS path,
   vec_id // 64 % 5 = 3 AND vec_id % 64 = 5 AS disguised, vec_id % 19 = 0 AS spoiled FROM embeddings WHERE len(embedding) = 64),
 j AS (SELECT *, 'pictures-' || z || '.zip' AS archive, CASE WHEN spoiled THEN 'corrupt-entry' WHEN disguised THEN 'nested-zip' WHEN i % 17 = 0 THEN 'format-mismatch' END AS code FROM e WHERE i % 13 <> 0),
 q AS (SELECT DISTINCT z FROM j WHERE code = 'nested-zip'),
@@ -183,9 +183,9 @@ SQL = {
     "archive_identity": f"""WITH f AS (SELECT doc_id, encode(text) AS b, strlen(text) AS n FROM documents WHERE text IS NOT NULL),
       g AS (SELECT *, doc_id || '.zip' AS name, greatest(least(n, 512), n - 512) AS start FROM f)
       SELECT name, n AS size, sha256(encode('{archive.IDENTITY_TAG}' || chr(10) || '{{"name":"' || name || '","size":' || n || ',"lastModified":' || (doc_id * 1000) || ',"chunkBytes":512}}' || chr(10)) || b[1:512] || CASE WHEN start < n THEN b[start + 1:n] ELSE ''::BLOB END) AS fingerprint FROM g""",
-    "archive_images": f"""WITH {ENTRIES} SELECT archive, path, string_split(path, '/')[2] AS name, CASE WHEN i % 2 = 1 THEN 'png' ELSE 'bmp' END AS format, CASE WHEN i % 2 = 0 THEN 246::BIGINT END AS size, NULL::VARCHAR AS code, NULL::BOOLEAN AS fatal FROM good
+    "archive_images": f"""WITH {ENTRIES} SELECT archive, path, string_split(path, '/')[2] AS name, CASE WHEN i % 2 = 1 THEN 'png' WHEN i % 4 = 2 THEN 'webp' ELSE 'bmp' END AS format, CASE WHEN i % 4 = 0 THEN 246::BIGINT END AS size, NULL::VARCHAR AS code, NULL::BOOLEAN AS fatal FROM good
       UNION ALL SELECT archive, path, NULL, NULL, NULL, code, code = 'nested-zip' FROM j WHERE code IS NOT NULL""",
-    "picture_records": f"""WITH {SHOWN} SELECT i AS vec_id, CASE WHEN i % 2 = 1 THEN 'png' ELSE 'bmp' END AS format, 8::INT AS width, 8::INT AS height, 1.0::DOUBLE AS aspect, round(mean / 255, 6) AS luminance,
+    "picture_records": f"""WITH {SHOWN} SELECT i AS vec_id, CASE WHEN i % 2 = 1 THEN 'png' WHEN i % 4 = 2 THEN 'webp' ELSE 'bmp' END AS format, 8::INT AS width, 8::INT AS height, 1.0::DOUBLE AS aspect, round(mean / 255, 6) AS luminance,
       md5(array_to_string(list_transform(range(0, 4096), lambda k: lpad(to_hex(gray[k // 512 * 8 + k % 64 // 8 + 1]::INT), 2, '0')), '')) AS gray_md5, colours, {_hex('ab')} AS a_hash, {_hex('db')} AS d_hash, {_hex('pb')} AS p_hash, 4::INT AS variants, NULL::VARCHAR AS decode_error FROM d3 JOIN h4 USING (i)""",
     "thumbnail_files": f"WITH {ENTRIES} SELECT i AS vec_id, 'jpeg' AS format, 8::INT AS width, 8::INT AS height, true AS as_bright, NULL::VARCHAR AS decode_error FROM good",
     "picture_metadata": f"""WITH {ENTRIES}, o AS (SELECT i, i % 100 + 0.5::DOUBLE AS la, (i % 180) + 0.01::DOUBLE AS lo FROM good WHERE i % 2 = 1)

@@ -107,8 +107,24 @@ def bmp_file(pixels: np.ndarray) -> bytes:
     return b"BM" + struct.pack("<IHHI", 54 + rows.size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, rows.size, 0, 0, 0, 0) + rows.tobytes()
 
 
+def webp_file(pixels: np.ndarray) -> bytes:
+    """Lossless, red and blue less green, every value as a code of eight bits."""
+    h, w = pixels.shape[:2]
+    bytewise = [(0, 1), (8, 4), *[(0, 3)] * 11, (1, 3)]  # the only length is 8, so lengths take no bits
+    fields = [(0x2F, 8), (w - 1, 14), (h - 1, 14), (0, 1), (0, 3), (1, 1), (2, 2), (0, 1), (0, 1), (0, 1)]
+    fields += [*bytewise, (1, 1), (3, 3), (254, 8), *bytewise, (0, 1), *bytewise, (0, 1)]  # green has a byte's 256 symbols of 280
+    fields += [(1, 1), (0, 1), (1, 1), (255, 8), (1, 1), (0, 1), (0, 1), (0, 1)]  # one opacity, no distances
+    head = "".join(f"{v:0{n}b}"[::-1] for v, n in fields)
+    green = pixels[..., 1:2]
+    body = "".join(f"{v:08b}" for v in np.concatenate([green, pixels[..., ::2] - green], axis=2).ravel().tolist())
+    bits = head + body + "0" * (-len(head + body) % 8)
+    data = int(bits[::-1], 2).to_bytes(len(bits) // 8, "little")
+    data += b"\0" * (len(data) % 2)
+    return b"RIFF" + struct.pack("<I", len(data) + 12) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data
+
+
 def picture_archives(embeddings: DataFrame) -> DataFrame:
-    """Vectors as pictures in archives: odd ids as PNG with capture metadata, even ones as BMP.
+    """Vectors as pictures in archives: odd ids as PNG with capture metadata, even ones as BMP, or WebP where they aren't multiples of 4.
 
     Every 13th is named .txt, every 17th .gif, every 19th has a broken checksum, and in every fifth archive the sixth entry is an archive
     by its first bytes.
@@ -117,8 +133,8 @@ def picture_archives(embeddings: DataFrame) -> DataFrame:
     def entries_of(pdf: pd.DataFrame) -> tuple[list[tuple[str, bytes]], set[str]]:
         out, spoiled = [], set()
         for i, picture in zip(pdf["vec_id"].astype(int), colours(np.stack(pdf["embedding"].to_list()))):
-            data = png_file(picture, exif_of(i)) if i % 2 else bmp_file(picture)
-            name = f"p/v{i}." + ("txt" if i % 13 == 0 else "gif" if i % 17 == 0 else "png" if i % 2 else "bmp")
+            data = png_file(picture, exif_of(i)) if i % 2 else webp_file(picture) if i % 4 else bmp_file(picture)
+            name = f"p/v{i}." + ("txt" if i % 13 == 0 else "gif" if i % 17 == 0 else "png" if i % 2 else "webp" if i % 4 else "bmp")
             out.append((name, b"PK\3\4" + data if i // ENTRIES_EACH % 5 == 3 and i % ENTRIES_EACH == 5 else data))
             if i % 19 == 0:
                 spoiled.add(name)

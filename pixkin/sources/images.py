@@ -1,6 +1,6 @@
 """Pictures: decoders by format, and features of decoded pictures.
 
-JPEG, PNG, BMP, GIF and TIFF files are decoded here. Other formats need a decoder from the caller: ``register(format, function)``, on every executor.
+JPEG, PNG, BMP, GIF, TIFF and lossless WebP files are decoded here. Other formats need a decoder from the caller: ``register(format, function)``, on every executor.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pixkin.operators.skew import bounded_batches
 from pixkin.sources.jpeg import decode_jpeg
 from pixkin.sources.jpeg_writer import encode_jpeg
 from pixkin.sources.tiff import capture_metadata, decode_tiff
+from pixkin.sources.webp import decode_webp
 
 DECODERS: dict[str, Callable[[bytes], np.ndarray]] = {}
 #: A decoded picture takes four bytes a pixel and more while it is worked on.
@@ -215,6 +216,7 @@ register("png", decode_png)
 register("bmp", decode_bmp)
 register("gif", decode_gif)
 register("tiff", decode_tiff)
+register("webp", decode_webp)
 
 
 def features_of(name: str, data: bytes, orientation: int | None = None, edge: int = Limits().analysis_edge, upright: bool = True) -> dict:
