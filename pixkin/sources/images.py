@@ -6,11 +6,13 @@ JPEG, PNG, BMP, GIF, TIFF and lossless WebP files are decoded here. Other format
 from __future__ import annotations
 
 import struct
+import time
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -233,8 +235,8 @@ def features_of(name: str, data: bytes, orientation: int | None = None, edge: in
     }
 
 
-def image_features(images: DataFrame, upright: bool = True) -> DataFrame:
-    """``images`` (format, content, metadata and orientation if known) less content, plus metadata, orientation and FEATURES. A picture that can't be decoded keeps its row, with decode_error."""
+def image_features(images: DataFrame, upright: bool = True, clock: Accumulator | None = None) -> DataFrame:
+    """``images`` (format, content, metadata and orientation if known) less content, plus metadata, orientation and FEATURES. A picture that can't be decoded keeps its row, with decode_error. ``clock`` gets the tasks' seconds."""
     if "metadata" not in images.columns:
         images = capture_metadata(images)
     # Decoders show TIFF and browsers' formats as stored; what the file says about its turn is applied once, TIFF's by its decoder.
@@ -246,7 +248,7 @@ def image_features(images: DataFrame, upright: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
+            rows, start = [], time.monotonic()
             for i, (name, data) in enumerate(zip(pdf["format"], pdf["content"])):
                 turn = pdf["orientation"].iloc[i] if oriented else None
                 try:
@@ -255,6 +257,8 @@ def image_features(images: DataFrame, upright: bool = True) -> DataFrame:
                     rows.append(dict.fromkeys(names) | {"decode_error": str(e) or type(e).__name__})
             made = pd.DataFrame({n: pd.Series([r[n] for r in rows], dtype=object) for n in names}).set_index(pdf.index)
             made = made.astype({"width": "Int32", "height": "Int32", "aspect": "Float64", "luminance": "Float64"})
+            if clock is not None:
+                clock.add(time.monotonic() - start)
             yield pd.concat([pdf[carry], made], axis=1)
 
     return bounded_batches(images).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", " + FEATURES)

@@ -1,4 +1,4 @@
-"""TIFF structures: capture metadata of JPEG, TIFF and PNG files, and TIFF pictures."""
+"""TIFF structures: capture metadata of JPEG, TIFF, PNG and WebP files, and TIFF pictures."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pixkin.functions import exif
 from pixkin.functions.kernels import oriented
+from pixkin.sources.webp import chunks
 
 # Fixed values of the format: bytes of each field type, and the tags that are read.
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
@@ -57,7 +58,7 @@ def first_directory(data: bytes) -> tuple[dict[int, object], str]:
 
 
 def block_of(data: bytes) -> bytes | None:
-    """The TIFF block with a file's metadata: of a JPEG's APP1, a PNG's eXIf, or the file itself."""
+    """The TIFF block with a file's metadata: of a JPEG's APP1, a PNG's eXIf, a WebP's EXIF, or the file itself."""
     if data[:2] == b"\xff\xd8":
         at = 2
         while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] not in (0xDA, 0xD9):
@@ -74,6 +75,9 @@ def block_of(data: bytes) -> bytes | None:
                 return data[at + 8 : at + 8 + size]
             at += 12 + size
         return None
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        block = next((body for name, body in chunks(data, 12) if name == b"EXIF"), None)
+        return block[6:] if block and block[:6] == b"Exif\0\0" else block
     return data if data[:4] in (b"II*\0", b"MM\0*") else None
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 
 from pixkin.plans import standins
-from pixkin.sources import images, webp
+from pixkin.sources import images, tiff, webp
 
 
 class Out:
@@ -283,6 +283,15 @@ def test_frames_and_standins():
     assert images.features_of("webp", standins.webp_file(a[..., 1:]))["width"] == 8
 
 
+def test_capture_metadata():
+    file = standins.webp_file(picture(random.Random(7), 4, 4)[..., 1:])
+    block = standins.exif_of(7)
+    for body in (block, b"Exif\0\0" + block):
+        got = tiff.raw_metadata(riff(file[12:] + chunk(b"EXIF", body)))
+        assert (got["make"], got["orientation"], got["subseconds"]) == ("ACME  Inc ", "7", "7")
+    assert tiff.raw_metadata(file) == {}
+
+
 def test_broken_files_are_refused():
     rng = random.Random(6)
     good = webp_bytes(picture(rng, 20, 20), rng, (2, 0), cache=4)
