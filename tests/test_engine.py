@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pixkin.config import MODES, TURNS, Limits
 from pixkin.functions import kernels
 from pixkin.operators import clusters, comparisons, graph, pairs, reports, results, validate
+from pixkin.plans import oracles
 from pixkin.plans.analysis import analyse
 from pixkin.plans.progress import Cancelled, Progress
 from pixkin.sources import archive, images
@@ -71,6 +72,22 @@ def test_flat_picture_hashes():
     assert (kernels.average_hash(flat), kernels.difference_hash(flat), kernels.perceptual_hash(flat)) == (-1, 0, signed("8000000000000000"))
 
 
+def test_equal_coefficients_fall_as_sums_from_left_to_right_do():
+    """Pictures whose coefficients nearest the middle are equal but for rounding, as they are and drawn larger in flat squares."""
+    known = [("8298966b7d7063807d7680978488867e747a67606f868d957f9f7a7c8570578c8083808f748369a0858d9d7a6d737891767d6d8e7b6e7f868e99786e6a898672", "ea0b55cb6269633c"), ("8f8a8389826794967668708a7686728d7c5a9e7a8f778f927786698a7498735f79868d77808c8896796868998c958c758d77927688858b74877a9a6c6f6d8273", "8fa86db860d58da3")]
+    total = lambda values: list(itertools.accumulate(values))[-1]  # noqa: E731  sum() corrects its roundings
+    for digits, hash_ in known:
+        small = np.frombuffer(bytes.fromhex(digits), np.uint8).reshape(8, 8)
+        assert kernels.perceptual_hash(small) == signed(hash_)
+        large = np.kron(small, np.ones((8, 8), np.uint8))
+        for picture, across in ((small, oracles.COSINES), (large, kernels.cosines().reshape(8, 8, 4).sum(2))):
+            rows = [[total(float(small[y, k]) * across[u, k] for k in range(8)) for u in range(8)] for y in range(8)]
+            want = [[total(rows[k][u] * across[v, k] for k in range(8)) for u in range(8)] for v in range(8)]
+            assert kernels.coefficients(np.stack([picture] * 3)).tolist() == [want] * 3
+    mixed = np.stack([large, (np.arange(4096) % 251).reshape(64, 64)])
+    assert np.allclose(kernels.coefficients(mixed), kernels.cosines() @ kernels.resize(mixed, 32, 32) @ kernels.cosines().T)
+
+
 def test_turns_and_orientations():
     a = np.array([[1, 2, 3], [4, 5, 6]], np.uint8)
     assert [kernels.turned(a, t).ravel().tolist() for t in (90, 180, 270)] == [[4, 1, 5, 2, 6, 3], [6, 5, 4, 3, 2, 1], [3, 6, 2, 5, 1, 4]]
