@@ -482,3 +482,12 @@ def test_a_batch_is_one_analysis_and_equals_a_full_run(spark, zips, tmp_path, mo
     assert incremental.analyse_new(archive.archives(spark, str(folder)), store) == 0
     store.remove("analyses", [mark])  # as if a run had broken before its last step
     assert incremental.analyse_new(archive.archives(spark, str(folder)), store) == 1 and ids(store.get("edges")) == ids(full.edges)
+
+
+def test_incident_edges_grow_with_edges(spark):
+    """A star of 40 images: 39 edges are 39 rows, not each candidate's with each edge."""
+    ids = [f"i{n:02d}" for n in range(40)]
+    groups = spark.createDataFrame([("group-1", ids[0], ids[:20], ids[20:], [f"e{n}" for n in range(1, 40)])], "id string, reference_id string, member_ids array<string>, uncertain_ids array<string>, edge_ids array<string>")
+    edges = spark.createDataFrame([(f"e{n}", ids[0], ids[n], n % 2 == 0, n) for n in range(1, 40)] + [("x", ids[3], "out", True, 99)], "id string, source_id string, target_id string, strong boolean, score int")
+    rows = comparisons.incident(groups, edges).select("candidate_id", "base_id", "edge_id").collect()
+    assert sorted(map(tuple, rows)) == [(ids[n], ids[0], f"e{n}") for n in range(1, 40)]
