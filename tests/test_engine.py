@@ -491,3 +491,23 @@ def test_incident_edges_grow_with_edges(spark):
     edges = spark.createDataFrame([(f"e{n}", ids[0], ids[n], n % 2 == 0, n) for n in range(1, 40)] + [("x", ids[3], "out", True, 99)], "id string, source_id string, target_id string, strong boolean, score int")
     rows = comparisons.incident(groups, edges).select("candidate_id", "base_id", "edge_id").collect()
     assert sorted(map(tuple, rows)) == [(ids[n], ids[0], f"e{n}") for n in range(1, 40)]
+
+
+def test_parts_are_read_by_blocks(spark, tmp_path):
+    """One part of many blocks: as many tasks as blocks, every line in its place, the mark at its start only where there was one."""
+    lines = spark.range(20_000, numPartitions=1).select(F.format_string("%08d", "id").alias("text"))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    for mark, name in ((True, "with"), (False, "without")):
+        reports.write_csv(lines, str(tmp_path / name), mark)
+        (tmp_path / name / "one").mkdir()
+        parts = sorted((tmp_path / name).glob("part-*"))
+        (tmp_path / name / "one" / "part-0").write_bytes(b"".join(p.read_bytes() for p in parts))
+        spark.conf.set(key, "20000")
+        try:
+            back = reports.read_parts(spark, str(tmp_path / name / "one")).withColumn("task", F.spark_partition_id()).collect()
+        finally:
+            spark.conf.set(key, before)
+        assert len({r.task for r in back}) > 5
+        want = [f"{n:08d}\r" for n in range(20_000)]
+        assert [(r.nth, r.text) for r in sorted(back, key=lambda r: r.nth)] == [*enumerate(["\ufeff" * mark + want[0], *want[1:]], 1)]
