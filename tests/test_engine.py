@@ -17,9 +17,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixkin.config import MODES, TURNS, Limits
-from pixkin.functions import kernels
+from pixkin.functions import kernels, tables
 from pixkin.operators import clusters, comparisons, graph, pairs, reports, results, validate
-from pixkin.plans import oracles
+from pixkin.plans import catalog_review, oracles
 from pixkin.plans.analysis import analyse
 from pixkin.plans.progress import Cancelled, Progress
 from pixkin.sources import archive, images
@@ -511,3 +511,27 @@ def test_parts_are_read_by_blocks(spark, tmp_path):
         assert len({r.task for r in back}) > 5
         want = [f"{n:08d}\r" for n in range(20_000)]
         assert [(r.nth, r.text) for r in sorted(back, key=lambda r: r.nth)] == [*enumerate(["\ufeff" * mark + want[0], *want[1:]], 1)]
+
+
+def test_file_lists_are_ordered_once_by_a_key_that_is_a_column(spark):
+    """A regular expression within an order is made again at each comparison of two rows."""
+    images, _, groups, resolved = catalog_review.review(spark, "/root/testdata/sf0.001")
+    for df in (results.cleaned_files(images, groups, resolved), catalog_review.cleaned_lines(spark, "/root/testdata/sf0.001")):
+        sorts = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.lstrip(" :+-").startswith("Sort [")]
+        assert len(sorts) == 1 and "regexp" not in sorts[0]
+
+
+def test_a_comparison_report_orders_what_it_has_stored(spark):
+    """What made the comparisons and joined their images holds no disk while lines are ordered; edges meet their groups' lists without copies of them."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    images, edges, groups, resolved = catalog_review.review(spark, "/root/testdata/sf0.001")
+    assert "Join" not in plan(reports.comparison_report(resolved, images, exact_gps=True))
+    rows = comparisons.incident(groups, edges)
+    assert not any("edge_id" in line and "inside" in line for line in plan(rows).splitlines() if "Generate" in line and "edge_ids" in line)
+
+
+def test_cells_of_each_kind(spark):
+    odd = [None, "", "a", "-1", " =x", "\tx", "x\ty", "a;b", 'a"b', "a\nb", "=a;b", "\r"]
+    rows = spark.createDataFrame([(x,) for x in odd], "c string").select(tables.cell(F.col("c"), True).alias("text"), tables.cell(F.col("c"), False).alias("plain")).collect()
+    assert [r.text for r in rows] == ["", "", "a", "'-1", "' =x", "'\tx", "x\ty", '"a;b"', '"a""b"', '"a\nb"', '"\'=a;b"', '"\'\r"']
+    assert [r.plain for r in rows] == ["", "", "a", "-1", " =x", "\tx", "x\ty", '"a;b"', '"a""b"', '"a\nb"', '"=a;b"', '"\r"']
