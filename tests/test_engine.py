@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pixkin.config import MODES, TURNS, Limits
 from pixkin.functions import kernels, tables
 from pixkin.operators import clusters, comparisons, graph, pairs, reports, results, validate
-from pixkin.plans import catalog_review, oracles
+from pixkin.plans import catalog_review, oracles, standins
 from pixkin.plans.analysis import analyse
 from pixkin.plans.progress import Cancelled, Progress
 from pixkin.sources import archive, images
@@ -535,3 +535,8 @@ def test_cells_of_each_kind(spark):
     rows = spark.createDataFrame([(x,) for x in odd], "c string").select(tables.cell(F.col("c"), True).alias("text"), tables.cell(F.col("c"), False).alias("plain")).collect()
     assert [r.text for r in rows] == ["", "", "a", "'-1", "' =x", "'\tx", "x\ty", '"a;b"', '"a""b"', '"a\nb"', '"\'=a;b"', '"\'\r"']
     assert [r.plain for r in rows] == ["", "", "a", "-1", " =x", "\tx", "x\ty", '"a;b"', '"a""b"', '"a\nb"', '"=a;b"', '"\r"']
+
+
+def test_stand_in_archives_are_made_once(spark):
+    made = standins.page_archives(spark.createDataFrame([(1, "a"), (70, None)], "page_id long, html string"))
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().optimizedPlan().toString() and made.count() == 2
