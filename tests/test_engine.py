@@ -189,6 +189,20 @@ def test_narrower_modes_come_from_the_widest_join(spark):
     wide.unpersist()
 
 
+def test_pairs_that_no_end_keeps_stay_in_their_group(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "MOST_WAITING", 30)  # thinned out again and again
+    modes = [s.but(top_k=k) for s, k in zip(MODES.values(), (1, 2, 3))]
+    for without in (0, 12):
+        _, df = random_records(spark, 60, without=without)
+        every = pairs.candidate_pairs(df, modes[-1]).cache()
+        few = pairs.candidate_pairs(df, modes[-1], block_rows=9, kept=modes, part_rows=25).cache()
+        assert few.count() < every.count()
+        for s in modes:
+            best = sorted(pairs.best_partners(pairs.narrowed(every, s), s.top_k).collect())
+            assert sorted(pairs.best_partners(pairs.narrowed(few, s), s.top_k).collect()) == best == sorted(pairs.best_pairs(df, s).collect())
+        every.unpersist(), few.unpersist()
+
+
 def test_pairs_of_odd_records(spark):
     rows, df = random_records(spark, 6)
     alike = [("p", k, 1.0, 0.5, *([7] * 12)) for k in (0, 3, 10**12)]  # places far apart, equal ids
