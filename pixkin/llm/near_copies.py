@@ -39,6 +39,8 @@ COMMON_SHINGLES = 200_000
 FILTER_BITS = 1 << 26
 #: Members of a shingle that are compared at once, and checks that share a copy of a hub's set; larger ones are dealt out in blocks.
 BLOCK, SHARED_CHECKS = 512, 512
+#: Checks from which on they go in one more round, and the rounds at most: a round makes sets from all texts again, and saves disk.
+ROUND_CHECKS, MOST_ROUNDS = 10_000, 4
 BITS = [f"b{i}" for i in range(SKETCH)]
 
 
@@ -197,13 +199,26 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     Sets are made again from the texts and kept if a filter has their node. A set travels once to its node's checks and from there to its hubs; a
     hub's set is copied for each SHARED_CHECKS of its checks, and a task streams a hub's set followed by those that are checked against it.
+    That goes in up to MOST_ROUNDS rounds, and a round's sets go before the next one's are made.
     """
     uses = pairs.groupBy("hub").agg(F.count("*").alias("n"), F.ceil(F.count("*") / SHARED_CHECKS).cast("int").alias("shares"))
     uses = cut_lineage(uses)
     member = attach(pairs, uses, ["hub"], "n", max(1, pairs.count()), ready=True).select("node", "hub", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), F.lit(False).alias("own"))
     itself = uses.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(True).alias("own"))
     places = cut_lineage(member.unionByName(itself))
+    rounds = max(1, min(MOST_ROUNDS, -(-places.count() // ROUND_CHECKS)))
+    del uses, member, itself
+    out = None
+    for k in range(rounds):
+        release(docs.sparkSession)
+        near = verified_round(places.where(F.pmod(F.xxhash64("hub", "share"), F.lit(rounds)) == k), docs)
+        out = near if out is None else out.unionByName(near)
     release(docs.sparkSession)
+    return out
+
+
+def verified_round(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs among ``places`` (node, hub, share, own) that hold; nothing of the round's shuffles outlives it."""
     wanted = docs.sparkSession.sparkContext.broadcast(filter_of(places.select("node").distinct()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,9 +249,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     found = docs.select("text").mapInArrow(sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     dealt = places.join(found, "node").repartition("hub", "share").sortWithinPartitions("hub", "share", F.desc("own"))
-    out = cut_lineage(dealt.select("node", "hub", "own", "shingles").mapInArrow(check, "node long, hub long"))
-    release(docs.sparkSession)
-    return out
+    return cut_lineage(dealt.select("node", "hub", "own", "shingles").mapInArrow(check, "node long, hub long"))
 
 
 def tree_pairs(nodes: DataFrame) -> DataFrame:

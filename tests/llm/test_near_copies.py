@@ -114,3 +114,15 @@ def test_fingerprints_never_part_near_sets():
         y = np.unique(np.concatenate([x[: max(1, n * 8 // 9)], rng.integers(2**63, size=n // 9, dtype=np.uint64)]))
         apart = sum(int(b).bit_count() for b in (near_copies.parities(x) ^ near_copies.parities(y)).view(np.uint64))
         assert apart <= len(set(x.tolist()) ^ set(y.tolist()))
+
+
+def test_checks_go_in_rounds(spark, monkeypatch):
+    texts = [" ".join(f"w{(i // 4) * 50 + j}" for j in range(40)) + f" end{i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = sorted(r.doc_id for r in near_copies.keep_one(docs).collect())
+    made = []
+    count = near_copies.filter_of
+    monkeypatch.setattr(near_copies, "filter_of", lambda nodes: made.append(0) or count(nodes))
+    monkeypatch.setattr(near_copies, "ROUND_CHECKS", 5)
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == whole == list(range(0, 40, 4))
+    assert len(made) >= near_copies.MOST_ROUNDS
