@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixkin.operators.graph import components
-from pixkin.operators.skew import attach, cut, numbered
+from pixkin.operators.skew import attach, cut, matched, numbered
 
 CATEGORY_RANK = {"almost-certain-duplicate": 4, "probable-duplicate": 3, "needs-review": 2, "probably-different": 1}
 
@@ -27,7 +27,7 @@ def best_edges(edges: DataFrame, images: DataFrame) -> DataFrame:
     known = images.select(F.col("id").alias("known")).distinct()
     edges = edges.where("source_id != target_id")
     for end in ("source_id", "target_id"):
-        edges = edges.join(known, F.col(end) == F.col("known"), "left_semi")
+        edges = matched(edges, known, F.col(end) == F.col("known"), "left_semi")
     place = F.struct(~F.col("strong"), -F.col("score"), -category_rank(F.col("category")), "id")
     best = edges.groupBy(F.least("source_id", "target_id").alias("_a"), F.greatest("source_id", "target_id").alias("_b")).agg(F.min_by(F.struct(*edges.columns), place).alias("_best"))
     return best.select("_best.*")
@@ -70,37 +70,39 @@ def complete_link(edges: DataFrame) -> DataFrame:
     while not pairs.isEmpty():
         part = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
         nodes = part.groupBy("root").agg(F.count("*").alias("nodes"))
-        placed = cut(attach(pairs.join(part.withColumnRenamed("node", "x"), "x"), cut(pairs.join(part.withColumnRenamed("node", "x"), "x").groupBy("root").agg(F.count("*").alias("pairs")).join(nodes, "root")), ["root"], "pairs", pairs.count(), ready=True))
+        rooted = matched(pairs, part.withColumnRenamed("node", "x"), "x")
+        parts = cut(matched(rooted.groupBy("root").agg(F.count("*").alias("pairs")), nodes, "root"))
+        placed = cut(attach(rooted, parts, ["root"], "pairs", pairs.count(), ready=True, shuffled=True))
         whole = F.col("pairs") * 2 == F.col("nodes") * (F.col("nodes") - 1)
         small = placed.where(~whole & (F.col("pairs") <= FINISH_PAIRS)).select("root", "x", "y", (-F.col("best.score")).alias("score"), (-F.col("best.kind")).alias("kind"), F.col("best.id").alias("id"))
         large = placed.where(~whole & (F.col("pairs") > FINISH_PAIRS)).select("x", "y", "best", "n")
         merged = placed.where(whole).select(F.explode(F.array("x", "y")).alias("cluster"), F.col("root").alias("core")).distinct()
         merged = merged.unionByName(small.groupBy("root").applyInPandas(greedy, "cluster string, core string"))
         choice = ends(large).groupBy("x").agg(F.min_by("y", "best").alias("y"))
-        mutual = choice.join(choice.select(F.col("x").alias("y"), F.col("y").alias("x")), ["x", "y"]).where("x < y")
+        mutual = matched(choice, choice.select(F.col("x").alias("y"), F.col("y").alias("x")), ["x", "y"]).where("x < y")
         met = cut(mutual.select(F.explode(F.array("x", "y")).alias("cluster"), F.col("x").alias("core")))
         step = cut(merged.unionByName(met))
-        moved = owner.groupBy("core").agg(F.count("*").alias("n")).join(step.withColumnRenamed("core", "to"), F.col("core") == F.col("cluster"), "left").select("core", "n", F.coalesce("to", "core").alias("to"))
-        owner = cut(attach(owner, moved, ["core"], "n", max(1, owner.count())).select("image", F.col("to").alias("core")))
+        moved = matched(owner.groupBy("core").agg(F.count("*").alias("n")), step.withColumnRenamed("core", "to"), F.col("core") == F.col("cluster"), "left").select("core", "n", F.coalesce("to", "core").alias("to"))
+        owner = cut(attach(owner, moved, ["core"], "n", max(1, owner.count()), shuffled=True).select("image", F.col("to").alias("core")))
         for end in ("x", "y"):
-            large = large.join(met.select(F.col("cluster").alias(end), F.col("core").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+            large = matched(large, met.select(F.col("cluster").alias(end), F.col("core").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
         large = large.where("x != y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
         sizes = owner.groupBy("core").agg(F.count("*").alias("size"))
         for end in ("x", "y"):
-            large = large.join(sizes.select(F.col("core").alias(end), F.col("size").alias(f"{end}_size")), end)
+            large = matched(large, sizes.select(F.col("core").alias(end), F.col("size").alias(f"{end}_size")), end)
         pairs = cut(large.where("n = x_size * y_size").select("x", "y", "best", "n"))
     members = owner.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
-    return attach(owner, members, ["core"], "n", max(1, owner.count())).select("image", "core")
+    return attach(owner, members, ["core"], "n", max(1, owner.count()), shuffled=True).select("image", "core")
 
 
 def with_reference(members: DataFrame, edges: DataFrame, images: DataFrame) -> DataFrame:
     """Adds reference to (draft, image) rows: highest sum of edge scores, then pixels, bytes, smallest id. ``edges``: draft, source_id, target_id, score."""
     ends = edges.select("draft", "score", F.explode(F.array("source_id", "target_id")).alias("image")).groupBy("draft", "image").agg(F.sum("score").alias("total"))
     facts = images.select(F.col("id").alias("image"), (F.coalesce("width", F.lit(0)) * F.coalesce("height", F.lit(0))).alias("pixels"), F.coalesce("size", F.lit(0)).alias("bytes")).dropDuplicates(["image"])
-    ranked = members.join(ends, ["draft", "image"], "left").join(facts, "image", "left")
+    ranked = matched(matched(members, ends, ["draft", "image"], "left"), facts, "image", "left")
     place = F.struct(-F.coalesce("total", F.lit(0)), -F.coalesce("pixels", F.lit(0)), -F.coalesce("bytes", F.lit(0)), "image")
     first = ranked.groupBy("draft").agg(F.min_by("image", place).alias("reference"))
-    return members.select("draft", "image").join(first, "draft").select("draft", "image", "reference")
+    return matched(members.select("draft", "image"), first, "draft").select("draft", "image", "reference")
 
 
 def duplicate_groups(edges: DataFrame, images: DataFrame, apart: bool | None = None) -> DataFrame:
@@ -113,26 +115,23 @@ def duplicate_groups(edges: DataFrame, images: DataFrame, apart: bool | None = N
     relevant = best_edges(edges, images).where("category != 'probably-different'").select("id", "source_id", "target_id", "strong", "score", "category", "archive")
     relevant = cut(relevant)
     cores = cut(complete_link(relevant.where("strong")))
-    inside = (
-        relevant.join(cores.select(F.col("image").alias("source_id"), F.col("core").alias("draft")), "source_id")
-        .join(cores.select(F.col("image").alias("target_id"), F.col("core").alias("draft")), ["target_id", "draft"])
-        .select("draft", "id", "source_id", "target_id", "score", "strong", "category", "archive")
-    )
-    inside = cut(inside)
-    review = relevant.join(inside.select("id"), "id", "left_anti").withColumn("draft", F.concat(F.lit("edge\0"), F.col("id")))
+    inside = matched(relevant, cores.select(F.col("image").alias("source_id"), F.col("core").alias("draft")), "source_id")
+    inside = matched(inside, cores.select(F.col("image").alias("target_id"), F.col("core").alias("draft")), ["target_id", "draft"])
+    inside = cut(inside.select("draft", "id", "source_id", "target_id", "score", "strong", "category", "archive"))
+    review = matched(relevant, inside.select("id"), "id", "left_anti").withColumn("draft", F.concat(F.lit("edge\0"), F.col("id")))
     of_core = with_reference(cores.select(F.col("core").alias("draft"), "image"), inside, images)
     of_pair = with_reference(review.select("draft", F.explode(F.array("source_id", "target_id")).alias("image")), review, images)
     others = lambda: F.array_sort(F.collect_list(F.when(F.col("image") != F.col("reference"), F.col("image"))))
     none = F.array().cast("array<string>")
     core_groups = of_core.groupBy("draft", "reference").agg(others().alias("rest")).select("draft", F.col("reference").alias("reference_id"), F.concat(F.array("reference"), "rest").alias("member_ids"), none.alias("uncertain_ids"))
-    core_groups = core_groups.join(inside.groupBy("draft").agg(F.array_sort(F.collect_list("id")).alias("edge_ids"), F.min("archive").alias("archive")), "draft")
+    core_groups = matched(core_groups, inside.groupBy("draft").agg(F.array_sort(F.collect_list("id")).alias("edge_ids"), F.min("archive").alias("archive")), "draft")
     pair_groups = of_pair.groupBy("draft", "reference").agg(others().alias("rest")).select("draft", F.col("reference").alias("reference_id"), F.array("reference").alias("member_ids"), F.col("rest").alias("uncertain_ids"))
-    pair_groups = pair_groups.join(review.select("draft", F.array("id").alias("edge_ids"), "strong", "score", "category", "id", "archive"), "draft")
+    pair_groups = matched(pair_groups, review.select("draft", F.array("id").alias("edge_ids"), "strong", "score", "category", "id", "archive"), "draft")
     first = core_groups.select("*", F.lit(0).alias("kind"), F.lit(True).alias("strong"), F.lit(0).alias("score"), F.lit("").alias("category"), F.col("draft").alias("id"))
     every = first.unionByName(pair_groups.withColumn("kind", F.lit(1)))
     # Numbers follow the reference's order; among equals cores come first, then pairs by strength.
     every = numbered(every, [F.col("archive"), F.col("reference_id"), F.col("kind"), *strength()], "number")
     starts = cut(every.groupBy("archive").agg(F.min("number").alias("start"), F.count("*").alias("n")))
-    every = attach(every, starts, ["archive"], "n", max(1, every.count()), ready=True)
+    every = attach(every, starts, ["archive"], "n", max(1, every.count()), ready=True, shuffled=True)
     prefix = F.concat(F.substring(F.sha2("archive", 256), 1, 8), F.lit("-group-")) if (starts.limit(2).count() > 1 if apart is None else apart) else F.lit("group-")
     return every.withColumn("group_id", F.concat(prefix, (F.col("number") - F.col("start") + 1).cast("string"))).select(F.col("group_id").alias("id"), "reference_id", "member_ids", "uncertain_ids", "edge_ids", F.lit("unreviewed").alias("status"))

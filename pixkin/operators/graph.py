@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixkin.operators.skew import HEAVY_SHARE, attach, cut, release
+from pixkin.operators.skew import HEAVY_SHARE, attach, cut, matched, release
 
 
 #: What contraction leaves is finished by one task once it has so few edges (a few MB, whatever the graph's size was).
@@ -47,7 +47,7 @@ def followed(pointer: DataFrame) -> DataFrame:
         step = pointer.select(F.col("node").alias("root"), F.col("root").alias("next"))
         sizes = pointer.groupBy("root").agg(F.count("*").alias("n"))
         most = sizes.agg(F.max("n")).first()[0]
-        onward = pointer.join(step, "root") if most <= total * HEAVY_SHARE else attach(pointer, sizes.join(step, "root"), ["root"], "n", total)
+        onward = matched(pointer, step, "root") if most <= total * HEAVY_SHARE else attach(pointer, matched(sizes, step, "root"), ["root"], "n", total, shuffled=True)
         moved = cut(onward.select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
         pointer = moved.select("node", "root")
         if moved.where("moved").isEmpty():
@@ -57,8 +57,9 @@ def followed(pointer: DataFrame) -> DataFrame:
 def composed(first: DataFrame, then: DataFrame) -> DataFrame:
     """Pointers of ``first`` moved on to where ``then`` points, if it has their roots."""
     step = then.select(F.col("node").alias("root"), F.col("root").alias("next"))
-    used = first.groupBy("root").agg(F.count("*").alias("n")).join(step, "root", "left").select("root", F.coalesce("next", "root").alias("next"), "n")
-    return cut(attach(first, used, ["root"], "n", first.count()).select("node", F.col("next").alias("root")))
+    used = first.groupBy("root").agg(F.count("*").alias("n"))
+    used = matched(used, step, "root", "left").select("root", F.coalesce("next", "root").alias("next"), "n")
+    return cut(attach(first, used, ["root"], "n", first.count(), shuffled=True).select("node", F.col("next").alias("root")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -76,9 +77,9 @@ def components(edges: DataFrame) -> DataFrame:
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = cut(ends.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n")))
         pointer = followed(least.select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
-        ranked = cut(pointer.join(least.select(F.col("a").alias("node"), "n"), "node"))
+        ranked = cut(matched(pointer, least.select(F.col("a").alias("node"), "n"), "node"))
         side = lambda c, name: ranked.select(F.col("node").alias(c), F.col("root").alias(name), "n")  # noqa: E731, B023
-        joined = attach(attach(edges, side("a", "x"), ["a"], "n", 2 * count, ready=True).drop("n"), side("b", "y"), ["b"], "n", 2 * count, ready=True).where("x != y")
+        joined = attach(attach(edges, side("a", "x"), ["a"], "n", 2 * count, ready=True, shuffled=True).drop("n"), side("b", "y"), ["b"], "n", 2 * count, ready=True, shuffled=True).where("x != y")
         edges = cut(joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         out = composed(out, pointer) if out is not None else pointer
         release(edges.sparkSession)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pixkin.config import MODES, TURNS, Limits
 from pixkin.functions import kernels, tables
 from pixkin.operators import clusters, comparisons, graph, pairs, reports, results, validate
+from pixkin.operators.skew import cut
 from pixkin.plans import catalog_review, oracles, standins
 from pixkin.plans.analysis import analyse
 from pixkin.plans.progress import Cancelled, Progress
@@ -554,3 +555,15 @@ def test_cells_of_each_kind(spark):
 def test_stand_in_archives_are_made_once(spark):
     made = standins.page_archives(spark.createDataFrame([(1, "a"), (70, None)], "page_id long, html string"))
     assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().optimizedPlan().toString() and made.count() == 2
+
+
+def test_groups_and_their_reviews_build_no_table_on_the_driver(spark):
+    """Growing tables meet in shuffles though these are small enough for a broadcast."""
+    edges = spark.createDataFrame([(f"e{i}", f"v{i}", f"v{i + 1}", i % 2 == 0, 50 + i, "probable-duplicate", 0) for i in range(6)], "id string, source_id string, target_id string, strong boolean, score int, category string, turn int")
+    pics = spark.createDataFrame([(f"v{i}", 8, 8, i) for i in range(7)], "id string, width int, height int, size int")
+    groups = cut(clusters.duplicate_groups(edges, pics))
+    ends = edges.select(F.col("id").alias("draft"), F.explode(F.array("source_id", "target_id")).alias("image"))
+    for df in (clusters.best_edges(edges, pics), clusters.with_reference(ends, edges.withColumn("draft", F.col("id")), pics), comparisons.resolve(groups, edges)):
+        assert df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
