@@ -41,6 +41,8 @@ FILTER_BITS = 1 << 26
 BLOCK, SHARED_CHECKS = 512, 512
 #: Checks from which on they go in one more round, and the rounds at most: a round makes sets from all texts again, and saves disk.
 ROUND_CHECKS, MOST_ROUNDS = 10_000, 4
+#: Sets of more shingles fill the sketch, which then tells nothing of them: LONG_BITS parities of theirs are compared before they travel whole.
+LONG_SET, LONG_BITS = 768, 1 << 14
 BITS = [f"b{i}" for i in range(SKETCH)]
 
 
@@ -53,12 +55,27 @@ def name_of(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes()) - 2**63
 
 
-def parities(shingles: np.ndarray) -> np.ndarray:
+def parities(shingles: np.ndarray, bits: int = 64 * SKETCH) -> np.ndarray:
     """Whether each of the sketch's bits is hit an odd number of times."""
-    odd = np.bincount((shingles % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    odd = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def outline(shingles: np.ndarray) -> bytes:
+    """A set's size, and of a long one LONG_BITS parities (2 KB, where such a set takes 6 KB and more)."""
+    size = np.array([len(shingles)], np.int64)
+    return (np.concatenate([size, parities(shingles, LONG_BITS)]) if len(shingles) > LONG_SET else size).tobytes()
+
+
+def outlines_may_be_near(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether a similarity of 0.8 is possible: that many bits at most differ as one set has shingles that the other lacks."""
+    return len(x) != len(y) or len(x) == 1 or 9 * int(np.bitwise_count(x[1:] ^ y[1:]).sum()) <= int(x[0] + y[0])
+
+
+def sets_are_near(x: np.ndarray, y: np.ndarray) -> bool:
+    return 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
+
+
 def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first fifth and one of a set, as (shingles that aren't common, by their hashes; common ones, by their counts)."""
     n = len(shingles)
@@ -197,28 +214,38 @@ def filter_of(nodes: DataFrame) -> tuple[np.ndarray, int]:
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (node, hub; each once) whose whole sets have a similarity of 0.8 or more.
 
+    The sketch's bits tell long sets nothing: unrelated ones differ in half of them, near ones may differ in more. So outlines are compared first, and
+    whole sets travel only for pairs that those allow.
+    """
+    return checked(checked(pairs, docs, whole=False), docs, whole=True)
+
+
+def checked(pairs: DataFrame, docs: DataFrame, whole: bool) -> DataFrame:
+    """The pairs whose outlines, or ``whole`` sets, allow a similarity of 0.8.
+
     Sets are made again from the texts and kept if a filter has their node. A set travels once to its node's checks and from there to its hubs; a
     hub's set is copied for each SHARED_CHECKS of its checks, and a task streams a hub's set followed by those that are checked against it.
-    That goes in up to MOST_ROUNDS rounds, and a round's sets go before the next one's are made.
+    Whole sets go in up to MOST_ROUNDS rounds, and a round's sets go before the next one's are made.
     """
     uses = pairs.groupBy("hub").agg(F.count("*").alias("n"), F.ceil(F.count("*") / SHARED_CHECKS).cast("int").alias("shares"))
     uses = cut_lineage(uses)
     member = attach(pairs, uses, ["hub"], "n", max(1, pairs.count()), ready=True).select("node", "hub", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), F.lit(False).alias("own"))
     itself = uses.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(True).alias("own"))
     places = cut_lineage(member.unionByName(itself))
-    rounds = max(1, min(MOST_ROUNDS, -(-places.count() // ROUND_CHECKS)))
+    rounds = max(1, min(MOST_ROUNDS, -(-places.count() // ROUND_CHECKS))) if whole else 1
     del uses, member, itself
     out = None
     for k in range(rounds):
         release(docs.sparkSession)
-        near = verified_round(places.where(F.pmod(F.xxhash64("hub", "share"), F.lit(rounds)) == k), docs)
+        near = checked_round(places.where(F.pmod(F.xxhash64("hub", "share"), F.lit(rounds)) == k), docs, whole)
         out = near if out is None else out.unionByName(near)
     release(docs.sparkSession)
     return out
 
 
-def verified_round(places: DataFrame, docs: DataFrame) -> DataFrame:
+def checked_round(places: DataFrame, docs: DataFrame, whole: bool) -> DataFrame:
     """The pairs among ``places`` (node, hub, share, own) that hold; nothing of the round's shuffles outlives it."""
+    near_enough = sets_are_near if whole else outlines_may_be_near
     wanted = docs.sparkSession.sparkContext.broadcast(filter_of(places.select("node").distinct()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +259,7 @@ def verified_round(places: DataFrame, docs: DataFrame) -> DataFrame:
                 if name not in given and int(mask[at >> 6]) >> (at & 63) & 1:
                     given.add(name)
                     names.append(name)
-                    out.append(s.tobytes())
+                    out.append(s.tobytes() if whole else outline(s))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], ["node", "shingles"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,10 +267,10 @@ def verified_round(places: DataFrame, docs: DataFrame) -> DataFrame:
         for b in batches:
             near: list[tuple[int, int]] = []
             for node, to, own, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
-                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                s = np.frombuffer(raw.as_buffer(), np.uint64 if whole else np.int64)
                 if own:
                     hub, of_hub = to, s.copy()
-                elif to == hub and 9 * len(np.intersect1d(s, of_hub, assume_unique=True)) >= 4 * (len(s) + len(of_hub)):
+                elif to == hub and near_enough(s, of_hub):
                     near.append((node, to))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in near], pa.int64()) for i in (0, 1)], ["node", "hub"])
 

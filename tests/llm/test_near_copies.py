@@ -126,3 +126,25 @@ def test_checks_go_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "ROUND_CHECKS", 5)
     assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == whole == list(range(0, 40, 4))
     assert len(made) >= near_copies.MOST_ROUNDS
+
+
+def test_long_sets_travel_whole_only_if_their_outlines_allow_it(spark, monkeypatch):
+    """Long texts that share passages and no more are told apart by outlines, near ones are found, and whole sets of the others never travel."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(50_000)]
+    base = [rng.choice(words) for _ in range(3000)]
+    near = [*base[:2900], *(rng.choice(words) for _ in range(100))]
+    far = [[rng.choice(words) for _ in range(2600)] + base[:300] for _ in range(4)]
+    texts = [" ".join(t) for t in (base, near, *far)]
+    names = [near_copies.name_of(near_copies.shingle_set(t)) for t in texts]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    pairs = spark.createDataFrame([(n, names[0]) for n in names[1:]], "node long, hub long")
+    met, real = [], near_copies.checked
+    monkeypatch.setattr(near_copies, "checked", lambda p, d, whole: (met.append((whole, p.count())), real(p, d, whole))[1])
+    assert [tuple(r) for r in near_copies.verified(pairs, docs).collect()] == [(names[1], names[0])]
+    assert met == [(False, 5), (True, 1)]
+    sets = [near_copies.shingle_set(t) for t in texts]
+    for x in sets:
+        for y in sets:
+            apart = [np.frombuffer(near_copies.outline(s), np.int64) for s in (x, y)]
+            assert near_copies.outlines_may_be_near(*apart) or not near_copies.sets_are_near(x, y)
