@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixkin.operators.graph import components
-from pixkin.operators.skew import attach, cut, matched, numbered
+from pixkin.operators.skew import attach, cut, matched, numbered, release
 
 CATEGORY_RANK = {"almost-certain-duplicate": 4, "probable-duplicate": 3, "needs-review": 2, "probably-different": 1}
 
@@ -54,36 +56,42 @@ def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(n, min(c)) for n, c in cluster.items()], columns=["cluster", "core"])
 
 
+#: A round after which more than this share of the pairs is left did little; the next one takes off connected parts first.
+STUCK = 0.7
+
+
 def complete_link(edges: DataFrame) -> DataFrame:
     """image, core: clusters of two and more that merge, strongest edge first, only where all cross pairs are strong. core is the smallest image.
 
     ``edges``: strong best edges. Pairs of clusters with as many edges as members multiplied can merge; others never can, whatever they
     grow to, and go. Of those that can, a pair that is the best of both its clusters is merged by the ordered process too, since no merge
-    elsewhere makes a better pair for either, so all such pairs merge at once. Each round takes off connected parts: one in which every two clusters are a
-    pair is one cluster, one of FINISH_PAIRS pairs at most is one task's work, and the rest is contracted.
+    elsewhere makes a better pair for either, so all such pairs merge at once and what they join is contracted, until FINISH_PAIRS are left for one task.
+    Where a round merges few (equal edges, long chains), the next one takes off connected parts first: one in which every two clusters are a
+    pair is one cluster, one of FINISH_PAIRS pairs at most is one task's work. Connected parts take many jobs, whose plans and statistics fill the driver.
     """
     a, b = F.least("source_id", "target_id"), F.greatest("source_id", "target_id")
     best = F.struct((-F.col("score")).alias("score"), (-category_rank(F.col("category"))).alias("kind"), F.col("id").alias("id"))
     pairs = cut(edges.select(a.alias("x"), b.alias("y"), best.alias("best"), F.lit(1).cast("long").alias("n")))
     ends = lambda p: p.select("x", "y", "best").unionByName(p.select(F.col("y").alias("x"), F.col("x").alias("y"), "best"))
+    flat = lambda p, root: p.select(root, "x", "y", (-F.col("best.score")).alias("score"), (-F.col("best.kind")).alias("kind"), F.col("best.id").alias("id"))
+    by_task = lambda p: p.groupBy("root").applyInPandas(greedy, "cluster string, core string")
     owner = cut(ends(pairs).select(F.col("x").alias("image"), F.col("x").alias("core")).distinct())
-    while not pairs.isEmpty():
-        part = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        nodes = part.groupBy("root").agg(F.count("*").alias("nodes"))
-        rooted = matched(pairs, part.withColumnRenamed("node", "x"), "x")
-        parts = cut(matched(rooted.groupBy("root").agg(F.count("*").alias("pairs")), nodes, "root"))
-        placed = cut(attach(rooted, parts, ["root"], "pairs", pairs.count(), ready=True, shuffled=True))
-        whole = F.col("pairs") * 2 == F.col("nodes") * (F.col("nodes") - 1)
-        small = placed.where(~whole & (F.col("pairs") <= FINISH_PAIRS)).select("root", "x", "y", (-F.col("best.score")).alias("score"), (-F.col("best.kind")).alias("kind"), F.col("best.id").alias("id"))
-        large = placed.where(~whole & (F.col("pairs") > FINISH_PAIRS)).select("x", "y", "best", "n")
-        merged = placed.where(whole).select(F.explode(F.array("x", "y")).alias("cluster"), F.col("root").alias("core")).distinct()
-        merged = merged.unionByName(small.groupBy("root").applyInPandas(greedy, "cluster string, core string"))
-        choice = ends(large).groupBy("x").agg(F.min_by("y", "best").alias("y"))
-        mutual = matched(choice, choice.select(F.col("x").alias("y"), F.col("y").alias("x")), ["x", "y"]).where("x < y")
-        met = cut(mutual.select(F.explode(F.array("x", "y")).alias("cluster"), F.col("x").alias("core")))
-        step = cut(merged.unionByName(met))
+    images, count, stuck = owner.count(), pairs.count(), False
+    while count:
+        large, merged = pairs, None
+        if count <= FINISH_PAIRS:
+            large, merged = None, by_task(flat(pairs, F.lit(0).alias("root")))
+        elif stuck:
+            large, merged = parts_of(pairs, count, lambda p: by_task(flat(p, F.col("root"))))
+        if large is not None:
+            choice = ends(large).groupBy("x").agg(F.min_by("y", "best").alias("y"))
+            mutual = matched(choice, choice.select(F.col("x").alias("y"), F.col("y").alias("x")), ["x", "y"]).where("x < y")
+            met = cut(mutual.select(F.explode(F.array("x", "y")).alias("cluster"), F.col("x").alias("core")))
+        step = cut(merged if large is None else met if merged is None else merged.unionByName(met))
         moved = matched(owner.groupBy("core").agg(F.count("*").alias("n")), step.withColumnRenamed("core", "to"), F.col("core") == F.col("cluster"), "left").select("core", "n", F.coalesce("to", "core").alias("to"))
-        owner = cut(attach(owner, moved, ["core"], "n", max(1, owner.count()), shuffled=True).select("image", F.col("to").alias("core")))
+        owner = cut(attach(owner, moved, ["core"], "n", max(1, images), shuffled=True).select("image", F.col("to").alias("core")))
+        if large is None:
+            break
         for end in ("x", "y"):
             large = matched(large, met.select(F.col("cluster").alias(end), F.col("core").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
         large = large.where("x != y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
@@ -91,8 +99,24 @@ def complete_link(edges: DataFrame) -> DataFrame:
         for end in ("x", "y"):
             large = matched(large, sizes.select(F.col("core").alias(end), F.col("size").alias(f"{end}_size")), end)
         pairs = cut(large.where("n = x_size * y_size").select("x", "y", "best", "n"))
+        before, count = count, pairs.count()
+        stuck = count > before * STUCK
+        release(edges.sparkSession)
     members = owner.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
-    return attach(owner, members, ["core"], "n", max(1, owner.count()), shuffled=True).select("image", "core")
+    return attach(owner, members, ["core"], "n", max(1, images), shuffled=True).select("image", "core")
+
+
+def parts_of(pairs: DataFrame, count: int, finished: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(pairs of large connected parts, cluster and core of the others): a part that is a whole is one cluster, a small one is ``finished`` by a task."""
+    part = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    nodes = part.groupBy("root").agg(F.count("*").alias("nodes"))
+    rooted = matched(pairs, part.withColumnRenamed("node", "x"), "x")
+    parts = cut(matched(rooted.groupBy("root").agg(F.count("*").alias("pairs")), nodes, "root"))
+    placed = cut(attach(rooted, parts, ["root"], "pairs", count, ready=True, shuffled=True))
+    whole = F.col("pairs") * 2 == F.col("nodes") * (F.col("nodes") - 1)
+    small = placed.where(~whole & (F.col("pairs") <= FINISH_PAIRS))
+    merged = placed.where(whole).select(F.explode(F.array("x", "y")).alias("cluster"), F.col("root").alias("core")).distinct()
+    return placed.where(~whole & (F.col("pairs") > FINISH_PAIRS)).select("x", "y", "best", "n"), merged.unionByName(finished(small))
 
 
 def with_reference(members: DataFrame, edges: DataFrame, images: DataFrame) -> DataFrame:
